@@ -8,6 +8,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -25,13 +26,12 @@ SPACES = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
 _TONES = ("", "\u0300", "\u0301", "\u0303", "\u0309", "\u0323")
 _BASES = [*"aeiouyAEIOUY", *(x + "\u0302" for x in "aeoAEO"), *(x + "\u0306" for x in "aA"), *(x + "\u031b" for x in "ouOU")]
 VIET = "".join(sorted({unicodedata.normalize("NFC", b + t) for b in _BASES for t in _TONES} | {"đ", "Đ"}))
-#: Java pattern: what may call for a change. Texts without a match are left alone inside the JVM.
-SUSPECT = (rf"[\p{{M}}\p{{Cf}}{UNSEEN}{SPACES}\uff01-\uff5e\ufb00-\ufb06]"
-           rf"|[\p{{L}}&&[^a-zA-Z{VIET}\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsHangul}}]]")
+#: What may call for a change; texts without a match are in their one form.
+SUSPECT = re.compile(f"[\u0300-\u036f{UNSEEN}{SPACES}\uff01-\uff5e\ufb00-\ufb06\u0370-\u058f\u1f00-\u1fff{''.join(TO_LATIN)}{''.join(LATIN)}]")
 
-_TOKEN = re.compile(rf"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f{UNSEEN}])*")
 _LATIN = str.maketrans(LATIN)
-_LOOKALIKE = re.compile("[" + "".join(TO_LATIN) + "\u0370-\u03ff]")
+_LOOKALIKE = re.compile("[" + "".join(TO_LATIN) + "\u0370-\u03ff\u0400-\u04ff\u1f00-\u1fff]")
+_GAP = re.compile(r"[^\w\n]*")
 _UNSEEN = re.compile(f"[{UNSEEN}]")
 _SPACES = re.compile(f"[{SPACES}]")
 _WIDE = re.compile("[\uff01-\uff5e\ufb00-\ufb06]")
@@ -92,33 +92,60 @@ def normalize_text(text: str) -> str:
     tokens of one other script that can be read as Latin throughout, unless they stand beside a word that is certainly
     of that script, or are one Greek letter alone.
     """
-    if text.isascii():
+    if not SUSPECT.search(text):
         return text
     if _UNSEEN.search(text):
         text = _UNSEEN.sub(lambda m: m.group() if m.group() in "\u200c\u200d\ufe0f" and _keeps_joiner(text, m.start()) else "", text)
     text = _SPACES.sub(" ", text)
     text = _WIDE.sub(lambda m: unicodedata.normalize("NFKC", m.group()), text)
     if _LOOKALIKE.search(text):
-        every = list(_TOKEN.finditer(text))
-        kinds = [classify(m.group()) for m in every]
-        out, last = [], 0
-        for k, m in enumerate(every):
-            tok = new = m.group()
-            if kinds[k] == "mixed":
-                new = _latin(tok)
-            elif kinds[k] == "whole":
-                own = script(next(c for c in tok if script(c)))
-                beside = [every[j].group() for j in (k - 1, k + 1) if 0 <= j < len(every) and kinds[j] == "single" and "\n" not in text[min(m.end(), every[j].end()):max(m.start(), every[j].start())]]
-                certain = any(script(next(c for c in w if script(c))) == own for w in beside)
-                letters = sum(1 for c in tok if script(c))
-                if not certain and not (own == "GREEK" and letters == 1):
-                    new = _latin(tok)
-            if new is not tok:
-                out += [text[last:m.start()], new]
-                last = m.end()
-        text = "".join(out) + text[last:]
-    text = text.translate(_LATIN)
-    return text if unicodedata.is_normalized("NFC", text) else _compose(text)
+        text = _respell(text)
+    return _compose(text.translate(_LATIN))
+
+
+def _letter(c: str) -> bool:
+    return c.isalpha() or "\u0300" <= c <= "\u036f"
+
+
+def _token_at(text: str, at: int) -> tuple[int, int]:
+    lo = hi = at
+    while lo and _letter(text[lo - 1]):
+        lo -= 1
+    while hi < len(text) and _letter(text[hi]):
+        hi += 1
+    return lo, hi
+
+
+def _certain(text: str, lo: int, hi: int, own: str) -> bool:
+    """Whether a word beside text[lo:hi], on its line, is of script `own` beyond doubt."""
+    right = _GAP.match(text, hi).end()
+    left = lo
+    while left and not text[left - 1].isalnum() and text[left - 1] not in "_\n":
+        left -= 1
+    for at in (right, left - 1):
+        if 0 <= at < len(text) and _letter(text[at]):
+            word = text[slice(*_token_at(text, at))]
+            if classify(word) == "single" and script(next(c for c in word if script(c))) == own:
+                return True
+    return False
+
+
+def _respell(text: str) -> str:
+    out, last, at = [], 0, 0
+    while m := _LOOKALIKE.search(text, at):
+        lo, hi = _token_at(text, m.start())
+        at = max(hi, m.end())
+        tok = text[lo:hi]
+        kind = classify(tok)
+        if kind == "whole":
+            own = script(next(c for c in tok if script(c)))
+            alone = own == "GREEK" and sum(1 for c in tok if script(c)) == 1
+            if alone or _certain(text, lo, hi, own):
+                continue
+        if kind in ("mixed", "whole"):
+            out += [text[last:lo], _latin(tok)]
+            last = hi
+    return "".join(out) + text[last:]
 
 
 _MARKED = re.compile("[^\\W\\d_][\u0300-\u036f]+")
@@ -135,26 +162,30 @@ def _normalize(s: pd.Series) -> pd.Series:
 
 
 def normalized(col: Column) -> Column:
-    """Column in its one form; null stays null. Only for rows that match SUSPECT is the result different."""
+    """Column in its one form; null stays null."""
     return _normalize(col)
 
 
 def normalize(df: DataFrame, text: str, out: str = "normalized") -> DataFrame:
-    """Adds `out`; only rows with a suspect character travel to Python.
+    """Adds `out`. Null stays null, blank text is treated as any other, repeated rows are kept."""
+    return df.withColumn(out, normalized(F.col(text)))
 
-    Null stays null, blank text is treated as any other; repeated rows are kept. The two branches read the same
-    columns and are united without a shuffle.
-    """
-    odd = F.coalesce(F.col(text).rlike(SUSPECT), F.lit(False))
-    return (df.filter(~odd).withColumn(out, F.col(text))
-            .unionByName(df.filter(odd).withColumn(out, normalized(F.col(text)))))
+
+def _changed(batches):
+    for batch in batches:
+        keys, texts = batch.column(0), batch.column(1).to_pylist()
+        odd = [i for i, t in enumerate(texts) if SUSPECT.search(t) and normalize_text(t) != t]
+        if odd:
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(odd))], names=["rec_id"])
 
 
 def disguised(df: DataFrame, key: str, text: str, fld: str) -> DataFrame:
-    """(fld, rec_id) of the records whose text is not in its one form; repeated rows count once, null keys are none."""
-    odd = df.select(F.col(key).alias("rec_id"), F.col(text).alias("__t")).filter(F.col("__t").rlike(SUSPECT) & F.col("rec_id").isNotNull())
-    changed = odd.withColumn("__n", normalized(F.col("__t"))).filter(F.col("__n") != F.col("__t"))
-    return changed.select(F.lit(fld).alias("fld"), "rec_id").distinct()
+    """(fld, rec_id) of the records whose text is not in its one form; repeated rows count once, null keys are none.
+
+    Texts pass through one Arrow stage, in which all but the suspect ones are only scanned; keys alone come back.
+    """
+    d = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("rec_id"), text)
+    return d.mapInArrow(_changed, "rec_id string").distinct().select(F.lit(fld).alias("fld"), "rec_id")
 
 
 def found(context: DataFrame, train: DataFrame) -> DataFrame:
