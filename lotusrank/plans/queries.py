@@ -1,4 +1,635 @@
-"""Queries over the reference's operators, with their SQL."""
+"""Queries over the core operators, each over its whole tables, and the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lotusrank.functions import text as T
+from lotusrank.functions.scale import cut
+from lotusrank.operators import aggregate, chunking, evaluate, fusion, index, mining, prior, render, rerank, validate
+from lotusrank.params import Params
+from lotusrank.plans import pipeline
+from lotusrank.sources import io
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+P = Params()
+CUT = Params(pool=20, n_docs=5, m_chunks=2)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+    return add
+
+
+def table(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def chunks(s, d) -> DataFrame:
+    return index.distinct_chunks(table(s, d, "chunks"))
+
+
+def contexts(s, d) -> DataFrame:
+    """Repeated rows count once."""
+    return table(s, d, "context").select("doc_id", "name", "link", "passage").distinct()
+
+
+def asked(s, d) -> DataFrame:
+    """The stated query set of searches: labelled questions whose id is divisible by 100, against all chunks."""
+    return table(s, d, "train").filter("cast(qid as bigint) % 100 = 0 and question is not null").select("qid", "question", "answer").distinct()
+
+
+def labels(s, d) -> DataFrame:
+    return prior.gold(table(s, d, "train"))
+
+
+def pool(s, d) -> DataFrame:
+    return fusion.scored_pool(table(s, d, "chunks"), CUT.pool)
+
+
+def asked_pool(s, d) -> DataFrame:
+    """The pool of the labelled query set: the 50 best chunks by BM25 and, as dense score, the cosine of each to the best
+    of them (a stand-in for the question's own vector)."""
+    top = index.top_chunks(index.bm25_scores(chunks(s, d), asked(s, d)), 50)
+    v = _vectors(s, d)
+    q = top.filter("rank = 1").select("qid", "chunk_idx").join(v, "chunk_idx").select("qid", F.col("dense").alias("qvec"))
+    cos = fusion.dot(F.col("dense"), F.col("qvec")) / fusion.norm(F.col("dense")) / fusion.norm(F.col("qvec"))
+    ok = (fusion.norm(F.col("dense")) > 0) & (fusion.norm(F.col("qvec")) > 0)
+    d = top.join(v, "chunk_idx", "left").join(q, "qid", "left")
+    return d.select("qid", "chunk_idx", "doc_id", "bm25", F.coalesce(F.when(ok, F.round(cos, 5)), F.lit(0.0)).alias("dense"))
+
+
+def questions(s, d) -> DataFrame:
+    """(qid, question) of both tables; of several spellings of one question the smallest."""
+    both = table(s, d, "train").select("qid", "question").unionByName(table(s, d, "public_official").select("qid", "question"))
+    return both.filter("question is not null").groupBy("qid").agg(F.min("question").alias("question"))
+
+
+WS = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
+STRIP = lambda x: rf"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+CLEAN = STRIP(r"regexp_replace(regexp_replace(replace(coalesce(passage, ''), chr(13), ''), '[ \t]+', ' ', 'g'), '\n{2,}', chr(10), 'g')")
+TITLE = STRIP(r"replace(coalesce(nullif(name, ''), regexp_extract(coalesce(link, ''), '/([^/]+?)-\p{Nd}+\.aspx', 1)), '-', ' ')")
+WORDS = lambda x: rf"list_filter(regexp_split_to_array({STRIP(f'coalesce({x}, chr(32))')}, '{WS}+'), lambda w: w <> '')"
+TOKENS = lambda x: rf"regexp_extract_all(lower(coalesce({x}, '')), '[\p{{L}}\p{{N}}_]+')"
+CTX = "c AS (SELECT DISTINCT doc_id, name, link, passage FROM context)"
+CH = "ch AS (SELECT DISTINCT chunk_idx, doc_id, chunk_id, tier, path, n_words, text FROM chunks)"
+TOK = f"{CH}, tk AS (SELECT chunk_idx, doc_id, {TOKENS('text')} AS toks FROM ch)"
+TF = TOK + ", tf AS (SELECT chunk_idx, doc_id, len(toks) AS doclen, unnest(toks) AS term FROM tk), tc AS (SELECT term, chunk_idx, doc_id, doclen, least(count(*), 65535)::INT AS tf FROM tf GROUP BY ALL)"
+VOC = TF + (", voc AS (SELECT term, count(*) AS df, ln(1 + ((SELECT count(*) FROM ch) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tc GROUP BY term "
+            "HAVING count(*) BETWEEN 2 AND floor((SELECT count(*) FROM ch) * 0.7))")
+ASKED = "q AS (SELECT DISTINCT qid, question, answer FROM train WHERE qid::BIGINT % 100 = 0 AND question IS NOT NULL)"
+QT = f"{ASKED}, qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({TOKENS('question')}) AS term FROM q) GROUP BY ALL)"
+K1, B = P.k1, P.b
+MATCH = f"{VOC}, {QT}, av AS (SELECT avg(len(toks)) AS avgdl FROM tk), m AS (SELECT qt.qid, qt.qtf, voc.idf, tc.* FROM qt JOIN voc USING (term) JOIN tc USING (term))"
+WEIGHT = lambda k1, b: f"qtf * idf * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * doclen / avgdl))"
+SC = f"{MATCH}, sc AS (SELECT qid, chunk_idx, doc_id, round(sum({WEIGHT(K1, B)}), 6) AS s FROM m, av GROUP BY ALL)"
+GOLD = "g AS (SELECT DISTINCT qid, doc_id FROM (SELECT qid, unnest(answer) AS doc_id FROM train) WHERE doc_id IS NOT NULL)"
+POOL = (f"pl AS (SELECT qid, chunk_idx, doc_id, bm25, coalesce(CASE WHEN NOT isnan(dense) THEN dense END, 0.0) AS dense FROM (SELECT DISTINCT qid, chunk_idx, doc_id, bm25, dense FROM chunks) "
+        f"WHERE qid IS NOT NULL AND bm25 IS NOT NULL AND NOT isnan(bm25) AND bm25 > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, chunk_idx) <= {CUT.pool})")
+MM = lambda c, eps="1e-9", by="qid": f"(CASE WHEN max({c}) OVER (PARTITION BY {by}) - min({c}) OVER (PARTITION BY {by}) < {eps} THEN 0.0 ELSE ({c} - min({c}) OVER (PARTITION BY {by})) / (max({c}) OVER (PARTITION BY {by}) - min({c}) OVER (PARTITION BY {by})) END)"
+LINEAR = lambda a: f"round({a} * {MM('dense')} + (1 - {a}) * {MM('bm25')}, 9)"
+FU = f"fu AS (SELECT *, {LINEAR(P.alpha)} AS fused FROM pl)"
+FUSED = f"{POOL}, {FU}"
+_IP = lambda a, b: f"list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"
+APOOL = (f"{SC}, tp AS (SELECT qid, chunk_idx, doc_id, s AS bm25, row_number() OVER (PARTITION BY qid ORDER BY s DESC, chunk_idx) AS rnk FROM sc WHERE s > 0 QUALIFY rnk <= 50), v AS (SELECT DISTINCT chunk_idx, dense AS vec FROM emb WHERE dense IS NOT NULL), "
+         f"qv AS (SELECT qid, vec AS qvec FROM tp JOIN v USING (chunk_idx) WHERE rnk = 1), pl AS (SELECT tp.qid, chunk_idx, doc_id, bm25, coalesce(CASE WHEN {_IP('vec', 'vec')} > 0 AND {_IP('qvec', 'qvec')} > 0 THEN round({_IP('vec', 'qvec')} / sqrt({_IP('vec', 'vec')}) / sqrt({_IP('qvec', 'qvec')}), 5) END, 0.0) AS dense "
+         "FROM tp LEFT JOIN v USING (chunk_idx) LEFT JOIN qv ON qv.qid = tp.qid)")
+AFUSED = f"{APOOL}, {FU}"
+
+
+def docs_sql(src: str, agg: str, score: str, topk: int, name: str = "rk") -> str:
+    """CTEs that rank documents of `src` as aggregate.rank_docs does."""
+    v = {"max": "max(s)", "avg": "avg(s)", "top3": "avg(CASE WHEN rn <= 3 THEN s END)", "top2": "avg(CASE WHEN rn <= 2 THEN s END)", "max+0.4": "sum(CASE WHEN rn = 1 THEN s WHEN rn = 2 THEN 0.4 * s END)",
+         "top3_log": "avg(CASE WHEN rn <= 3 THEN s END) / ln(1 + (SELECT count(*) FROM ch WHERE ch.doc_id = x.doc_id))"}[agg]
+    return (f"{name}x AS (SELECT qid, doc_id, chunk_idx, {score} AS s, row_number() OVER (PARTITION BY qid, doc_id ORDER BY {score} DESC, chunk_idx) AS rn FROM {src}), "
+            f"{name}d AS (SELECT qid, doc_id, round({v}, 6) AS score, max(s) AS bs, min(CASE WHEN rn = 1 THEN chunk_idx END) AS best_chunk, count(*) AS n_chunks FROM {name}x x GROUP BY qid, doc_id), "
+            f"{name} AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, round(bs, 6) DESC, best_chunk, doc_id) AS rank, doc_id, score, best_chunk, n_chunks FROM {name}d QUALIFY rank <= {topk})")
+
+
+# ---- sources, text, structure ----------------------------------------------------------------------------------------
+
+@query("SELECT DISTINCT doc_id, name, link FROM context WHERE doc_id = '1000002'")
+def doc_lookup(s, d):
+    return io.lookup(table(s, d, "context"), "1000002").select("doc_id", "name", "link").distinct()
+
+
+@query("SELECT DISTINCT doc_id FROM context WHERE doc_id IS NOT NULL")
+def corpus_id_list(s, d):
+    return table(s, d, "context").select("doc_id").filter("doc_id is not null").distinct()
+
+
+@query(rf"WITH {CTX} SELECT doc_id, length({CLEAN}) AS n_chars, md5({CLEAN}) AS digest FROM c")
+def clean_text(s, d):
+    c = T.clean(F.col("passage"))
+    return contexts(s, d).select("doc_id", F.length(c).cast("long").alias("n_chars"), F.md5(c).alias("digest"))
+
+
+@query(rf"WITH {CTX} SELECT doc_id, {TITLE} AS title FROM c")
+def titles(s, d):
+    return contexts(s, d).select("doc_id", T.title(F.col("name"), F.col("link")).alias("title"))
+
+
+@query(rf"WITH {CH} SELECT chunk_idx, len({WORDS('text')}) AS words FROM ch")
+def word_counts(s, d):
+    return chunks(s, d).select("chunk_idx", F.size(T.words(F.col("text"))).cast("long").alias("words"))
+
+
+@query(rf"""WITH {CTX}, w AS (SELECT doc_id, {CLEAN} AS body, {WORDS('passage')} AS w FROM c),
+n AS (SELECT *, len(w) AS n FROM w),
+x AS (SELECT doc_id, body, w, n, unnest(CASE WHEN n <= 256 THEN [0] ELSE generate_series(0, ceil((n - 256) / 192.0)::INT) END) AS i FROM n)
+SELECT doc_id, i::INT AS window_no, CASE WHEN n <= 256 THEN n ELSE len(list_slice(w, i * 192 + 1, i * 192 + 256)) END AS n_words,
+md5(CASE WHEN n <= 256 THEN body ELSE array_to_string(list_slice(w, i * 192 + 1, i * 192 + 256), ' ') END) AS digest FROM x""")
+def word_windows(s, d):
+    x = contexts(s, d).select("doc_id", F.posexplode(chunking.window_pieces(T.clean(F.col("passage")))).alias("window_no", "piece"))
+    return x.select("doc_id", "window_no", F.size(T.words(F.col("piece"))).cast("long").alias("n_words"), F.md5("piece").alias("digest"))
+
+
+@query()
+def chunk_documents(s, d):
+    return chunking.chunk(contexts(s, d))
+
+
+@query()
+def chunk_tier_counts(s, d):
+    return chunking.chunk(contexts(s, d)).groupBy("tier").agg(F.count(F.lit(1)).alias("chunks"), F.max("n_words").alias("most_words"))
+
+
+@query(f"WITH {CH} SELECT tier, count(*) AS chunks, count(DISTINCT doc_id) AS docs FROM ch GROUP BY tier")
+def tier_stats(s, d):
+    return chunks(s, d).groupBy("tier").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("doc_id").alias("docs"))
+
+
+_STRUCT = rf"^(Chương{WS}+[IVXLCDM\p{{Nd}}]|Điều{WS}+\p{{Nd}}|Mục{WS}+\p{{Nd}}|Phần{WS}+[IVXLCDM\p{{Nd}}]|\p{{Nd}}+\.{WS}|[a-zđ]\){WS}|[-+*]{WS})"
+_LINES = rf"""WITH {CTX}, t AS (SELECT doc_id, string_split(substr({CLEAN}, 1, 400000), chr(10)) AS ls FROM c),
+l AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS no FROM t),
+k AS (SELECT doc_id, no, {STRIP('raw')} AS s FROM l),
+f AS (SELECT doc_id, no, s, lag(s) OVER (PARTITION BY doc_id ORDER BY no) AS p FROM k WHERE s <> '' AND NOT regexp_matches(s, '^([-_=–—.]|{WS})+$')),
+o AS (SELECT *, CASE WHEN p IS NULL OR regexp_matches(s, '{_STRUCT}') OR regexp_matches(p, '[.;:!?]["'')\]]?$') THEN 1 ELSE 0 END AS opens FROM f),
+b AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY no) AS para FROM o),
+j AS (SELECT doc_id, para - 1 AS line_no, string_agg(s, ' ' ORDER BY no) AS line FROM b GROUP BY doc_id, para),
+kd AS (SELECT *, CASE WHEN regexp_matches(line, '^Chương{WS}+[IVXLCDM\p{{Nd}}]') THEN 'h2' WHEN regexp_matches(line, '^Điều{WS}+\p{{Nd}}+') THEN 'h3' WHEN regexp_matches(line, '^Mục{WS}+\p{{Nd}}') THEN 'h4'
+ WHEN regexp_matches(line, '^\p{{Nd}}+\.{WS}') THEN 'khoan' WHEN regexp_matches(line, '^[a-zđ]\){WS}') THEN 'diem' ELSE 'p' END AS kind FROM j)"""
+
+
+@query(rf"""{_LINES}, a AS (SELECT *, CASE WHEN kind = 'h3' THEN 'dieu-' || regexp_extract(line, 'Điều{WS}+(\p{{Nd}}+[a-zđ]?)', 1) ELSE '' END AS an FROM kd)
+SELECT doc_id, line_no::INT AS line_no, kind, CASE WHEN an <> '' AND row_number() OVER (PARTITION BY doc_id, an ORDER BY line_no) = 1 THEN an ELSE '' END AS anchor, md5(line) AS digest FROM a""")
+def line_classes(s, d):
+    return render.lines(contexts(s, d)).select("doc_id", "line_no", "kind", "anchor", F.md5("line").alias("digest"))
+
+
+@query()
+def rendered_html(s, d):
+    return render.html(contexts(s, d), ["giấy phép", "quy định"]).select("doc_id", F.length("html").alias("n_chars"), "truncated")
+
+
+@query(rf"WITH {CH} SELECT chunk_idx, split_part(split_part(text, chr(10), 1), ' > ', 1) AS title, CASE WHEN regexp_matches(coalesce(path, ''), 'Điều{WS}+\p{{Nd}}+') THEN 'dieu-' || regexp_extract(path, 'Điều{WS}+(\p{{Nd}}+[a-zđ]?)', 1) ELSE '' END AS anchor FROM ch")
+def header_parse(s, d):
+    return chunks(s, d).select("chunk_idx", T.header_title(F.col("text")).alias("title"), F.coalesce(T.anchor(F.col("path")), F.lit("")).alias("anchor"))
+
+
+@query()
+def highlighted(s, d):
+    e = T.highlight(T.escape(F.col("text")), ["đồng", "quy định", "giấy phép"])
+    return chunks(s, d).select("chunk_idx", (F.size(F.split(e, "<mark>")) - 1).alias("marks"))
+
+
+# ---- index and BM25 --------------------------------------------------------------------------------------------------
+
+@query(f"WITH {TOK} SELECT chunk_idx, len(toks) AS tokens, len(list_distinct(toks)) AS terms FROM tk")
+def tokenize_stats(s, d):
+    t = T.tokens(F.col("text"))
+    return chunks(s, d).select("chunk_idx", F.size(t).cast("long").alias("tokens"), F.size(F.array_distinct(t)).cast("long").alias("terms"))
+
+
+@query(f"WITH {TOK} SELECT count(*) AS n_chunks, round(avg(len(toks)), 6) AS avgdl FROM tk")
+def corpus_stats(s, d):
+    return index.corpus_stats(chunks(s, d)).select("n_chunks", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"WITH {VOC} SELECT term, df, round(idf, 6) AS idf FROM voc")
+def df_vocab(s, d):
+    return index.vocabulary(chunks(s, d)).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {VOC} SELECT term, chunk_idx, tf, doclen::INT AS doclen FROM tc WHERE term IN (SELECT term FROM voc)")
+def postings(s, d):
+    return index.postings(chunks(s, d)).select("term", "chunk_idx", "tf", "doclen")
+
+
+@query(f"WITH {TOK}, av AS (SELECT avg(len(toks)) AS avgdl FROM tk) SELECT chunk_idx, round({K1} * (1 - {B} + {B} * len(toks) / avgdl), 6) AS norm FROM tk, av")
+def length_norms(s, d):
+    c = index.chunk_lengths(chunks(s, d))
+    avgdl = c.agg(F.avg("doclen")).first()[0]
+    return c.select("chunk_idx", F.round(F.lit(P.k1) * (1 - P.b + P.b * F.col("doclen") / F.lit(avgdl)), 6).alias("norm"))
+
+
+@query(f"WITH {VOC}, {QT} SELECT qid, term FROM qt WHERE term IN (SELECT term FROM voc)")
+def hit_terms(s, d):
+    return index.hit_terms(chunks(s, d), asked(s, d))
+
+
+@query(f"WITH {SC} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY s DESC, chunk_idx) AS rank, chunk_idx, s AS bm25 FROM sc WHERE s > 0 QUALIFY rank <= 10")
+def bm25_chunks_topk(s, d):
+    return index.top_chunks(index.bm25_scores(chunks(s, d), asked(s, d)), 10).select("qid", "rank", "chunk_idx", "bm25")
+
+
+def _bm25_docs(agg: str):
+    def run(s, d):
+        c = chunks(s, d)
+        top = index.top_chunks(index.bm25_scores(c, asked(s, d)), P.doc_pool).drop("rank")
+        return aggregate.rank_docs(top, agg, P.topk, "bm25", aggregate.doc_sizes(c))
+    return run
+
+
+for _name, _agg in (("max", "max"), ("top3", "top3"), ("top3_log", "top3_log"), ("max_w", "max+0.4"), ("avg", "avg")):
+    QUERIES[f"bm25_docs_{_name}"] = _bm25_docs(_agg)
+    ORACLE[f"bm25_docs_{_name}"] = (f"WITH {SC}, tp AS (SELECT * FROM sc WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, chunk_idx) <= {P.doc_pool}), "
+                                    f"{docs_sql('tp', _agg, 's', P.topk)} SELECT qid, rank, doc_id, score, best_chunk, n_chunks FROM rk")
+
+
+@query(f"WITH {SC}, tp AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY s DESC, chunk_idx) AS rank, chunk_idx, s FROM sc WHERE s > 0 QUALIFY rank <= 10) "
+       r"SELECT qid, rank, ch.doc_id, s AS score, chunk_idx, split_part(split_part(text, chr(10), 1), ' > ', 1) AS title, path, "
+       r"substr(regexp_replace(CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END, '\n+', ' ', 'g'), 1, 260) AS snippet FROM tp JOIN ch USING (chunk_idx)")
+def search_chunks(s, d):
+    return pipeline.search(chunks(s, d), asked(s, d), 10, "chunk")
+
+
+@query()
+def search_docs(s, d):
+    return pipeline.search(chunks(s, d), asked(s, d), 5, "doc")
+
+
+# ---- dense scores and fusion -----------------------------------------------------------------------------------------
+
+@query(f"WITH {POOL} SELECT qid, chunk_idx, doc_id, round(bm25, 6) AS bm25, round(dense, 6) AS dense FROM pl")
+def pool_topk(s, d):
+    return pool(s, d).select("qid", "chunk_idx", "doc_id", F.round("bm25", 6).alias("bm25"), F.round("dense", 6).alias("dense"))
+
+
+@query(f"WITH {POOL} SELECT qid, chunk_idx, round({MM('bm25')}, 6) AS bm25, round({MM('dense')}, 6) AS dense FROM pl")
+def minmax_scores(s, d):
+    return pool(s, d).select("qid", "chunk_idx", F.round(fusion.minmax(F.col("bm25"), ["qid"]), 6).alias("bm25"), F.round(fusion.minmax(F.col("dense"), ["qid"]), 6).alias("dense"))
+
+
+@query(f"WITH {FUSED} SELECT qid, chunk_idx, round(fused, 6) AS fused FROM fu")
+def fuse_linear(s, d):
+    return fusion.fuse(pool(s, d), "linear", P.alpha).select("qid", "chunk_idx", F.round("fused", 6).alias("fused"))
+
+
+@query(f"WITH {POOL} SELECT qid, chunk_idx, round(1 / (60.0 + row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, chunk_idx)) + 1 / (60.0 + row_number() OVER (PARTITION BY qid ORDER BY dense DESC, chunk_idx)), 9) AS fused FROM pl")
+def fuse_rrf(s, d):
+    return fusion.fuse(pool(s, d), "rrf").select("qid", "chunk_idx", "fused")
+
+
+@query(f"WITH {POOL} SELECT qid, chunk_idx, round(dense, 9) AS fused FROM pl")
+def fuse_dense_only(s, d):
+    return fusion.fuse(pool(s, d), "dense").select("qid", "chunk_idx", "fused")
+
+
+def _vectors(s, d) -> DataFrame:
+    return table(s, d, "emb").filter("dense is not null").select("chunk_idx", "dense").dropDuplicates(["chunk_idx"])
+
+
+def _query_vectors(s, d) -> DataFrame:
+    """Stand-in for encoded questions: the vector of the best BM25 chunk of each pool."""
+    best = pool(s, d).groupBy("qid").agg(F.max(F.struct("bm25", -F.col("chunk_idx"))).alias("m")).select("qid", (-F.col("m.col2")).alias("chunk_idx"))
+    return best.join(_vectors(s, d), "chunk_idx").select("qid", F.col("dense").alias("qvec"))
+
+
+_VEC = (f"{POOL}, v AS (SELECT DISTINCT chunk_idx, dense FROM emb WHERE dense IS NOT NULL), qv AS (SELECT p.qid, v.dense AS qvec FROM (SELECT qid, chunk_idx FROM pl QUALIFY row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, chunk_idx) = 1) p JOIN v USING (chunk_idx))")
+_DOT = lambda a, b: f"list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"
+
+
+@query(f"WITH {_VEC} SELECT qid, chunk_idx, round({_DOT('v.dense', 'qvec')}, 5) AS dense FROM pl JOIN v USING (chunk_idx) JOIN qv USING (qid)")
+def dense_scores(s, d):
+    return fusion.dense_scores(pool(s, d), _vectors(s, d), _query_vectors(s, d)).select("qid", "chunk_idx", F.round("dense", 5).alias("dense"))
+
+
+@query(f"WITH {_VEC}, t AS (SELECT qid, chunk_idx, list_slice(v.dense, 1, 16) AS a, list_slice(qvec, 1, 16) AS b FROM pl JOIN v USING (chunk_idx) JOIN qv USING (qid)) "
+       f"SELECT qid, chunk_idx, round({_DOT('a', 'b')} / sqrt({_DOT('a', 'a')}) / sqrt({_DOT('b', 'b')}), 5) AS cosine FROM t WHERE {_DOT('a', 'a')} > 0 AND {_DOT('b', 'b')} > 0")
+def matryoshka_cosines(s, d):
+    j = pool(s, d).select("qid", "chunk_idx").join(_vectors(s, d), "chunk_idx").join(_query_vectors(s, d), "qid")
+    c = fusion.dot(fusion.truncate(F.col("dense"), 16), fusion.truncate(F.col("qvec"), 16))
+    return j.select("qid", "chunk_idx", F.round(c, 5).alias("cosine")).filter("cosine is not null")
+
+
+@query(f"WITH {FUSED}, {docs_sql('fu', P.agg, 'fused', P.topk)} SELECT qid, rank, doc_id, score, best_chunk, n_chunks FROM rk")
+def hybrid_docs(s, d):
+    return aggregate.rank_docs(fusion.fuse(pool(s, d), "linear", P.alpha), P.agg, P.topk, "fused")
+
+
+@query(f"WITH {TOK}, x AS (SELECT len(toks) AS n FROM tk) SELECT quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.9) AS p90, round(quantile_cont(n, 0.99), 6) AS p99, max(n) AS longest, round(avg((n > 350)::INT), 6) AS over_limit, count(*) AS chunks FROM x")
+def token_length_percentiles(s, d):
+    n = index.chunk_lengths(chunks(s, d)).select(F.col("doclen").cast("long").alias("n"))
+    p = F.percentile("n", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
+    return n.agg(p.alias("p"), F.max("n").alias("longest"), F.round(F.avg((F.col("n") > 350).cast("int")), 6).alias("over_limit"), F.count(F.lit(1)).alias("chunks")).select(F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"), F.round(F.col("p")[2], 6).alias("p99"), "longest", "over_limit", "chunks")
+
+
+# ---- reranking -------------------------------------------------------------------------------------------------------
+
+_CAND = (f"{FUSED}, c1 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, chunk_idx) AS rn FROM fu), c2 AS (SELECT *, min(rn) OVER (PARTITION BY qid, doc_id) AS first_rn, row_number() OVER (PARTITION BY qid, doc_id ORDER BY rn) AS m FROM c1), "
+         f"c3 AS (SELECT *, dense_rank() OVER (PARTITION BY qid ORDER BY first_rn) AS dr FROM c2), c4 AS (SELECT *, min(CASE WHEN dr = {CUT.n_docs + 1} THEN first_rn END) OVER (PARTITION BY qid) AS stop FROM c3), "
+         f"cc AS (SELECT qid, rn, doc_id, chunk_idx, fused FROM c4 WHERE (stop IS NULL OR rn < stop) AND m <= {CUT.m_chunks})")
+
+
+def candidates(s, d) -> DataFrame:
+    return rerank.candidate_cut(fusion.fuse(pool(s, d), "linear", P.alpha), CUT.n_docs, CUT.m_chunks)
+
+
+@query(f"WITH {_CAND} SELECT qid, rn, doc_id, chunk_idx, round(fused, 6) AS fused FROM cc")
+def candidate_cut(s, d):
+    return candidates(s, d).select("qid", "rn", "doc_id", "chunk_idx", F.round("fused", 6).alias("fused"))
+
+
+_CE = (f"{_CAND}, {CH}, qq AS (SELECT qid, min(question) AS question FROM (SELECT qid, question FROM train UNION ALL SELECT qid, question FROM public_official) WHERE question IS NOT NULL GROUP BY qid), "
+       f"ce AS (SELECT cc.*, list_distinct({TOKENS('question')}) AS a, list_distinct({TOKENS('text')}) AS b FROM cc JOIN qq USING (qid) JOIN ch USING (chunk_idx)), "
+       "sv AS (SELECT qid, doc_id, chunk_idx, fused, CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(a) END AS ce, len(b) AS size FROM ce)")
+
+
+def scored(s, d) -> DataFrame:
+    """Candidates with the stand-in score; texts are joined to the candidates only."""
+    c = candidates(s, d).drop("rn", "bm25", "dense").join(questions(s, d), "qid")
+    return io.late_fetch(c, chunks(s, d), ["text"]).withColumn("ce", rerank.overlap_score())
+
+
+@query(f"WITH {_CE} SELECT qid, chunk_idx, round(ce, 6) AS ce FROM sv")
+def ce_scores(s, d):
+    return scored(s, d).select("qid", "chunk_idx", F.round("ce", 6).alias("ce"))
+
+
+@query(f"WITH {_CE} SELECT qid, chunk_idx, round((ce + 1.0 / (1 + size)) / 2, 6) AS ce FROM sv")
+def ce_ensemble(s, d):
+    x = scored(s, d)
+    a = x.select("qid", "chunk_idx", F.lit("overlap").alias("model"), F.col("ce").alias("score"))
+    b = x.select("qid", "chunk_idx", F.lit("brevity").alias("model"), (1.0 / (1 + F.size(F.array_distinct(T.tokens(F.col("text")))))).alias("score"))
+    return rerank.ensemble(a.unionByName(b)).select("qid", "chunk_idx", F.round("ce", 6).alias("ce"))
+
+
+_BLEND = f"{_CE}, bl AS (SELECT *, round({P.beta} * {MM('ce')} + {1 - P.beta} * {MM('fused')}, 9) AS score FROM sv)"
+
+
+@query(f"WITH {_BLEND}, {docs_sql('bl', P.agg, 'score', P.topk)} SELECT qid, rank, doc_id, score, best_chunk, n_chunks FROM rk")
+def ce_blend_docs(s, d):
+    return rerank.rerank_docs(scored(s, d), P.beta, P.agg, P.topk)
+
+
+@query(f"WITH {_CE}, {docs_sql('sv', 'top3', 'ce', P.topk)} SELECT qid, rank, doc_id, score, best_chunk, n_chunks FROM rk")
+def ce_only_docs(s, d):
+    return rerank.rerank_docs(scored(s, d), 1.0, "top3", P.topk)
+
+
+# ---- prior, padding, output ------------------------------------------------------------------------------------------
+
+_FREQ = "fr AS (SELECT doc_id, count(*) AS freq FROM (SELECT unnest(answer) AS doc_id FROM (SELECT DISTINCT qid, answer FROM train)) WHERE doc_id IS NOT NULL GROUP BY doc_id), pw AS (SELECT doc_id, freq, ln(1 + freq) / ln(1 + (SELECT max(freq) FROM fr)) AS w FROM fr)"
+
+
+@query(f"WITH {_FREQ} SELECT doc_id, freq, round(w, 6) AS w FROM pw")
+def prior_weights(s, d):
+    return prior.prior_weights(table(s, d, "train")).select("doc_id", "freq", F.round("w", 6).alias("w"))
+
+
+@query(_FREQ.join(["WITH ", " SELECT doc_id, freq, round(w, 6) AS w FROM pw"]).replace("FROM train)", "FROM train WHERE qid NOT IN (SELECT qid FROM train WHERE fold = 'val' AND qid IS NOT NULL))"))
+def prior_weights_held_out(s, d):
+    t = table(s, d, "train")
+    return prior.prior_weights(t, t.filter("fold = 'val'").select("qid").distinct()).select("doc_id", "freq", F.round("w", 6).alias("w"))
+
+
+_HY = f"{FUSED}, {docs_sql('fu', P.agg, 'fused', 20)}"
+_PR = f"{_HY}, {_FREQ}, ap AS (SELECT qid, doc_id, round({MM('score', '1e-12')} + {P.lam} * coalesce(w, 0), 6) AS score FROM rk LEFT JOIN pw USING (doc_id)), fin AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM ap QUALIFY rank <= 5)"
+
+
+def ranked20(s, d) -> DataFrame:
+    return aggregate.rank_docs(fusion.fuse(pool(s, d), "linear", P.alpha), P.agg, 20, "fused")
+
+
+def final(s, d) -> DataFrame:
+    return prior.apply_prior(ranked20(s, d), prior.prior_weights(table(s, d, "train")), P.lam, P.topk)
+
+
+@query(f"WITH {_PR} SELECT qid, rank, doc_id, score FROM fin")
+def prior_rerank(s, d):
+    return final(s, d)
+
+
+_PAD = (f"{_PR}, aq AS (SELECT DISTINCT qid FROM public_official), fb AS (SELECT doc_id, row_number() OVER (ORDER BY freq DESC, doc_id) AS pos FROM pw QUALIFY pos <= 20), "
+        "own AS (SELECT qid, doc_id, rank AS ord, false AS padded FROM fin WHERE qid IN (SELECT qid FROM aq)), "
+        "sh AS (SELECT qid FROM aq WHERE (SELECT count(*) FROM own WHERE own.qid = aq.qid) < 5), bo AS (SELECT qid, doc_id, min(ord) AS ord, bool_and(padded) AS padded FROM (SELECT * FROM own UNION ALL SELECT qid, doc_id, pos + 1000, true FROM sh, fb) GROUP BY qid, doc_id), "
+        "pd AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY ord) AS rank, doc_id, padded FROM bo QUALIFY rank <= 5)")
+
+
+def padded(s, d) -> DataFrame:
+    t, q = table(s, d, "train"), table(s, d, "public_official").select("qid").distinct()
+    return prior.pad(final(s, d).join(q, "qid", "left_semi"), q, prior.fallback(t), P.topk)
+
+
+@query(f"WITH {_PAD} SELECT qid, rank, doc_id, padded FROM pd")
+def padded_topk(s, d):
+    return padded(s, d)
+
+
+@query(f"WITH {_PAD} SELECT qid, array_to_string(list(doc_id ORDER BY rank), ',') AS answer FROM pd GROUP BY qid")
+def submission_rows(s, d):
+    return prior.answers(padded(s, d)).select("qid", F.array_join("answer", ",").alias("answer"))
+
+
+@query(f"WITH {_HY}, {_FREQ}, ap AS (SELECT qid, doc_id, round({MM('score', '1e-12')} + {P.lam} * coalesce(w, 0), 6) AS score FROM rk LEFT JOIN pw USING (doc_id)), a AS (SELECT qid, list_sort(list(doc_id)) AS x FROM rk WHERE rank <= 5 GROUP BY qid), "
+       "b AS (SELECT qid, list_sort(list(doc_id)) AS y FROM (SELECT qid, doc_id FROM ap QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) <= 5) GROUP BY qid) SELECT qid FROM a JOIN b USING (qid) WHERE x <> y")
+def changed_by_prior(s, d):
+    return prior.changed(ranked20(s, d).filter(F.col("rank") <= P.topk), final(s, d))
+
+
+@query("SELECT coalesce(len(answer), -1) AS n_ids, count(*) AS questions FROM (SELECT DISTINCT * FROM submission) GROUP BY 1")
+def submission_stats(s, d):
+    return prior.list_stats(table(s, d, "submission").distinct()).select(F.col("n_ids").cast("long").alias("n_ids"), "questions")
+
+
+# ---- evaluation ------------------------------------------------------------------------------------------------------
+
+_AHY = f"{AFUSED}, {docs_sql('fu', P.agg, 'fused', 20)}"
+_EV = (f"{_AHY}, {GOLD}, gl AS (SELECT * FROM g WHERE qid IN (SELECT qid FROM pl)), pq AS (SELECT gl.qid, count(*) AS n_gold, sum(CASE WHEN rank <= 5 THEN 1 ELSE 0 END) AS inter, min(CASE WHEN rank <= 20 THEN rank END) AS first FROM gl LEFT JOIN rk USING (qid, doc_id) GROUP BY gl.qid), "
+       "np AS (SELECT qid, count(*) AS n_pred FROM rk WHERE rank <= 5 GROUP BY qid), e AS (SELECT pq.*, coalesce(n_pred, 0) AS n_pred FROM pq LEFT JOIN np USING (qid))")
+
+
+def evaluated(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The labelled pool, the labels of its questions, and its 20 best documents per question. The pool is scored once."""
+    p = cut(asked_pool(s, d))
+    g = labels(s, d).join(p.select("qid").distinct(), "qid", "left_semi")
+    return p, g, aggregate.rank_docs(fusion.fuse(p, "linear", P.alpha), P.agg, 20, "fused")
+
+
+@query(f"WITH {_EV} SELECT qid, round(inter / n_gold, 6) AS recall, round(CASE WHEN n_pred > 0 THEN inter / n_pred ELSE 0 END, 6) AS precision, (inter > 0)::INT AS hit, round(coalesce(1 / first, 0), 6) AS rr FROM e")
+def question_metrics(s, d):
+    _, g, r = evaluated(s, d)
+    return evaluate.per_question(r, g).select("qid", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"), "hit", F.round("rr", 6).alias("rr"))
+
+
+@query(f"WITH {_EV} SELECT round(avg(inter / n_gold), 6) AS recall, round(avg(CASE WHEN n_pred > 0 THEN inter / n_pred ELSE 0 END), 6) AS precision, round(avg((inter > 0)::INT), 6) AS hit_rate, round(avg(coalesce(1 / first, 0)), 6) AS mrr, count(*) AS questions FROM e")
+def metrics(s, d):
+    _, g, r = evaluated(s, d)
+    return evaluate.metrics(r, g)
+
+
+@query(f"WITH {_EV} SELECT CASE WHEN first IS NULL THEN 'miss' WHEN first = 1 THEN '1' WHEN first <= 3 THEN '2-3' WHEN first <= 5 THEN '4-5' WHEN first <= 10 THEN '6-10' ELSE '11-20' END AS bucket, count(*) AS questions FROM e GROUP BY 1")
+def rank_histogram(s, d):
+    _, g, r = evaluated(s, d)
+    return evaluate.rank_histogram(r, g)
+
+
+@query(f"WITH {APOOL}, {GOLD} SELECT round(avg(r), 6) AS ceiling, count(*) AS questions FROM (SELECT g.qid, avg((p.doc_id IS NOT NULL)::INT) AS r FROM g LEFT JOIN (SELECT DISTINCT qid, doc_id FROM pl) p USING (qid, doc_id) WHERE g.qid IN (SELECT qid FROM pl) GROUP BY g.qid)")
+def candidate_ceiling(s, d):
+    p, g, _ = evaluated(s, d)
+    return evaluate.ceiling(p, g)
+
+
+@query(f"WITH {APOOL}, {GOLD}, l AS (SELECT bm25, (g.doc_id IS NOT NULL)::INT AS y FROM pl LEFT JOIN g USING (qid, doc_id) WHERE pl.qid IN (SELECT qid FROM g)), r AS (SELECT y, rank() OVER (ORDER BY bm25) + (count(*) OVER (PARTITION BY bm25) - 1) / 2.0 AS r FROM l) "
+       "SELECT round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 9) AS auc FROM r")
+def auc_exact(s, d):
+    p, g, _ = evaluated(s, d)
+    x = p.join(g.select("qid").distinct(), "qid", "left_semi").join(g.withColumn("label", F.lit(1)), ["qid", "doc_id"], "left")
+    return evaluate.auc(x.select(F.coalesce("label", F.lit(0)).alias("label"), F.col("bm25").alias("score")))
+
+
+@query()
+def bootstrap_ci(s, d):
+    p, g, r = evaluated(s, d)
+    a = evaluate.per_question(r, g).select("qid", F.col("recall").alias("a"))
+    b = evaluate.per_question(aggregate.rank_docs(p, "max", 20, "bm25"), g).select("qid", F.col("recall").alias("b"))
+    return evaluate.bootstrap(a.join(b, "qid").select("qid", (F.col("a") - F.col("b")).alias("delta")))
+
+
+ALPHAS, AGGS = [0.0, 0.25, 0.5, 0.75, 1.0], ["max", "top2", "top3", "max+0.4"]
+
+
+def _sweep_sql() -> str:
+    ctes, out = [], []
+    for i, a in enumerate(ALPHAS):
+        ctes.append(f"f{i} AS (SELECT *, {LINEAR(a)} AS fused FROM pl)")
+        for j, g in enumerate(AGGS):
+            n = f"r{i}{j}"
+            ctes.append(docs_sql(f"f{i}", g, "fused", 20, n))
+            ctes.append(f"{n}q AS (SELECT gl.qid, count(*) AS n_gold, sum(CASE WHEN rank <= 5 THEN 1 ELSE 0 END) AS inter, min(rank) AS first FROM gl LEFT JOIN {n} USING (qid, doc_id) GROUP BY gl.qid)")
+            out.append(f"SELECT {a}::DOUBLE AS alpha, '{g}' AS agg, round(avg(inter / n_gold), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM {n}q")
+    return f"WITH {APOOL}, {GOLD}, gl AS (SELECT * FROM g WHERE qid IN (SELECT qid FROM pl)), {', '.join(ctes)} " + " UNION ALL ".join(out)
+
+
+@query(_sweep_sql())
+def sweep_alpha_agg(s, d):
+    p, g, _ = evaluated(s, d)
+    return evaluate.sweep_fusion(p, g, ALPHAS, AGGS)
+
+
+@query(f"WITH {MATCH}, {GOLD}, gl AS (SELECT * FROM g WHERE qid IN (SELECT qid FROM q)), gr AS (SELECT k1, b FROM (SELECT unnest([1.5, 2.5]) AS k1), (SELECT unnest([0.5, 0.75, 0.9]) AS b)), "
+       f"s2 AS (SELECT qid, k1::DOUBLE AS k1, b::DOUBLE AS b, chunk_idx, doc_id, round(sum({WEIGHT('k1::DOUBLE', 'b::DOUBLE')}), 6) AS s FROM m, av, gr GROUP BY ALL), dd AS (SELECT qid, k1, b, doc_id, max(s) AS score, arg_min(chunk_idx, (-s, chunk_idx)) AS best FROM s2 GROUP BY ALL), "
+       "rr AS (SELECT *, row_number() OVER (PARTITION BY qid, k1, b ORDER BY score DESC, best, doc_id) AS rank FROM dd QUALIFY rank <= 20), pq AS (SELECT gl.qid, gr.k1::DOUBLE AS k1, gr.b::DOUBLE AS b, count(*) AS n_gold, sum(CASE WHEN rank <= 5 THEN 1 ELSE 0 END) AS inter, min(rank) AS first "
+       "FROM gl CROSS JOIN gr LEFT JOIN rr ON rr.qid = gl.qid AND rr.doc_id = gl.doc_id AND rr.k1 = gr.k1::DOUBLE AND rr.b = gr.b::DOUBLE GROUP BY ALL) SELECT k1, b, round(avg(inter / n_gold), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM pq GROUP BY k1, b")
+def sweep_k1_b(s, d):
+    q = asked(s, d)
+    g = labels(s, d).join(q.select("qid").distinct(), "qid", "left_semi")
+    return evaluate.sweep_bm25(chunks(s, d), q, g, [1.5, 2.5], [0.5, 0.75, 0.9])
+
+
+LAMS = [0.0, 0.1, 0.2, 0.4]
+
+
+@query(f"WITH {_AHY}, {GOLD}, gl AS (SELECT * FROM g WHERE qid IN (SELECT qid FROM pl)), {_FREQ.replace('FROM train)', 'FROM train WHERE qid NOT IN (SELECT qid FROM pl))')}, " + ", ".join(
+    f"a{i} AS (SELECT qid, doc_id, round({MM('score', '1e-12')} + {lam} * coalesce(w, 0), 6) AS score FROM rk LEFT JOIN pw USING (doc_id)), b{i} AS (SELECT qid, doc_id FROM a{i} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) <= 5), "
+    f"q{i} AS (SELECT gl.qid, {lam}::DOUBLE AS config, avg((b{i}.doc_id IS NOT NULL)::INT) AS value FROM gl LEFT JOIN b{i} USING (qid, doc_id) GROUP BY gl.qid)" for i, lam in enumerate(LAMS)) +
+    ", al AS (" + " UNION ALL ".join(f"SELECT * FROM q{i}" for i in range(len(LAMS))) + "), h AS (SELECT qid, 1 + (ascii(substr(md5(qid), 1, 1)) % 2) AS half FROM (SELECT DISTINCT qid FROM gl)), "
+    "z AS (SELECT config, round(avg(value) FILTER (half = 1), 6) AS first, round(avg(value) FILTER (half = 2), 6) AS second FROM al JOIN h USING (qid) GROUP BY config) SELECT config, first, second, config = (SELECT min(config) FROM z WHERE first = (SELECT max(first) FROM z)) AS chosen FROM z")
+def half_split_lambda(s, d):
+    p, g, r = evaluated(s, d)
+    w, r = cut(prior.prior_weights(table(s, d, "train"), p.select("qid").distinct())), cut(r)
+    parts = [evaluate.per_question(prior.apply_prior(r, w, lam, 5), g).select("qid", F.lit(lam).alias("config"), F.col("recall").alias("value")) for lam in LAMS]
+    res = parts[0]
+    for x in parts[1:]:
+        res = res.unionByName(x)
+    halves = g.select("qid").distinct().withColumn("half", 1 + F.ascii(F.substring(F.md5("qid"), 1, 1)) % 2)
+    return evaluate.half_split(res, halves)
+
+
+@query("SELECT qid FROM (SELECT DISTINCT qid FROM train) ORDER BY md5(qid || ':0'), qid LIMIT 100")
+def query_sample(s, d):
+    return evaluate.sample(table(s, d, "train").select("qid").distinct(), 100)
+
+
+# ---- mining ----------------------------------------------------------------------------------------------------------
+
+@query("SELECT qid, CASE WHEN row_number() OVER (ORDER BY md5(qid || ':42')) <= 100 THEN 'val' ELSE 'train' END AS fold FROM (SELECT DISTINCT qid FROM train)")
+def mined_split(s, d):
+    return mining.split(table(s, d, "train"), 100)
+
+
+_POS = (f"{AFUSED}, {GOLD}, gp AS (SELECT * FROM g WHERE qid IN (SELECT qid FROM pl)), b AS (SELECT qid, chunk_idx AS best FROM fu SEMI JOIN g USING (qid, doc_id) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY fused DESC, chunk_idx) = 1), "
+        "fi AS (SELECT gp.qid, min(chunk_idx) AS first FROM gp JOIN ch USING (doc_id) GROUP BY gp.qid), ps AS (SELECT qid, coalesce(best, first) AS chunk_idx FROM fi FULL JOIN b USING (qid))")
+
+
+@query(f"WITH {_POS} SELECT qid, chunk_idx FROM ps")
+def mined_positives(s, d):
+    p, g, _ = evaluated(s, d)
+    return mining.positives(fusion.fuse(p, "linear", P.alpha), g, chunks(s, d))
+
+
+_NEG = (f"{_POS}, n1 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, chunk_idx) - 1 AS rn FROM fu), n2 AS (SELECT qid, doc_id, chunk_idx, rn FROM n1 ANTI JOIN g USING (qid, doc_id) WHERE rn BETWEEN 2 AND 79 QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY rn) = 1), "
+        "ng AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rn) AS neg_no, chunk_idx FROM n2 QUALIFY neg_no <= 6)")
+
+
+@query(f"WITH {_NEG} SELECT qid, neg_no, chunk_idx FROM ng")
+def mined_negatives(s, d):
+    p, g, _ = evaluated(s, d)
+    return mining.negatives(fusion.fuse(p, "linear", P.alpha), g, 2, 80, 6)
+
+
+def _pairs(s, d) -> DataFrame:
+    c = chunks(s, d).filter("text is not null")
+    p, g, _ = evaluated(s, d)
+    f = fusion.fuse(p, "linear", P.alpha)
+    return mining.pairs(questions(s, d), mining.positives(f, g, chunks(s, d)), mining.negatives(f, g, 2, 80, 6), c)
+
+
+_PAIRS = (f"{_NEG}, qq AS (SELECT qid, min(question) AS query FROM (SELECT qid, question FROM train UNION ALL SELECT qid, question FROM public_official) WHERE question IS NOT NULL GROUP BY qid), tx AS (SELECT chunk_idx, text FROM ch WHERE text IS NOT NULL), "
+          "nl AS (SELECT qid, list(text ORDER BY neg_no) AS negatives FROM ng JOIN tx USING (chunk_idx) GROUP BY qid), pa AS (SELECT qid, query, tx.text AS positive, negatives FROM ps JOIN tx USING (chunk_idx) JOIN qq USING (qid) JOIN nl USING (qid) WHERE len(negatives) >= 2)")
+
+
+@query(f"WITH {_PAIRS} SELECT qid, query, positive, negatives[1] AS negative_1, negatives[2] AS negative_2 FROM pa")
+def biencoder_rows(s, d):
+    return mining.biencoder_rows(_pairs(s, d), 2)
+
+
+@query(f"WITH {_PAIRS} SELECT qid, query, positive AS text, 1 AS label FROM pa UNION ALL SELECT qid, query, unnest(negatives[1:2]), 0 FROM pa")
+def crossencoder_rows(s, d):
+    return mining.crossencoder_rows(_pairs(s, d), 2)
+
+
+# ---- validation ------------------------------------------------------------------------------------------------------
+
+_VAL = (f"l AS (SELECT DISTINCT qid, answer FROM submission), i AS (SELECT qid, id, p FROM (SELECT qid, unnest(answer) AS id, generate_subscripts(answer, 1) - 1 AS p FROM l)), "
+        f"bl AS (SELECT *, id IS NULL OR regexp_matches(id, '^{WS}*$') AS blank FROM i), "
+        "fd AS (SELECT 'error' AS severity, 'E009' AS code, qid, '' AS detail FROM l WHERE answer IS NULL UNION ALL SELECT 'warning', 'W001', qid, '' FROM l WHERE len(answer) = 0 UNION ALL SELECT 'warning', 'W002', qid, len(answer)::VARCHAR FROM l WHERE len(answer) > 5 "
+        "UNION ALL SELECT 'error', 'E011', qid, p::VARCHAR FROM bl WHERE blank UNION ALL SELECT 'error', 'E012', qid, id FROM i WHERE id IS NOT NULL GROUP BY qid, id HAVING count(*) > 1 "
+        "UNION ALL SELECT DISTINCT 'error', 'E014', qid, id FROM bl WHERE NOT blank AND id NOT IN (SELECT doc_id FROM context WHERE doc_id IS NOT NULL) "
+        "UNION ALL SELECT 'error', 'E005', qid, '' FROM (SELECT DISTINCT qid FROM public_official WHERE qid NOT IN (SELECT qid FROM l)) UNION ALL SELECT 'error', 'E006', qid, '' FROM (SELECT DISTINCT qid FROM l WHERE qid NOT IN (SELECT qid FROM public_official)))")
+
+
+def _findings(s, d) -> DataFrame:
+    return validate.set_rules(table(s, d, "submission").select("qid", "answer").distinct(), table(s, d, "public_official"), table(s, d, "context").filter("doc_id is not null"))
+
+
+@query(f"WITH {_VAL} SELECT severity, code, qid, detail FROM fd")
+def validator_findings(s, d):
+    return _findings(s, d)
+
+
+@query(f"WITH {_VAL} SELECT severity, code, count(*) AS findings, count(DISTINCT qid) AS questions FROM fd GROUP BY ALL")
+def validator_summary(s, d):
+    return validate.summary(_findings(s, d))
+
+
+for _name, _cols in {**{k: ("rank",) for k in ("bm25_chunks_topk", *(f"bm25_docs_{x}" for x in ("max", "top3", "top3_log", "max_w", "avg")), "search_chunks", "hybrid_docs", "ce_blend_docs", "ce_only_docs", "prior_rerank", "padded_topk")},
+                     "candidate_cut": ("rn",), "mined_negatives": ("neg_no",)}.items():
+    ORACLE[_name] = f"SELECT * REPLACE ({', '.join(f'{c}::INT AS {c}' for c in _cols)}) FROM ({ORACLE[_name]})"
