@@ -74,6 +74,6 @@ def fuse(df: DataFrame, group: str, item: str, scores: dict[str, int]) -> DataFr
     for i in range(k):
         if mom[f"d{i}"]:
             proj = proj + F.lit(float(load[i])) * (F.col(f"__r{i}") - F.lit(mom[f"m{i}"])) / F.lit(mom[f"d{i}"])
-    d = d.select("__grp", "__item", F.round(proj, 9).alias("projection"), F.lit(1).alias("__one"))
+    d = d.select("__grp", "__item", (F.round(proj, 9) + 0.0).alias("projection"), F.lit(1).alias("__one"))
     d = with_group_offsets(d, ["__grp"], [F.col("projection").desc(), F.col("__item").asc()], "__one", "__before")
     return d.select(F.col("__grp").alias(group), F.col("__item").alias(item), "projection", (F.col("__before") + 1).cast("long").alias("position"))

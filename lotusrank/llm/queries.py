@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lotusrank.llm import fuse, mixing, neighbours, overlap, pii, scripts, splitting, termfreq, tokens, topn
 
@@ -33,7 +34,8 @@ def p3_counts(s, d):
 
 
 def p4_ranked(s, d):
-    return fuse.fuse(_t(s, d, "chunks"), "qid", "chunk_idx", {"bm25": 1, "dense": 1})
+    d = fuse.fuse(_t(s, d, "chunks"), "qid", "chunk_idx", {"bm25": 1, "dense": 1})
+    return d.withColumn("projection", F.round("projection", 6) + 0.0)
 
 
 def p5_found(s, d):
