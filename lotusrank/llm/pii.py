@@ -23,7 +23,7 @@ STREET_VI = "đường|phố|ấp|thôn|xóm|đại lộ|khu phố|khóm|buôn|b
 BRANCH_VI = "tổ|ngõ|ngách|hẻm|kiệt|khu|cụm"
 AREA_VI = "quận|phường|thị trấn|xã|huyện|thị xã|thành phố|tỉnh|tp"
 
-_U = "".join(sorted({c for c in VIET if c.isupper()} | {chr(c) for c in range(0xC0, 0xDF) if c != 0xD7}))
+_U = "A-Z" + "".join(sorted({c for c in VIET if c.isupper() and not c.isascii()} | {chr(c) for c in range(0xC0, 0xDF) if c != 0xD7}))
 _CAP = rf"[{_U}](?:[^\W\d_]|['’-](?=[^\W\d_]))*"
 _AT = r"(?:@|\((?:at|AT|a còng)\)|\[(?:at|AT|a còng)\])"
 _PERIOD = r"(?:\.|\[dot\]|\(dot\)|\[chấm\]|\(chấm\))"
@@ -32,9 +32,9 @@ _DOT = re.compile(r"\[dot\]|\(dot\)|\[chấm\]|\(chấm\)")
 _NUM = re.compile("(?<![\\w.,+-])(?:\\(\\+?\\d{1,4}\\)|\\+?\\d+)(?:(?: - |[  .\\-])?\\(?\\d+\\)?)*(?!\\w)")
 _PASS = re.compile(r"(?<![\w-])[A-Za-z][- ]?\d{7,8}(?![\w-])")
 _HOUSE = re.compile(r"(?<![\w/.,+-])\d{1,4}[A-Za-z]?(?:/\d{1,4}[A-Za-z]?)*(?![\w/]|[.,]\d|[ .-]\d{2})")
-_NAME = re.compile(rf"(?<![\w'’-]){_CAP}(?:[  ]+{_CAP})+")
+_NAME = re.compile(rf"(?<![\w'’-]){_CAP}(?:[ \u00a0]+{_CAP})+")
 _TITLED = re.compile(rf"(?i)(?<!\w){TITLES}\.?\s+$")
-_TITLE_HEAD = re.compile(rf"(?i){TITLES}\.?[  ]+")
+_TITLE_HEAD = re.compile(rf"(?i:{TITLES})\.?[ \u00a0]+|{_CAP}[ \u00a0]+(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir)[ \u00a0]+")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _CUED = re.compile(rf"(?:^|\s){ID_CUES}(?:\s(?:số|no|number|công dân|nhân dân|cá nhân)){{0,3}}$")
 _VI_STREET = re.compile(rf"\s*,?\s*(?:(?i:{BRANCH_VI})\s+\d[\w/]*\s*,?\s*)*(?i:{STREET_VI})\s+[{_U}]")
@@ -49,10 +49,10 @@ def mask(token: str) -> str:
     return "<0>" if token[0].isdigit() else "<A>" if token[0].isupper() else token
 
 
-def contexts(text: str, left_end: int, right: int) -> tuple[str, str]:
-    """(left, cross): the two tokens before left_end; the last of them together with the first from `right` on. The
+def contexts(text: str, left_end: int, right: int, depth: int = 2) -> tuple[str, str]:
+    """(left, cross): the `depth` tokens before left_end; the last of them together with the first from `right` on. The
     nearest token on the left keeps its word, the others are masked."""
-    before = [t.group() for t in _TOKEN.finditer(text, max(0, left_end - 40), left_end)][-2:]
+    before = [t.group() for t in _TOKEN.finditer(text, max(0, left_end - 40), left_end)][-depth:]
     after = next((mask(t.group()) for t in _TOKEN.finditer(text, right, right + 30)), "$")
     last = (before[-1].lower() if not before[-1][0].isdigit() else "<0>") if before else "^"
     return " ".join([mask(t) for t in before[:-1]] + [last]), f"{last} _ {after}"
@@ -104,14 +104,14 @@ def mentions(text: str) -> list[tuple]:
             continue
         kinds, sure, norm = number_shape(raw)
         cued = _cued(text, lo)
-        ctx = contexts(text, lo, hi)
+        ctx = contexts(text, lo, hi, 3)
         for kind in ("phone", "id"):
             seed = sure == kind or kind == "id" and cued and kind in kinds
             foe = kind not in kinds or kind == "phone" and cued and not sure
             out.append((kind, lo, hi, norm, int(seed), int(foe), *ctx))
     for m in _PASS.finditer(text):
         if free(*m.span()):
-            out.append(("id", m.start(), m.end(), re.sub(r"[^A-Za-z0-9]", "", m.group()).upper(), int(_cued(text, m.start())), 0, *contexts(text, m.start(), m.end())))
+            out.append(("id", m.start(), m.end(), re.sub(r"[^A-Za-z0-9]", "", m.group()).upper(), int(_cued(text, m.start())), 0, *contexts(text, m.start(), m.end(), 3)))
     for m in _HOUSE.finditer(text):
         seed = _house(text, *m.span()) if free(*m.span()) else None
         if seed is not None:
@@ -137,7 +137,7 @@ def _house(text: str, lo: int, hi: int) -> int | None:
 def _names(text: str, m: re.Match) -> list[tuple]:
     """The capitalised words as one candidate and, where the first may only open its sentence, also those after it."""
     words = [m.start() + w.start() for w in re.finditer(r"\S+", m.group())]
-    head = _TITLE_HEAD.match(m.group())  # a title written large is no part of the name
+    head = _TITLE_HEAD.match(m.group())  # a title written large is no part of the name, nor is what stands before it
     cuts = [sum(w < m.start() + head.end() for w in words)] if head else [0, 1] if len(words) > 2 else [0]
     out = []
     for k in cuts:
@@ -182,18 +182,20 @@ def score_patterns(types: DataFrame, rounds: int = 3, sure: float = 0.6, support
         else:
             weighed = verdicts(types, conf).withColumn("w", F.when(F.col("seed") == 1, 1.0).when((F.col("foe") == 0) & (F.col("score") >= sure), F.col("score")).otherwise(0.0))
         decided = (F.col("w") > 0) | (F.col("foe") == 1) | F.col("kind").isin("name", "address")
-        conf = cut(weighed.select("kind", (F.col("w") * F.col("n")).alias("pos"), F.when(decided, F.col("n")).otherwise(0).alias("all"), forms.alias("e"))
-                   .groupBy("kind", "e.form", "e.pattern").agg(F.sum("pos").alias("pos"), F.sum("all").alias("all"))
-                   .filter(F.col("pos") >= support).select("kind", "form", "pattern", (F.col("pos") / F.col("all")).alias("conf")))
+        got = (weighed.select("kind", "n", (F.col("w") * F.col("n")).alias("pos"), F.when(decided, F.col("n")).otherwise(0).alias("all"), forms.alias("e"))
+               .groupBy("kind", "e.form", "e.pattern").agg(F.sum("n").alias("seen"), F.sum("pos").alias("pos"), F.sum("all").alias("all")))
+        conf = cut(got.select("kind", "form", "pattern", "seen", F.when(F.col("pos") >= support, F.col("pos") / F.col("all")).otherwise(0.0).alias("conf")))
     return conf
 
 
-def verdicts(types: DataFrame, conf: DataFrame) -> DataFrame:
-    """`types` with score, the confidence of the better of their two patterns."""
+def verdicts(types: DataFrame, conf: DataFrame, known: int = 5) -> DataFrame:
+    """`types` with score: the confidence of the pattern on the left if that has been seen `known` times, else the better
+    of both patterns."""
     for form in ("left", "cross"):
-        c = conf.filter(F.col("form") == form).select("kind", F.col("pattern").alias(form), F.col("conf").alias(f"__{form}"))
+        c = conf.filter(F.col("form") == form).select("kind", F.col("pattern").alias(form), F.struct("conf", "seen").alias(f"__{form}"))
         types = types.join(c, ["kind", form], "left")
-    return types.withColumn("score", F.coalesce(F.greatest("__left", "__cross"), F.lit(0.0))).drop("__left", "__cross")
+    left, cross = F.coalesce("__left.conf", F.lit(0.0)), F.coalesce("__cross.conf", F.lit(0.0))
+    return types.withColumn("score", F.when(F.col("__left.seen") >= known, left).otherwise(F.greatest(left, cross))).drop("__left", "__cross")
 
 
 #: Confidence from which a pattern makes its instances personal information; names often stand without their title.
