@@ -90,8 +90,8 @@ def sample(questions: DataFrame, n: int, seed: int = 0) -> DataFrame:
 def sweep_bm25(chunks: DataFrame, questions: DataFrame, gold: DataFrame, k1s: list[float], bs: list[float], p: Params = Params(), agg: str = "max") -> DataFrame:
     """(k1, b, recall, mrr) of every pair: postings are matched once, and all pairs weighed in one pass over them."""
     grid = [(float(k), float(b)) for k in k1s for b in bs]
-    avgdl = F.lit(chunk_lengths(chunks).agg(F.avg("doclen")).first()[0])
-    sums = [F.round(F.sum(F.col("qtf") * weight(F.col("idf"), F.col("tf"), F.col("doclen"), avgdl, k, b)), 6).alias(f"s{i}") for i, (k, b) in enumerate(grid)]
+    avgdl = chunk_lengths(chunks).agg(F.avg("doclen")).first()[0]
+    sums = [F.round(F.sum(F.col("qtf") * weight(F.col("idf"), F.col("tf"), F.col("doclen"), F.lit(avgdl), k, b)), 6).alias(f"s{i}") for i, (k, b) in enumerate(grid)]
     wide = matched(chunks, questions, p).groupBy("qid", "chunk_idx", "doc_id").agg(*sums)
     long = F.explode(F.array(*[F.struct(F.lit(f"{k}|{b}").alias("cfg"), F.col(f"s{i}").alias("score")) for i, (k, b) in enumerate(grid)]))
     s = wide.select("qid", "chunk_idx", "doc_id", long.alias("c")).select("qid", "chunk_idx", "doc_id", "c.cfg", "c.score")
