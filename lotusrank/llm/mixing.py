@@ -34,7 +34,14 @@ def allocate(available: dict[str, int], weights: dict[str, float], repeats: dict
     return out
 
 
-def plan(counts: DataFrame, targets: DataFrame, total: int | None = None) -> list[dict]:
+def exact_total(available: dict[str, int], weights: dict[str, float], repeats: dict[str, int]) -> float:
+    """The largest total at which every source that has tokens reaches its share of the mixture."""
+    live = [s for s, w in weights.items() if w > 0 and available.get(s, 0) > 0 and (repeats.get(s) or 0) > 0]
+    unit = min((available[s] * repeats[s] / weights[s] for s in live), default=0.0)
+    return unit * sum(weights[s] for s in live)
+
+
+def plan(counts: DataFrame, targets: DataFrame, total: int | str | None = None) -> list[dict]:
     """One dict per listed source; the rows of `targets` (few by nature: the sources a user lists) come to the driver."""
     t = (targets.filter(F.col("source").isNotNull() & (F.trim("source") != "") & F.col("weight").isNotNull() & ~F.isnan("weight"))
          .groupBy("source").agg(F.max("weight").alias("weight"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats")))
@@ -43,7 +50,7 @@ def plan(counts: DataFrame, targets: DataFrame, total: int | None = None) -> lis
     w = {r["source"]: float(r["weight"]) for r in rows}
     a = {r["source"]: int(r["have"] or 0) for r in rows}
     m = {r["source"]: int(r["max_repeats"]) for r in rows}
-    total = sum(a.values()) if total is None else total
+    total = sum(a.values()) if total is None else exact_total(a, w, m) if total == "exact" else total
     got = allocate(a, w, m, total)
     all_w = sum(x for x in w.values() if x > 0) or 1.0
     return [{"source": s, "target_share": max(w[s], 0.0) / all_w, "available": a[s], "max_repeats": m[s], "amount": got[s]} for s in sorted(w)]
@@ -90,12 +97,13 @@ def schedule(spark, blocks: list[tuple[str, int]]) -> DataFrame:
     return with_group_offsets(slots, ["source"], [F.col("slot")], "__one", "block").select("source", "block", "slot")
 
 
-def mixture(docs: DataFrame, targets: DataFrame, *, total: int | None = None, block: int = 8192, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, targets: DataFrame, *, total: int | str | None = None, block: int = 8192, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(mixture, shares) of documents with columns doc_id, source, n_tokens.
 
     mixture: slot, source, block, doc_id, epoch, n_tokens; order by (slot, epoch, doc_id) to read it. shares: source,
-    target_share, actual_share, n_tokens, n_documents, max_repeats for every listed source. `total` is the size wanted,
-    by default that of all documents of the listed sources.
+    target_share, actual_share, n_tokens, n_documents, max_repeats for every listed source. `total` is the size wanted:
+    by default that of all documents of the listed sources, at which scarce sources fall short of their shares as far as
+    max_repeats makes them; "exact" takes the largest size at which every source with documents reaches its share.
 
     Shares: see allocate. A document is used at most max_repeats times (null: once), and again only when all others of
     its source have been used as often. Documents without tokens, without or of an unlisted source are not used;

@@ -155,10 +155,12 @@ def _cosine(a, b):
 
 def usable(df: DataFrame, item: str, vec: str) -> DataFrame:
     """(id, unit): one unit vector per item. Null, empty and zero vectors and such with null, NaN or infinite parts are
-    not usable; of different rows of one item any one counts. All usable vectors must have one length."""
+    not usable, nor are vectors of another length than most have; of different rows of one item any one counts."""
     v = F.col(vec)
     ok = F.col(item).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e30)) & F.exists(v, lambda x: x != 0)
-    d = df.filter(v.isNotNull()).filter(ok).select(F.col(item).cast("long").alias("id"), v.alias("v")).dropDuplicates(["id"])
+    d = df.filter(v.isNotNull()).filter(ok).select(F.col(item).cast("long").alias("id"), v.alias("v"))
+    usual = d.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    d = d.filter(F.size("v") == (usual["n"] if usual else 0)).dropDuplicates(["id"])
     return d.select("id", _unit_vector(F.col("v")).alias("unit"))
 
 

@@ -41,19 +41,19 @@ def plain_words(text: str) -> list[str]:
     """Words in one spelling: no disguise, no accents, no capitals, abbreviations written out, no polite words around."""
     s = unicodedata.normalize("NFKD", normalize_text(text).lower()).replace("đ", "d")
     words = _WORD.findall("".join(c for c in s if not unicodedata.combining(c)))
-    again = True
+    lo, hi, again = 0, len(words), True
     while again:
         again = False
         for x in _OPEN:
-            if len(words) > len(x) and tuple(words[:len(x)]) == x:
-                words, again = words[len(x):], True
+            if hi - lo > len(x) and tuple(words[lo:lo + len(x)]) == x:
+                lo, again = lo + len(x), True
                 break
         for x in _CLOSE:
-            if len(words) > len(x) and tuple(words[-len(x):]) == x:
-                words, again = words[:-len(x)], True
+            if hi - lo > len(x) and tuple(words[hi - len(x):hi]) == x:
+                hi, again = hi - len(x), True
                 break
     out: list[str] = []
-    for w in words:
+    for w in words[lo:hi]:
         if w == "qd" and out and out[-1] == "ai":
             out += ["quyet", "dinh"]
         else:
@@ -245,18 +245,18 @@ def members(df: DataFrame, key: str, text: str, split: Column, source: Column) -
     return d.filter("canon != ''").distinct()
 
 
-def class_links(recs: DataFrame, train: str = "train", *, least: int = 5, cover: float = 0.4, shard: int = 8192, block: int = 65_536) -> DataFrame:
+def class_links(recs: DataFrame, train: str = "train", *, least: int = 5, cover: float = 0.4, shard: int = 300_000, block: int = 2_000_000) -> DataFrame:
     """(train, eval, covered): pairs of canonical texts of the training split and of another that say the same.
 
     Texts are compared as classes of equal canonical text, so copies cost nothing. Texts that may say the same have the
-    same numbers; where more than `shard` evaluation texts or `block` training texts share their numbers, they are cut
-    into shards by hash, and every training block meets every shard. Nothing is dropped: two texts of w words with d
-    misspelt words share a run of (w - d) / (d + 1) words in alphabetical order, so runs of five words lose no pair of
-    up to two slips in each text from 29 words on (and none with one from 14 on); shorter texts also meet as wholes.
+    same numbers; where the evaluation texts of some numbers have more than `shard` words or the training texts more than
+    `block`, they are cut by hash, and every training block meets every shard. Nothing is dropped: two texts of w words
+    with d words misspelt share a run of (w - d) / (d + 1) words in alphabetical order, so runs of five words lose no
+    pair with one slip in each from 17 words on; shorter texts also meet as wholes.
     """
     side = F.when(F.col("split") == train, "t").otherwise("e")
-    cls = cut(recs.select(side.alias("side"), "sig", "canon").distinct())
-    size = cls.groupBy("sig").agg(F.sum(F.when(F.col("side") == "t", 1).otherwise(0)).alias("nt"), F.sum(F.when(F.col("side") == "e", 1).otherwise(0)).alias("ne")).filter("nt > 0 and ne > 0")
+    cls = cut(recs.select(side.alias("side"), "sig", "canon").distinct().withColumn("w", F.size(F.split("canon", " "))))
+    size = cls.groupBy("sig").agg(F.sum(F.when(F.col("side") == "t", F.col("w")).otherwise(0)).alias("nt"), F.sum(F.when(F.col("side") == "e", F.col("w")).otherwise(0)).alias("ne")).filter("nt > 0 and ne > 0")
     h = F.xxhash64("canon")
     d = cls.join(size, "sig").withColumn("pt", F.ceil(F.col("nt") / block).cast("int")).withColumn("pe", F.ceil(F.col("ne") / shard).cast("int"))
     every = lambda n: F.sequence(F.lit(0), n - 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -29,7 +30,7 @@ _AT = r"(?:@|\((?:at|AT|a còng)\)|\[(?:at|AT|a còng)\])"
 _PERIOD = r"(?:\.|\[dot\]|\(dot\)|\[chấm\]|\(chấm\))"
 _EMAIL = re.compile(rf"(?<![A-Za-z0-9._+-])([A-Za-z0-9](?:[A-Za-z0-9._+-]*[A-Za-z0-9])?)[ \t]*{_AT}[ \t]*([A-Za-z0-9][A-Za-z0-9-]*(?:{_PERIOD}[A-Za-z0-9-]+)+)(?![A-Za-z0-9_])")
 _DOT = re.compile(r"\[dot\]|\(dot\)|\[chấm\]|\(chấm\)")
-_NUM = re.compile("(?<![\\w.,+-])(?:\\(\\+?\\d{1,4}\\)|\\+?\\d+)(?:(?: - |[  .\\-])?\\(?\\d+\\)?)*(?!\\w)")
+_NUM = re.compile("(?<![\\w.,+-])(?:\\(\\+?\\d{1,4}\\)|\\+?\\d++)(?:(?: - |[ \u00a0.\\-])?\\(\\d++\\)|(?: - |[ \u00a0.\\-])\\d++|(?<=\\))\\d++)*(?!\\w)")
 _PASS = re.compile(r"(?<![\w-])[A-Za-z][- ]?\d{7,8}(?![\w-])")
 _HOUSE = re.compile(r"(?<![\w/.,+-])\d{1,4}[A-Za-z]?(?:/\d{1,4}[A-Za-z]?)*(?![\w/]|[.,]\d|[ .-]\d{2})")
 _NAME = re.compile(rf"(?<![\w'’-]){_CAP}(?:[ \u00a0]+{_CAP})+")
@@ -92,7 +93,8 @@ def mentions(text: str) -> list[tuple]:
     taken: list[tuple[int, int]] = []
 
     def free(lo: int, hi: int) -> bool:
-        return all(hi <= a or lo >= b for a, b in taken)
+        k = bisect_right(taken, (hi - 1, hi)) - 1  # the last address that starts before hi
+        return k < 0 or taken[k][1] <= lo
 
     for m in _EMAIL.finditer(text):
         out.append(("email", m.start(), m.end(), f"{m.group(1)}@{_DOT.sub('.', m.group(2))}".lower(), 1, 0, *contexts(text, m.start(), m.end())))

@@ -21,8 +21,9 @@ def p2_found(s, d):
 
 
 def p2_normalized(s, d):
-    t = _t(s, d, "train").select("qid", "question").distinct()
-    return scripts.normalize(t, "question").select("qid", "normalized")
+    a = _t(s, d, "context").select(F.lit("context.passage").alias("fld"), F.col("doc_id").alias("rec_id"), F.col("passage").alias("text"))
+    b = _t(s, d, "train").select(F.lit("train.question").alias("fld"), F.col("qid").alias("rec_id"), F.col("question").alias("text"))
+    return scripts.normalize(a.unionByName(b).dropDuplicates(["fld", "rec_id"]), "text").select("fld", "rec_id", "normalized")
 
 
 def p3_found(s, d):

@@ -173,10 +173,11 @@ def normalize(df: DataFrame, text: str, out: str = "normalized") -> DataFrame:
 
 def _changed(batches):
     for batch in batches:
-        keys, texts = batch.column(0), batch.column(1).to_pylist()
-        odd = [i for i, t in enumerate(texts) if SUSPECT.search(t) and normalize_text(t) != t]
-        if odd:
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(odd))], names=["rec_id"])
+        for lo in range(0, batch.num_rows, 256):  # few texts at a time as Python objects
+            keys, texts = batch.column(0).slice(lo, 256), batch.column(1).slice(lo, 256).to_pylist()
+            odd = [i for i, t in enumerate(texts) if SUSPECT.search(t) and normalize_text(t) != t]
+            if odd:
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(odd))], names=["rec_id"])
 
 
 def disguised(df: DataFrame, key: str, text: str, fld: str) -> DataFrame:

@@ -139,25 +139,16 @@ def _ranges(naturals: list[np.ndarray], limit: int, overlap: int) -> list[list[t
 def _pieces(limit: int, overlap: int):
     def run(batches):
         for batch in batches:
-            pdf = batch.to_pydict()
-            hold: list[int] = []
-            size = 0
-            for i, t in enumerate(pdf["text"]):
-                hold.append(i)
-                size += len(t)
-                if size > 2_000_000:
-                    yield _emit(pdf, hold, limit, overlap)
-                    hold, size = [], 0
-            if hold:
-                yield _emit(pdf, hold, limit, overlap)
+            for lo in range(0, batch.num_rows, 64):  # few texts at a time as Python objects
+                yield _emit(batch.slice(lo, 64).to_pydict(), limit, overlap)
     return run
 
 
-def _emit(pdf: dict, rows: list[int], limit: int, overlap: int) -> pa.RecordBatch:
-    texts = [pdf["text"][i] for i in rows]
+def _emit(pdf: dict, limit: int, overlap: int) -> pa.RecordBatch:
+    texts = pdf["text"]
     scans = [scan(t) for t in texts]
     out: dict[str, list] = {c.split()[0]: [] for c in OUT.split(", ")}
-    for i, text, (starts, ends, _), ranges in zip(rows, texts, scans, _ranges([s[2] for s in scans], limit, overlap)):
+    for i, (text, (starts, ends, _), ranges) in enumerate(zip(texts, scans, _ranges([s[2] for s in scans], limit, overlap))):
         heads = [(m.start(1), " ".join(m.group(1).split())) for m in _ARTICLE.finditer(text)]
         at = np.array([h[0] for h in heads])
         base = pdf["path"][i]

@@ -194,9 +194,8 @@ def _encode(path: str, key_type: pa.DataType, counts: bool):
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 2000):
-                parts = [b"".join(enc.packed(t)) if t else b"" for t in texts[lo:lo + 2000]]
+            for lo in range(0, batch.num_rows, 1000):
+                parts = [b"".join(enc.packed(t)) if t else b"" for t in batch.column(1).slice(lo, 1000).to_pylist()]
                 sizes = np.fromiter((len(p) // 4 for p in parts), dtype=np.int64, count=len(parts))
                 keys = batch.column(0).slice(lo, len(parts))
                 if counts:
