@@ -92,22 +92,34 @@ def edits(a: str, b: str, most: int) -> int:
     return min(one[-1], most + 1)
 
 
-def same(a: list[str], b: list[str], slips: int = 4) -> bool:
+def _small_slip(w: str) -> bool:
+    return 4 <= len(w) <= 7 and any(len(s) >= 3 and edits(w, s, 1) == 1 for s in SMALL)
+
+
+def same(a: list[str], b: list[str], known: frozenset[str] = frozenset(), slips: int = 4) -> bool:
     """Whether two word lists differ by slips of the pen only: every word on either side without its equal must be a
-    misspelling (one edit, or two in words of four letters and more) of one on the other; at most `slips` in all."""
+    misspelling (one edit, or two in words of four letters and more) of one on the other, or of a small word; at most
+    `slips` in all, and none in numbers. Two `known` words are no misspelling of each other."""
     x, y = Counter(a), Counter(b)
     left, right = sorted((x - y).elements(), key=len, reverse=True), list((y - x).elements())
-    if len(left) != len(right) or len(left) > slips:
+    if max(len(left), len(right)) > slips or any(c.isdigit() for w in left + right for c in w):
         return False
     for w in left:
-        if any(c.isdigit() for c in w):
-            return False
-        near = [(edits(w, v, 2), v) for v in right if not any(c.isdigit() for c in v)]
+        near = [(edits(w, v, 2), v) for v in right if w not in known or v not in known]
         near = [(d, v) for d, v in near if d <= (2 if min(len(w), len(v)) >= 4 else 1) and min(len(w), len(v)) >= 3]
-        if not near:
+        if near:
+            right.remove(min(near)[1])
+        elif w in known or not _small_slip(w):
             return False
-        right.remove(min(near)[1])
-    return True
+    return all(v not in known and _small_slip(v) for v in right)
+
+
+def established(cls: DataFrame, share: float = 0.001, least: int = 3) -> frozenset[str]:
+    """The words of at least `share` of all texts (and `least` texts): what so many write is no slip. There are at most
+    1 / share times as many as the average text has words, so the set is small however large the corpus."""
+    n = cls.count()
+    df = cls.select(F.explode(F.array_distinct(F.split("canon", " "))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return frozenset(r["w"] for r in df.filter(F.col("n") >= max(least, share * n)).select("w").collect())
 
 
 class FullTextIndex:
@@ -218,7 +230,7 @@ def matches(train: list[list[str]], evals: list[list[str]], least: int = 5, cove
         yield from zip((first + q[head][keep]).tolist(), rec[head][keep].tolist(), covered[keep].tolist())
 
 
-def _compare(least: int, cover: float):
+def _compare(least: int, cover: float, known: frozenset[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         t, e = pdf[pdf["side"] == "t"]["canon"].tolist(), pdf[pdf["side"] == "e"]["canon"].tolist()
         out = []
@@ -232,7 +244,7 @@ def _compare(least: int, cover: float):
             if short:
                 exact = {e[j]: j for js in short.values() for j in js}
                 out += [(x, x, len(x.split(" "))) for x in t if x in exact]
-            out += [(t[a], e[b], c) for a, b, c in matches(tw, ew, least, cover) if same(tw[a], ew[b])]
+            out += [(t[a], e[b], c) for a, b, c in matches(tw, ew, least, cover) if same(tw[a], ew[b], known)]
         return pd.DataFrame(out, columns=["train", "eval", "covered"]).drop_duplicates(["train", "eval"])
     return run
 
@@ -263,7 +275,7 @@ def class_links(recs: DataFrame, train: str = "train", *, least: int = 5, cover:
     t = d.filter("side = 't'").withColumn("bt", F.pmod(h, F.col("pt")).cast("int")).withColumn("be", F.explode(every(F.col("pe"))))
     e = d.filter("side = 'e'").withColumn("be", F.pmod(h, F.col("pe")).cast("int")).withColumn("bt", F.explode(every(F.col("pt"))))
     both = t.select("sig", "bt", "be", "side", "canon").unionByName(e.select("sig", "bt", "be", "side", "canon"))
-    return both.groupBy("sig", "bt", "be").applyInPandas(_compare(least, cover), "train string, eval string, covered int")
+    return both.groupBy("sig", "bt", "be").applyInPandas(_compare(least, cover, established(cls)), "train string, eval string, covered int")
 
 
 def questions(train: DataFrame, official: DataFrame) -> DataFrame:

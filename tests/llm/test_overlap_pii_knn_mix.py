@@ -60,13 +60,21 @@ def test_sharded_search_equals_brute_force(spark):
     df = spark.createDataFrame(data, "k string, t string, s string")
     from pyspark.sql import functions as F
     recs = overlap.members(df, "k", "t", F.col("s"), F.lit(None).cast("string"))
+    known = overlap.established(recs.select("split", "canon").distinct())
     can = {t: overlap.canonical(t)[0].split(" ") for _, t, _ in data}
-    want = {(" ".join(can[a]), " ".join(can[b])) for _, a, s in data for _, b, u in data if s == "train" and u == "val" and overlap.same(can[a], can[b])}
+    want = {(" ".join(can[a]), " ".join(can[b])) for _, a, s in data for _, b, u in data if s == "train" and u == "val" and overlap.same(can[a], can[b], known)}
     for shard, block in ((300_000, 2_000_000), (210, 330)):
         got = {(r.train, r.eval) for r in overlap.class_links(recs, shard=shard, block=block).collect()}
         assert got == want and len(want) >= 40
 
 
+def test_slips_and_other_words():
+    a = "bo cong ho so thue"
+    assert overlap.same(a.split(), "bo cogn ho so thue".split()) and overlap.same(a.split(), (a + " nhuung").split())
+    assert not overlap.same(a.split(), "bo sung ho so thue".split(), frozenset(["cong", "sung"]))
+    assert not overlap.same(a.split(), "bo cong ho so dat".split()) and not overlap.same("muc 12".split(), "muc 13".split())
+
+
 @pytest.mark.parametrize("a, b, d", [("khong", "kohng", 1), ("trieu", "tireu", 1), ("abc", "abc", 0), ("abc", "xyz", 3), ("quyet", "qyt", 2)])
 def test_edits(a, b, d):
     assert overlap.edits(a, b, 2) == min(d, 3)
