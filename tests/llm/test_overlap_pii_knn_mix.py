@@ -65,7 +65,7 @@ def test_sharded_search_equals_brute_force(spark):
     want = {(" ".join(can[a]), " ".join(can[b])) for _, a, s in data for _, b, u in data if s == "train" and u == "val" and overlap.same(can[a], can[b], known)}
     for shard, block in ((300_000, 2_000_000), (210, 330)):
         got = {(r.train, r.eval) for r in overlap.class_links(recs, shard=shard, block=block).collect()}
-        assert got == want and len(want) >= 40
+        assert got == want and len(want) >= 30
 
 
 def test_slips_and_other_words():
