@@ -113,6 +113,6 @@ def screen(cands: DataFrame, gold: DataFrame, scores: dict[str, DataFrame], agg:
         d = cands.join(s, ["qid", "chunk_idx"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         labelled = d.join(gold.withColumn("label", F.lit(1)), ["qid", "doc_id"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
         recall = per_question(rank_docs(d, agg, 5), gold).agg(F.round(F.avg("recall"), 6).alias("recall"))
-        row = auc(labelled).crossJoin(recall).select(F.lit(name).alias("encoder"), "auc", "recall")  # one row by one row
+        row = auc(labelled).select(F.lit(name).alias("encoder"), "auc", F.lit(recall.first()["recall"]).alias("recall"))
         out = row if out is None else out.unionByName(row)
     return out

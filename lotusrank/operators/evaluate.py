@@ -58,17 +58,17 @@ def bootstrap(deltas: DataFrame, samples: int = 4000, seed: int = 0) -> DataFram
     Poisson bootstrap: each question's number of draws in each resample comes from a hash of (qid, resample, seed), so
     every question is resampled where it lies and only sums per resample meet; partitioning can't change the result.
     """
-    spark = deltas.sparkSession
-    b = F.broadcast(spark.range(samples).select(F.col("id").alias("b")))  # `samples` rows, a parameter
+    drawn = deltas.select("qid", "delta", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
     u = (F.pmod(F.xxhash64("qid", "b", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     term, cum, n = 0.36787944117144233, 0.0, F.lit(0)
     for k in range(9):
         cum += term
         n = n + (u > cum).cast("int")
         term /= k + 1
-    means = deltas.select("qid", "delta").join(b).withColumn("n", n).groupBy("b").agg((F.sum(F.col("n") * F.col("delta")) / F.sum("n")).alias("m"))
+    means = drawn.withColumn("n", n).groupBy("b").agg((F.sum(F.col("n") * F.col("delta")) / F.sum("n")).alias("m"))
     ci = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.avg((F.col("m") > 0).cast("double")).alias("win"))
-    return deltas.agg(F.avg("delta").alias("mean")).join(F.broadcast(ci)).select("mean", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"), "win")
+    mean = deltas.agg(F.avg("delta")).first()[0]
+    return ci.select(F.lit(mean).cast("double").alias("mean"), F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"), "win")
 
 
 def half_split(results: DataFrame, halves: DataFrame) -> DataFrame:
@@ -77,9 +77,8 @@ def half_split(results: DataFrame, halves: DataFrame) -> DataFrame:
     results: qid, config, value; halves: qid, half (1 or 2). Ties go to the smaller config.
     """
     d = results.join(halves, "qid").groupBy("config").agg(F.round(F.avg(F.when(F.col("half") == 1, F.col("value"))), 6).alias("first"), F.round(F.avg(F.when(F.col("half") == 2, F.col("value"))), 6).alias("second"))
-    best = d.agg(F.max(F.struct(F.col("first"), F.lit(0))).alias("m"))
-    return d.join(F.broadcast(best)).withColumn("tie", F.col("first") == F.col("m.first")).withColumn(
-        "chosen", F.col("tie") & (F.col("config") == F.min(F.when(F.col("tie"), F.col("config"))).over(Window.partitionBy("tie")))).select("config", "first", "second", "chosen")
+    top = d.orderBy(F.col("first").desc(), "config").first()
+    return d.withColumn("chosen", F.col("config") == F.lit(top["config"]) if top else F.lit(False))
 
 
 def sample(questions: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -95,15 +94,14 @@ def sweep_bm25(chunks: DataFrame, questions: DataFrame, gold: DataFrame, k1s: li
     wide = matched(chunks, questions, p).groupBy("qid", "chunk_idx", "doc_id").agg(*sums)
     long = F.explode(F.array(*[F.struct(F.lit(f"{k}|{b}").alias("cfg"), F.col(f"s{i}").alias("score")) for i, (k, b) in enumerate(grid)]))
     s = wide.select("qid", "chunk_idx", "doc_id", long.alias("c")).select("qid", "chunk_idx", "doc_id", "c.cfg", "c.score")
-    return by_config(s, gold, agg, {"k1": "double", "b": "double"})
+    return by_config(s, gold, agg, {"k1": "double", "b": "double"}, [f"{k}|{b}" for k, b in grid])
 
 
-def by_config(scores: DataFrame, gold: DataFrame, agg: str, keys: dict[str, str], sep: str = "|") -> DataFrame:
+def by_config(scores: DataFrame, gold: DataFrame, agg: str, keys: dict[str, str], cfgs: list[str]) -> DataFrame:
     """Recall@5 and MRR by config, for scores with a column cfg: question and config together key one ranking."""
     both = scores.withColumn("qid", F.concat_ws("#", "qid", "cfg"))
     ranked = rank_docs(both, agg, 20)
-    cfgs = scores.select("cfg").distinct()
-    g = gold.join(F.broadcast(cfgs)).withColumn("qid", F.concat_ws("#", "qid", "cfg"))
+    g = gold.withColumn("cfg", F.explode(F.array(*[F.lit(c) for c in cfgs]))).withColumn("qid", F.concat_ws("#", "qid", "cfg"))
     q = per_question(ranked, g.select("qid", "doc_id"))
     q = q.withColumn("cfg", F.element_at(F.split("qid", "#"), -1))
     d = q.groupBy("cfg").agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"))
@@ -115,4 +113,4 @@ def sweep_fusion(pool: DataFrame, gold: DataFrame, alphas: list[float], aggs: li
     """(alpha, agg, recall, mrr): one pool, scaled once; every alpha is a column expression over it."""
     parts = [fuse(pool, "linear", a).select("qid", "chunk_idx", "doc_id", F.col("fused").alias("score"), F.lit(f"{a:g}").alias("cfg")) for a in alphas]
     scores = reduce(DataFrame.unionByName, parts)
-    return reduce(DataFrame.unionByName, [by_config(scores, gold, a, {"alpha": "double"}).select("alpha", F.lit(a).alias("agg"), "recall", "mrr") for a in aggs])
+    return reduce(DataFrame.unionByName, [by_config(scores, gold, a, {"alpha": "double"}, [f"{x:g}" for x in alphas]).select("alpha", F.lit(a).alias("agg"), "recall", "mrr") for a in aggs])

@@ -21,6 +21,15 @@ def positives(fused: DataFrame, gold: DataFrame, chunks: DataFrame) -> DataFrame
     return first.join(best, "qid", "full").select("qid", F.coalesce("best", "first").alias("chunk_idx"))
 
 
+def positives_by_model(fused: DataFrame, gold: DataFrame, scores: DataFrame, n: int = 5) -> DataFrame:
+    """(qid, chunk_idx): of the n best fused chunks of labelled documents, the one a model scores highest; `scores`
+    (qid, chunk_idx, ce). Chunks without a score come last, ties go to the better fused one."""
+    w = Window.partitionBy("qid").orderBy(F.col("fused").desc(), F.col("chunk_idx"))
+    top = fused.join(gold, ["qid", "doc_id"], "left_semi").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n)
+    d = top.join(scores.select("qid", "chunk_idx", "ce"), ["qid", "chunk_idx"], "left")
+    return d.groupBy("qid").agg(F.max(F.struct(F.coalesce("ce", F.lit(float("-inf"))), -F.col("r"), "chunk_idx")).alias("m")).select("qid", F.col("m.chunk_idx").alias("chunk_idx"))
+
+
 def negatives(fused: DataFrame, gold: DataFrame, skip: int = 5, until: int = 80, n: int = 6) -> DataFrame:
     """(qid, neg_no, chunk_idx): of the ranks skip..until - 1 (from 0), the first chunk of each document that is no
     label, the first n of them."""

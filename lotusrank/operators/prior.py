@@ -39,11 +39,15 @@ def fallback(train: DataFrame, n: int = 20) -> DataFrame:
 
 
 def pad(ranked: DataFrame, questions: DataFrame, backup: DataFrame, topk: int = 5) -> DataFrame:
-    """(qid, rank, doc_id, padded): lists shorter than topk are filled with backup documents they don't hold."""
+    """(qid, rank, doc_id, padded): lists shorter than topk are filled with backup documents they don't hold; `backup` is a
+    short list by its nature (see fallback) and comes to the driver."""
     short = (questions.select("qid").distinct().join(ranked.groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid", "left")
              .filter(F.coalesce("n", F.lit(0)) < topk).select("qid"))
-    extra = short.join(F.broadcast(backup)).select("qid", "doc_id", (F.col("pos") + 1000).alias("ord"), F.lit(True).alias("padded"))
     own = ranked.filter(F.col("rank") <= topk).select("qid", "doc_id", F.col("rank").alias("ord"), F.lit(False).alias("padded"))
+    spare = [F.struct(F.lit(r["doc_id"]).alias("doc_id"), F.lit(r["pos"]).alias("pos")) for r in backup.collect()]
+    extra = own.limit(0)
+    if spare:
+        extra = short.select("qid", F.explode(F.array(*spare)).alias("s")).select("qid", "s.doc_id", (F.col("s.pos") + 1000).alias("ord"), F.lit(True).alias("padded"))
     both = own.unionByName(extra).groupBy("qid", "doc_id").agg(F.min(F.struct("ord", "padded")).alias("o"))
     w = Window.partitionBy("qid").orderBy("o.ord")
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= topk).select("qid", "rank", "doc_id", F.col("o.padded").alias("padded"))

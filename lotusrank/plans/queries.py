@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lotusrank.functions import text as T
 from lotusrank.functions.scale import cut
-from lotusrank.operators import aggregate, chunking, evaluate, fusion, index, mining, prior, render, rerank, validate
+from lotusrank.operators import aggregate, chunking, encode, evaluate, fusion, index, mining, prior, render, rerank, validate
 from lotusrank.params import Params
 from lotusrank.plans import pipeline
 from lotusrank.sources import io
@@ -534,6 +534,60 @@ def sweep_k1_b(s, d):
     return evaluate.sweep_bm25(chunks(s, d), q, g, [1.5, 2.5], [0.5, 0.75, 0.9])
 
 
+_RRF = "round(1 / (60.0 + row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, chunk_idx)) + 1 / (60.0 + row_number() OVER (PARTITION BY qid ORDER BY dense DESC, chunk_idx)), 9)"
+
+
+def _compare_sql(base: str, rankings: list[tuple[str, str, str, str]]) -> str:
+    """Recall and MRR of several rankings: (name, score expression, source, aggregate)."""
+    ctes, out = [], []
+    for i, (name, score, src, agg) in enumerate(rankings):
+        ctes += [f"x{i} AS (SELECT *, {score} AS v FROM {src})", docs_sql(f"x{i}", agg, "v", 20, f"y{i}"), f"z{i} AS (SELECT gl.qid, count(*) AS n_gold, sum(CASE WHEN rank <= 5 THEN 1 ELSE 0 END) AS inter, min(rank) AS first FROM gl LEFT JOIN y{i} USING (qid, doc_id) GROUP BY gl.qid)"]
+        out.append(f"SELECT '{name}' AS config, round(avg(inter / n_gold), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM z{i}")
+    return f"WITH {base}, {GOLD}, gl AS (SELECT * FROM g WHERE qid IN (SELECT qid FROM pl)), {', '.join(ctes)} " + " UNION ALL ".join(out)
+
+
+def _compare(g: DataFrame, rankings: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for name, r in rankings.items():
+        row = evaluate.metrics(r, g).select(F.lit(name).alias("config"), "recall", "mrr")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(_compare_sql(APOOL, [("linear", LINEAR(P.alpha), "pl", "top3"), ("rrf", _RRF, "pl", "top3"), ("dense", "round(dense, 9)", "pl", "top3"), ("bm25", "round(bm25, 9)", "pl", "top3")]))
+def fusion_configs(s, d):
+    p, g, _ = evaluated(s, d)
+    return _compare(g, {f: aggregate.rank_docs(fusion.fuse(p, f, P.alpha), "top3", 20, "fused") for f in ("linear", "rrf", "dense", "bm25")})
+
+
+def asked_scored(s, d, p: DataFrame) -> DataFrame:
+    c = rerank.candidate_cut(fusion.fuse(p, "linear", P.alpha), CUT.n_docs, CUT.m_chunks).join(asked(s, d).groupBy("qid").agg(F.min("question").alias("question")), "qid")
+    return io.late_fetch(c, chunks(s, d), ["text"]).withColumn("ce", rerank.overlap_score())
+
+
+_ASV = (f"{AFUSED}, " + _CAND.split(f"{FUSED}, ")[1] + f", qq AS (SELECT qid, min(question) AS question FROM q GROUP BY qid), ce AS (SELECT cc.*, list_distinct({TOKENS('question')}) AS a, list_distinct({TOKENS('text')}) AS b FROM cc JOIN qq USING (qid) JOIN ch USING (chunk_idx)), "
+        "sv AS (SELECT qid, doc_id, chunk_idx, fused, CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(a) END AS ce FROM ce)")
+
+
+@query(_compare_sql(_ASV, [("hybrid", "fused", "fu", "top3"), ("rerank", f"round({P.beta} * {MM('ce')} + {1 - P.beta} * {MM('fused')}, 9)", "sv", "top3")]))
+def rerank_compare(s, d):
+    p, g, _ = evaluated(s, d)
+    return _compare(g, {"hybrid": aggregate.rank_docs(fusion.fuse(p, "linear", P.alpha), "top3", 20, "fused"), "rerank": rerank.rerank_docs(asked_scored(s, d, p), P.beta, "top3", 20)})
+
+
+@query()
+def encoder_screen(s, d):
+    """Two stand-in encoders on the candidates' own chunks."""
+    p, g, _ = evaluated(s, d)
+    c = cut(io.late_fetch(p.select("qid", "doc_id", "chunk_idx").join(asked(s, d).groupBy("qid").agg(F.min("question").alias("question")), "qid"), chunks(s, d), ["text"]))
+    scores = {}
+    for dim in (32, 256):
+        q = encode.encode(c.select("qid", "question").distinct(), "qid", "question", encode.hashed(dim)).withColumnRenamed("embedding", "qe")
+        t = encode.encode(c.select("chunk_idx", "text").dropDuplicates(["chunk_idx"]), "chunk_idx", "text", encode.hashed(dim))
+        scores[f"hashed{dim}"] = c.select("qid", "chunk_idx").join(q, "qid").join(t, "chunk_idx").select("qid", "chunk_idx", F.round(fusion.dot(F.col("qe"), F.col("embedding")), 6).alias("score"))
+    return encode.screen(c.select("qid", "doc_id", "chunk_idx"), g, scores)
+
+
 LAMS = [0.0, 0.1, 0.2, 0.4]
 
 
@@ -575,6 +629,13 @@ def mined_positives(s, d):
     return mining.positives(fusion.fuse(p, "linear", P.alpha), g, chunks(s, d))
 
 
+@query(f"WITH {_ASV}, {GOLD}, t AS (SELECT qid, doc_id, chunk_idx, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, chunk_idx) AS r FROM fu SEMI JOIN g USING (qid, doc_id) QUALIFY r <= 5) "
+       "SELECT t.qid, t.chunk_idx FROM t LEFT JOIN sv ON sv.qid = t.qid AND sv.chunk_idx = t.chunk_idx QUALIFY row_number() OVER (PARTITION BY t.qid ORDER BY coalesce(ce, '-inf'::DOUBLE) DESC, r) = 1")
+def mined_positives_by_model(s, d):
+    p, g, _ = evaluated(s, d)
+    return mining.positives_by_model(fusion.fuse(p, "linear", P.alpha), g, asked_scored(s, d, p))
+
+
 _NEG = (f"{_POS}, n1 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, chunk_idx) - 1 AS rn FROM fu), n2 AS (SELECT qid, doc_id, chunk_idx, rn FROM n1 ANTI JOIN g USING (qid, doc_id) WHERE rn BETWEEN 2 AND 79 QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY rn) = 1), "
         "ng AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rn) AS neg_no, chunk_idx FROM n2 QUALIFY neg_no <= 6)")
 

@@ -172,6 +172,8 @@ def test_mining(spark):
     assert [tuple(r) for r in p.collect()] == [("q", "hỏi", "t4", ["t2", "t6"])]
     assert mining.biencoder_rows(p, 2).first().negative_2 == "t6" and mining.biencoder_rows(p, 3).count() == 0
     assert sorted((r.text, r.label) for r in mining.crossencoder_rows(p, 1).collect()) == [("t2", 0), ("t4", 1)]
+    ce = spark.createDataFrame([("q", 5, 0.9), ("q", 4, 0.1)], "qid string, chunk_idx long, ce double")
+    assert [tuple(r) for r in mining.positives_by_model(f, g, ce).collect()] == [("q", 5)]
     s = mining.split(f.select("qid").union(g.select("qid")), 1)
     assert sorted(r.fold for r in s.collect()) == ["train", "train", "val"]
 
