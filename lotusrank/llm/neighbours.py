@@ -177,10 +177,9 @@ def neighbours(df: DataFrame, item: str, vec: str, k: int = 5, *, min_cos: float
     are split, and each part is searched by all that visit the bucket, so nothing is dropped. Empty input: no row.
     """
     spark = df.sparkSession
-    u = cut(usable(df, item, vec))
     cls = F.xxhash64(F.transform("unit", lambda x: F.round(x, 4)))
-    ranked = u.withColumn("cls", cls).withColumn("nth", F.row_number().over(Window.partitionBy("cls").orderBy("id")))
-    index = cut(ranked.filter(F.col("nth") <= k + 1).drop("nth"))
+    ranked = cut(usable(df, item, vec).withColumn("cls", cls).withColumn("nth", F.row_number().over(Window.partitionBy("cls").orderBy("id"))))
+    index = ranked.filter(F.col("nth") <= k + 1).drop("nth")
     n = index.count()
     m = functions_for(n, bucket)
     feed = index.select("id", "unit")
