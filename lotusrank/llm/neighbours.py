@@ -106,14 +106,19 @@ def _match(keep: int, floor: float):
         got = ([], [], [])
         for lo in range(0, len(ids), 1024):
             sim = vec[lo:lo + 1024] @ index.T
-            sim[ids[lo:lo + 1024, None] == index_ids[None, :]] = -2
-            k = min(keep, sim.shape[1])
-            top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-            val = np.take_along_axis(sim, top, axis=1)
-            r, c = np.nonzero(val >= floor)
+            r, c = np.nonzero(sim >= floor)
+            # only rows with more hits than wanted (one may be the vector itself) are cut to their best
+            many = np.flatnonzero(np.bincount(r, minlength=len(sim)) > keep + 1)
+            if len(many):
+                top = np.argpartition(-sim[many], keep, axis=1)[:, :keep + 1]
+                rest = ~np.isin(r, many)
+                r = np.r_[r[rest], np.repeat(many, keep + 1)]
+                c = np.r_[c[rest], top.ravel()]
+            other = ids[lo + r] != index_ids[c]
+            r, c = r[other], c[other]
             got[0].append(ids[lo + r])
-            got[1].append(index_ids[top[r, c]])
-            got[2].append(val[r, c])
+            got[1].append(index_ids[c])
+            got[2].append(sim[r, c])
         a, b, s = (np.concatenate(g) for g in got)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s.astype(np.float32))], names=["a", "b", "approx"]) if len(a) else None
 
