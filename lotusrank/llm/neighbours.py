@@ -16,7 +16,7 @@ from lotusrank.functions.scale import cut
 ROWS = "key long, role int, id long, scale float, vec binary"
 
 
-def functions_for(n: int, bucket: int = 3000) -> int:
+def functions_for(n: int, bucket: int = 4000) -> int:
     """Hash functions per table, so that a bucket of n random vectors holds about `bucket` of them: each function of
     width 2 on unit vectors keeps 0.55 of unrelated vectors together."""
     return max(1, round(math.log(max(n, 2) / bucket) / 0.6)) if n > bucket else 1
@@ -169,8 +169,8 @@ def usable(df: DataFrame, item: str, vec: str) -> DataFrame:
     return d.select("id", _unit_vector(F.col("v")).alias("unit"))
 
 
-def neighbours(df: DataFrame, item: str, vec: str, k: int = 5, *, min_cos: float = -1.0, tables: int = 5, probes: int = 3, width: float = 2.0,
-               bucket: int = 3000, most: int = 20_000, seed: int = 11) -> DataFrame:
+def neighbours(df: DataFrame, item: str, vec: str, k: int = 5, *, min_cos: float = -1.0, tables: int = 4, probes: int | None = None, width: float = 2.0,
+               bucket: int = 4000, most: int = 20_000, seed: int = 11) -> DataFrame:
     """(a, b, cosine, rank): up to k most similar items b of every item a, of cosine min_cos or more.
 
     Every vector is put into one bucket per table and probes the neighbouring buckets most likely to hold its
@@ -187,6 +187,7 @@ def neighbours(df: DataFrame, item: str, vec: str, k: int = 5, *, min_cos: float
     index = ranked.filter(F.col("nth") <= k + 1).drop("nth")
     n = index.count()
     m = functions_for(n, bucket)
+    probes = max(3, m - 4) if probes is None else probes  # more functions leave more neighbours beside the home bucket
     feed = index.select("id", "unit")
     rows = feed.mapInArrow(_spread(tables, m, probes, width, seed, False), ROWS)
     sizes = feed.mapInArrow(_spread(tables, m, 0, width, seed, True), "key long").groupBy("key").count().filter(F.col("count") > most)

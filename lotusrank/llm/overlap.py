@@ -19,7 +19,7 @@ from lotusrank.llm.scripts import normalize_text
 ABBREVIATIONS = {
     "bhxh": "bao hiem xa hoi", "bhyt": "bao hiem y te", "cty": "cong ty", "dn": "doanh nghiep", "gcn": "giay chung nhan", "hd": "hop dong",
     "htx": "hop tac xa", "nld": "nguoi lao dong", "nsdld": "nguoi su dung lao dong", "pc": "phong chay", "pccc": "phong chay chua chay", "qd": "quy dinh",
-    "ubnd": "uy ban nhan dan", "hdnd": "hoi dong nhan dan", "tnhh": "trach nhiem huu han", "ttHC": "trung tam hanh chinh", "tphcm": "thanh pho ho chi minh",
+    "ubnd": "uy ban nhan dan", "hdnd": "hoi dong nhan dan", "tnhh": "trach nhiem huu han", "tphcm": "thanh pho ho chi minh",
     "vn": "viet nam", "ko": "khong", "dc": "duoc", "vs": "voi", "tt": "thi tran", "gd": "giao duc",
 }
 # Polite words at the start and at the end of a question, without accents.
