@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +51,8 @@ def labels(s, d) -> DataFrame:
     return prior.gold(table(s, d, "train"))
 
 
-def pool(s, d) -> DataFrame:
-    return fusion.scored_pool(table(s, d, "chunks"), CUT.pool)
+def pool(s, d, p: Params = CUT) -> DataFrame:
+    return fusion.scored_pool(table(s, d, "chunks"), p.pool)
 
 
 def asked_pool(s, d) -> DataFrame:
@@ -268,37 +270,37 @@ def search_docs(s, d):
 # ---- dense scores and fusion -----------------------------------------------------------------------------------------
 
 @query(f"WITH {POOL} SELECT qid, chunk_idx, doc_id, round(bm25, 6) AS bm25, round(dense, 6) AS dense FROM pl")
-def pool_topk(s, d):
-    return pool(s, d).select("qid", "chunk_idx", "doc_id", F.round("bm25", 6).alias("bm25"), F.round("dense", 6).alias("dense"))
+def pool_topk(s, d, p=CUT):
+    return pool(s, d, p).select("qid", "chunk_idx", "doc_id", F.round("bm25", 6).alias("bm25"), F.round("dense", 6).alias("dense"))
 
 
 @query(f"WITH {POOL} SELECT qid, chunk_idx, round({MM('bm25')}, 6) AS bm25, round({MM('dense')}, 6) AS dense FROM pl")
-def minmax_scores(s, d):
-    return pool(s, d).select("qid", "chunk_idx", F.round(fusion.minmax(F.col("bm25"), ["qid"]), 6).alias("bm25"), F.round(fusion.minmax(F.col("dense"), ["qid"]), 6).alias("dense"))
+def minmax_scores(s, d, p=CUT):
+    return pool(s, d, p).select("qid", "chunk_idx", F.round(fusion.minmax(F.col("bm25"), ["qid"]), 6).alias("bm25"), F.round(fusion.minmax(F.col("dense"), ["qid"]), 6).alias("dense"))
 
 
 @query(f"WITH {FUSED} SELECT qid, chunk_idx, round(fused, 6) AS fused FROM fu")
-def fuse_linear(s, d):
-    return fusion.fuse(pool(s, d), "linear", P.alpha).select("qid", "chunk_idx", F.round("fused", 6).alias("fused"))
+def fuse_linear(s, d, p=CUT):
+    return fusion.fuse(pool(s, d, p), "linear", P.alpha).select("qid", "chunk_idx", F.round("fused", 6).alias("fused"))
 
 
 @query(f"WITH {POOL} SELECT qid, chunk_idx, round(1 / (60.0 + row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, chunk_idx)) + 1 / (60.0 + row_number() OVER (PARTITION BY qid ORDER BY dense DESC, chunk_idx)), 9) AS fused FROM pl")
-def fuse_rrf(s, d):
-    return fusion.fuse(pool(s, d), "rrf").select("qid", "chunk_idx", "fused")
+def fuse_rrf(s, d, p=CUT):
+    return fusion.fuse(pool(s, d, p), "rrf").select("qid", "chunk_idx", "fused")
 
 
 @query(f"WITH {POOL} SELECT qid, chunk_idx, round(dense, 9) AS fused FROM pl")
-def fuse_dense_only(s, d):
-    return fusion.fuse(pool(s, d), "dense").select("qid", "chunk_idx", "fused")
+def fuse_dense_only(s, d, p=CUT):
+    return fusion.fuse(pool(s, d, p), "dense").select("qid", "chunk_idx", "fused")
 
 
 def _vectors(s, d) -> DataFrame:
     return table(s, d, "emb").filter("dense is not null").select("chunk_idx", "dense").dropDuplicates(["chunk_idx"])
 
 
-def _query_vectors(s, d) -> DataFrame:
+def _query_vectors(s, d, p: Params = CUT) -> DataFrame:
     """Stand-in for encoded questions: the vector of the best BM25 chunk of each pool."""
-    best = pool(s, d).groupBy("qid").agg(F.max(F.struct("bm25", -F.col("chunk_idx"))).alias("m")).select("qid", (-F.col("m.col2")).alias("chunk_idx"))
+    best = pool(s, d, p).groupBy("qid").agg(F.max(F.struct("bm25", -F.col("chunk_idx"))).alias("m")).select("qid", (-F.col("m.col2")).alias("chunk_idx"))
     return best.join(_vectors(s, d), "chunk_idx").select("qid", F.col("dense").alias("qvec"))
 
 
@@ -307,21 +309,21 @@ _DOT = lambda a, b: f"list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"  # noqa:
 
 
 @query(f"WITH {_VEC} SELECT qid, chunk_idx, round({_DOT('v.dense', 'qvec')}, 5) AS dense FROM pl JOIN v USING (chunk_idx) JOIN qv USING (qid)")
-def dense_scores(s, d):
-    return fusion.dense_scores(pool(s, d), _vectors(s, d), _query_vectors(s, d)).select("qid", "chunk_idx", F.round("dense", 5).alias("dense"))
+def dense_scores(s, d, p=CUT):
+    return fusion.dense_scores(pool(s, d, p), _vectors(s, d), _query_vectors(s, d, p)).select("qid", "chunk_idx", F.round("dense", 5).alias("dense"))
 
 
 @query(f"WITH {_VEC}, t AS (SELECT qid, chunk_idx, list_slice(v.dense, 1, 16) AS a, list_slice(qvec, 1, 16) AS b FROM pl JOIN v USING (chunk_idx) JOIN qv USING (qid)) "
        f"SELECT qid, chunk_idx, round({_DOT('a', 'b')} / sqrt({_DOT('a', 'a')}) / sqrt({_DOT('b', 'b')}), 5) AS cosine FROM t WHERE {_DOT('a', 'a')} > 0 AND {_DOT('b', 'b')} > 0")
-def matryoshka_cosines(s, d):
-    j = pool(s, d).select("qid", "chunk_idx").join(_vectors(s, d), "chunk_idx").join(_query_vectors(s, d), "qid")
+def matryoshka_cosines(s, d, p=CUT):
+    j = pool(s, d, p).select("qid", "chunk_idx").join(_vectors(s, d), "chunk_idx").join(_query_vectors(s, d, p), "qid")
     c = fusion.dot(fusion.truncate(F.col("dense"), 16), fusion.truncate(F.col("qvec"), 16))
     return j.select("qid", "chunk_idx", F.round(c, 5).alias("cosine")).filter("cosine is not null")
 
 
 @query(f"WITH {FUSED}, {docs_sql('fu', P.agg, 'fused', P.topk)} SELECT qid, rank, doc_id, score, best_chunk, n_chunks FROM rk")
-def hybrid_docs(s, d):
-    return aggregate.rank_docs(fusion.fuse(pool(s, d), "linear", P.alpha), P.agg, P.topk, "fused")
+def hybrid_docs(s, d, p=CUT):
+    return aggregate.rank_docs(fusion.fuse(pool(s, d, p), "linear", P.alpha), P.agg, P.topk, "fused")
 
 
 @query(f"WITH {TOK}, x AS (SELECT len(toks) AS n FROM tk) SELECT quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.9) AS p90, round(quantile_cont(n, 0.99), 6) AS p99, max(n) AS longest, round(avg((n > 350)::INT), 6) AS over_limit, count(*) AS chunks FROM x")
@@ -338,13 +340,13 @@ _CAND = (f"{FUSED}, c1 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER B
          f"cc AS (SELECT qid, rn, doc_id, chunk_idx, fused FROM c4 WHERE (stop IS NULL OR rn < stop) AND m <= {CUT.m_chunks})")
 
 
-def candidates(s, d) -> DataFrame:
-    return rerank.candidate_cut(fusion.fuse(pool(s, d), "linear", P.alpha), CUT.n_docs, CUT.m_chunks)
+def candidates(s, d, p: Params = CUT) -> DataFrame:
+    return rerank.candidate_cut(fusion.fuse(pool(s, d, p), "linear", P.alpha), p.n_docs, p.m_chunks)
 
 
 @query(f"WITH {_CAND} SELECT qid, rn, doc_id, chunk_idx, round(fused, 6) AS fused FROM cc")
-def candidate_cut(s, d):
-    return candidates(s, d).select("qid", "rn", "doc_id", "chunk_idx", F.round("fused", 6).alias("fused"))
+def candidate_cut(s, d, p=CUT):
+    return candidates(s, d, p).select("qid", "rn", "doc_id", "chunk_idx", F.round("fused", 6).alias("fused"))
 
 
 _CE = (f"{_CAND}, {CH}, qq AS (SELECT qid, min(question) AS question FROM (SELECT qid, question FROM train UNION ALL SELECT qid, question FROM public_official) WHERE question IS NOT NULL GROUP BY qid), "
@@ -352,20 +354,20 @@ _CE = (f"{_CAND}, {CH}, qq AS (SELECT qid, min(question) AS question FROM (SELEC
        "sv AS (SELECT qid, doc_id, chunk_idx, fused, CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(a) END AS ce, len(b) AS size FROM ce)")
 
 
-def scored(s, d) -> DataFrame:
+def scored(s, d, p: Params = CUT) -> DataFrame:
     """Candidates with the stand-in score; texts are joined to the candidates only."""
-    c = candidates(s, d).drop("rn", "bm25", "dense").join(questions(s, d), "qid")
+    c = candidates(s, d, p).drop("rn", "bm25", "dense").join(questions(s, d), "qid")
     return io.late_fetch(c, chunks(s, d), ["text"]).withColumn("ce", rerank.overlap_score())
 
 
 @query(f"WITH {_CE} SELECT qid, chunk_idx, round(ce, 6) AS ce FROM sv")
-def ce_scores(s, d):
-    return scored(s, d).select("qid", "chunk_idx", F.round("ce", 6).alias("ce"))
+def ce_scores(s, d, p=CUT):
+    return scored(s, d, p).select("qid", "chunk_idx", F.round("ce", 6).alias("ce"))
 
 
 @query(f"WITH {_CE} SELECT qid, chunk_idx, round((ce + 1.0 / (1 + size)) / 2, 6) AS ce FROM sv")
-def ce_ensemble(s, d):
-    x = scored(s, d)
+def ce_ensemble(s, d, p=CUT):
+    x = scored(s, d, p)
     a = x.select("qid", "chunk_idx", F.lit("overlap").alias("model"), F.col("ce").alias("score"))
     b = x.select("qid", "chunk_idx", F.lit("brevity").alias("model"), (1.0 / (1 + F.size(F.array_distinct(T.tokens(F.col("text")))))).alias("score"))
     return rerank.ensemble(a.unionByName(b)).select("qid", "chunk_idx", F.round("ce", 6).alias("ce"))
@@ -375,13 +377,13 @@ _BLEND = f"{_CE}, bl AS (SELECT *, round({P.beta} * {MM('ce')} + {1 - P.beta} *
 
 
 @query(f"WITH {_BLEND}, {docs_sql('bl', P.agg, 'score', P.topk)} SELECT qid, rank, doc_id, score, best_chunk, n_chunks FROM rk")
-def ce_blend_docs(s, d):
-    return rerank.rerank_docs(scored(s, d), P.beta, P.agg, P.topk)
+def ce_blend_docs(s, d, p=CUT):
+    return rerank.rerank_docs(scored(s, d, p), P.beta, P.agg, P.topk)
 
 
 @query(f"WITH {_CE}, {docs_sql('sv', 'top3', 'ce', P.topk)} SELECT qid, rank, doc_id, score, best_chunk, n_chunks FROM rk")
-def ce_only_docs(s, d):
-    return rerank.rerank_docs(scored(s, d), 1.0, "top3", P.topk)
+def ce_only_docs(s, d, p=CUT):
+    return rerank.rerank_docs(scored(s, d, p), 1.0, "top3", P.topk)
 
 
 # ---- prior, padding, output ------------------------------------------------------------------------------------------
@@ -404,17 +406,17 @@ _HY = f"{FUSED}, {docs_sql('fu', P.agg, 'fused', 20)}"
 _PR = f"{_HY}, {_FREQ}, ap AS (SELECT qid, doc_id, round({MM('score', '1e-12')} + {P.lam} * coalesce(w, 0), 6) AS score FROM rk LEFT JOIN pw USING (doc_id)), fin AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM ap QUALIFY rank <= 5)"
 
 
-def ranked20(s, d) -> DataFrame:
-    return aggregate.rank_docs(fusion.fuse(pool(s, d), "linear", P.alpha), P.agg, 20, "fused")
+def ranked20(s, d, p: Params = CUT) -> DataFrame:
+    return aggregate.rank_docs(fusion.fuse(pool(s, d, p), "linear", P.alpha), P.agg, 20, "fused")
 
 
-def final(s, d) -> DataFrame:
-    return prior.apply_prior(ranked20(s, d), prior.prior_weights(table(s, d, "train")), P.lam, P.topk)
+def final(s, d, p: Params = CUT) -> DataFrame:
+    return prior.apply_prior(ranked20(s, d, p), prior.prior_weights(table(s, d, "train")), P.lam, P.topk)
 
 
 @query(f"WITH {_PR} SELECT qid, rank, doc_id, score FROM fin")
-def prior_rerank(s, d):
-    return final(s, d)
+def prior_rerank(s, d, p=CUT):
+    return final(s, d, p)
 
 
 _PAD = (f"{_PR}, aq AS (SELECT DISTINCT qid FROM public_official), fb AS (SELECT doc_id, row_number() OVER (ORDER BY freq DESC, doc_id) AS pos FROM pw QUALIFY pos <= 20), "
@@ -423,25 +425,25 @@ _PAD = (f"{_PR}, aq AS (SELECT DISTINCT qid FROM public_official), fb AS (SELECT
         "pd AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY ord) AS rank, doc_id, padded FROM bo QUALIFY rank <= 5)")
 
 
-def padded(s, d) -> DataFrame:
+def padded(s, d, p: Params = CUT) -> DataFrame:
     t, q = table(s, d, "train"), table(s, d, "public_official").select("qid").distinct()
-    return prior.pad(final(s, d).join(q, "qid", "left_semi"), q, prior.fallback(t), P.topk)
+    return prior.pad(final(s, d, p).join(q, "qid", "left_semi"), q, prior.fallback(t), P.topk)
 
 
 @query(f"WITH {_PAD} SELECT qid, rank, doc_id, padded FROM pd")
-def padded_topk(s, d):
-    return padded(s, d)
+def padded_topk(s, d, p=CUT):
+    return padded(s, d, p)
 
 
 @query(f"WITH {_PAD} SELECT qid, array_to_string(list(doc_id ORDER BY rank), ',') AS answer FROM pd GROUP BY qid")
-def submission_rows(s, d):
-    return prior.answers(padded(s, d)).select("qid", F.array_join("answer", ",").alias("answer"))
+def submission_rows(s, d, p=CUT):
+    return prior.answers(padded(s, d, p)).select("qid", F.array_join("answer", ",").alias("answer"))
 
 
 @query(f"WITH {_HY}, {_FREQ}, ap AS (SELECT qid, doc_id, round({MM('score', '1e-12')} + {P.lam} * coalesce(w, 0), 6) AS score FROM rk LEFT JOIN pw USING (doc_id)), a AS (SELECT qid, list_sort(list(doc_id)) AS x FROM rk WHERE rank <= 5 GROUP BY qid), "
        "b AS (SELECT qid, list_sort(list(doc_id)) AS y FROM (SELECT qid, doc_id FROM ap QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) <= 5) GROUP BY qid) SELECT qid FROM a JOIN b USING (qid) WHERE x <> y")
-def changed_by_prior(s, d):
-    return prior.changed(ranked20(s, d).filter(F.col("rank") <= P.topk), final(s, d))
+def changed_by_prior(s, d, p=CUT):
+    return prior.changed(ranked20(s, d, p).filter(F.col("rank") <= P.topk), final(s, d, p))
 
 
 @query("SELECT coalesce(len(answer), -1) AS n_ids, count(*) AS questions FROM (SELECT DISTINCT * FROM submission) GROUP BY 1")
@@ -694,3 +696,18 @@ def validator_summary(s, d):
 for _name, _cols in {**{k: ("rank",) for k in ("bm25_chunks_topk", *(f"bm25_docs_{x}" for x in ("max", "top3", "top3_log", "max_w", "avg")), "search_chunks", "hybrid_docs", "ce_blend_docs", "ce_only_docs", "prior_rerank", "padded_topk")},
                      "candidate_cut": ("rn",), "mined_negatives": ("neg_no",)}.items():
     ORACLE[_name] = f"SELECT * REPLACE ({', '.join(f'{c}::INT AS {c}' for c in _cols)}) FROM ({ORACLE[_name]})"
+
+
+# ---- production sizes ------------------------------------------------------------------------------------------------
+
+def whole_sql(sql: str) -> str:
+    """The same SQL at the sizes of the production run."""
+    for a, b in ((POOL, POOL.replace(f"<= {CUT.pool})", f"<= {P.pool})")), (f"dr = {CUT.n_docs + 1} ", f"dr = {P.n_docs + 1} ")):
+        sql = sql.replace(a, b)
+    return sql
+
+
+for _name in ("pool_topk", "minmax_scores", "fuse_linear", "fuse_rrf", "fuse_dense_only", "dense_scores", "matryoshka_cosines", "hybrid_docs", "candidate_cut", "ce_scores", "ce_ensemble",
+              "ce_blend_docs", "ce_only_docs", "prior_rerank", "changed_by_prior", "padded_topk", "submission_rows"):
+    QUERIES[f"{_name}_whole"] = partial(QUERIES[_name], p=P)
+    ORACLE[f"{_name}_whole"] = whole_sql(ORACLE[_name])
