@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from lotusrank.functions.scale import cut
 
 ROWS = "key long, role int, id long, scale float, vec binary"
+STEPS = 32767  # a part is stored as a 16-bit share of the vector's largest
 
 
 def functions_for(n: int, bucket: int = 4000) -> int:
@@ -83,44 +84,48 @@ def _spread(tables: int, m: int, probes: int, width: float, seed: int, keys_only
                     yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].ravel())], names=["key"])
                     continue
                 peak = np.abs(unit).max(axis=1)
-                packed = np.rint(unit / peak[:, None] * 127).astype(np.int8)
+                packed = np.rint(unit / peak[:, None] * STEPS).astype(np.int16)
                 raw = pa.array([r.tobytes() for r in packed], type=pa.binary())
                 k = keys.shape[0] * keys.shape[1]
                 roles = np.repeat((np.arange(k) % keys.shape[1] > 0).astype(np.int32), len(ids))
                 take = pa.array(np.tile(np.arange(len(ids)), k))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.reshape(-1)), pa.array(roles), pa.array(np.tile(ids, k)), pa.array(np.tile((peak / 127).astype(np.float32), k)), raw.take(take)],
+                    [pa.array(keys.reshape(-1)), pa.array(roles), pa.array(np.tile(ids, k)), pa.array(np.tile((peak / STEPS).astype(np.float32), k)), raw.take(take)],
                     names=["key", "role", "id", "scale", "vec"])
     return run
 
 
-def _match(keep: int, floor: float):
-    """Over rows sorted by bucket: for every vector of a bucket, home or probing, its best matches among the home ones."""
+def _match(k: int, keep: int, floor: float):
+    """Over rows sorted by bucket: for every vector of a bucket, home or probing, its matches among the home ones. Of
+    more than `keep` it emits the best `keep`, and all others whose exact cosine may still be among the k best.
+
+    err bounds the error of a rough cosine: half a step in every part of both vectors, and single precision.
+    """
     def flush(parts):
         ids = np.concatenate([p[0] for p in parts])
         home = np.concatenate([p[1] for p in parts]) == 0
         vec = np.concatenate([p[2] for p in parts])
+        off = np.concatenate([p[3] for p in parts]).astype(np.float64) * math.sqrt(vec.shape[1]) / 2
         if not home.any() or len(ids) < 2:
-            return None
+            return
         index, index_ids = vec[home], ids[home]
-        got = ([], [], [])
-        for lo in range(0, len(ids), 1024):
-            sim = vec[lo:lo + 1024] @ index.T
+        err = off + off[home].max() * (1 + off) + (vec.shape[1] + 8) * 2.0**-23
+        block = max(64, min(1024, 4_000_000 // len(index)))
+        for lo in range(0, len(ids), block):
+            sim = vec[lo:lo + block] @ index.T
             r, c = np.nonzero(sim >= floor)
-            # only rows with more hits than wanted (one may be the vector itself) are cut to their best
+            # only rows with more hits than wanted (one may be the vector itself) are cut
             many = np.flatnonzero(np.bincount(r, minlength=len(sim)) > keep + 1)
             if len(many):
-                top = np.argpartition(-sim[many], keep, axis=1)[:, :keep + 1]
-                rest = ~np.isin(r, many)
-                r = np.r_[r[rest], np.repeat(many, keep + 1)]
-                c = np.r_[c[rest], top.ravel()]
+                best = -np.partition(-sim[many], (k, keep), axis=1)
+                least = np.full(len(sim), floor)
+                least[many] = np.maximum(floor, np.minimum(best[:, k] - 2 * err[lo + many] - 1e-9, best[:, keep]))
+                near = sim[r, c] >= least[r]
+                r, c = r[near], c[near]
             other = ids[lo + r] != index_ids[c]
             r, c = r[other], c[other]
-            got[0].append(ids[lo + r])
-            got[1].append(index_ids[c])
-            got[2].append(sim[r, c])
-        a, b, s = (np.concatenate(g) for g in got)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s.astype(np.float32))], names=["a", "b", "approx"]) if len(a) else None
+            if len(r):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + r]), pa.array(index_ids[c]), pa.array(sim[r, c].astype(np.float32)), pa.array(err[lo + r].astype(np.float32))], names=["a", "b", "approx", "err"])
 
     def run(batches):
         parts, key = [], None
@@ -129,21 +134,17 @@ def _match(keep: int, floor: float):
                 continue
             keys = np.asarray(batch.column(0))
             role, ids, scale = np.asarray(batch.column(1)), np.asarray(batch.column(2)), np.asarray(batch.column(3))
-            vec = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.int8).reshape(len(keys), -1)
+            vec = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.int16).reshape(len(keys), -1)
             cuts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
             for i in range(len(cuts) - 1):
                 lo, hi = cuts[i], cuts[i + 1]
                 if key is not None and keys[lo] != key and parts:
-                    out = flush(parts)
-                    if out is not None:
-                        yield out
+                    yield from flush(parts)
                     parts = []
                 key = keys[lo]
-                parts.append((ids[lo:hi], role[lo:hi], vec[lo:hi].astype(np.float32) * scale[lo:hi, None]))
+                parts.append((ids[lo:hi], role[lo:hi], vec[lo:hi].astype(np.float32) * scale[lo:hi, None], scale[lo:hi]))
         if parts:
-            out = flush(parts)
-            if out is not None:
-                yield out
+            yield from flush(parts)
     return run
 
 
@@ -174,8 +175,8 @@ def neighbours(df: DataFrame, item: str, vec: str, k: int = 5, *, min_cos: float
     """(a, b, cosine, rank): up to k most similar items b of every item a, of cosine min_cos or more.
 
     Every vector is put into one bucket per table and probes the neighbouring buckets most likely to hold its
-    neighbours; buckets are compared by matrix products on 8-bit vectors, and the survivors reranked by their exact
-    cosine (9 decimals; ties go to the smaller item). Both directions of a pair that either side finds count.
+    neighbours; buckets are compared by matrix products on 16-bit vectors, and all that the error of these leaves in
+    question are reranked by their exact cosine (9 decimals; ties go to the smaller item). Both directions of a pair that either side finds count.
 
     Copies: of vectors alike to 4 decimals only the k + 1 smallest items enter the tables, since no other copy can be
     among anyone's k nearest; the others take their neighbours from that class. Buckets of more than `most` vectors
@@ -205,11 +206,14 @@ def neighbours(df: DataFrame, item: str, vec: str, k: int = 5, *, min_cos: float
         rows = plain.unionByName(seen.withColumn("key", F.xxhash64("key", "p")).drop("parts", "p"))
     floor = -2.0 if min_cos <= -1 else min_cos - 0.02
     sorted_rows = rows.repartition(F.col("key")).sortWithinPartitions("key")
-    cand = sorted_rows.mapInArrow(_match(2 * k + 2, floor), "a long, b long, approx float")
+    cand = sorted_rows.mapInArrow(_match(k, 2 * k + 2, floor), "a long, b long, approx float, err float")
     both = cand.select("a", "b").union(cand.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    if min_cos <= -1:  # keep the exact stage small: the best 4k by the rough cosine
-        sym = cand.union(cand.select(F.col("b").alias("a"), F.col("a").alias("b"), "approx")).groupBy("a", "b").agg(F.max("approx").alias("approx"))
-        both = sym.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.col("approx").desc(), "b"))).filter(F.col("r") <= 4 * k).select("a", "b")
+    if min_cos <= -1:  # keep the exact stage small: the best 4k by the rough cosine, and all that may be among the k best
+        sym = cand.union(cand.select(F.col("b").alias("a"), F.col("a").alias("b"), "approx", "err")).groupBy("a", "b").agg(F.max("approx").alias("approx"), F.max("err").alias("err"))
+        of_a = Window.partitionBy("a")
+        sym = sym.withColumn("r", F.row_number().over(of_a.orderBy(F.col("approx").desc(), "b")))
+        least = F.min(F.when(F.col("r") <= k, F.col("approx").cast("double"))).over(of_a) - 2 * F.max("err").over(of_a).cast("double") - 1e-9
+        both = sym.withColumn("least", least).filter((F.col("r") <= 4 * k) | (F.col("approx") >= F.col("least"))).select("a", "b")
     pairs = both.distinct()
     left = index.select(F.col("id").alias("a"), F.col("unit").alias("ua"), F.col("cls").alias("ca"))
     right = index.select(F.col("id").alias("b"), F.col("unit").alias("ub"))
