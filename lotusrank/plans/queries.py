@@ -18,6 +18,7 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 P = Params()
 CUT = Params(pool=20, n_docs=5, m_chunks=2)
+ASKED_CUT = Params(pool=50, n_docs=5, m_chunks=2)
 
 
 def query(sql: str | None = None):
@@ -55,10 +56,10 @@ def pool(s, d, p: Params = CUT) -> DataFrame:
     return fusion.scored_pool(table(s, d, "chunks"), p.pool)
 
 
-def asked_pool(s, d) -> DataFrame:
-    """The pool of the labelled query set: the 50 best chunks by BM25 and, as dense score, the cosine of each to the best
+def asked_pool(s, d, p: Params = ASKED_CUT) -> DataFrame:
+    """The pool of the labelled query set: the best chunks by BM25 and, as dense score, the cosine of each to the best
     of them (a stand-in for the question's own vector)."""
-    top = index.top_chunks(index.bm25_scores(chunks(s, d), asked(s, d)), 50)
+    top = index.top_chunks(index.bm25_scores(chunks(s, d), asked(s, d)), p.pool)
     v = _vectors(s, d)
     q = top.filter("rank = 1").select("qid", "chunk_idx").join(v, "chunk_idx").select("qid", F.col("dense").alias("qvec"))
     cos = fusion.dot(F.col("dense"), F.col("qvec")) / fusion.norm(F.col("dense")) / fusion.norm(F.col("qvec"))
@@ -99,7 +100,7 @@ LINEAR = lambda a: f"round({a} * {MM('dense')} + (1 - {a}) * {MM('bm25')}, 9)"
 FU = f"fu AS (SELECT *, {LINEAR(P.alpha)} AS fused FROM pl)"
 FUSED = f"{POOL}, {FU}"
 _IP = lambda a, b: f"list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"
-APOOL = (f"{SC}, tp AS (SELECT qid, chunk_idx, doc_id, s AS bm25, row_number() OVER (PARTITION BY qid ORDER BY s DESC, chunk_idx) AS rnk FROM sc WHERE s > 0 QUALIFY rnk <= 50), v AS (SELECT DISTINCT chunk_idx, dense AS vec FROM emb WHERE dense IS NOT NULL), "
+APOOL = (f"{SC}, tp AS (SELECT qid, chunk_idx, doc_id, s AS bm25, row_number() OVER (PARTITION BY qid ORDER BY s DESC, chunk_idx) AS rnk FROM sc WHERE s > 0 QUALIFY rnk <= {ASKED_CUT.pool}), v AS (SELECT DISTINCT chunk_idx, dense AS vec FROM emb WHERE dense IS NOT NULL), "
          f"qv AS (SELECT qid, vec AS qvec FROM tp JOIN v USING (chunk_idx) WHERE rnk = 1), pl AS (SELECT tp.qid, chunk_idx, doc_id, bm25, coalesce(CASE WHEN {_IP('vec', 'vec')} > 0 AND {_IP('qvec', 'qvec')} > 0 THEN round({_IP('vec', 'qvec')} / sqrt({_IP('vec', 'vec')}) / sqrt({_IP('qvec', 'qvec')}), 5) END, 0.0) AS dense "
          "FROM tp LEFT JOIN v USING (chunk_idx) LEFT JOIN qv ON qv.qid = tp.qid)")
 AFUSED = f"{APOOL}, {FU}"
@@ -458,48 +459,48 @@ _EV = (f"{_AHY}, {GOLD}, gl AS (SELECT * FROM g WHERE qid IN (SELECT qid FROM pl
        "np AS (SELECT qid, count(*) AS n_pred FROM rk WHERE rank <= 5 GROUP BY qid), e AS (SELECT pq.*, coalesce(n_pred, 0) AS n_pred FROM pq LEFT JOIN np USING (qid))")
 
 
-def evaluated(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+def evaluated(s, d, size: Params = ASKED_CUT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The labelled pool, the labels of its questions, and its 20 best documents per question. The pool is scored once."""
-    p = cut(asked_pool(s, d))
+    p = cut(asked_pool(s, d, size))
     g = labels(s, d).join(p.select("qid").distinct(), "qid", "left_semi")
     return p, g, aggregate.rank_docs(fusion.fuse(p, "linear", P.alpha), P.agg, 20, "fused")
 
 
 @query(f"WITH {_EV} SELECT qid, round(inter / n_gold, 6) AS recall, round(CASE WHEN n_pred > 0 THEN inter / n_pred ELSE 0 END, 6) AS precision, (inter > 0)::INT AS hit, round(coalesce(1 / first, 0), 6) AS rr FROM e")
-def question_metrics(s, d):
-    _, g, r = evaluated(s, d)
+def question_metrics(s, d, size=ASKED_CUT):
+    _, g, r = evaluated(s, d, size)
     return evaluate.per_question(r, g).select("qid", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"), "hit", F.round("rr", 6).alias("rr"))
 
 
 @query(f"WITH {_EV} SELECT round(avg(inter / n_gold), 6) AS recall, round(avg(CASE WHEN n_pred > 0 THEN inter / n_pred ELSE 0 END), 6) AS precision, round(avg((inter > 0)::INT), 6) AS hit_rate, round(avg(coalesce(1 / first, 0)), 6) AS mrr, count(*) AS questions FROM e")
-def metrics(s, d):
-    _, g, r = evaluated(s, d)
+def metrics(s, d, size=ASKED_CUT):
+    _, g, r = evaluated(s, d, size)
     return evaluate.metrics(r, g)
 
 
 @query(f"WITH {_EV} SELECT CASE WHEN first IS NULL THEN 'miss' WHEN first = 1 THEN '1' WHEN first <= 3 THEN '2-3' WHEN first <= 5 THEN '4-5' WHEN first <= 10 THEN '6-10' ELSE '11-20' END AS bucket, count(*) AS questions FROM e GROUP BY 1")
-def rank_histogram(s, d):
-    _, g, r = evaluated(s, d)
+def rank_histogram(s, d, size=ASKED_CUT):
+    _, g, r = evaluated(s, d, size)
     return evaluate.rank_histogram(r, g)
 
 
 @query(f"WITH {APOOL}, {GOLD} SELECT round(avg(r), 6) AS ceiling, count(*) AS questions FROM (SELECT g.qid, avg((p.doc_id IS NOT NULL)::INT) AS r FROM g LEFT JOIN (SELECT DISTINCT qid, doc_id FROM pl) p USING (qid, doc_id) WHERE g.qid IN (SELECT qid FROM pl) GROUP BY g.qid)")
-def candidate_ceiling(s, d):
-    p, g, _ = evaluated(s, d)
+def candidate_ceiling(s, d, size=ASKED_CUT):
+    p, g, _ = evaluated(s, d, size)
     return evaluate.ceiling(p, g)
 
 
 @query(f"WITH {APOOL}, {GOLD}, l AS (SELECT bm25, (g.doc_id IS NOT NULL)::INT AS y FROM pl LEFT JOIN g USING (qid, doc_id) WHERE pl.qid IN (SELECT qid FROM g)), r AS (SELECT y, rank() OVER (ORDER BY bm25) + (count(*) OVER (PARTITION BY bm25) - 1) / 2.0 AS r FROM l) "
        "SELECT round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 9) AS auc FROM r")
-def auc_exact(s, d):
-    p, g, _ = evaluated(s, d)
+def auc_exact(s, d, size=ASKED_CUT):
+    p, g, _ = evaluated(s, d, size)
     x = p.join(g.select("qid").distinct(), "qid", "left_semi").join(g.withColumn("label", F.lit(1)), ["qid", "doc_id"], "left")
     return evaluate.auc(x.select(F.coalesce("label", F.lit(0)).alias("label"), F.col("bm25").alias("score")))
 
 
 @query()
-def bootstrap_ci(s, d):
-    p, g, r = evaluated(s, d)
+def bootstrap_ci(s, d, size=P):
+    p, g, r = evaluated(s, d, size)
     a = evaluate.per_question(r, g).select("qid", F.col("recall").alias("a"))
     b = evaluate.per_question(aggregate.rank_docs(p, "max", 20, "bm25"), g).select("qid", F.col("recall").alias("b"))
     return evaluate.bootstrap(a.join(b, "qid").select("qid", (F.col("a") - F.col("b")).alias("delta")))
@@ -521,8 +522,8 @@ def _sweep_sql() -> str:
 
 
 @query(_sweep_sql())
-def sweep_alpha_agg(s, d):
-    p, g, _ = evaluated(s, d)
+def sweep_alpha_agg(s, d, size=ASKED_CUT):
+    p, g, _ = evaluated(s, d, size)
     return evaluate.sweep_fusion(p, g, ALPHAS, AGGS)
 
 
@@ -557,13 +558,13 @@ def _compare(g: DataFrame, rankings: dict[str, DataFrame]) -> DataFrame:
 
 
 @query(_compare_sql(APOOL, [("linear", LINEAR(P.alpha), "pl", "top3"), ("rrf", _RRF, "pl", "top3"), ("dense", "round(dense, 9)", "pl", "top3"), ("bm25", "round(bm25, 9)", "pl", "top3")]))
-def fusion_configs(s, d):
-    p, g, _ = evaluated(s, d)
+def fusion_configs(s, d, size=ASKED_CUT):
+    p, g, _ = evaluated(s, d, size)
     return _compare(g, {f: aggregate.rank_docs(fusion.fuse(p, f, P.alpha), "top3", 20, "fused") for f in ("linear", "rrf", "dense", "bm25")})
 
 
-def asked_scored(s, d, p: DataFrame) -> DataFrame:
-    c = rerank.candidate_cut(fusion.fuse(p, "linear", P.alpha), CUT.n_docs, CUT.m_chunks).join(asked(s, d).groupBy("qid").agg(F.min("question").alias("question")), "qid")
+def asked_scored(s, d, p: DataFrame, size: Params = ASKED_CUT) -> DataFrame:
+    c = rerank.candidate_cut(fusion.fuse(p, "linear", P.alpha), size.n_docs, size.m_chunks).join(asked(s, d).groupBy("qid").agg(F.min("question").alias("question")), "qid")
     return io.late_fetch(c, chunks(s, d), ["text"]).withColumn("ce", rerank.overlap_score())
 
 
@@ -572,15 +573,15 @@ _ASV = (f"{AFUSED}, " + _CAND.split(f"{FUSED}, ")[1] + f", qq AS (SELECT qid, mi
 
 
 @query(_compare_sql(_ASV, [("hybrid", "fused", "fu", "top3"), ("rerank", f"round({P.beta} * {MM('ce')} + {1 - P.beta} * {MM('fused')}, 9)", "sv", "top3")]))
-def rerank_compare(s, d):
-    p, g, _ = evaluated(s, d)
-    return _compare(g, {"hybrid": aggregate.rank_docs(fusion.fuse(p, "linear", P.alpha), "top3", 20, "fused"), "rerank": rerank.rerank_docs(asked_scored(s, d, p), P.beta, "top3", 20)})
+def rerank_compare(s, d, size=ASKED_CUT):
+    p, g, _ = evaluated(s, d, size)
+    return _compare(g, {"hybrid": aggregate.rank_docs(fusion.fuse(p, "linear", P.alpha), "top3", 20, "fused"), "rerank": rerank.rerank_docs(asked_scored(s, d, p, size), P.beta, "top3", 20)})
 
 
 @query()
-def encoder_screen(s, d):
+def encoder_screen(s, d, size=P):
     """Two stand-in encoders on the candidates' own chunks."""
-    p, g, _ = evaluated(s, d)
+    p, g, _ = evaluated(s, d, size)
     c = cut(io.late_fetch(p.select("qid", "doc_id", "chunk_idx").join(asked(s, d).groupBy("qid").agg(F.min("question").alias("question")), "qid"), chunks(s, d), ["text"]))
     scores = {}
     for dim in (32, 256):
@@ -598,8 +599,8 @@ LAMS = [0.0, 0.1, 0.2, 0.4]
     f"q{i} AS (SELECT gl.qid, {lam}::DOUBLE AS config, avg((b{i}.doc_id IS NOT NULL)::INT) AS value FROM gl LEFT JOIN b{i} USING (qid, doc_id) GROUP BY gl.qid)" for i, lam in enumerate(LAMS)) +
     ", al AS (" + " UNION ALL ".join(f"SELECT * FROM q{i}" for i in range(len(LAMS))) + "), h AS (SELECT qid, 1 + (ascii(substr(md5(qid), 1, 1)) % 2) AS half FROM (SELECT DISTINCT qid FROM gl)), "
     "z AS (SELECT config, round(avg(value) FILTER (half = 1), 6) AS first, round(avg(value) FILTER (half = 2), 6) AS second FROM al JOIN h USING (qid) GROUP BY config) SELECT config, first, second, config = (SELECT min(config) FROM z WHERE first = (SELECT max(first) FROM z)) AS chosen FROM z")
-def half_split_lambda(s, d):
-    p, g, r = evaluated(s, d)
+def half_split_lambda(s, d, size=ASKED_CUT):
+    p, g, r = evaluated(s, d, size)
     w, r = cut(prior.prior_weights(table(s, d, "train"), p.select("qid").distinct())), cut(r)
     parts = [evaluate.per_question(prior.apply_prior(r, w, lam, 5), g).select("qid", F.lit(lam).alias("config"), F.col("recall").alias("value")) for lam in LAMS]
     res = parts[0]
@@ -626,16 +627,16 @@ _POS = (f"{AFUSED}, {GOLD}, gp AS (SELECT * FROM g WHERE qid IN (SELECT qid FROM
 
 
 @query(f"WITH {_POS} SELECT qid, chunk_idx FROM ps")
-def mined_positives(s, d):
-    p, g, _ = evaluated(s, d)
+def mined_positives(s, d, size=ASKED_CUT):
+    p, g, _ = evaluated(s, d, size)
     return mining.positives(fusion.fuse(p, "linear", P.alpha), g, chunks(s, d))
 
 
 @query(f"WITH {_ASV}, {GOLD}, t AS (SELECT qid, doc_id, chunk_idx, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, chunk_idx) AS r FROM fu SEMI JOIN g USING (qid, doc_id) QUALIFY r <= 5) "
        "SELECT t.qid, t.chunk_idx FROM t LEFT JOIN sv ON sv.qid = t.qid AND sv.chunk_idx = t.chunk_idx QUALIFY row_number() OVER (PARTITION BY t.qid ORDER BY coalesce(ce, '-inf'::DOUBLE) DESC, r) = 1")
-def mined_positives_by_model(s, d):
-    p, g, _ = evaluated(s, d)
-    return mining.positives_by_model(fusion.fuse(p, "linear", P.alpha), g, asked_scored(s, d, p))
+def mined_positives_by_model(s, d, size=ASKED_CUT):
+    p, g, _ = evaluated(s, d, size)
+    return mining.positives_by_model(fusion.fuse(p, "linear", P.alpha), g, asked_scored(s, d, p, size))
 
 
 _NEG = (f"{_POS}, n1 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, chunk_idx) - 1 AS rn FROM fu), n2 AS (SELECT qid, doc_id, chunk_idx, rn FROM n1 ANTI JOIN g USING (qid, doc_id) WHERE rn BETWEEN 2 AND 79 QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY rn) = 1), "
@@ -643,16 +644,16 @@ _NEG = (f"{_POS}, n1 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY
 
 
 @query(f"WITH {_NEG} SELECT qid, neg_no, chunk_idx FROM ng")
-def mined_negatives(s, d):
-    p, g, _ = evaluated(s, d)
-    return mining.negatives(fusion.fuse(p, "linear", P.alpha), g, 2, 80, 6)
+def mined_negatives(s, d, size=ASKED_CUT, skip=2):
+    p, g, _ = evaluated(s, d, size)
+    return mining.negatives(fusion.fuse(p, "linear", P.alpha), g, skip, 80, 6)
 
 
-def _pairs(s, d) -> DataFrame:
+def _pairs(s, d, size: Params = ASKED_CUT, skip: int = 2) -> DataFrame:
     c = chunks(s, d).filter("text is not null")
-    p, g, _ = evaluated(s, d)
+    p, g, _ = evaluated(s, d, size)
     f = fusion.fuse(p, "linear", P.alpha)
-    return mining.pairs(questions(s, d), mining.positives(f, g, chunks(s, d)), mining.negatives(f, g, 2, 80, 6), c)
+    return mining.pairs(questions(s, d), mining.positives(f, g, chunks(s, d)), mining.negatives(f, g, skip, 80, 6), c)
 
 
 _PAIRS = (f"{_NEG}, qq AS (SELECT qid, min(question) AS query FROM (SELECT qid, question FROM train UNION ALL SELECT qid, question FROM public_official) WHERE question IS NOT NULL GROUP BY qid), tx AS (SELECT chunk_idx, text FROM ch WHERE text IS NOT NULL), "
@@ -660,13 +661,13 @@ _PAIRS = (f"{_NEG}, qq AS (SELECT qid, min(question) AS query FROM (SELECT qid,
 
 
 @query(f"WITH {_PAIRS} SELECT qid, query, positive, negatives[1] AS negative_1, negatives[2] AS negative_2 FROM pa")
-def biencoder_rows(s, d):
-    return mining.biencoder_rows(_pairs(s, d), 2)
+def biencoder_rows(s, d, size=ASKED_CUT, skip=2):
+    return mining.biencoder_rows(_pairs(s, d, size, skip), 2)
 
 
 @query(f"WITH {_PAIRS} SELECT qid, query, positive AS text, 1 AS label FROM pa UNION ALL SELECT qid, query, unnest(negatives[1:2]), 0 FROM pa")
-def crossencoder_rows(s, d):
-    return mining.crossencoder_rows(_pairs(s, d), 2)
+def crossencoder_rows(s, d, size=ASKED_CUT, skip=2):
+    return mining.crossencoder_rows(_pairs(s, d, size, skip), 2)
 
 
 # ---- validation ------------------------------------------------------------------------------------------------------
@@ -702,7 +703,8 @@ for _name, _cols in {**{k: ("rank",) for k in ("bm25_chunks_topk", *(f"bm25_docs
 
 def whole_sql(sql: str) -> str:
     """The same SQL at the sizes of the production run."""
-    for a, b in ((POOL, POOL.replace(f"<= {CUT.pool})", f"<= {P.pool})")), (f"dr = {CUT.n_docs + 1} ", f"dr = {P.n_docs + 1} ")):
+    for a, b in ((POOL, POOL.replace(f"<= {CUT.pool})", f"<= {P.pool})")), (f"dr = {CUT.n_docs + 1} ", f"dr = {P.n_docs + 1} "),
+                 (f"QUALIFY rnk <= {ASKED_CUT.pool})", f"QUALIFY rnk <= {P.pool})"), ("rn BETWEEN 2 AND 79", "rn BETWEEN 5 AND 79")):
         sql = sql.replace(a, b)
     return sql
 
@@ -711,3 +713,7 @@ for _name in ("pool_topk", "minmax_scores", "fuse_linear", "fuse_rrf", "fuse_den
               "ce_blend_docs", "ce_only_docs", "prior_rerank", "changed_by_prior", "padded_topk", "submission_rows"):
     QUERIES[f"{_name}_whole"] = partial(QUERIES[_name], p=P)
     ORACLE[f"{_name}_whole"] = whole_sql(ORACLE[_name])
+for _name in ("question_metrics", "metrics", "rank_histogram", "candidate_ceiling", "auc_exact", "sweep_alpha_agg", "fusion_configs", "rerank_compare", "half_split_lambda", "mined_positives",
+              "mined_positives_by_model", "mined_negatives", "biencoder_rows", "crossencoder_rows"):
+    QUERIES[f"{_name}_whole"] = partial(QUERIES[_name], size=P, **({"skip": 5} if _name in ("mined_negatives", "biencoder_rows", "crossencoder_rows") else {}))
+    ORACLE[f"{_name}_whole"] = whole_sql(ORACLE[_name])
