@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 
@@ -66,6 +67,30 @@ def hash_keys(unit: np.ndarray, tables: int, m: int, probes: int, width: float,
     return out
 
 
+def met_by_probes(m: int, tables: int, probes: int, width: float, cosine: float, pairs: int = 4000, seed: int = 3) -> np.ndarray:
+    """The share of random pairs of this cosine that meet in some table, by number of probes from 0 on. How far apart two
+    projections lie depends on the distance of the vectors only, so one dimension stands for all."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.standard_normal((2, pairs, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = cosine * a + math.sqrt(1 - cosine * cosine) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = (hash_keys(v, tables, m, probes, width, seed) for v in (a, b))
+    hit = (x == y[:, :1]) | (y == x[:, :1])
+    return np.logical_or.accumulate(hit, axis=1).any(axis=0).mean(axis=1)
+
+
+@functools.lru_cache
+def probes_for(m: int, tables: int, width: float, cosine: float = 0.85, met: float = 0.96) -> int:
+    """The fewest probes, and m - 4 or 3 at least, by which a pair of this cosine is met with 0.95 and a margin for the sample."""
+    least, t = max(3, m - 4), 32
+    while True:
+        share = met_by_probes(m, tables, t, width, cosine)
+        if share[-1] >= met or len(share) <= t:
+            return max(least, int(np.argmax(share >= met)) if share[-1] >= met else t)
+        t *= 2
+
+
 def _unit(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     col = batch.column(1)
     dim = len(col[0])
@@ -170,7 +195,7 @@ def usable(df: DataFrame, item: str, vec: str) -> DataFrame:
     return d.select("id", _unit_vector(F.col("v")).alias("unit"))
 
 
-def neighbours(df: DataFrame, item: str, vec: str, k: int = 5, *, min_cos: float = -1.0, tables: int = 4, probes: int | None = None, width: float = 2.0,
+def neighbours(df: DataFrame, item: str, vec: str, k: int = 5, *, min_cos: float = -1.0, tables: int = 5, probes: int | None = None, width: float = 2.0,
                bucket: int = 4000, most: int = 20_000, seed: int = 11) -> DataFrame:
     """(a, b, cosine, rank): up to k most similar items b of every item a, of cosine min_cos or more.
 
@@ -188,7 +213,7 @@ def neighbours(df: DataFrame, item: str, vec: str, k: int = 5, *, min_cos: float
     index = ranked.filter(F.col("nth") <= k + 1).drop("nth")
     n = index.count()
     m = functions_for(n, bucket)
-    probes = max(3, m - 4) if probes is None else probes  # more functions leave more neighbours beside the home bucket
+    probes = probes_for(m, tables, width) if probes is None else probes  # more functions leave more neighbours beside the home bucket
     feed = index.select("id", "unit")
     rows = feed.mapInArrow(_spread(tables, m, probes, width, seed, False), ROWS)
     sizes = feed.mapInArrow(_spread(tables, m, 0, width, seed, True), "key long").groupBy("key").count().filter(F.col("count") > most)
