@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotusrank.functions.scale import cut
 from lotusrank.operators.aggregate import rank_docs
 from lotusrank.operators.fusion import fuse
 from lotusrank.operators.index import chunk_lengths, matched, weight
+from lotusrank.operators.prior import apply_prior
+from lotusrank.operators.rerank import blend, candidate_cut
 from lotusrank.params import Params
 
 
@@ -99,8 +103,11 @@ def sweep_bm25(chunks: DataFrame, questions: DataFrame, gold: DataFrame, k1s: li
 
 def by_config(scores: DataFrame, gold: DataFrame, agg: str, keys: dict[str, str], cfgs: list[str]) -> DataFrame:
     """Recall@5 and MRR by config, for scores with a column cfg: question and config together key one ranking."""
-    both = scores.withColumn("qid", F.concat_ws("#", "qid", "cfg"))
-    ranked = rank_docs(both, agg, 20)
+    return measured(rank_docs(scores.withColumn("qid", F.concat_ws("#", "qid", "cfg")), agg, 20), gold, keys, cfgs)
+
+
+def measured(ranked: DataFrame, gold: DataFrame, keys: dict[str, str], cfgs: list[str]) -> DataFrame:
+    """Recall@5 and MRR by config, for rankings whose qid is question and config together."""
     g = gold.withColumn("cfg", F.explode(F.array(*[F.lit(c) for c in cfgs]))).withColumn("qid", F.concat_ws("#", "qid", "cfg"))
     q = per_question(ranked, g.select("qid", "doc_id"))
     q = q.withColumn("cfg", F.element_at(F.split("qid", "#"), -1))
@@ -114,3 +121,26 @@ def sweep_fusion(pool: DataFrame, gold: DataFrame, alphas: list[float], aggs: li
     parts = [fuse(pool, "linear", a).select("qid", "chunk_idx", "doc_id", F.col("fused").alias("score"), F.lit(f"{a:g}").alias("cfg")) for a in alphas]
     scores = reduce(DataFrame.unionByName, parts)
     return reduce(DataFrame.unionByName, [by_config(scores, gold, a, {"alpha": "double"}, [f"{x:g}" for x in alphas]).select("alpha", F.lit(a).alias("agg"), "recall", "mrr") for a in aggs])
+
+
+def sweep_pool(pool: DataFrame, gold: DataFrame, pools: list[int], alphas: list[float], aggs: list[str]) -> DataFrame:
+    """(pool, alpha, agg, recall, mrr): chunks are scored once for the largest pool; a smaller one is a filter on the ranks
+    by BM25, and is scaled by itself."""
+    w = Window.partitionBy("qid").orderBy(F.col("bm25").desc(), F.col("chunk_idx"))
+    ranked = cut(pool.withColumn("__r", F.row_number().over(w)))
+    grid = [(n, a, f"{n}|{a:g}") for n in pools for a in alphas]
+    parts = [fuse(ranked.filter(F.col("__r") <= n), "linear", a).select("qid", "chunk_idx", "doc_id", F.col("fused").alias("score"), F.lit(cfg).alias("cfg")) for n, a, cfg in grid]
+    scores = cut(reduce(DataFrame.unionByName, parts))
+    return reduce(DataFrame.unionByName, [by_config(scores, gold, g, {"pool": "int", "alpha": "double"}, [c for *_, c in grid]).select("pool", "alpha", F.lit(g).alias("agg"), "recall", "mrr") for g in aggs])
+
+
+def sweep_rerank(pool: DataFrame, gold: DataFrame, weights: DataFrame, score: Callable[[DataFrame], DataFrame], alphas: list[float], betas: list[float], lams: list[float], p: Params = Params(), agg: str = "top2") -> DataFrame:
+    """(alpha, beta, lam, recall, mrr): the model scores each candidate of any alpha once; `score` takes the distinct
+    (qid, chunk_idx) and adds `ce`. Candidates without a score count as 0."""
+    cands = cut(reduce(DataFrame.unionByName, [candidate_cut(fuse(pool, "linear", a), p.n_docs, p.m_chunks).select("qid", "doc_id", "chunk_idx", "fused", F.lit(f"{a:g}").alias("cfg")) for a in alphas]))
+    ce = score(cands.select("qid", "chunk_idx").distinct()).select("qid", "chunk_idx", "ce")
+    d = cut(cands.join(ce, ["qid", "chunk_idx"], "left").fillna(0.0, ["ce"]).withColumn("qid", F.concat_ws("#", "qid", "cfg")))
+    mixed = [blend(d, b).select(F.concat("qid", F.lit(f"|{b:g}")).alias("qid"), "doc_id", "chunk_idx", F.round("score", 9).alias("score")) for b in betas]
+    docs = cut(rank_docs(reduce(DataFrame.unionByName, mixed), agg, p.n_docs))
+    final = reduce(DataFrame.unionByName, [apply_prior(docs, weights, lam, 5).withColumn("qid", F.concat("qid", F.lit(f"|{lam:g}"))) for lam in lams])
+    return measured(final, gold, {"alpha": "double", "beta": "double", "lam": "double"}, [f"{a:g}|{b:g}|{lam:g}" for a in alphas for b in betas for lam in lams])

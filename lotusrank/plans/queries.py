@@ -610,6 +610,23 @@ def half_split_lambda(s, d, size=ASKED_CUT):
     return evaluate.half_split(res, halves)
 
 
+@query()
+def sweep_pool_alpha_agg(s, d):
+    p, g, _ = evaluated(s, d, Params(pool=3000))
+    return evaluate.sweep_pool(p, g, [500, 1000, 2000, 3000], [0.5, 0.6, 0.65, 0.7, 0.75, 0.8], ["max", "top2", "top3", "top5"])
+
+
+@query()
+def sweep_alpha_beta_lambda(s, d):
+    p, g, _ = evaluated(s, d, P)
+
+    def score(c):
+        c = c.join(asked(s, d).groupBy("qid").agg(F.min("question").alias("question")), "qid")
+        return io.late_fetch(c, chunks(s, d), ["text"]).withColumn("ce", rerank.overlap_score())
+    w = cut(prior.prior_weights(table(s, d, "train"), p.select("qid").distinct()))
+    return evaluate.sweep_rerank(p, g, w, score, [0.0, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0], [0.3, 0.5, 0.7, 1.0], LAMS, P)
+
+
 @query("SELECT qid FROM (SELECT DISTINCT qid FROM train) ORDER BY md5(qid || ':0'), qid LIMIT 100")
 def query_sample(s, d):
     return evaluate.sample(table(s, d, "train").select("qid").distinct(), 100)
