@@ -47,6 +47,11 @@ def p5_terms(s, d):
     return termfreq.terms(_t(s, d, "chunks")).select("term", "occurrences", "records", "mark")
 
 
+def p5_ngrams(s, d):
+    """N-grams of one and two terms."""
+    return termfreq.ngram_counts(_t(s, d, "chunks"), "chunk_id", "text", 2)
+
+
 def p6_found(s, d):
     return neighbours.found(_t(s, d, "emb"))
 
