@@ -10,12 +10,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 from lotusrank.functions.scale import cut
 
-ROWS = "key long, role int, id long, scale float, vec binary"
-STEPS = 32767  # a part is stored as a 16-bit share of the vector's largest
+SIGNED = "id long, same binary, regions array<long>"
+BLOCK = "key long, role int, tab int, ids binary, vecs binary, dim int"
+PACK = 64  # vectors in one shipped row
+HOLD = 16_384  # vectors that a map task packs at a time, or visitors that are compared at a time
+COL = 1 << 22  # more than a block has columns
 
 
 def functions_for(n: int, bucket: int = 4000) -> int:
@@ -44,27 +46,36 @@ def probe_sets(m: int, t: int) -> list[tuple[int, ...]]:
     return out
 
 
-def hash_keys(unit: np.ndarray, tables: int, m: int, probes: int, width: float, seed: int) -> np.ndarray:
-    """(tables, 1 + probes, n) keys: column 0 the home bucket, then the perturbed ones in order of estimated success."""
+def hash_keys(unit: np.ndarray, tables: int, m: int, probes: int, width: float, seed: int, lead: int = 0, only: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Two arrays (tables, 1 + probes, n): keys of the buckets, column 0 the home bucket, then the perturbed ones in order
+    of estimated success; and keys of the regions they lie in, which look at the first `lead` functions only. `only`
+    asks for one table."""
     rng = np.random.default_rng(seed)
     n, dim = unit.shape
     sets = probe_sets(m, probes)
-    out = np.empty((tables, 1 + len(sets), n), dtype=np.int64)
+    chosen = range(tables) if only is None else [only]
+    full = np.empty((len(chosen), 1 + len(sets), n), dtype=np.int64)
+    part = np.empty_like(full)
     for t in range(tables):
         a, b = rng.standard_normal((dim, m)), rng.uniform(0, width, m)
         mult = rng.integers(1, 2**62, m, dtype=np.int64) * 2 + 1
+        if t not in chosen:
+            continue
+        i = t if only is None else 0
         f = (unit @ a + b) / width
         cell = np.floor(f).astype(np.int64)
         frac = f - cell
+        outer = np.where(np.arange(m) < lead, mult, 0)
         with np.errstate(over="ignore"):
-            home = (cell * mult).sum(axis=1) + np.int64(t + 1) * np.int64(0x5851F42D4C957F2D)
-            out[t, 0] = home
+            at = np.int64(t + 1) * np.int64(0x5851F42D4C957F2D) + np.int64(dim)
+            full[i, 0], part[i, 0] = (cell * mult).sum(axis=1) + at, (cell * outer).sum(axis=1) + at
             dist = np.concatenate([frac, 1 - frac], axis=1)  # to the lower, to the upper neighbour cell
-            shift = np.concatenate([-mult, mult])
             order = np.argsort(dist, axis=1, kind="stable")
             for p, ranks in enumerate(sets):
-                out[t, 1 + p] = home + shift[order[:, list(ranks)]].sum(axis=1)
-    return out
+                turned = order[:, list(ranks)]
+                full[i, 1 + p] = full[i, 0] + np.concatenate([-mult, mult])[turned].sum(axis=1)
+                part[i, 1 + p] = part[i, 0] + np.concatenate([-outer, outer])[turned].sum(axis=1)
+    return full, part
 
 
 def met_by_probes(m: int, tables: int, probes: int, width: float, cosine: float, pairs: int = 4000, seed: int = 3) -> np.ndarray:
@@ -75,7 +86,7 @@ def met_by_probes(m: int, tables: int, probes: int, width: float, cosine: float,
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     b -= (a * b).sum(axis=1, keepdims=True) * a
     b = cosine * a + math.sqrt(1 - cosine * cosine) * b / np.linalg.norm(b, axis=1, keepdims=True)
-    x, y = (hash_keys(v, tables, m, probes, width, seed) for v in (a, b))
+    x, y = (hash_keys(v, tables, m, probes, width, seed)[0] for v in (a, b))
     hit = (x == y[:, :1]) | (y == x[:, :1])
     return np.logical_or.accumulate(hit, axis=1).any(axis=0).mean(axis=1)
 
@@ -91,164 +102,339 @@ def probes_for(m: int, tables: int, width: float, cosine: float = 0.85, met: flo
         t *= 2
 
 
-def _unit(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    col = batch.column(1)
-    dim = len(col[0])
-    x = np.asarray(col.flatten(), dtype=np.float64).reshape(len(col), dim)
-    return np.asarray(batch.column(0)), x
+def _usable(batch: pa.RecordBatch):
+    """(ids, vectors) of a batch of (id, vector), by length of the vectors; see neighbours for what is left out."""
+    ids, col = batch.column(0), batch.column(1)
+    lens = np.asarray(col.value_lengths().fill_null(0))
+    lens = np.where(np.asarray(ids.is_null()), 0, lens)
+    values = col.values.to_numpy(zero_copy_only=False)
+    begin = np.asarray(col.offsets)[:-1]
+    for dim in np.unique(lens[lens > 0]):
+        rows = np.flatnonzero(lens == dim)
+        x = values[begin[rows][:, None] + np.arange(dim)]
+        ok = (np.abs(x) < 1e30).all(axis=1) & (x != 0).any(axis=1)  # NaN, which also stands for null, is not below
+        if ok.any():
+            yield np.asarray(ids.take(pa.array(rows[ok]))), np.ascontiguousarray(x[ok])
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
 
+def _same(x: np.ndarray) -> list[bytes]:
+    import xxhash
+    return [xxhash.xxh3_128_digest(r.tobytes()) for r in x + 0.0]  # no negative zeros
 
-def _spread(tables: int, m: int, probes: int, width: float, seed: int, keys_only: bool):
+
+def _signed(tables: int, m: int, lead: int, width: float, seed: int):
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                ids, unit = _unit(part)
-                keys = hash_keys(unit, tables, m, 0 if keys_only else probes, width, seed)
-                if keys_only:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].ravel())], names=["key"])
-                    continue
-                peak = np.abs(unit).max(axis=1)
-                packed = np.rint(unit / peak[:, None] * STEPS).astype(np.int16)
-                raw = pa.array([r.tobytes() for r in packed], type=pa.binary())
-                k = keys.shape[0] * keys.shape[1]
-                roles = np.repeat((np.arange(k) % keys.shape[1] > 0).astype(np.int32), len(ids))
-                take = pa.array(np.tile(np.arange(len(ids)), k))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.reshape(-1)), pa.array(roles), pa.array(np.tile(ids, k)), pa.array(np.tile((peak / STEPS).astype(np.float32), k)), raw.take(take)],
-                    names=["key", "role", "id", "scale", "vec"])
+            for ids, x in _usable(batch):
+                regions = hash_keys(_units(x), tables, m, 0, width, seed, lead)[1][:, 0].T
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(_same(x), type=pa.binary()), pa.array(list(regions), type=pa.list_(pa.int64()))], names=["id", "same", "regions"])
     return run
 
 
-def _match(k: int, keep: int, floor: float):
-    """Over rows sorted by bucket: for every vector of a bucket, home or probing, its matches among the home ones. Of
-    more than `keep` it emits the best `keep`, and all others whose exact cosine may still be among the k best.
+def _keyed(batches):
+    for batch in batches:
+        for ids, x in _usable(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(_same(x), type=pa.binary()), pa.array([r.tobytes() for r in x], type=pa.binary())], names=["id", "same", "vec"])
+
+
+def _scatter(ids: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (x ^ (x >> np.uint64(32))).astype(np.int64) & 0x7FFFFFFF
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Vectors with the bytes of equal weight side by side, compressed without loss."""
+    return pa.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, n: int, dim: int, kind: np.dtype) -> np.ndarray:
+    flat = np.frombuffer(pa.decompress(raw, n * dim * kind.itemsize, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(kind.itemsize, -1).T).view(kind).reshape(n, dim)
 
-    err bounds the error of a rough cosine: half a step in every part of both vectors, and single precision.
-    """
-    def flush(parts):
-        ids = np.concatenate([p[0] for p in parts])
-        home = np.concatenate([p[1] for p in parts]) == 0
-        vec = np.concatenate([p[2] for p in parts])
-        off = np.concatenate([p[3] for p in parts]).astype(np.float64) * math.sqrt(vec.shape[1]) / 2
-        if not home.any() or len(ids) < 2:
-            return
-        index, index_ids = vec[home], ids[home]
-        err = off + off[home].max() * (1 + off) + (vec.shape[1] + 8) * 2.0**-23
-        block = max(64, min(1024, 4_000_000 // len(index)))
-        for lo in range(0, len(ids), block):
-            sim = vec[lo:lo + block] @ index.T
-            r, c = np.nonzero(sim >= floor)
-            # only rows with more hits than wanted (one may be the vector itself) are cut
-            many = np.flatnonzero(np.bincount(r, minlength=len(sim)) > keep + 1)
-            if len(many):
-                best = -np.partition(-sim[many], (k, keep), axis=1)
-                least = np.full(len(sim), floor)
-                least[many] = np.maximum(floor, np.minimum(best[:, k] - 2 * err[lo + many] - 1e-9, best[:, keep]))
-                near = sim[r, c] >= least[r]
-                r, c = r[near], c[near]
-            other = ids[lo + r] != index_ids[c]
-            r, c = r[other], c[other]
-            if len(r):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + r]), pa.array(index_ids[c]), pa.array(sim[r, c].astype(np.float32)), pa.array(err[lo + r].astype(np.float32))], names=["a", "b", "approx", "err"])
+
+def _spread(tables: int, m: int, probes: int, lead: int, width: float, seed: int, hot: dict[int, int], kind: np.dtype):
+    """Every vector once to each region that its home bucket (role 0) or a probed bucket (role 1) lies in, with all that
+    meet there. Regions in `hot` are cut into so many parts: a vector is at home in one and visits the others."""
+    hot_keys = np.array(sorted(hot), dtype=np.int64)
+    hot_parts = np.array([hot[x] for x in sorted(hot)], dtype=np.int64)
+
+    def split(at, key, role, ids):
+        where = np.searchsorted(hot_keys, key)
+        many = np.where((where < len(hot_keys)) & (hot_keys[np.minimum(where, len(hot_keys) - 1)] == key), hot_parts[np.minimum(where, len(hot_keys) - 1)], 1)
+        rep = np.repeat(np.arange(len(at)), many)
+        part = np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many)
+        own = _scatter(ids[at]) % many
+        with np.errstate(over="ignore"):
+            new = key[rep] + part * np.int64(0x2545F4914F6CDD1D)
+        return at[rep], new, np.where((role[rep] == 0) & (part == own[rep]), 0, 1)
+
+    def pack(ids, x):
+        regions = hash_keys(_units(x), tables, m, probes, width, seed, lead)[1]
+        out = []
+        for t in range(tables):
+            home, probed = regions[t, 0], regions[t, 1:]
+            p, i = np.nonzero(probed != home)
+            visit = np.unique(np.stack([i, probed[p, i]], axis=1), axis=0)
+            at = np.concatenate([np.arange(len(ids)), visit[:, 0]])
+            key = np.concatenate([home, visit[:, 1]])
+            role = np.repeat([0, 1], [len(ids), len(visit)])
+            if len(hot_keys):
+                at, key, role = split(at, key, role, ids)
+            order = np.lexsort((role, key))
+            at, key, role = at[order], key[order], role[order]
+            head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (role[1:] != role[:-1])])
+            for lo, hi in zip(head, np.r_[head[1:], len(key)]):
+                for a in range(lo, hi, PACK):
+                    sel = at[a:min(a + PACK, hi)]
+                    out.append((int(key[a]), int(role[a]), t, ids[sel].tobytes(), _pack(x[sel]), x.shape[1]))
+        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32()))], names=["key", "role", "tab", "ids", "vecs", "dim"])
 
     def run(batches):
-        parts, key = [], None
+        held: dict[int, list] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.asarray(batch.column(0))
-            role, ids, scale = np.asarray(batch.column(1)), np.asarray(batch.column(2)), np.asarray(batch.column(3))
-            vec = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.int16).reshape(len(keys), -1)
-            cuts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
-            for i in range(len(cuts) - 1):
-                lo, hi = cuts[i], cuts[i + 1]
-                if key is not None and keys[lo] != key and parts:
-                    yield from flush(parts)
-                    parts = []
-                key = keys[lo]
-                parts.append((ids[lo:hi], role[lo:hi], vec[lo:hi].astype(np.float32) * scale[lo:hi, None], scale[lo:hi]))
-        if parts:
-            yield from flush(parts)
+            ids, raw = np.asarray(batch.column(0)), batch.column(1).to_pylist()
+            sizes = np.array([len(r) for r in raw])
+            for size in np.unique(sizes):
+                rows = np.flatnonzero(sizes == size)
+                x = np.frombuffer(b"".join(raw[i] for i in rows), dtype=kind).reshape(len(rows), -1)
+                have = held.setdefault(int(size), [])
+                have.append((ids[rows], x))
+                if sum(len(i) for i, _ in have) >= HOLD:
+                    yield pack(np.concatenate([i for i, _ in have]), np.concatenate([v for _, v in have]))
+                    held[int(size)] = []
+        for have in held.values():
+            if have:
+                yield pack(np.concatenate([i for i, _ in have]), np.concatenate([v for _, v in have]))
     return run
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _unit_vector(s):
-    return s.map(lambda v: (v / np.linalg.norm(v)).tolist())
+class Region:
+    """The vectors at home in one region (or one part of a hot one), by bucket, and the search of them."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, keys, k: int, min_cos: float):
+        self.ids, at = np.unique(ids, return_index=True)
+        self.x, self.keys, self.k, self.min_cos = x[at], keys, k, min_cos
+        self.own, self.unit = self._prepared(self.x)
+        self.order = np.argsort(self.own[0], kind="stable")
+        self.uniq, self.first = np.unique(self.own[0][self.order], return_index=True)
+        self.last = np.r_[self.first[1:], len(self.order)]
+
+    def _prepared(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, unit = [], []
+        for lo in range(0, len(x), HOLD):
+            u = _units(x[lo:lo + HOLD])
+            keys.append(self.keys(u))
+            unit.append(u.astype(np.float32))
+        return np.concatenate(keys, axis=1), np.concatenate(unit)
+
+    def among(self):
+        for lo in range(0, len(self.ids), HOLD):
+            rows = np.arange(lo, min(lo + HOLD, len(self.ids)))
+            yield self._search(self.ids[rows], self.x[rows], self.unit[rows], self.own[:, rows], rows)
+
+    def visited(self, ids: np.ndarray, x: np.ndarray):
+        keys, unit = self._prepared(x)
+        yield self._search(ids, x, unit, keys, None)
+
+    def _search(self, ids, x, unit, keys, rows) -> pa.RecordBatch:
+        """(a, b, cosine): for each vector, the k best of the buckets it probes here."""
+        at = np.searchsorted(self.uniq, keys)
+        p, i = np.nonzero(self.uniq[np.minimum(at, len(self.uniq) - 1)] == keys)
+        pair = np.unique(at[p, i] * np.int64(len(ids)) + i)
+        bucket, i = pair // len(ids), pair % len(ids)
+        head = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+        a, b, c = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        for lo, hi in zip(head, np.r_[head[1:], len(bucket)] if len(bucket) else []):
+            cols = self.order[self.first[bucket[lo]]:self.last[bucket[lo]]]
+            for got in self._compare(i[lo:hi], x, unit, rows, cols):
+                a.append(ids[got[0]])
+                b.append(self.ids[got[1]])
+                c.append(got[2])
+        a, b, c = np.concatenate(a), np.concatenate(b), np.concatenate(c)
+        order = np.lexsort((b, -c, a))
+        a, b, c = a[order], b[order], c[order]
+        new = np.r_[True, a[1:] != a[:-1]][:len(a)]
+        nth = np.arange(len(a)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(a) else a
+        keep = (nth < self.k) & (a != b)
+        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(c[keep])], names=["a", "b", "cosine"])
+
+    def _compare(self, i, x, unit, rows, cols):
+        """(row, column, cosine) of the k best of `cols` for each of the rows i, cosines exact to 9 decimals. Single precision
+        only tells which rows have any; where more than k are near, all of the block is computed in double precision."""
+        near = self.unit[cols].T
+        slack = (x.shape[1] + 8) * 2.0**-23
+        floor = self.min_cos - slack
+        step = max(1, 4_000_000 // len(cols))
+        for lo in range(0, len(i), step):
+            mine = i[lo:lo + step]
+            sim = unit[mine] @ near
+            if rows is not None:  # a vector is no neighbour of itself
+                j = np.searchsorted(cols, rows[mine])
+                own = cols[np.minimum(j, len(cols) - 1)] == rows[mine]
+                sim[np.flatnonzero(own), j[own]] = -2
+            some = np.flatnonzero(sim.max(axis=1) >= floor)
+            if not len(some):
+                continue
+            hit = sim[some] >= floor
+            many = hit.sum(axis=1) > self.k
+            r, j = np.nonzero(hit & ~many[:, None])
+            if len(r):
+                r = some[r]
+                cos = np.round(np.einsum("ij,ij->i", _units(x[mine[r]]), _units(self.x[cols[j]])), 9)
+                ok = cos >= self.min_cos
+                yield mine[r[ok]], cols[j[ok]], cos[ok]
+            r = some[many]
+            if len(r):
+                kth = -np.partition(-sim[r], self.k - 1, axis=1)[:, self.k - 1]
+                near_k = sim[r] >= (kth - 2 * slack)[:, None]
+                wide = near_k.sum(axis=1) > 4 * self.k  # too many within the error: all in double precision
+                q, j = np.nonzero(near_k & ~wide[:, None])
+                if len(q):
+                    q = r[q]
+                    cos = np.round(np.einsum("ij,ij->i", _units(x[mine[q]]), _units(self.x[cols[j]])), 9)
+                    ok = cos >= self.min_cos
+                    yield mine[q[ok]], cols[j[ok]], cos[ok]
+                r = r[wide]
+                if len(r):
+                    yield from self._double(mine, r, x, rows, cols)
+
+    def _double(self, mine, r, x, rows, cols):
+        exact = _units(self.x[cols]).T
+        for lo in range(0, len(r), max(1, 1_000_000 // len(cols))):
+            q = r[lo:lo + max(1, 1_000_000 // len(cols))]
+            whole = np.rint((_units(x[mine[q]]) @ exact) * 1e9).astype(np.int64)
+            key = whole * COL - np.arange(len(cols))  # of equal ones the smaller item, which stands first
+            if rows is not None:
+                key[cols[None, :] == rows[mine[q]][:, None]] = np.iinfo(np.int64).min
+            k = min(self.k, len(cols))
+            j = np.argpartition(-key, k - 1, axis=1)[:, :k]
+            cos = np.take_along_axis(whole, j, axis=1) / 1e9
+            ok = (cos >= self.min_cos) & (np.take_along_axis(key, j, axis=1) > np.iinfo(np.int64).min)
+            at = np.repeat(np.arange(len(q)), k).reshape(len(q), k)
+            yield mine[q[at[ok]]], cols[j[ok]], cos[ok]
+
+
+def _match(k: int, min_cos: float, tables: int, m: int, probes: int, width: float, seed: int, kind: np.dtype):
+    """Over rows sorted by region and role: the vectors at home are held, those that visit pass by in blocks."""
+    def run(batches):
+        key, region, home, guests, held = None, None, [], [], 0
 
+        def keys_of(tab):
+            return lambda unit: hash_keys(unit, tables, m, probes, width, seed, 0, tab)[0][0]
 
-@F.pandas_udf(DoubleType())
-def _cosine(a, b):
-    import pandas as pd
-    return pd.Series([round(float(np.dot(x, y)), 9) for x, y in zip(a, b)], dtype="float64")
+        def settle(tab):
+            nonlocal region, home
+            region = Region(np.concatenate([h[0] for h in home]), np.concatenate([h[1] for h in home]), keys_of(tab), k, min_cos)
+            home = []
+            yield from region.among()
 
+        def pass_by():
+            nonlocal guests, held
+            yield from region.visited(np.concatenate([g[0] for g in guests]), np.concatenate([g[1] for g in guests]))
+            guests, held = [], 0
 
-def usable(df: DataFrame, item: str, vec: str) -> DataFrame:
-    """(id, unit): one unit vector per item. Null, empty and zero vectors and such with null, NaN or infinite parts are
-    not usable, nor are vectors of another length than most have; of different rows of one item any one counts."""
-    v = F.col(vec)
-    ok = F.col(item).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e30)) & F.exists(v, lambda x: x != 0)
-    d = df.filter(v.isNotNull()).filter(ok).select(F.col(item).cast("long").alias("id"), v.alias("v"))
-    usual = d.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    d = d.filter(F.size("v") == (usual["n"] if usual else 0)).dropDuplicates(["id"])
-    return d.select("id", _unit_vector(F.col("v")).alias("unit"))
+        tab = 0
+        for batch in batches:
+            for j in range(batch.num_rows):
+                at = batch.column(0)[j].as_py()
+                if at != key:
+                    if home:
+                        yield from settle(tab)
+                    if guests:
+                        yield from pass_by()
+                    key, region = at, None
+                tab = batch.column(2)[j].as_py()
+                ids = np.frombuffer(batch.column(3)[j].as_py(), dtype=np.int64)
+                raw = batch.column(4)[j].as_py()
+                if batch.column(1)[j].as_py() == 0:
+                    home.append((ids, _unpack(raw, len(ids), batch.column(5)[j].as_py(), kind)))
+                    continue
+                if home:
+                    yield from settle(tab)
+                if region is None:  # nobody is at home here
+                    continue
+                guests.append((ids, _unpack(raw, len(ids), batch.column(5)[j].as_py(), kind)))
+                held += len(ids)
+                if held >= HOLD:
+                    yield from pass_by()
+        if home:
+            yield from settle(tab)
+        if guests:
+            yield from pass_by()
+    return run
 
 
 def neighbours(df: DataFrame, item: str, vec: str, k: int = 5, *, min_cos: float = -1.0, tables: int = 5, probes: int | None = None, width: float = 2.0,
-               bucket: int = 4000, most: int = 20_000, seed: int = 11) -> DataFrame:
+               bucket: int = 4000, region: int = 100_000, most: int = 200_000, seed: int = 11) -> DataFrame:
     """(a, b, cosine, rank): up to k most similar items b of every item a, of cosine min_cos or more.
 
     Every vector is put into one bucket per table and probes the neighbouring buckets most likely to hold its
-    neighbours; buckets are compared by matrix products on 16-bit vectors, and all that the error of these leaves in
-    question are reranked by their exact cosine (9 decimals; ties go to the smaller item). Both directions of a pair that either side finds count.
-
-    Copies: of vectors alike to 4 decimals only the k + 1 smallest items enter the tables, since no other copy can be
-    among anyone's k nearest; the others take their neighbours from that class. Buckets of more than `most` vectors
-    are split, and each part is searched by all that visit the bucket, so nothing is dropped. Empty input: no row.
+    neighbours. Buckets that share their first hash functions form a region of about `region` vectors; a vector is sent
+    once to each region that holds its home or a probed bucket, whatever number of buckets it probes there. In the region
+    buckets are compared by matrix products, and whatever single precision leaves in question is reranked by exact cosine
+    (9 decimals; ties go to the smaller item). Both directions of a pair that either side finds count.
+
+    Null, empty and zero vectors and such with null, NaN or infinite parts have no neighbours; vectors of different
+    lengths are not compared with each other. Repeated rows count once; of different vectors of one item the one of the
+    smallest digest counts. Empty input: no row.
+
+    Copies: of vectors equal in every part only the k + 1 smallest items enter the tables, since no other can be among
+    anyone's k nearest; the others have the neighbours of the smallest of their class. Regions of more than `most` vectors (of 64 parts;
+    fewer of longer ones) are cut into parts by hash, each searched by all that visit the region: a task holds one part
+    and lets the visitors pass by, so its memory is bounded and nothing is dropped.
     """
     spark = df.sparkSession
-    cls = F.xxhash64(F.transform("unit", lambda x: F.round(x, 4)))
-    ranked = cut(usable(df, item, vec).withColumn("cls", cls).withColumn("nth", F.row_number().over(Window.partitionBy("cls").orderBy("id"))))
-    index = ranked.filter(F.col("nth") <= k + 1).drop("nth")
-    n = index.count()
+    kind = np.dtype(np.float32 if df.schema[vec].dataType.elementType.simpleString() == "float" else np.float64)
+    src = df.select(F.col(item).cast("long").alias("id"), F.col(vec).cast("array<float>" if kind.itemsize == 4 else "array<double>").alias("v")).filter("id is not null and v is not null")
+    n, longest = src.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     m = functions_for(n, bucket)
+    lead = min(m, functions_for(n, region)) if n > region else 0
+    most = max(1, most * 64 // max(64, longest or 1))
     probes = probes_for(m, tables, width) if probes is None else probes  # more functions leave more neighbours beside the home bucket
-    feed = index.select("id", "unit")
-    rows = feed.mapInArrow(_spread(tables, m, probes, width, seed, False), ROWS)
-    sizes = feed.mapInArrow(_spread(tables, m, 0, width, seed, True), "key long").groupBy("key").count().filter(F.col("count") > most)
-    hot = cut(sizes.select("key", F.ceil(F.col("count") / most).cast("int").alias("parts")))
-    n_hot = hot.count()
-    if n_hot:
-        small = F.broadcast(hot) if n_hot <= 100_000 else hot
-        home_part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-        joined = rows.join(small, "key", "left")
-        plain = joined.filter("parts is null").drop("parts")
-        split = joined.filter("parts is not null")
-        # a home row is indexed in its own part and looks into all others as a visitor
-        seen = split.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        seen = seen.withColumn("role", F.when((F.col("role") == 0) & (F.col("p") == home_part), 0).otherwise(1))
-        rows = plain.unionByName(seen.withColumn("key", F.xxhash64("key", "p")).drop("parts", "p"))
-    floor = -2.0 if min_cos <= -1 else min_cos - 0.02
-    sorted_rows = rows.repartition(F.col("key")).sortWithinPartitions("key")
-    cand = sorted_rows.mapInArrow(_match(k, 2 * k + 2, floor), "a long, b long, approx float, err float")
-    both = cand.select("a", "b").union(cand.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    if min_cos <= -1:  # keep the exact stage small: the best 4k by the rough cosine, and all that may be among the k best
-        sym = cand.union(cand.select(F.col("b").alias("a"), F.col("a").alias("b"), "approx", "err")).groupBy("a", "b").agg(F.max("approx").alias("approx"), F.max("err").alias("err"))
-        of_a = Window.partitionBy("a")
-        sym = sym.withColumn("r", F.row_number().over(of_a.orderBy(F.col("approx").desc(), "b")))
-        least = F.min(F.when(F.col("r") <= k, F.col("approx").cast("double"))).over(of_a) - 2 * F.max("err").over(of_a).cast("double") - 1e-9
-        both = sym.withColumn("least", least).filter((F.col("r") <= 4 * k) | (F.col("approx") >= F.col("least"))).select("a", "b")
-    pairs = both.distinct()
-    left = index.select(F.col("id").alias("a"), F.col("unit").alias("ua"), F.col("cls").alias("ca"))
-    right = index.select(F.col("id").alias("b"), F.col("unit").alias("ub"))
-    scored = pairs.join(left, "a").join(right, "b").select("a", "ca", "b", _cosine("ua", "ub").alias("cosine")).filter(F.col("cosine") >= min_cos)
+    signed = src.mapInArrow(_signed(tables, m, lead, width, seed), SIGNED).groupBy("id").agg(F.min(F.struct("same", "regions")).alias("m"), F.max("same").alias("other"))
+    signed = cut(signed.select("id", "m.same", "m.regions", (F.col("other") != F.col("m.same")).alias("varied")))
+    # copies: two ranks, so that a class of any size is cut to k + 1 before its rows meet
+    salt = F.pmod(F.xxhash64("id"), F.lit(32)).cast("int")
+    large = signed.groupBy("same").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1)
+    n_large = large.count()
+    small = cut(signed.filter("varied").select("id", F.col("same").alias("keep")))
+    reps = signed
+    if n_large:
+        in_large = signed.join(large.select("same"), "same", "left_semi").select("id", "same", salt.alias("salt"))
+        near = in_large.withColumn("r", F.row_number().over(Window.partitionBy("same", "salt").orderBy("id"))).filter(F.col("r") <= k + 1)
+        heads = cut(near.withColumn("nth", F.row_number().over(Window.partitionBy("same").orderBy("id"))).filter(F.col("nth") <= k + 1).select("id", "same", "nth"))
+        rest = cut(in_large.join(heads.select("id"), "id", "left_anti").select("id", "same", "salt"))
+        small = cut(small.unionByName(rest.select("id", F.lit(None).cast("binary").alias("keep"))))
+        reps = signed.join(rest.select("id"), "id", "left_anti")
+    sizes = reps.select(F.explode("regions").alias("key")).groupBy("key").count().filter(F.col("count") > most)
+    hot = {r["key"]: -(-r["count"] // most) for r in sizes.collect()}  # at most tables * n / most entries
+    feed = src.mapInArrow(_keyed, "id long, same binary, vec binary")
+    n_small = small.count()
+    if n_small:
+        out = small.withColumnRenamed("id", "__id")
+        out = F.broadcast(out) if n_small <= 200_000 else out
+        feed = feed.join(out, F.col("id") == F.col("__id"), "left").filter("__id is null or keep = same")
+    rows = feed.select("id", "vec").mapInArrow(_spread(tables, m, probes, lead, width, seed, hot, kind), BLOCK)
+    met = rows.repartition("key").sortWithinPartitions("key", "role").mapInArrow(_match(k, min_cos, tables, m, probes, width, seed, kind), "a long, b long, cosine double")
+    both = met.union(met.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     best = Window.partitionBy("a").orderBy(F.col("cosine").desc(), F.col("b").asc())
-    near = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("a", "b", "cosine", "rank")
-    # copies beyond the k + 1st: their k nearest are the first k of their class
-    rest = ranked.filter(F.col("nth") > k + 1).select(F.col("id").alias("a"), "cls")
-    heads = ranked.filter(F.col("nth") <= k).select(F.col("id").alias("b"), "cls", F.col("nth").cast("int").alias("rank"))
-    extra = rest.join(heads, "cls").select("a", "b", F.lit(1.0).alias("cosine"), "rank")
+    near = both.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("a", "b", "cosine", "rank")
+    if not n_large:
+        return near
+    # copies beyond the k + 1st: their nearest are those of the smallest of their class, and this itself
+    near = cut(near)
+    first = heads.filter("nth = 1").select(F.col("id").alias("a"), "same")
+    lists = near.join(first, "a").select("same", "b", "cosine").unionByName(first.select("same", F.col("a").alias("b"), F.lit(1.0).alias("cosine")))
+    lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("same").orderBy(F.col("cosine").desc(), F.col("b").asc()))).filter(F.col("rank") <= k)
+    lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    extra = rest.withColumnRenamed("id", "a").join(lists, ["same", "salt"]).select("a", "b", "cosine", "rank")
     return near.unionByName(extra)
 
 
