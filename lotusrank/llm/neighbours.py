@@ -221,7 +221,9 @@ class Region:
     def __init__(self, ids: np.ndarray, x: np.ndarray, keys, k: int, min_cos: float):
         self.ids, at = np.unique(ids, return_index=True)
         self.x, self.keys, self.k, self.min_cos = x[at], keys, k, min_cos
+        self.half = x.shape[1] // 2 if x.shape[1] >= 32 and min_cos > 0.5 else 0
         self.own, self.unit = self._prepared(self.x)
+        self.part = self._part(self.unit)
         self.order = np.argsort(self.own[0], kind="stable")
         self.uniq, self.first = np.unique(self.own[0][self.order], return_index=True)
         self.last = np.r_[self.first[1:], len(self.order)]
@@ -234,16 +236,21 @@ class Region:
             unit.append(u.astype(np.float32))
         return np.concatenate(keys, axis=1), np.concatenate(unit)
 
+    def _part(self, unit: np.ndarray) -> np.ndarray:
+        """Half of every vector and the length of its rest: the inner product of two such is never below that of the wholes."""
+        rest = np.sqrt(np.maximum(0, 1 - np.square(unit[:, :self.half], dtype=np.float64).sum(axis=1))) + 2.0**-20
+        return np.column_stack([unit[:, :self.half], rest.astype(np.float32)]) if self.half else unit
+
     def among(self):
         for lo in range(0, len(self.ids), HOLD):
             rows = np.arange(lo, min(lo + HOLD, len(self.ids)))
-            yield self._search(self.ids[rows], self.x[rows], self.unit[rows], self.own[:, rows], rows)
+            yield self._search(self.ids[rows], self.x[rows], self.unit[rows], self.part[rows], self.own[:, rows], rows)
 
     def visited(self, ids: np.ndarray, x: np.ndarray):
         keys, unit = self._prepared(x)
-        yield self._search(ids, x, unit, keys, None)
+        yield self._search(ids, x, unit, self._part(unit), keys, None)
 
-    def _search(self, ids, x, unit, keys, rows) -> pa.RecordBatch:
+    def _search(self, ids, x, unit, part, keys, rows) -> pa.RecordBatch:
         """(a, b, cosine): for each vector, the k best of the buckets it probes here."""
         at = np.searchsorted(self.uniq, keys)
         p, i = np.nonzero(self.uniq[np.minimum(at, len(self.uniq) - 1)] == keys)
@@ -253,7 +260,7 @@ class Region:
         a, b, c = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         for lo, hi in zip(head, np.r_[head[1:], len(bucket)] if len(bucket) else []):
             cols = self.order[self.first[bucket[lo]]:self.last[bucket[lo]]]
-            for got in self._compare(i[lo:hi], x, unit, rows, cols):
+            for got in self._compare(i[lo:hi], x, unit, part, rows, cols):
                 a.append(ids[got[0]])
                 b.append(self.ids[got[1]])
                 c.append(got[2])
@@ -265,20 +272,33 @@ class Region:
         keep = (nth < self.k) & (a != b)
         return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(c[keep])], names=["a", "b", "cosine"])
 
-    def _compare(self, i, x, unit, rows, cols):
-        """(row, column, cosine) of the k best of `cols` for each of the rows i, cosines exact to 9 decimals. Single precision
-        only tells which rows have any; where more than k are near, all of the block is computed in double precision."""
+    def _compare(self, i, x, unit, part, rows, cols):
+        """(row, column, cosine) of the k best of `cols` for each of the rows i, cosines exact to 9 decimals. Rows that a bound
+        from half of the parts shows to have none are left out, as long as these are most; single precision then tells
+        which have any, and where more than k are near, all of the block is computed in double precision."""
         near = self.unit[cols].T
         slack = (x.shape[1] + 8) * 2.0**-23
         floor = self.min_cos - slack
-        step = max(1, 4_000_000 // len(cols))
-        for lo in range(0, len(i), step):
-            mine = i[lo:lo + step]
-            sim = unit[mine] @ near
+        step = max(1, 2_000_000 // len(cols))
+        first, short = bool(self.half), self.part[cols].T
+
+        def alike(mine, left, right):
+            sim = left[mine] @ right
             if rows is not None:  # a vector is no neighbour of itself
                 j = np.searchsorted(cols, rows[mine])
                 own = cols[np.minimum(j, len(cols) - 1)] == rows[mine]
                 sim[np.flatnonzero(own), j[own]] = -2
+            return sim
+
+        for lo in range(0, len(i), step):
+            mine = i[lo:lo + step]
+            if first:
+                left = mine[alike(mine, part, short).max(axis=1) >= floor]
+                first = 2 * len(left) < len(mine)
+                mine = left
+            if not len(mine):
+                continue
+            sim = alike(mine, unit, near)
             some = np.flatnonzero(sim.max(axis=1) >= floor)
             if not len(some):
                 continue
@@ -423,7 +443,7 @@ def neighbours(df: DataFrame, item: str, vec: str, k: int = 5, *, min_cos: float
         feed = feed.join(out, F.col("id") == F.col("__id"), "left").filter("__id is null or keep = same")
     rows = feed.select("id", "vec").mapInArrow(_spread(tables, m, probes, lead, width, seed, hot, kind), BLOCK)
     met = rows.repartition("key").sortWithinPartitions("key", "role").mapInArrow(_match(k, min_cos, tables, m, probes, width, seed, kind), "a long, b long, cosine double")
-    both = met.union(met.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    both = met.select(F.explode(F.array(F.struct("a", "b", "cosine"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))).alias("m")).select("m.*")
     best = Window.partitionBy("a").orderBy(F.col("cosine").desc(), F.col("b").asc())
     near = both.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("a", "b", "cosine", "rank")
     if not n_large:
