@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from lotusrank.functions.scale import cut
-from lotusrank.llm.scripts import normalize_text
+from lotusrank.functions.scale import cut, shuffle_parts
+from lotusrank.llm.scripts import VIET, normalize_text
 
 # Usual abbreviations of the language, without accents.
 ABBREVIATIONS = {
@@ -31,47 +34,87 @@ CLOSINGS = ["em cam on", "toi xin cam on", "toi cam on", "xin cam on", "em xin c
 # Small words whose presence decides nothing, without accents.
 SMALL = frozenset("tai cua co duoc tu neu nhu thi da vay la ma va o cho ve cac nhung a nhe".split())
 
+# How the syllables of the language begin and end, without accents.
+ONSETS = "ngh ng nh gh gi kh ph qu th tr ch b c d g h k l m n p q r s t v x".split()
+RIMES = ("a ac ach ai am an ang anh ao ap at au ay e ec ech em en eng enh eo ep et eu i ia ich iec iem ien ieng iep iet ieu im in inh ip it iu "
+         "o oa oac oach oai oam oan oang oanh oao oap oat oay oc oe oen oeo oet oi om on ong ooc oong op ot u ua uan uang uat uay uc ue uech uenh ui um un ung "
+         "uo uoc uoi uom uon uong uop uot uou up ut uu uy uya uych uyen uyet uynh uyt uyu y yem yen yet yeu").split()
+
 _WORD = re.compile(r"\w+")
-_OPEN = sorted((tuple(x.split()) for x in OPENINGS), key=len, reverse=True)
-_CLOSE = sorted((tuple(x.split()) for x in CLOSINGS), key=len, reverse=True)
-CANON = StructType([StructField("canon", StringType()), StructField("sig", StringType())])
-
-
-def plain_words(text: str) -> list[str]:
-    """Words in one spelling: no disguise, no accents, no capitals, abbreviations written out, no polite words around."""
-    s = unicodedata.normalize("NFKD", normalize_text(text).lower()).replace("đ", "d")
-    words = _WORD.findall("".join(c for c in s if not unicodedata.combining(c)))
-    lo, hi, again = 0, len(words), True
-    while again:
-        again = False
-        for x in _OPEN:
-            if hi - lo > len(x) and tuple(words[lo:lo + len(x)]) == x:
-                lo, again = lo + len(x), True
-                break
-        for x in _CLOSE:
-            if hi - lo > len(x) and tuple(words[hi - len(x):hi]) == x:
-                hi, again = hi - len(x), True
-                break
+_SYLLABLE = re.compile(f"(?:{'|'.join(ONSETS)})?(?:{'|'.join(RIMES)})")
+_PLAIN = np.arange(0x2000, dtype=np.uint32)
+for _c in VIET.lower():
+    _PLAIN[ord(_c)] = ord(unicodedata.normalize("NFD", _c)[0].replace("đ", "d"))
+_NUMBER = re.compile(r"\S*\d\S*")
+_OPEN = re.compile(rf"(?:(?:{'|'.join(sorted(OPENINGS, key=len, reverse=True))}) )+(?=.)")
+_CLOSE = re.compile(rf"(?<=.)(?: (?:{'|'.join(sorted(CLOSINGS, key=len, reverse=True))}))+$")
+_LAST = frozenset(x.split()[-1] for x in CLOSINGS)
+_SPELT = {k: v.split() for k, v in ABBREVIATIONS.items()}
+CANON = StructType([StructField("cls", BinaryType()), StructField("line", StringType())])
+#: Words in which two texts may differ on either side.
+SLIPS = 4
+#: Breaks that a match must survive: slips, and the seams of clauses that have moved.
+BROKEN = 5
+
+
+def known_syllable(word: str) -> bool:
+    """Whether a word is a possible syllable of the language."""
+    return bool(_SYLLABLE.fullmatch(word))
+
+
+def _no_closing(words: list[str]) -> list[str]:
+    end = len(words)
+    while end and words[end - 1] in _LAST and (m := _CLOSE.search(" ".join(words[max(0, end - 40):end]))):
+        end -= len(m.group().split())
+    return words[:end]
+
+
+def _unaccented(texts: list[str]) -> list[str]:
+    """No disguise, no accents, no capitals; the usual letters of all texts at once."""
+    whole = "\x00".join(normalize_text(t).replace("\x00", " ").lower() for t in texts)
+    ch = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    low = ch < len(_PLAIN)
+    ch = np.where(low, _PLAIN[np.where(low, ch, 0)], ch).astype("<u4")
+    out = ch.tobytes().decode("utf-32-le", "surrogatepass").split("\x00")
+    for i, s in enumerate(out):
+        if not s.isascii():
+            s = unicodedata.normalize("NFKD", s).replace("đ", "d")
+            out[i] = "".join(c for c in s if not unicodedata.combining(c))
+    return out
+
+
+def plain_words(s: str) -> list[str]:
+    """Words of an unaccented text in one spelling: abbreviations written out, no polite words around."""
+    line = " ".join(_WORD.findall(s))
+    if m := _OPEN.match(line):
+        line = line[m.end():]
+    words = _no_closing(line.split(" ")) if line else []
+    if not _SPELT.keys() & set(words):
+        return words
     out: list[str] = []
-    for w in words[lo:hi]:
+    for w in words:
         if w == "qd" and out and out[-1] == "ai":
             out += ["quyet", "dinh"]
         else:
-            out += ABBREVIATIONS.get(w, w).split()
+            out += _SPELT.get(w, (w,))
     return out
 
 
-def canonical(text: str) -> tuple[str, str]:
-    """(words in alphabetical order without the small ones, numbers): clause order leaves no trace in either, and texts
-    with other numbers ask something else."""
-    words = plain_words(text)
-    kept = sorted(w for w in words if w not in SMALL) or sorted(words)
-    return " ".join(kept), " ".join(w for w in kept if any(c.isdigit() for c in w))
+def canonical(*texts: str) -> list[list[str]]:
+    """The words of every text that decide what is asked, in the order of the text."""
+    found = [plain_words(s) for s in _unaccented(list(texts))]
+    return [[w for w in words if w not in SMALL] or words for words in found]
+
+
+def class_of(words: list[str]) -> bytes:
+    """Texts of equal words are one class: clause order leaves no trace."""
+    return hashlib.blake2b(" ".join(sorted(words)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 @F.pandas_udf(CANON)
 def _canonical(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([canonical(t) for t in s], columns=["canon", "sig"])
+    words = canonical(*s)
+    return pd.DataFrame({"cls": [class_of(w) for w in words], "line": [" ".join(w) for w in words]})
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -96,7 +139,7 @@ def _small_slip(w: str) -> bool:
     return 4 <= len(w) <= 7 and any(len(s) >= 3 and edits(w, s, 1) == 1 for s in SMALL)
 
 
-def same(a: list[str], b: list[str], known: frozenset[str] = frozenset(), slips: int = 4) -> bool:
+def same(a: list[str], b: list[str], known: Callable[[str], bool] = known_syllable, slips: int = SLIPS) -> bool:
     """Whether two word lists differ by slips of the pen only: every word on either side without its equal must be a
     misspelling (one edit, or two in words of four letters and more) of one on the other, or of a small word; at most
     `slips` in all, and none in numbers. Two `known` words are no misspelling of each other."""
@@ -105,21 +148,14 @@ def same(a: list[str], b: list[str], known: frozenset[str] = frozenset(), slips:
     if max(len(left), len(right)) > slips or any(c.isdigit() for w in left + right for c in w):
         return False
     for w in left:
-        near = [(edits(w, v, 2), v) for v in right if w not in known or v not in known]
+        sure = known(w)
+        near = [(edits(w, v, 2), v) for v in right if not sure or not known(v)]
         near = [(d, v) for d, v in near if d <= (2 if min(len(w), len(v)) >= 4 else 1) and min(len(w), len(v)) >= 3]
         if near:
             right.remove(min(near)[1])
-        elif w in known or not _small_slip(w):
+        elif sure or not _small_slip(w):
             return False
-    return all(v not in known and _small_slip(v) for v in right)
-
-
-def established(cls: DataFrame, share: float = 0.001, least: int = 3) -> frozenset[str]:
-    """The words of at least `share` of all texts (and `least` texts): what so many write is no slip. There are at most
-    1 / share times as many as the average text has words, so the set is small however large the corpus."""
-    n = cls.count()
-    df = cls.select(F.explode(F.array_distinct(F.split("canon", " "))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return frozenset(r["w"] for r in df.filter(F.col("n") >= max(least, share * n)).select("w").collect())
+    return all(not known(v) and _small_slip(v) for v in right)
 
 
 class FullTextIndex:
@@ -168,114 +204,233 @@ class FullTextIndex:
         b = np.searchsorted(self.occ, key + hi) - self.base[word]
         return self.first[word] + a, self.first[word] + b
 
-    def maximal_matches(self, queries: list[list[str]], least: int) -> tuple[np.ndarray, ...]:
-        """(query, record, start, end) of all matches of at least `least` words between a query and a record that can't
-        be extended to either side, with start and end in the query; by query, record and start.
-
-        Every position of every query is searched backward for `least` words at once. What a record shares with a query
-        beyond that shows as hits on one diagonal, which are joined into its maximal matches; so a record that shares
-        little is found beside others that share more.
+    def find(self, flat: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffix ranges [lo, hi) of the segments flat[first : first + length], all searched backward at once."""
+        lo, hi = np.zeros(len(first), dtype=np.int64), np.full(len(first), self.n, dtype=np.int64)
+        for back in range(int(length.max(initial=0))):
+            live = np.flatnonzero((length > back) & (lo < hi))
+            word = flat[first[live] + length[live] - 1 - back]
+            hi[live[word == 0]] = 0  # a word of no record
+            live, word = live[word > 0], word[word > 0]
+            lo[live], hi[live] = self.step(word, lo[live], hi[live])
+        return lo, np.maximum(lo, hi)
+
+    def seeds(self, queries: list[list[str]], broken: int = BROKEN) -> tuple[np.ndarray, ...]:
+        """(query, record, start, where): places where a segment of a query stands in a record.
+
+        A query is cut into segments of a fifth of its words, of five words at most and one at least. Of these the broken + 1
+        with the fewest hits are looked up: a record from which at most `broken` segments are lost keeps one of them.
         """
         get = self.vocab.get
         lens = np.fromiter((len(q) for q in queries), dtype=np.int64, count=len(queries))
         flat = np.fromiter((get(w, -1) + 1 for q in queries for w in q), dtype=np.int64, count=int(lens.sum()))
-        qid = np.repeat(np.arange(len(queries)), lens)
-        begin = np.repeat(np.r_[0, np.cumsum(lens)[:-1]], lens)
-        at = np.arange(len(flat))
-        at = at[at - begin >= least - 1]
-        lo, hi = np.zeros(len(at), dtype=np.int64), np.full(len(at), self.n, dtype=np.int64)
-        for back in range(least):
-            word = flat[at - back]
-            known = word > 0
-            at, lo, hi, word = at[known], lo[known], hi[known], word[known]
-            lo, hi = self.step(word, lo, hi)
-            some = lo < hi
-            at, lo, hi = at[some], lo[some], hi[some]
-        n = hi - lo
-        pos = self.sa[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)].astype(np.int64)
-        q = np.repeat(qid[at], n)
-        start = np.repeat(at - least + 1 - begin[at], n)
-        rec, diag = self.record[pos].astype(np.int64), pos - start
-        order = np.lexsort((start, diag, q))  # a diagonal lies in one record, or leaves it where no hit can be
-        q, rec, start, diag = q[order], rec[order], start[order], diag[order]
-        if not len(q):
-            return q, rec, start, start
-        new = np.r_[True, (q[1:] != q[:-1]) | (rec[1:] != rec[:-1]) | (diag[1:] != diag[:-1]) | (start[1:] != start[:-1] + 1)]
-        head = np.flatnonzero(new)
-        tail = np.r_[head[1:] - 1, len(q) - 1]
-        q, rec, lo, hi = q[head], rec[head], start[head], start[tail] + least
-        order = np.lexsort((lo, rec, q))
-        return q[order], rec[order], lo[order], hi[order]
-
-
-def matches(train: list[list[str]], evals: list[list[str]], least: int = 5, cover: float = 0.4):
-    """(train, eval, words covered) of pairs whose maximal matches, merged, cover at least `cover` of the longer text."""
-    index = FullTextIndex(evals)
-    sizes = np.array([len(w) for w in evals])
-    for first in range(0, len(train), 4096):
-        block = train[first:first + 4096]
-        q, rec, lo, hi = index.maximal_matches(block, least)
-        if not len(q):
-            continue
-        new = np.r_[True, (q[1:] != q[:-1]) | (rec[1:] != rec[:-1])]
-        head, group = np.flatnonzero(new), np.cumsum(new) - 1
-        # a span adds to its pair what lies beyond the farthest end before it
-        wide = int(hi.max()) + 1
-        far = np.maximum.accumulate(hi + group * wide) - group * wide
-        prev = np.r_[0, far[:-1]]
-        prev[head] = 0
-        covered = np.add.reduceat(np.maximum(0, hi - np.maximum(lo, prev)), head)
-        mine = np.array([len(w) for w in block])[q[head]]
-        keep = covered >= cover * np.maximum(mine, sizes[rec[head]])
-        yield from zip((first + q[head][keep]).tolist(), rec[head][keep].tolist(), covered[keep].tolist())
-
-
-def _compare(least: int, cover: float, known: frozenset[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, e = pdf[pdf["side"] == "t"]["canon"].tolist(), pdf[pdf["side"] == "e"]["canon"].tolist()
-        out = []
-        if t and e:
-            tw, ew = [x.split(" ") for x in t], [x.split(" ") for x in e]
-            # texts shorter than a match are met as wholes
-            short = defaultdict(list)
-            for j, w in enumerate(ew):
-                if len(w) < 2 * least:
-                    short[len(w)].append(j)
-            if short:
-                exact = {e[j]: j for js in short.values() for j in js}
-                out += [(x, x, len(x.split(" "))) for x in t if x in exact]
-            out += [(t[a], e[b], c) for a, b, c in matches(tw, ew, least, cover) if same(tw[a], ew[b], known)]
-        return pd.DataFrame(out, columns=["train", "eval", "covered"]).drop_duplicates(["train", "eval"])
+        size = np.clip(lens // 5, 1, 5)
+        many = lens // size
+        q = np.repeat(np.arange(len(queries)), many)
+        start = (np.arange(len(q)) - np.repeat(np.cumsum(many) - many, many)) * size[q]
+        base = np.r_[0, np.cumsum(lens)[:-1]]
+        lo, hi = self.find(flat, base[q] + start, size[q])
+        order = np.lexsort((hi - lo, q))
+        q, start, lo, hi = q[order], start[order], lo[order], hi[order]
+        nth = np.arange(len(q)) - np.repeat(np.cumsum(many) - many, many)
+        keep = (nth <= broken) & (hi > lo)
+        q, start, lo, n = q[keep], start[keep], lo[keep], (hi - lo)[keep]
+        where = self.sa[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)].astype(np.int64)
+        return np.repeat(q, n), self.record[where].astype(np.int64), np.repeat(start, n), where
+
+
+def spans(words: list[str], other: list[str], least: int) -> list[tuple[int, int]]:
+    """The maximal matches [start, end) of `least` words or more that cover `words`, from its end backward: each is the
+    longest run before the one behind it that also stands in `other`."""
+    out, end, n = [], len(words), len(words)
+    if n * len(other) <= 250_000:
+        text = f" {' '.join(other)} "
+        while end:
+            lo, run = end, " "
+            while lo and (longer := f" {words[lo - 1]}{run}") in text:
+                lo, run = lo - 1, longer
+            if end - lo >= least:
+                out.append((lo, end))
+            end = lo if lo < end else end - 1
+        return out[::-1]
+    index = FullTextIndex([other])
+    ids = np.fromiter((index.vocab.get(w, -1) + 1 for w in words), dtype=np.int64, count=n)
+    while end:
+        lo, rng = end, (np.zeros(1, dtype=np.int64), np.full(1, index.n, dtype=np.int64))
+        while lo and ids[lo - 1]:
+            rng = index.step(ids[lo - 1:lo], *rng)
+            if rng[0][0] >= rng[1][0]:
+                break
+            lo -= 1
+        if end - lo >= least:
+            out.append((lo, end))
+        end = lo if lo < end else end - 1
+    return out[::-1]
+
+
+def _bits(lists: list[list[str]]) -> np.ndarray:
+    """(n, 2) words of 64 bits: one bit for every word of a text."""
+    out = np.zeros((len(lists), 2), dtype=np.uint64)
+    place: dict[str, tuple[int, int]] = {}
+    for i, ws in enumerate(lists):
+        b = [0, 0]
+        for w in ws:
+            at = place.get(w)
+            if at is None:
+                h = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=2).digest(), "little")
+                at = place[w] = (h & 1, 1 << (h >> 1 & 63))
+            b[at[0]] |= at[1]
+        out[i] = b
+    return out
+
+
+def _numbers(words: list[str]) -> str:
+    return " ".join(sorted(_NUMBER.findall(" ".join(words))))
+
+
+class Shard:
+    """An index of evaluation texts and what decides quickly that a pair can't be the same."""
+
+    def __init__(self, evals: list[list[str]]):
+        self.evals = evals
+        self.index = FullTextIndex(evals)
+        self.size = np.array([len(w) for w in evals])
+        self.bits = _bits(evals)
+        self.sig: dict[str, int] = {}
+        self.num = np.array([self.sig.setdefault(_numbers(w), len(self.sig)) for w in evals])
+
+    def matches(self, train: list[list[str]], known: Callable[[str], bool] = known_syllable):
+        """(training text, evaluation text, words covered, spans) of all pairs that say the same."""
+        for first in range(0, len(train), 4096):
+            block = train[first:first + 4096]
+            q, rec, _, _ = self.index.seeds(block)
+            size, num, bits = np.array([len(w) for w in block]), np.array([self.sig.get(_numbers(w), -1) for w in block]), _bits(block)
+            ok = (num[q] == self.num[rec]) & (np.abs(size[q] - self.size[rec]) <= SLIPS)
+            q, rec = q[ok], rec[ok]
+            ok = np.bitwise_count(bits[q] ^ self.bits[rec]).sum(axis=1) <= 2 * SLIPS
+            pair = np.unique(q[ok] * np.int64(len(self.evals)) + rec[ok])
+            for i, j in zip((pair // len(self.evals)).tolist(), (pair % len(self.evals)).tolist()):
+                if same(block[i], self.evals[j], known):
+                    runs = spans(block[i], self.evals[j], min(5, max(1, len(block[i]) // 5)))
+                    yield first + i, j, sum(hi - lo for lo, hi in runs), runs
+
+
+_FOUND = pa.schema([("train", pa.binary()), ("eval", pa.binary()), ("covered", pa.int32()), ("spans", pa.list_(pa.list_(pa.int32())))])
+
+
+def _search(count: dict[str, int]):
+    """Over rows sorted by shard and role: the evaluation texts of a shard are indexed once, its training texts pass by. Known
+    is a possible syllable that many write."""
+    def run(batches):
+        at, shard, evals, train, asked = None, None, [], [], set()
+
+        def passed():
+            nonlocal train
+            lines = [w.split(" ") for _, w in train]
+            got = [(train[i][0], evals[j][0], c, [list(x) for x in s]) for i, j, c, s in shard.matches(lines, lambda w: w in count and known_syllable(w))]
+            train = []
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*got), _FOUND)], schema=_FOUND)
+
+        for batch in batches:
+            for key, role, cls, line, routes in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if key != at:
+                    if train:
+                        yield from passed()
+                    at, shard, evals, asked = key, None, [], set()
+                if role == 0:
+                    evals.append((cls, line))
+                    asked.update(routes)
+                    continue
+                if asked.isdisjoint(routes):
+                    continue
+                if shard is None:
+                    shard = Shard([w.split(" ") for _, w in evals])
+                train.append((cls, line))
+                if len(train) >= 4096:
+                    yield from passed()
+        if train:
+            yield from passed()
     return run
 
 
 def members(df: DataFrame, key: str, text: str, split: Column, source: Column) -> DataFrame:
-    """(rec, split, source, canon, sig): records with their canonical text; null keys, splits and null or blank texts are none."""
+    """(rec, split, source, cls, line): records with their words; null keys, splits and null or blank texts are none;
+    repeated rows count once in what follows."""
     d = df.select(F.col(key).alias("rec"), split.alias("split"), source.alias("source"), F.col(text).alias("__t"))
     d = d.filter(F.col("rec").isNotNull() & F.col("split").isNotNull() & F.col("__t").rlike(r"[\p{L}\p{N}]"))
-    d = d.withColumn("__c", _canonical("__t")).select("rec", "split", "source", F.col("__c.canon").alias("canon"), F.col("__c.sig").alias("sig"))
-    return d.filter("canon != ''").distinct()
+    d = d.withColumn("__c", _canonical("__t")).select("rec", "split", "source", F.col("__c.cls").alias("cls"), F.col("__c.line").alias("line"))
+    return d.filter("line != ''")
+
+
+def frequent(cls: DataFrame, share: float = 0.001) -> dict[str, int]:
+    """Words of at least `share` of all texts and in how many they stand. There are at most 1 / share times as many as the
+    average text has words, however large the corpus; shares mean the same in a corpus of any size."""
+    n = cls.count()
+    df = cls.select(F.explode(F.array_distinct(F.split("line", " "))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return {r["w"]: r["n"] for r in df.filter(F.col("n") >= share * n).collect()}
+
+
+def _digest(s: str) -> int:
+    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little")
+
+
+def _routes(count: dict[str, int], shards: int):
+    def run(batches):
+        seen: dict[str, tuple[int, int]] = {}
+
+        def place(w: str) -> tuple[int, int]:
+            got = seen.get(w)
+            if got is None:
+                got = seen[w] = (count.get(w, 0), _digest(w))
+            return got
+
+        for batch in batches:
+            seen.clear()
+            key, at, routes = [], [], []
+            for i, line in enumerate(batch.column(2).to_pylist()):
+                words = line.split(" ")
+                sig = _numbers(words)
+                here: dict[int, list[int]] = {}
+                for w in sorted(set(words), key=place)[:SLIPS + 1]:
+                    h = _digest(f"{sig}|{w}")
+                    here.setdefault(h % shards, []).append(h)
+                key += here.keys()
+                routes += here.values()
+                at += [i] * len(here)
+            take = pa.array(at, type=pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(key, type=pa.int64()), *(batch.column(c).take(take) for c in range(3)), pa.array(routes, type=pa.list_(pa.int64()))], names=["shard", "role", "cls", "line", "routes"])
+    return run
 
 
-def class_links(recs: DataFrame, train: str = "train", *, least: int = 5, cover: float = 0.4, shard: int = 300_000, block: int = 2_000_000) -> DataFrame:
-    """(train, eval, covered): pairs of canonical texts of the training split and of another that say the same.
+def class_links(recs: DataFrame, train: str = "train", *, shard: int = 300_000) -> DataFrame:
+    """(train, eval, covered, spans): pairs of classes of the training split and of another that say the same; spans are the
+    maximal matches [start, end) in the words of the training text, and covered counts the words in them.
 
-    Texts are compared as classes of equal canonical text, so copies cost nothing. Texts that may say the same have the
-    same numbers; where the evaluation texts of some numbers have more than `shard` words or the training texts more than
-    `block`, they are cut by hash, and every training block meets every shard. Nothing is dropped: two texts of w words
-    with d words misspelt share a run of (w - d) / (d + 1) words in alphabetical order, so runs of five words lose no
-    pair with one slip in each from 17 words on; shorter texts also meet as wholes.
+    Texts are compared as classes of equal words, so copies cost nothing. Two texts that say the same have the same
+    numbers and at most SLIPS words of their own on each side, so the SLIPS + 1 rarest words of both (by one order of all
+    words) have one in common: a text goes to the shards of its numbers with each of these words, and to no others. A
+    shard is indexed once and those of its training texts pass by that share such a word with an evaluation text. A shard of more than `shard` words of evaluation texts is cut
+    by hash, and its training texts visit every part. Nothing is dropped: what is lost is only a pair with more than BROKEN
+    slips and moved seams, or whose every word is misspelt.
     """
-    side = F.when(F.col("split") == train, "t").otherwise("e")
-    cls = cut(recs.select(side.alias("side"), "sig", "canon").distinct().withColumn("w", F.size(F.split("canon", " "))))
-    size = cls.groupBy("sig").agg(F.sum(F.when(F.col("side") == "t", F.col("w")).otherwise(0)).alias("nt"), F.sum(F.when(F.col("side") == "e", F.col("w")).otherwise(0)).alias("ne")).filter("nt > 0 and ne > 0")
-    h = F.xxhash64("canon")
-    d = cls.join(size, "sig").withColumn("pt", F.ceil(F.col("nt") / block).cast("int")).withColumn("pe", F.ceil(F.col("ne") / shard).cast("int"))
-    every = lambda n: F.sequence(F.lit(0), n - 1)
-    t = d.filter("side = 't'").withColumn("bt", F.pmod(h, F.col("pt")).cast("int")).withColumn("be", F.explode(every(F.col("pe"))))
-    e = d.filter("side = 'e'").withColumn("be", F.pmod(h, F.col("pe")).cast("int")).withColumn("bt", F.explode(every(F.col("pt"))))
-    both = t.select("sig", "bt", "be", "side", "canon").unionByName(e.select("sig", "bt", "be", "side", "canon"))
-    return both.groupBy("sig", "bt", "be").applyInPandas(_compare(least, cover, established(cls)), "train string, eval string, covered int")
+    spark = recs.sparkSession
+    side = F.when(F.col("split") == train, 1).otherwise(0)
+    cls = cut(recs.groupBy(side.alias("role"), "cls").agg(F.min("line").alias("line")))
+    words = cls.filter("role = 0").agg(F.sum(F.size(F.split("line", " ")))).first()[0] or 0
+    shards = max(4 * shuffle_parts(spark), -(-words * (SLIPS + 1) * 2 // shard))
+    count = frequent(cls)
+    rows = cls.mapInArrow(_routes(count, shards), "shard long, role int, cls binary, line string, routes array<long>")
+    size = F.size(F.split("line", " "))
+    big = rows.filter("role = 0").groupBy("shard").agg(F.sum(size).alias("w")).filter(F.col("w") > shard)
+    big = {r["shard"]: -(-r["w"] // shard) for r in big.collect()}  # at most words / shard entries
+    if big:
+        parts = F.coalesce(F.create_map(*[F.lit(x).cast("long") for kv in big.items() for x in kv])[F.col("shard")], F.lit(1).cast("long"))
+        own = F.pmod(F.xxhash64("cls"), parts)
+        every = F.when(F.col("role") == 0, F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), parts - 1))
+        rows = rows.withColumn("part", F.explode(every)).select((F.col("shard") + F.col("part") * F.lit(shards)).alias("shard"), "role", "cls", "line", "routes")
+    met = rows.repartition("shard").sortWithinPartitions("shard", "role").mapInArrow(_search(count), "train binary, eval binary, covered int, spans array<array<int>>")
+    return met.dropDuplicates(["train", "eval"])
 
 
 def questions(train: DataFrame, official: DataFrame) -> DataFrame:
@@ -284,12 +439,12 @@ def questions(train: DataFrame, official: DataFrame) -> DataFrame:
 
 
 def links(recs: DataFrame, train: str = "train") -> DataFrame:
-    """(rec_t, rec_e, split, source): pairs of a training record and one of another split, with the latter's split and source."""
+    """(rec_t, rec_e, split, source, covered): pairs of a training record and one of another split, with the latter's split and source."""
     recs = cut(recs)
-    pairs = class_links(recs, train)
-    t = recs.filter(F.col("split") == train).select(F.col("canon").alias("train"), F.col("rec").alias("rec_t")).distinct()
-    e = recs.filter(F.col("split") != train).select(F.col("canon").alias("eval"), F.col("rec").alias("rec_e"), "split", "source")
-    return pairs.join(t, "train").join(e, "eval").select("rec_t", "rec_e", "split", "source").filter("rec_t != rec_e").distinct()
+    pairs = class_links(recs, train).select("train", "eval", "covered")
+    t = recs.filter(F.col("split") == train).select(F.col("cls").alias("train"), F.col("rec").alias("rec_t")).distinct()
+    e = recs.filter(F.col("split") != train).select(F.col("cls").alias("eval"), F.col("rec").alias("rec_e"), "split", "source").distinct()
+    return pairs.join(t, "train").join(e, "eval").filter("rec_t != rec_e").groupBy("rec_t", "rec_e", "split", "source").agg(F.max("covered").alias("covered"))
 
 
 def found(train: DataFrame, official: DataFrame) -> DataFrame:
@@ -298,6 +453,7 @@ def found(train: DataFrame, official: DataFrame) -> DataFrame:
 
 
 def counts(train: DataFrame, official: DataFrame) -> DataFrame:
-    """(fold, source, n_questions, n_pairs): evaluation questions that also stand in the training split, per fold and source."""
+    """(fold, source, n_questions, n_pairs, n_words): evaluation questions that also stand in the training split, per fold
+    and source, with the words of the training questions that their matches cover."""
     d = links(questions(train, official))
-    return d.groupBy(F.col("split").alias("fold"), "source").agg(F.countDistinct("rec_e").alias("n_questions"), F.countDistinct("rec_t", "rec_e").alias("n_pairs"))
+    return d.groupBy(F.col("split").alias("fold"), "source").agg(F.countDistinct("rec_e").alias("n_questions"), F.countDistinct("rec_t", "rec_e").alias("n_pairs"), F.sum("covered").alias("n_words"))
