@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from lotusrank.functions.scale import cut, shuffle_parts
 from lotusrank.llm.scripts import VIET, normalize_text
@@ -50,7 +50,7 @@ _OPEN = re.compile(rf"(?:(?:{'|'.join(sorted(OPENINGS, key=len, reverse=True))})
 _CLOSE = re.compile(rf"(?<=.)(?: (?:{'|'.join(sorted(CLOSINGS, key=len, reverse=True))}))+$")
 _LAST = frozenset(x.split()[-1] for x in CLOSINGS)
 _SPELT = {k: v.split() for k, v in ABBREVIATIONS.items()}
-CANON = StructType([StructField("cls", BinaryType()), StructField("line", StringType())])
+CANON = StructType([StructField("cls", BinaryType()), StructField("line", StringType()), StructField("sig", LongType())])
 #: Words in which two texts may differ on either side.
 SLIPS = 4
 #: Breaks that a match must survive: slips, and the seams of clauses that have moved.
@@ -111,10 +111,18 @@ def class_of(words: list[str]) -> bytes:
     return hashlib.blake2b(" ".join(sorted(words)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+def _numbers(words: list[str]) -> str:
+    return " ".join(sorted(_NUMBER.findall(" ".join(words))))
+
+
+def _digest(s: str) -> int:
+    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little")
+
+
 @F.pandas_udf(CANON)
 def _canonical(s: pd.Series) -> pd.DataFrame:
     words = canonical(*s)
-    return pd.DataFrame({"cls": [class_of(w) for w in words], "line": [" ".join(w) for w in words]})
+    return pd.DataFrame({"cls": [class_of(w) for w in words], "line": [" ".join(w) for w in words], "sig": [_digest(_numbers(w)) for w in words]})
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -284,10 +292,6 @@ def _bits(lists: list[list[str]]) -> np.ndarray:
     return out
 
 
-def _numbers(words: list[str]) -> str:
-    return " ".join(sorted(_NUMBER.findall(" ".join(words))))
-
-
 class Shard:
     """An index of evaluation texts and what decides quickly that a pair can't be the same."""
 
@@ -355,11 +359,11 @@ def _search(count: dict[str, int]):
 
 
 def members(df: DataFrame, key: str, text: str, split: Column, source: Column) -> DataFrame:
-    """(rec, split, source, cls, line): records with their words; null keys, splits and null or blank texts are none;
+    """(rec, split, source, cls, line, sig): records with their words; null keys, splits and null or blank texts are none;
     repeated rows count once in what follows."""
     d = df.select(F.col(key).alias("rec"), split.alias("split"), source.alias("source"), F.col(text).alias("__t"))
     d = d.filter(F.col("rec").isNotNull() & F.col("split").isNotNull() & F.col("__t").rlike(r"[\p{L}\p{N}]"))
-    d = d.withColumn("__c", _canonical("__t")).select("rec", "split", "source", F.col("__c.cls").alias("cls"), F.col("__c.line").alias("line"))
+    d = d.withColumn("__c", _canonical("__t")).select("rec", "split", "source", F.col("__c.cls").alias("cls"), F.col("__c.line").alias("line"), F.col("__c.sig").alias("sig"))
     return d.filter("line != ''")
 
 
@@ -371,11 +375,8 @@ def frequent(cls: DataFrame, share: float = 0.001) -> dict[str, int]:
     return {r["w"]: r["n"] for r in df.filter(F.col("n") >= share * n).collect()}
 
 
-def _digest(s: str) -> int:
-    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little")
-
-
-def _routes(count: dict[str, int], shards: int):
+def _routes(count: dict[str, int], parts: dict[int, int], shards: int):
+    """Where a text goes; see class_links."""
     def run(batches):
         seen: dict[str, tuple[int, int]] = {}
 
@@ -388,13 +389,19 @@ def _routes(count: dict[str, int], shards: int):
         for batch in batches:
             seen.clear()
             key, at, routes = [], [], []
-            for i, line in enumerate(batch.column(2).to_pylist()):
-                words = line.split(" ")
-                sig = _numbers(words)
+            roles, classes, lines, sigs = (batch.column(c).to_pylist() for c in range(4))
+            for i, (role, cls, line, sig) in enumerate(zip(roles, classes, lines, sigs)):
+                n = parts.get(sig, 1)
                 here: dict[int, list[int]] = {}
-                for w in sorted(set(words), key=place)[:SLIPS + 1]:
-                    h = _digest(f"{sig}|{w}")
-                    here.setdefault(h % shards, []).append(h)
+                if n == 1:
+                    here[sig % shards] = [sig]
+                elif n <= SLIPS + 1:
+                    for k in [int.from_bytes(cls[:4], "little") % n] if role == 0 else range(n):
+                        here[shards + _digest(f"{sig} {k}")] = [sig]
+                else:
+                    for w in sorted(set(line.split(" ")), key=place)[:SLIPS + 1]:
+                        h = _digest(f"{sig}|{w}")
+                        here.setdefault(-1 - h % shards, []).append(h)
                 key += here.keys()
                 routes += here.values()
                 at += [i] * len(here)
@@ -408,27 +415,32 @@ def class_links(recs: DataFrame, train: str = "train", *, shard: int = 300_000)
     maximal matches [start, end) in the words of the training text, and covered counts the words in them.
 
     Texts are compared as classes of equal words, so copies cost nothing. Two texts that say the same have the same
-    numbers and at most SLIPS words of their own on each side, so the SLIPS + 1 rarest words of both (by one order of all
-    words) have one in common: a text goes to the shards of its numbers with each of these words, and to no others. A
-    shard is indexed once and those of its training texts pass by that share such a word with an evaluation text. A shard of more than `shard` words of evaluation texts is cut
-    by hash, and its training texts visit every part. Nothing is dropped: what is lost is only a pair with more than BROKEN
-    slips and moved seams, or whose every word is misspelt.
+    numbers, and by these they come to a shard. Where the evaluation texts of some numbers have more than `shard` words,
+    they are cut by hash into parts, which all training texts of these numbers visit; where that would be more than
+    SLIPS + 1 parts, texts go by their words instead: at most SLIPS words on each side are not the other's, so the
+    SLIPS + 1 rarest of both (by one order of all words) have one in common, and a text goes to the shards of its numbers
+    with each of these. So no text is sent to more than SLIPS + 1 shards, however many there are, but to the parts of one
+    that hot words make too large. A shard is indexed once, and its training texts pass by. Nothing is dropped: what is
+    lost is only a pair with more than BROKEN slips and moved seams, or whose every word is misspelt.
     """
     spark = recs.sparkSession
     side = F.when(F.col("split") == train, 1).otherwise(0)
-    cls = cut(recs.groupBy(side.alias("role"), "cls").agg(F.min("line").alias("line")))
-    words = cls.filter("role = 0").agg(F.sum(F.size(F.split("line", " ")))).first()[0] or 0
+    cls = cut(recs.groupBy(side.alias("role"), "cls").agg(F.min("line").alias("line"), F.first("sig").alias("sig")))
+    size = F.size(F.split("line", " "))
+    sizes = cls.filter("role = 0").groupBy("sig").agg(F.sum(size).alias("w"))
+    words = sizes.agg(F.sum("w")).first()[0] or 0
+    parts = {r["sig"]: -(-r["w"] // shard) for r in sizes.filter(F.col("w") > shard).collect()}  # at most words / shard entries
     shards = max(4 * shuffle_parts(spark), -(-words * (SLIPS + 1) * 2 // shard))
     count = frequent(cls)
-    rows = cls.mapInArrow(_routes(count, shards), "shard long, role int, cls binary, line string, routes array<long>")
-    size = F.size(F.split("line", " "))
-    big = rows.filter("role = 0").groupBy("shard").agg(F.sum(size).alias("w")).filter(F.col("w") > shard)
-    big = {r["shard"]: -(-r["w"] // shard) for r in big.collect()}  # at most words / shard entries
-    if big:
-        parts = F.coalesce(F.create_map(*[F.lit(x).cast("long") for kv in big.items() for x in kv])[F.col("shard")], F.lit(1).cast("long"))
-        own = F.pmod(F.xxhash64("cls"), parts)
-        every = F.when(F.col("role") == 0, F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), parts - 1))
-        rows = rows.withColumn("part", F.explode(every)).select((F.col("shard") + F.col("part") * F.lit(shards)).alias("shard"), "role", "cls", "line", "routes")
+    rows = cls.select("role", "cls", "line", "sig").mapInArrow(_routes(count, parts, shards), "shard long, role int, cls binary, line string, routes array<long>")
+    if any(n > SLIPS + 1 for n in parts.values()):
+        big = rows.filter("role = 0 and shard < 0").groupBy("shard").agg(F.sum(size).alias("w")).filter(F.col("w") > shard)
+        big = {r["shard"]: -(-r["w"] // shard) for r in big.collect()}  # at most (SLIPS + 1) * words / shard entries
+        if big:
+            cuts = F.coalesce(F.create_map(*[F.lit(x).cast("long") for kv in big.items() for x in kv])[F.col("shard")], F.lit(1).cast("long"))
+            own = F.pmod(F.xxhash64("cls"), cuts)
+            every = F.when(F.col("role") == 0, F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), cuts - 1))
+            rows = rows.withColumn("part", F.explode(every)).select((F.col("shard") - F.col("part") * F.lit(shards)).alias("shard"), "role", "cls", "line", "routes")
     met = rows.repartition("shard").sortWithinPartitions("shard", "role").mapInArrow(_search(count), "train binary, eval binary, covered int, spans array<array<int>>")
     return met.dropDuplicates(["train", "eval"])
 

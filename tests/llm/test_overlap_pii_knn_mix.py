@@ -78,7 +78,7 @@ def test_sharded_search_equals_brute_force(spark):
     data = [(f"t{i}", t, "train") for i, t in enumerate(base)] + [(f"e{i}", slip(rnd.choice(base)), "val") for i in range(40)]
     want = pairs_by_hand(data)
     assert len(want) >= 30
-    for shard in (300_000, 40):  # the smaller cuts every shard into parts
+    for shard in (300_000, 500, 40):  # parts of each number's texts, then shards by words, these cut again
         assert linked(spark, data, shard=shard) == want
 
 
