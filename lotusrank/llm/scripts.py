@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
@@ -17,9 +18,14 @@ from pyspark.sql.types import StringType
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухԁһԛԝӏѵ", "ABESIJKMHOPCTYXaesijopcyxdhqwlv"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορτυχϲ", "ABEZHIKMNOPTYXayikvoptuxc"))
 ARMENIAN = dict(zip("ՕՍոսհցզ", "OUnuhgq"))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"))
+LISU = dict(zip("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"))
 # Latin letters that look like another Latin letter of the text's language.
 LATIN = {"Ð": "Đ", "Ɖ": "Đ", "ð": "đ", "ɖ": "đ", "ı": "i", "ɑ": "a", "ɡ": "g"}
-TO_LATIN = {**CYRILLIC, **GREEK, **ARMENIAN}
+SCRIPTS = {"CYRILLIC": CYRILLIC, "GREEK": GREEK, "ARMENIAN": ARMENIAN, "CHEROKEE": CHEROKEE, "LISU": LISU}
+TO_LATIN = {k: v for letters in SCRIPTS.values() for k, v in letters.items()}
+#: The other way: how a look is spelt in each script; of two letters of one look the first.
+SPELT = {name: {v: k for k, v in reversed(letters.items())} for name, letters in SCRIPTS.items()}
 
 UNSEEN = "\u00ad\u034f\u061c\u115f-\u1160\u17b4-\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff\ufe00-\ufe0f"
 SPACES = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
@@ -27,14 +33,15 @@ _TONES = ("", "\u0300", "\u0301", "\u0303", "\u0309", "\u0323")
 _BASES = [*"aeiouyAEIOUY", *(x + "\u0302" for x in "aeoAEO"), *(x + "\u0306" for x in "aA"), *(x + "\u031b" for x in "ouOU")]
 VIET = "".join(sorted({unicodedata.normalize("NFC", b + t) for b in _BASES for t in _TONES} | {"đ", "Đ"}))
 #: What may call for a change; texts without a match are in their one form.
-SUSPECT = re.compile(f"[\u0300-\u036f{UNSEEN}{SPACES}\uff01-\uff5e\ufb00-\ufb06\u0370-\u058f\u1f00-\u1fff{''.join(TO_LATIN)}{''.join(LATIN)}]")
+WIDE = "\uff01-\uff5e\uff61-\uffdc\uffe0-\uffe6\ufb00-\ufb06\U0001d400-\U0001d7ff"
+SUSPECT = re.compile(f"[\u0300-\u036f{UNSEEN}{SPACES}{WIDE}\u0370-\u058f\u1f00-\u1fff{''.join(TO_LATIN)}{''.join(LATIN)}]")
 
 _LATIN = str.maketrans(LATIN)
 _LOOKALIKE = re.compile("[" + "".join(TO_LATIN) + "\u0370-\u03ff\u0400-\u04ff\u1f00-\u1fff]")
 _GAP = re.compile(r"[^\w\n]*")
 _UNSEEN = re.compile(f"[{UNSEEN}]")
 _SPACES = re.compile(f"[{SPACES}]")
-_WIDE = re.compile("[\uff01-\uff5e\ufb00-\ufb06]")
+_WIDE = re.compile(f"[{WIDE}]+")
 #: Scripts that write with joiners; emoji sequences need them too.
 _JOINED = ("ARABIC", "DEVANAGARI", "BENGALI", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM", "GUJARATI", "GURMUKHI", "SINHALA", "KHMER", "MYANMAR", "MONGOLIAN", "SYRIAC")
 
@@ -47,29 +54,43 @@ def script(ch: str) -> str:
     return unicodedata.name(ch, "UNKNOWN ").split(" ")[0].replace("FULLWIDTH", "LATIN")
 
 
+def look(c: str) -> str:
+    """What a base letter looks like, as a Latin letter; '' if like none."""
+    return TO_LATIN.get(c) or (c if script(c) == "LATIN" else "")
+
+
 @lru_cache(maxsize=4096)
 def resolved(ch: str) -> frozenset[str]:
     """All scripts in which a letter of this look exists."""
-    own = script(ch)
-    base = unicodedata.normalize("NFD", ch)[0]
-    return frozenset({own, "LATIN"} if base in TO_LATIN else {own})
+    seen = look(unicodedata.normalize("NFD", ch)[0])
+    return frozenset({script(ch)} | ({"LATIN"} | {name for name, letters in SPELT.items() if seen in letters} if seen else set()))
 
 
-def _latin(token: str) -> str:
-    return unicodedata.normalize("NFC", "".join(TO_LATIN.get(c, c) for c in unicodedata.normalize("NFD", token)))
+def spelt(token: str, target: str) -> str:
+    """The token with every letter of another script in its spelling of the script `target`."""
+    def one(c: str) -> str:
+        if not script(c) or script(c) == target:
+            return c
+        return TO_LATIN.get(c, c) if target == "LATIN" else SPELT[target].get(look(c), c)
+    return unicodedata.normalize("NFC", "".join(map(one, unicodedata.normalize("NFD", token))))
 
 
-def classify(token: str) -> str:
-    """`single` (one script, not to be read as Latin), `mixed` (several scripts, readable as Latin alone),
-    `whole` (one other script, but every letter also reads as Latin) or `foreign` (several scripts, no common reading)."""
+def classify(token: str) -> tuple[str, str]:
+    """(kind, script). `single`: one script, not to be read as Latin; `whole`: one other script, but every letter also reads
+    as Latin; `mixed`: several scripts, all readable as the one given, which is Latin where that is possible, else one
+    in which most of the letters are written; `foreign`: several scripts without such a reading."""
     sets = [resolved(c) for c in token if script(c)]
     if not sets:
-        return "single"
-    own = {script(c) for c in token} - {""}
+        return "single", ""
+    own = Counter(script(c) for c in token if script(c))
     common = frozenset.intersection(*sets)
     if len(own) == 1:
-        return "whole" if own != {"LATIN"} and "LATIN" in common else "single"
-    return "mixed" if "LATIN" in common else "foreign"
+        name = next(iter(own))
+        return ("whole", name) if name != "LATIN" and "LATIN" in common else ("single", name)
+    if "LATIN" in common:
+        return "mixed", "LATIN"
+    most = max(own, key=lambda name: (own[name], name))
+    return ("mixed", most) if most in common and 2 * own[most] > own.total() else ("foreign", "")
 
 
 def _keeps_joiner(text: str, at: int) -> bool:
@@ -87,10 +108,10 @@ def normalize_text(text: str) -> str:
     wholly in another script) stays.
 
     Unseen characters go (but joiners inside scripts and emoji that need them), other spaces become the plain one,
-    wide forms and Latin ligatures their plain letters, accents are joined with their letter. For every token the
-    scripts its letters can be read in are intersected: tokens of mixed scripts get their Latin spelling, and so do
-    tokens of one other script that can be read as Latin throughout, unless they stand beside a word that is certainly
-    of that script, or are one Greek letter alone.
+    wide, narrow and mathematical forms and Latin ligatures their plain letters, accents are joined with their letter. For every token the
+    scripts its letters can be read in are intersected: tokens of mixed scripts get the spelling of the script that is left
+    (see classify), and tokens of one other script that can be read as Latin throughout get their Latin spelling, unless
+    they stand beside a word that is certainly of that script, or are one Greek letter alone.
     """
     if not SUSPECT.search(text):
         return text
@@ -125,7 +146,7 @@ def _certain(text: str, lo: int, hi: int, own: str) -> bool:
     for at in (right, left - 1):
         if 0 <= at < len(text) and _letter(text[at]):
             word = text[slice(*_token_at(text, at))]
-            if classify(word) == "single" and script(next(c for c in word if script(c))) == own:
+            if classify(word) == ("single", own):
                 return True
     return False
 
@@ -136,14 +157,14 @@ def _respell(text: str) -> str:
         lo, hi = _token_at(text, m.start())
         at = max(hi, m.end())
         tok = text[lo:hi]
-        kind = classify(tok)
+        kind, name = classify(tok)
         if kind == "whole":
-            own = script(next(c for c in tok if script(c)))
-            alone = own == "GREEK" and sum(1 for c in tok if script(c)) == 1
-            if alone or _certain(text, lo, hi, own):
+            alone = name == "GREEK" and sum(1 for c in tok if script(c)) == 1
+            if alone or _certain(text, lo, hi, name):
                 continue
+            name = "LATIN"
         if kind in ("mixed", "whole"):
-            out += [text[last:lo], _latin(tok)]
+            out += [text[last:lo], spelt(tok, name)]
             last = hi
     return "".join(out) + text[last:]
 

@@ -10,19 +10,21 @@ from lotusrank.llm import scripts, splitting, tokens
 @pytest.mark.parametrize("text, want", [
     ("рháр luật", "pháp luật"), ("do аі quyết", "do ai quyết"), ("Ðông Ɖá", "Đông Đá"), ("ｄâｎ　xã；", "dân xã;"), ("a​b­c﻿", "abc"), ("1 000 m", "1 000 m"),
     (unicodedata.normalize("NFD", "Điều lệ ngườị"), "Điều lệ ngườị"), ("ха̃ hội", "xã hội"), ("", ""), ("plain", "plain"),
+    ("Москвa", "Москва"), ("Ελλάδa", "Ελλάδα"), ("Ꭺpple", "Apple"), ("𝐩𝐡á𝐩 luật", "pháp luật"), ("ｶﾞｷﾞ", "ガギ"), ("ꓔòa án", "Tòa án"),
 ])
 def test_disguises_are_undone(text, want):
     assert scripts.normalize_text(text) == want
     assert scripts.normalize_text(want) == want
 
 
-@pytest.mark.parametrize("text", ["«Договор аренды»", "то аренды", "“Λιμάνι”", "Δ và λ", "12 m³ ± 3 ‰ ½ …", "dòng\r\nhai\tba", "Café Société", "👨‍👩", "中文 – “ok”"])
+@pytest.mark.parametrize("text", ["«Договор аренды»", "то аренды", "“Λιμάνι”", "Δ và λ", "12 m³ ± 3 ‰ ½ …", "dòng\r\nhai\tba", "Café Société", "👨‍👩", "中文 – “ok”", "10 kΩ", "5 µA", "Москва", "①②", "дa"])
 def test_what_belongs_there_stays(text):
     assert scripts.normalize_text(text) == text
 
 
 def test_scripts_are_classified():
-    assert [scripts.classify(x) for x in ("abc", "рháр", "аі", "договор", "дa", "12")] == ["single", "mixed", "whole", "single", "foreign", "single"]
+    assert [scripts.classify(x) for x in ("abc", "рháр", "аі", "договор", "дa", "12")] == [("single", "LATIN"), ("mixed", "LATIN"), ("whole", "CYRILLIC"), ("single", "CYRILLIC"), ("foreign", ""), ("single", "")]
+    assert scripts.classify("Москвa") == ("mixed", "CYRILLIC") and scripts.classify("kΩ") == ("foreign", "")
 
 
 def test_found_counts_repeats_once_and_skips_nulls(spark):
