@@ -70,7 +70,23 @@ def test_fusion_matches_numpy(spark):
         assert [i for _, i in order] == [i for i, _ in sorted(((k[1], v[1]) for k, v in got.items() if k[0] == q), key=lambda x: x[1])]
 
 
+def test_three_scores_of_which_one_disagrees(spark):
+    """The projection is the first principal component of the rank-transformed scores, turned to the side of most weight."""
+    rnd = random.Random(7)
+    data = []
+    for k in range(200):
+        x = rnd.gauss(0, 1)
+        data.append(("q", k, x + rnd.gauss(0, 0.3), 1000 * x + rnd.gauss(0, 500), -x + rnd.gauss(0, 0.8)))
+    got = {r.chunk_idx: r.projection for r in fuse.fuse(spark.createDataFrame(data, "qid string, chunk_idx long, a double, b double, c double"), "qid", "chunk_idx", {"a": 1, "b": 1, "c": 1}).collect()}
+    ranks = np.column_stack([np.argsort(np.argsort([d[c] for d in data])) for c in (2, 3, 4)]) + 1.0
+    z = (ranks - ranks.mean(axis=0)) / ranks.std(axis=0)
+    load = np.linalg.eigh(np.corrcoef(z.T))[1][:, -1]
+    load *= np.sign(load.sum())
+    assert load[2] < 0 < load[0] and np.allclose([got[d[1]] for d in data], z @ load, atol=1e-6)
+
+
 def test_components_take_declared_signs():
+    assert fuse.first_component(np.array([[1, 0.8, -0.5], [0.8, 1, -0.5], [-0.5, -0.5, 1]]), [1, 1, -1]) == pytest.approx([0.6108, 0.6108, -0.5038], abs=1e-4)
     assert fuse.first_component(np.array([[1, -0.8], [-0.8, 1]]), [1, 1]) == pytest.approx([math.sqrt(0.5)] * 2)
     assert fuse.first_component(np.eye(2), [1, -1]) == pytest.approx([math.sqrt(0.5), -math.sqrt(0.5)])
     assert fuse.first_component(np.array([[1, np.nan], [np.nan, np.nan]]), [1, 1]) == pytest.approx([1, 0])
