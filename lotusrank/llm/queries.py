@@ -48,8 +48,8 @@ def p5_terms(s, d):
 
 
 def p5_ngrams(s, d):
-    """N-grams of one and two terms."""
-    return termfreq.ngram_counts(_t(s, d, "chunks"), "chunk_id", "text", 2)
+    """N-grams of one to three terms."""
+    return termfreq.ngram_counts(_t(s, d, "chunks"), "chunk_id", "text", 3)
 
 
 def p6_found(s, d):

@@ -29,6 +29,12 @@ k AS (SELECT *, CASE WHEN records <= 1 THEN 'rare' WHEN records > (SELECT count(
 ORACLE["p5_found"] = _TERMS + " SELECT term, mark FROM k WHERE mark IS NOT NULL"
 ORACLE["p5_terms"] = _TERMS + " SELECT term, occurrences::BIGINT AS occurrences, records, mark FROM k"
 
+ORACLE["p5_ngrams"] = r"""
+WITH c AS (SELECT chunk_id, min(text) AS text FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id),
+t AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM c WHERE text IS NOT NULL),
+g AS (SELECT chunk_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS term FROM t, (SELECT unnest([1, 2, 3]) AS n))
+SELECT term, n::INT AS n, count(*) AS occurrences, count(DISTINCT chunk_id) AS records FROM g GROUP BY term, n"""
+
 ORACLE["p6_found"] = r"""
 WITH v AS (SELECT chunk_idx AS id, min(dense)::DOUBLE[] AS x FROM emb WHERE dense IS NOT NULL GROUP BY chunk_idx),
 u AS (SELECT id, x FROM v WHERE list_inner_product(x, x) > 0),
