@@ -76,13 +76,12 @@ def _spread(docs: DataFrame, parts: list[dict], seed: int) -> DataFrame:
 def schedule(spark, blocks: list[tuple[str, int]]) -> DataFrame:
     """(source, block, slot): an order of all blocks in which every stretch holds the sources in their proportions.
 
-    Point k of the golden-ratio sequence is mapped through the cumulative block counts to a source, whose r-th point
-    takes its r-th block. The sequence is drawn somewhat longer than the number of blocks, since a source's count among
-    the first points may be off by its discrepancy; points beyond a source's blocks are dropped.
+    As many points of the golden-ratio sequence as there are blocks are mapped through the cumulative block counts to
+    sources, and a source's r-th point takes its r-th block. A source's count among the points is off by its discrepancy,
+    which grows with the logarithm of their number: so few points are left over by some sources and so few blocks by
+    others, and these come together in the same order.
     """
     total = sum(n for _, n in blocks)
-    rarest = min(n for _, n in blocks) / total
-    drawn = total + math.ceil((4 * math.log(total + 2) + 8) / rarest)
     # The fractional part of k * GOLDEN, with k split so that the product keeps its digits.
     hi, lo = F.floor(F.col("id") / 65536), F.col("id") % 65536
     u = (F.pmod(hi * F.lit((65536 * GOLDEN) % 1.0), F.lit(1.0)) + F.pmod(lo * F.lit(GOLDEN), F.lit(1.0))) % 1.0
@@ -93,17 +92,25 @@ def schedule(spark, blocks: list[tuple[str, int]]) -> DataFrame:
         edges.append((edge, s))
     for e, s in reversed(edges[:-1]):
         src = F.when(F.col("u") < F.lit(e), F.lit(s)).otherwise(src)
-    slots = spark.range(drawn).select(F.col("id").alias("slot"), u.alias("u")).select("slot", src.alias("source"), F.lit(1).alias("__one"))
-    return with_group_offsets(slots, ["source"], [F.col("slot")], "__one", "block").select("source", "block", "slot")
+    slots = spark.range(total).select(F.col("id").alias("slot"), u.alias("u")).select("slot", src.alias("source"), F.lit(1).alias("__one"))
+    drawn = cut(with_group_offsets(slots, ["source"], [F.col("slot")], "__one", "block").select("source", "block", "slot"))
+    own = F.lit(0)
+    for s, n in blocks:
+        own = F.when(F.col("source") == s, F.lit(n)).otherwise(own)
+    over = drawn.filter(F.col("block") >= own).select("slot").orderBy("slot").collect()
+    got = {r["source"]: r["n"] for r in drawn.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    short = sorted(((k + 1) / (n + 1), s, k) for s, n in blocks for k in range(got.get(s, 0), n))
+    rest = [(s, k, r["slot"]) for (_, s, k), r in zip(short, over)]
+    return drawn.filter(F.col("block") < own).unionByName(spark.createDataFrame(rest, drawn.schema))
 
 
-def mixture(docs: DataFrame, targets: DataFrame, *, total: int | str | None = None, block: int = 8192, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, targets: DataFrame, *, total: int | str | None = "exact", block: int = 8192, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(mixture, shares) of documents with columns doc_id, source, n_tokens.
 
     mixture: slot, source, block, doc_id, epoch, n_tokens; order by (slot, epoch, doc_id) to read it. shares: source,
     target_share, actual_share, n_tokens, n_documents, max_repeats for every listed source. `total` is the size wanted:
-    by default that of all documents of the listed sources, at which scarce sources fall short of their shares as far as
-    max_repeats makes them; "exact" takes the largest size at which every source with documents reaches its share.
+    by default ("exact") the largest at which every source with documents reaches its share; None takes the size of all
+    documents of the listed sources, at which scarce sources fall short as far as max_repeats makes them.
 
     Shares: see allocate. A document is used at most max_repeats times (null: once), and again only when all others of
     its source have been used as often. Documents without tokens, without or of an unlisted source are not used;
