@@ -363,7 +363,8 @@ def members(df: DataFrame, key: str, text: str, split: Column, source: Column) -
     repeated rows count once in what follows."""
     d = df.select(F.col(key).alias("rec"), split.alias("split"), source.alias("source"), F.col(text).alias("__t"))
     d = d.filter(F.col("rec").isNotNull() & F.col("split").isNotNull() & F.col("__t").rlike(r"[\p{L}\p{N}]"))
-    d = d.withColumn("__c", _canonical("__t")).select("rec", "split", "source", F.col("__c.cls").alias("cls"), F.col("__c.line").alias("line"), F.col("__c.sig").alias("sig"))
+    # as non-deterministic, the function runs once, not again for the filter on its result
+    d = d.withColumn("__c", _canonical.asNondeterministic()("__t")).select("rec", "split", "source", F.col("__c.cls").alias("cls"), F.col("__c.line").alias("line"), F.col("__c.sig").alias("sig"))
     return d.filter("line != ''")
 
 
