@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import os
+import shutil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,20 +14,26 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; fall back to an own one only where none is set (tests)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, which all executors share; only where none is set, and only on a local master
+    (tests), an own one beside the working folder, which is removed at the end."""
     jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lotusrank-ckpt-"))
+    if not jsc.getCheckpointDir().isDefined():
+        if named is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            here = os.getcwd() if os.access(os.getcwd(), os.W_OK) else os.path.expanduser("~")
+            named = os.path.join(here, "spark-warehouse", f"cut-{spark.sparkContext.applicationId}")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(named)
+    return jsc.getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later reads see one fixed copy in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Reliable checkpoint: later reads see one fixed copy in the shared folder. Set spark.cleaner.referenceTracking.
+    cleanCheckpoints, so that Spark removes it when the plan that reads it is gone."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

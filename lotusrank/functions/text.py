@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 WS = r"[\x09-\x0d\x1c-\x20\x85\p{Z}]"
 #: A token: a longest run of letters, digits and underscores.
 TOKEN = r"[\p{L}\p{N}_]+"
-ARTICLE = r"(?md)^[\x09-\x0d\x1c-\x20\x85\p{Z}]*(Điều[\x09-\x0d\x1c-\x20\x85\p{Z}]+\p{Nd}+[a-zđ]?)[\x09-\x0d\x1c-\x20\x85\p{Z}]*[.:]?"
-CLAUSE = r"(?md)^[\x09-\x0d\x1c-\x20\x85\p{Z}]*(\p{Nd}+)\.[\x09-\x0d\x1c-\x20\x85\p{Z}]"
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:

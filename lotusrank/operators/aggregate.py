@@ -8,22 +8,25 @@ from pyspark.sql import functions as F
 from lotusrank.params import parse_agg
 
 
+def value_of(agg: str, s: Column, nth: Column) -> Column:
+    """The aggregate of a document's scores as an expression of the score and of its rank in the document; top3_log without
+    its divisor."""
+    kind, x = parse_agg(agg)
+    if kind in ("max", "avg"):
+        return F.max(s) if kind == "max" else F.avg(s)
+    if kind == "max+":
+        return F.sum(F.when(nth == 1, s).when(nth == 2, s * x))
+    return F.avg(F.when(nth <= int(x), s))
+
+
 def doc_scores(scores: DataFrame, agg: str, score: str = "score", doc_sizes: DataFrame | None = None) -> DataFrame:
     """(qid, doc_id, score, best_chunk, n_chunks): scores of a document's chunks in the pool under one of the aggregates
     max, avg, topN (mean of the N best, or of those there are), max+W (the best plus W times the second) and top3_log
     (top3 over log1p of the document's chunks in the whole corpus: doc_sizes(doc_id, size))."""
-    kind, x = parse_agg(agg)
-    s = F.col(score)
-    if kind in ("max", "avg"):
-        value: Column = F.max(s) if kind == "max" else F.avg(s)
-        d = scores
-    else:
-        w = Window.partitionBy("qid", "doc_id").orderBy(s.desc(), F.col("chunk_idx"))
-        d = scores.withColumn("__rn", F.row_number().over(w))
-        if kind == "max+":
-            value = F.sum(F.when(F.col("__rn") == 1, s).when(F.col("__rn") == 2, s * x))
-        else:
-            value = F.avg(F.when(F.col("__rn") <= int(x), s))
+    kind, s, d = parse_agg(agg)[0], F.col(score), scores
+    if kind not in ("max", "avg"):
+        d = scores.withColumn("__rn", F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy(s.desc(), F.col("chunk_idx"))))
+    value = value_of(agg, s, F.col("__rn"))
     best = F.max(F.struct(s, -F.col("chunk_idx")))
     out = d.groupBy("qid", "doc_id").agg(value.alias("__v"), best.alias("__b"), F.count(F.lit(1)).alias("n_chunks"))
     out = out.select("qid", "doc_id", F.col("__v").alias("score"), (-F.col("__b.col2")).alias("best_chunk"), "n_chunks", F.col(f"__b.{score}").alias("best_score"))

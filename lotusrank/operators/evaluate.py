@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotusrank.functions.scale import cut
-from lotusrank.operators.aggregate import rank_docs
-from lotusrank.operators.fusion import fuse
-from lotusrank.operators.index import chunk_lengths, matched, weight
+from lotusrank.operators.aggregate import rank_docs, value_of
+from lotusrank.operators.fusion import fuse, minmax
+from lotusrank.operators.index import Index, matched, weight
 from lotusrank.operators.prior import apply_prior
 from lotusrank.operators.rerank import blend, candidate_cut
 from lotusrank.params import Params
@@ -57,22 +57,27 @@ def auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFr
 
 
 def bootstrap(deltas: DataFrame, samples: int = 4000, seed: int = 0) -> DataFrame:
-    """One row: the mean of `delta`, its 2.5 and 97.5 percentiles over resamples, and the share of resamples above 0.
+    """One row: the mean of `delta`, its 2.5 and 97.5 percentiles over resamples, and the share of resamples above 0."""
+    return bootstrap_by(deltas.withColumn("config", F.lit(0)), samples, seed).drop("config")
 
-    Poisson bootstrap: each question's number of draws in each resample comes from a hash of (qid, resample, seed), so
+
+def bootstrap_by(deltas: DataFrame, samples: int = 4000, seed: int = 0) -> DataFrame:
+    """(config, mean, lo, hi, win) over deltas (config, qid, delta); all configs see the same resamples.
+
+    Poisson bootstrap: each question's number of draws in each resample comes from a digest of (qid, resample, seed), so
     every question is resampled where it lies and only sums per resample meet; partitioning can't change the result.
     """
-    drawn = deltas.select("qid", "delta", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
-    u = (F.pmod(F.xxhash64("qid", "b", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    drawn = deltas.select("config", "qid", "delta", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
+    u = (F.conv(F.substring(F.md5(F.concat_ws(":", "qid", F.col("b").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
     term, cum, n = 0.36787944117144233, 0.0, F.lit(0)
     for k in range(9):
         cum += term
         n = n + (u > cum).cast("int")
         term /= k + 1
-    means = drawn.withColumn("n", n).groupBy("b").agg((F.sum(F.col("n") * F.col("delta")) / F.sum("n")).alias("m"))
-    ci = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.avg((F.col("m") > 0).cast("double")).alias("win"))
-    mean = deltas.agg(F.avg("delta")).first()[0]
-    return ci.select(F.lit(mean).cast("double").alias("mean"), F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"), "win")
+    means = drawn.withColumn("n", n).groupBy("config", "b").agg((F.sum(F.col("n") * F.col("delta")) / F.sum("n")).alias("m"))
+    ci = means.groupBy("config").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.avg((F.col("m") > 0).cast("double")).alias("win"))
+    mean = deltas.groupBy("config").agg(F.avg("delta").cast("double").alias("mean"))
+    return mean.join(ci, "config").select("config", "mean", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"), "win")
 
 
 def half_split(results: DataFrame, halves: DataFrame) -> DataFrame:
@@ -90,12 +95,12 @@ def sample(questions: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return questions.orderBy(F.md5(F.concat(F.col("qid"), F.lit(f":{seed}"))), "qid").limit(n)
 
 
-def sweep_bm25(chunks: DataFrame, questions: DataFrame, gold: DataFrame, k1s: list[float], bs: list[float], p: Params = Params(), agg: str = "max") -> DataFrame:
+def sweep_bm25(chunks: DataFrame | Index, questions: DataFrame, gold: DataFrame, k1s: list[float], bs: list[float], p: Params = Params(), agg: str = "max") -> DataFrame:
     """(k1, b, recall, mrr) of every pair: postings are matched once, and all pairs weighed in one pass over them."""
     grid = [(float(k), float(b)) for k in k1s for b in bs]
-    avgdl = chunk_lengths(chunks).agg(F.avg("doclen")).first()[0]
-    sums = [F.round(F.sum(F.col("qtf") * weight(F.col("idf"), F.col("tf"), F.col("doclen"), F.lit(avgdl), k, b)), 6).alias(f"s{i}") for i, (k, b) in enumerate(grid)]
-    wide = matched(chunks, questions, p).groupBy("qid", "chunk_idx", "doc_id").agg(*sums)
+    ix = Index.of(chunks, p)
+    sums = [F.round(F.sum(F.col("qtf") * weight(F.col("idf"), F.col("tf"), F.col("doclen"), F.lit(ix.avgdl), k, b)), 6).alias(f"s{i}") for i, (k, b) in enumerate(grid)]
+    wide = matched(ix, questions, p).groupBy("qid", "chunk_idx", "doc_id").agg(*sums)
     long = F.explode(F.array(*[F.struct(F.lit(f"{k}|{b}").alias("cfg"), F.col(f"s{i}").alias("score")) for i, (k, b) in enumerate(grid)]))
     s = wide.select("qid", "chunk_idx", "doc_id", long.alias("c")).select("qid", "chunk_idx", "doc_id", "c.cfg", "c.score")
     return by_config(s, gold, agg, {"k1": "double", "b": "double"}, [f"{k}|{b}" for k, b in grid])
@@ -116,22 +121,90 @@ def measured(ranked: DataFrame, gold: DataFrame, keys: dict[str, str], cfgs: lis
     return d.select(*[parts[i].cast(t).alias(k) for i, (k, t) in enumerate(keys.items())], "recall", "mrr")
 
 
+def _ranked_by_all(scores: DataFrame, aggs: list[str], topk: int = 20) -> DataFrame:
+    """(qid, rank, doc_id) with the aggregate added to qid after a |: all aggregates of one grouping, ranked in one window.
+    The ties are those of rank_docs."""
+    w = Window.partitionBy("qid", "doc_id").orderBy(F.col("score").desc(), F.col("chunk_idx"))
+    d = scores.withColumn("__rn", F.row_number().over(w))
+    values = [value_of(a, F.col("score"), F.col("__rn")).alias(f"v{i}") for i, a in enumerate(aggs)]
+    d = d.groupBy("qid", "doc_id").agg(*values, F.max("score").alias("best"), F.min(F.when(F.col("__rn") == 1, F.col("chunk_idx"))).alias("chunk"))
+    long = F.explode(F.array(*[F.struct(F.lit(a).alias("agg"), F.round(f"v{i}", 6).alias("score")) for i, a in enumerate(aggs)]))
+    d = d.select("qid", "doc_id", "best", "chunk", long.alias("x")).select(F.concat_ws("|", "qid", "x.agg").alias("qid"), "doc_id", "best", "chunk", "x.score")
+    best = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.round("best", 6).desc(), "chunk", "doc_id")
+    return d.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= topk).select("qid", "rank", "doc_id")
+
+
+def _alphas(pool: DataFrame, alphas: list[float], key: Column) -> DataFrame:
+    """(qid, chunk_idx, doc_id, score), one row per alpha: scores are scaled once within `qid`, alphas exploded beside them;
+    qid becomes question and config, `key` with the alpha after it."""
+    d = pool.select("qid", "chunk_idx", "doc_id", key.alias("__key"), minmax(F.col("dense"), ["qid"]).alias("d"), minmax(F.col("bm25"), ["qid"]).alias("b"))
+    each = F.explode(F.array(*[F.struct(F.lit(f"{a:g}").alias("cfg"), F.round(a * F.col("d") + (1 - a) * F.col("b"), 9).alias("score")) for a in alphas]))
+    d = d.select("qid", "chunk_idx", "doc_id", "__key", each.alias("x"))
+    return d.select(F.concat("__key", "x.cfg").alias("qid"), "chunk_idx", "doc_id", "x.score")
+
+
 def sweep_fusion(pool: DataFrame, gold: DataFrame, alphas: list[float], aggs: list[str]) -> DataFrame:
-    """(alpha, agg, recall, mrr): one pool, scaled once; every alpha is a column expression over it."""
-    parts = [fuse(pool, "linear", a).select("qid", "chunk_idx", "doc_id", F.col("fused").alias("score"), F.lit(f"{a:g}").alias("cfg")) for a in alphas]
-    scores = reduce(DataFrame.unionByName, parts)
-    return reduce(DataFrame.unionByName, [by_config(scores, gold, a, {"alpha": "double"}, [f"{x:g}" for x in alphas]).select("alpha", F.lit(a).alias("agg"), "recall", "mrr") for a in aggs])
+    """(alpha, agg, recall, mrr): one pool, scaled once; every alpha is a row beside each chunk, every aggregate a column of
+    one grouping, and all rankings come from one window keyed by question and config."""
+    ranked = _ranked_by_all(_alphas(pool, alphas, F.concat("qid", F.lit("#"))), aggs)
+    return measured(ranked, gold, {"alpha": "double", "agg": "string"}, [f"{a:g}|{g}" for a in alphas for g in aggs])
 
 
 def sweep_pool(pool: DataFrame, gold: DataFrame, pools: list[int], alphas: list[float], aggs: list[str]) -> DataFrame:
-    """(pool, alpha, agg, recall, mrr): chunks are scored once for the largest pool; a smaller one is a filter on the ranks
-    by BM25, and is scaled by itself."""
+    """(pool, alpha, agg, recall, mrr): chunks are scored once for the largest pool; a smaller one is made of the ranks by BM25
+    it holds, and is scaled by itself."""
     w = Window.partitionBy("qid").orderBy(F.col("bm25").desc(), F.col("chunk_idx"))
-    ranked = cut(pool.withColumn("__r", F.row_number().over(w)))
-    grid = [(n, a, f"{n}|{a:g}") for n in pools for a in alphas]
-    parts = [fuse(ranked.filter(F.col("__r") <= n), "linear", a).select("qid", "chunk_idx", "doc_id", F.col("fused").alias("score"), F.lit(cfg).alias("cfg")) for n, a, cfg in grid]
-    scores = cut(reduce(DataFrame.unionByName, parts))
-    return reduce(DataFrame.unionByName, [by_config(scores, gold, g, {"pool": "int", "alpha": "double"}, [c for *_, c in grid]).select("pool", "alpha", F.lit(g).alias("agg"), "recall", "mrr") for g in aggs])
+    ranked = pool.withColumn("__r", F.row_number().over(w))
+    sizes = F.explode(F.filter(F.array(*[F.lit(n) for n in pools]), lambda n: n >= F.col("__r")))
+    each = ranked.select("chunk_idx", "doc_id", "bm25", "dense", "qid", sizes.alias("n")).withColumn("qid", F.concat_ws("#", "qid", F.col("n").cast("string")))
+    ranked = _ranked_by_all(_alphas(each, alphas, F.concat("qid", F.lit("|"))), aggs)
+    return measured(ranked, gold, {"pool": "int", "alpha": "double", "agg": "string"}, [f"{n}|{a:g}|{g}" for n in pools for a in alphas for g in aggs])
+
+
+def compare_vectors(pools: dict[str, DataFrame], gold: DataFrame, alphas: list[float], agg: str = "top2") -> DataFrame:
+    """(vectors, alpha, recall, mrr): pools that differ in their dense scores only, such as those of a tuned encoder and of its
+    base, over the same alphas."""
+    each = reduce(DataFrame.unionByName, [p.select("qid", "chunk_idx", "doc_id", "bm25", "dense").withColumn("qid", F.concat("qid", F.lit(f"#{name}"))) for name, p in pools.items()])
+    ranked = _ranked_by_all(_alphas(each, alphas, F.concat("qid", F.lit("|"))), [agg])
+    d = measured(ranked, gold, {"vectors": "string", "alpha": "double", "agg": "string"}, [f"{n}|{a:g}|{agg}" for n in pools for a in alphas])
+    return d.drop("agg")
+
+
+def compare_scorers(pairs: DataFrame, scores: DataFrame, gold: DataFrame, betas: list[float], agg: str = "top2") -> DataFrame:
+    """(model, beta, recall, delta, first, second, lo, hi, win): models that have scored the same pairs (qid, doc_id, chunk_idx,
+    fused), blended by every beta; scores (model, qid, chunk_idx, ce). delta, its halves by digest of the question and the
+    interval are against the fused order; a pair that a model has not scored counts as 0."""
+    base = per_question(rank_docs(pairs.withColumn("score", F.round("fused", 9)), agg, 5), gold).select("qid", F.col("recall").alias("base"))
+    models = scores.select("model").distinct()
+    d = pairs.crossJoin(F.broadcast(models)).join(scores, ["model", "qid", "chunk_idx"], "left").fillna(0.0, ["ce"])  # models are a handful
+    d = d.withColumn("qid", F.concat_ws("#", "qid", "model"))
+    mixed = reduce(DataFrame.unionByName, [blend(d, b).select(F.concat("qid", F.lit(f"|{b:g}")).alias("qid"), "doc_id", "chunk_idx", F.round("score", 9).alias("score")) for b in betas])
+    keys = models.select(F.explode(F.array(*[F.concat("model", F.lit(f"|{b:g}")) for b in betas])).alias("config"))
+    g = gold.crossJoin(F.broadcast(keys)).select(F.concat_ws("#", "qid", "config").alias("qid"), "doc_id")
+    q = per_question(rank_docs(mixed, agg, 5), g).select(F.split("qid", "#")[0].alias("qid"), F.element_at(F.split("qid", "#"), -1).alias("config"), "recall")
+    q = cut(q.join(base, "qid").select("config", "qid", "recall", (F.col("recall") - F.col("base")).alias("delta")))
+    half = F.ascii(F.substring(F.md5("qid"), 1, 1)) % 2
+    r6 = lambda c, name: F.round(F.avg(c), 6).alias(name)
+    d = q.groupBy("config").agg(r6("recall", "recall"), r6("delta", "delta"), r6(F.when(half == 0, F.col("delta")), "first"), r6(F.when(half == 1, F.col("delta")), "second"))
+    d = d.join(bootstrap_by(q), "config")
+    parts = F.split("config", r"\|")
+    return d.select(parts[0].alias("model"), parts[1].cast("double").alias("beta"), "recall", "delta", "first", "second", *[F.round(c, 6).alias(c) for c in ("lo", "hi", "win")])
+
+
+def sweep_prior(cands: DataFrame, weights: DataFrame, gold: DataFrame, lams: list[float], halves: DataFrame) -> DataFrame:
+    """(lam, recall, delta, first, second, lo, hi, win, chosen): the prior at every strength against none, on all questions and
+    on both halves (qid, half), with a bootstrap interval; `chosen` is the best on the first half, to be confirmed by the second."""
+    one = [apply_prior(cands, weights, lam, 5).withColumn("qid", F.concat("qid", F.lit(f"#{lam:g}"))) for lam in lams]
+    g = gold.withColumn("qid", F.explode(F.array(*[F.concat("qid", F.lit(f"#{lam:g}")) for lam in lams])))
+    q = per_question(reduce(DataFrame.unionByName, one), g).select(F.split("qid", "#")[0].alias("qid"), F.element_at(F.split("qid", "#"), -1).cast("double").alias("config"), "recall")
+    q = cut(q)
+    base = q.filter(F.col("config") == lams[0]).select("qid", F.col("recall").alias("base"))
+    q = q.join(base, "qid").withColumn("delta", F.col("recall") - F.col("base")).join(halves, "qid")
+    r6 = lambda c, name: F.round(F.avg(c), 6).alias(name)
+    d = q.groupBy("config").agg(r6("recall", "recall"), r6("delta", "delta"), r6(F.when(F.col("half") == 1, F.col("delta")), "first"), r6(F.when(F.col("half") == 2, F.col("delta")), "second"))
+    d = cut(d.join(bootstrap_by(q.select("config", "qid", "delta")).drop("mean"), "config"))
+    top = d.orderBy(F.col("first").desc(), "config").first()
+    return d.select(F.col("config").alias("lam"), "recall", "delta", "first", "second", *[F.round(c, 6).alias(c) for c in ("lo", "hi", "win")], (F.col("config") == F.lit(top["config"]) if top else F.lit(False)).alias("chosen"))
 
 
 def sweep_rerank(pool: DataFrame, gold: DataFrame, weights: DataFrame, score: Callable[[DataFrame], DataFrame], alphas: list[float], betas: list[float], lams: list[float], p: Params = Params(), agg: str = "top2") -> DataFrame:

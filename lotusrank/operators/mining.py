@@ -58,3 +58,8 @@ def crossencoder_rows(pairs: DataFrame, n: int) -> DataFrame:
     """(qid, query, text, label): the positive with 1 and the first n negatives with 0; questions with fewer are left out."""
     items = F.concat(F.array(F.struct(F.col("positive").alias("text"), F.lit(1).alias("label"))), F.transform(F.slice("negatives", 1, n), lambda x: F.struct(x.alias("text"), F.lit(0).alias("label"))))
     return pairs.filter(F.size("negatives") >= n).select("qid", "query", F.explode(items).alias("i")).select("qid", "query", "i.text", "i.label")
+
+
+def listwise_rows(pairs: DataFrame, n: int) -> DataFrame:
+    """One row per question for a scorer that sees the whole list: query, positive, negative_1..n; questions with fewer are left out."""
+    return biencoder_rows(pairs, n).drop("qid")

@@ -68,3 +68,12 @@ def answers(ranked: DataFrame) -> DataFrame:
 def list_stats(answers: DataFrame) -> DataFrame:
     """(n_ids, questions): how many questions have how many ids."""
     return answers.groupBy(F.coalesce(F.size("answer"), F.lit(-1)).alias("n_ids")).agg(F.count(F.lit(1)).alias("questions"))
+
+
+def output_stats(padded: DataFrame) -> DataFrame:
+    """One row over final lists (qid, rank, doc_id, padded): questions, answers, distinct documents, questions with padding, and
+    the shortest and longest list."""
+    per = padded.groupBy("qid").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("padded").cast("int")).alias("p"))
+    lists = per.agg(F.count(F.lit(1)).alias("questions"), F.coalesce(F.sum("k"), F.lit(0)).alias("answers"), F.coalesce(F.sum("p"), F.lit(0)).alias("padded"), F.min("k").alias("fewest"), F.max("k").alias("most"))
+    docs = padded.agg(F.countDistinct("doc_id").alias("documents"))  # both are one row
+    return lists.crossJoin(docs).select("questions", "answers", "documents", "padded", "fewest", "most")

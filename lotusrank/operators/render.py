@@ -33,23 +33,25 @@ def kind(line: Column) -> Column:
             .when(line.rlike(rf"^\p{{Nd}}+\.{WS}"), "khoan").when(line.rlike(rf"^[a-zđ]\){WS}"), "diem").otherwise("p"))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, kind, anchor, line): an article's first line carries its anchor, later ones of the same number none."""
-    d = docs.select("doc_id", F.posexplode(reflow(F.substring(clean(F.col("passage")), 1, LIMIT))).alias("line_no", "line"))
+def lines(docs: DataFrame, limit: int | None = None, focus: str = "") -> DataFrame:
+    """(doc_id, line_no, kind, anchor, line) of whole documents, or of a window of `limit` characters of each (see focused): an
+    article's first line carries its anchor, later ones of the same number none."""
+    text = clean(F.col("passage"))
+    d = docs.select("doc_id", F.posexplode(reflow(text if limit is None else focused(text, focus, limit))).alias("line_no", "line"))
     d = d.withColumn("kind", kind(F.col("line"))).withColumn("a", F.when(F.col("kind") == "h3", anchor(F.col("line"))).otherwise(""))
     heads = d.filter("a != ''").groupBy("doc_id", "a").agg(F.min("line_no").alias("line_no"))
     d = d.join(heads.withColumnRenamed("a", "anchor"), ["doc_id", "line_no"], "left")
     return d.select("doc_id", "line_no", "kind", F.coalesce("anchor", F.lit("")).alias("anchor"), "line")
 
 
-def html(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, html, truncated): one string per document."""
+def html(docs: DataFrame, terms: list[str], limit: int | None = LIMIT, focus: str = "") -> DataFrame:
+    """(doc_id, html, truncated): one string per document; of documents longer than `limit` characters the window at `focus`."""
     e = highlight(escape(F.col("line")), terms)
     tag = F.when(F.col("kind").isin("khoan", "diem"), F.concat(F.lit('<p class="'), "kind", F.lit('">'), e, F.lit("</p>")))
     tag = tag.when((F.col("kind") == "h3") & (F.col("anchor") != ""), F.concat(F.lit("<h3 id='"), "anchor", F.lit("'>"), e, F.lit("</h3>")))
     tag = tag.otherwise(F.concat(F.lit("<"), "kind", F.lit(">"), e, F.lit("</"), "kind", F.lit(">")))
-    page = lines(docs).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", tag.alias("t")))), lambda x: x["t"]), "\n").alias("html"))
-    long = docs.select("doc_id", (F.length(clean(F.col("passage"))) > LIMIT).alias("truncated")).distinct()
+    page = lines(docs, limit, focus).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", tag.alias("t")))), lambda x: x["t"]), "\n").alias("html"))
+    long = docs.select("doc_id", (F.length(clean(F.col("passage"))) > F.lit(limit) if limit is not None else F.lit(False)).alias("truncated")).distinct()
     return page.join(long, "doc_id").select("doc_id", "html", "truncated")
 
 
@@ -58,3 +60,12 @@ def focused(text: Column, focus: str, limit: int = LIMIT) -> Column:
     at = F.regexp_instr(text, F.lit(rf"(?md)^\Q{focus}\E\b")) if focus else F.lit(0)
     start = F.greatest(F.lit(1), at - limit // 4)
     return F.when(F.length(text) > limit, F.substr(text, start, F.lit(limit))).otherwise(text)
+
+
+def view(docs: DataFrame, doc_id: str, terms: list[str], focus: str = "") -> DataFrame:
+    """(doc_id, name, link, html, truncated, anchor): one document for reading, with marked terms and the place to start at; a
+    document without text is one empty page, an unknown one no row."""
+    one = docs.filter(F.col("doc_id") == doc_id).select("doc_id", "name", "link", "passage").limit(1)
+    page = html(one, terms, LIMIT, focus)
+    d = one.select("doc_id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("link", F.lit("")).alias("link")).join(page, "doc_id", "left")
+    return d.select("doc_id", "name", "link", F.coalesce("html", F.lit("")).alias("html"), F.coalesce("truncated", F.lit(False)).alias("truncated"), anchor(F.lit(focus)).alias("anchor"))

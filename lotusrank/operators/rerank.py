@@ -34,10 +34,13 @@ def overlap_score(question: str = "question", text: str = "text"):
     return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(q, t)) / F.size(q))
 
 
-def score_pairs(pairs: DataFrame, scorer: Scorer, question: str = "question", text: str = "text", out: str = "ce") -> DataFrame:
-    """Adds the score of a user's model, given as a function of two pandas Series; it runs in Arrow batches."""
-    udf = F.pandas_udf(scorer, DoubleType())
-    return pairs.withColumn(out, udf(F.col(question), F.col(text)))
+def score_pairs(pairs: DataFrame, scorer: Scorer, question: str = "question", text: str = "text", out: str = "ce", segment: Callable[[str], str] | None = None) -> DataFrame:
+    """Adds the score of a user's model, given as a function of two pandas Series; it runs in Arrow batches. `segment` joins the
+    words of both texts first, for models that were trained on segmented text; null counts as empty."""
+    def run(q: pd.Series, t: pd.Series) -> pd.Series:
+        q, t = q.fillna(""), t.fillna("")
+        return scorer(q.map(segment), t.map(segment)) if segment else scorer(q, t)
+    return pairs.withColumn(out, F.pandas_udf(run, DoubleType())(F.col(question), F.col(text)))
 
 
 def ensemble(scores: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import json
 import zipfile
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MOST = 5
@@ -17,17 +17,20 @@ RAW = "qid string, kind string, has_answer boolean, answer_kind string, answer s
 def set_rules(lists: DataFrame, reference: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
     """E005/E006 (missing, extra questions), E011 (blank id), E012 (id repeated), E014 (id unknown to the corpus), W001
     (no id), W002 (too many) over typed lists (qid, answer array<string>). Null answers are E009."""
-    ids = lists.select("qid", F.posexplode("answer").alias("pos", "id"))
-    blank = F.coalesce(F.col("id").rlike(r"^[\x09-\x0d\x1c-\x20\x85\p{Z}]*$"), F.lit(True))
-    out = [
-        _rule(lists.filter("answer is null"), "error", "E009", F.lit("")),
-        _rule(lists.filter(F.size("answer") == 0), "warning", "W001", F.lit("")),
-        _rule(lists.filter(F.size("answer") > MOST), "warning", "W002", F.size("answer").cast("string")),
-        _rule(ids.filter(blank), "error", "E011", F.col("pos").cast("string")),
-        _rule(ids.filter("id is not null").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "error", "E012", F.col("id")),
-    ]
+    blank = lambda x: F.coalesce(x.rlike(r"^[\x09-\x0d\x1c-\x20\x85\p{Z}]*$"), F.lit(True))
+    one = lambda severity, code, detail: F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), detail.alias("detail"))
+    none = F.array().cast("array<struct<severity:string,code:string,detail:string>>")
+    a = F.col("answer")
+    blanks = F.filter(F.transform(a, lambda x, i: F.when(blank(x), i)), lambda i: i.isNotNull())
+    # all that a list says about itself comes from one pass over the lists
+    own = F.concat(F.when(a.isNull(), F.array(one("error", "E009", F.lit("")))).otherwise(none), F.when(F.size(a) == 0, F.array(one("warning", "W001", F.lit("")))).otherwise(none),
+                   F.when(F.size(a) > MOST, F.array(one("warning", "W002", F.size(a).cast("string")))).otherwise(none),
+                   F.coalesce(F.transform(blanks, lambda i: one("error", "E011", i.cast("string"))), none))
+    ids = lists.select("qid", F.explode("answer").alias("id"))
+    out = [lists.select("qid", F.explode(own).alias("f")).select("f.severity", "f.code", "qid", "f.detail"),
+           _rule(ids.filter("id is not null").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "error", "E012", F.col("id"))]  # over all lists of a question
     if corpus is not None:
-        out.append(_rule(ids.filter(~blank).join(corpus.select(F.col("doc_id").alias("id")).distinct(), "id", "left_anti").select("qid", "id").distinct(), "error", "E014", F.col("id")))
+        out.append(_rule(ids.filter(~blank(F.col("id"))).join(corpus.select(F.col("doc_id").alias("id")).distinct(), "id", "left_anti").select("qid", "id").distinct(), "error", "E014", F.col("id")))
     if reference is not None:
         ref, own = reference.select("qid").distinct(), lists.select("qid").distinct()
         out += [_rule(ref.join(own, "qid", "left_anti"), "error", "E005", F.lit("")), _rule(own.join(ref, "qid", "left_anti"), "error", "E006", F.lit(""))]
@@ -41,9 +44,13 @@ def _rule(df: DataFrame, severity: str, code: str, detail) -> DataFrame:
     return df.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.col("qid"), detail.alias("detail"))
 
 
-def summary(findings: DataFrame) -> DataFrame:
-    """(severity, code, findings, questions) with up to five examples each would be shown; counts are complete."""
-    return findings.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("qid").alias("questions"))
+def summary(findings: DataFrame, examples: int = 5) -> DataFrame:
+    """(severity, code, findings, questions, examples): complete counts, and the smallest few questions of each code."""
+    by = ["severity", "code"]
+    first = findings.filter("qid is not null").select(*by, "qid").distinct().withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("qid"))).filter(F.col("r") <= examples)
+    first = first.groupBy(*by).agg(F.array_sort(F.collect_list("qid")).alias("examples"))
+    d = findings.groupBy(*by).agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("qid").alias("questions"))
+    return d.join(first, by, "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
 
 
 class _Twice(dict):

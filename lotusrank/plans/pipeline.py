@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotusrank.operators import aggregate, chunking, fusion, index, prior
+from lotusrank.functions.scale import shared_folder
+from lotusrank.operators import aggregate, chunking, fusion, index, prior, rerank
 from lotusrank.params import Params
 
 
@@ -32,34 +34,74 @@ class Pipeline:
         return self.spark.read.parquet(f"{self.root}/{name}")
 
 
+def session_stages(spark: SparkSession, folder: str) -> Pipeline:
+    """Stages over the tables of a folder, kept in the shared folder of the session as long as it lives; a folder whose files
+    have changed has others."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = [fs.makeQualified(path).toString(), *sorted(f"{x.getPath().getName()} {x.getLen()} {x.getModificationTime()}" for x in fs.listStatus(path))]
+    return Pipeline(spark, f"{shared_folder(spark)}/stages-{hashlib.md5('|'.join(state).encode()).hexdigest()}")
+
+
+def stored_index(p: Pipeline, chunks: Callable[[], DataFrame], params: Params = Params()) -> index.Index:
+    """The index stage: written once, then read. Postings are written last, so their mark tells that all is there."""
+    name = f"index-{params.min_df}-{params.max_df_ratio:g}"
+    if p.force or not p.done(f"{name}/postings"):
+        index.write_index(chunks(), f"{p.root}/{name}", params)
+        p.ran.append("index")
+    return index.Index.read(p.spark, f"{p.root}/{name}")
+
+
+def predict(tier: str, pool: DataFrame, params: Params = Params(), score: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(qid, rank, doc_id, score) from a pool (qid, chunk_idx, doc_id, bm25, dense): by BM25 alone (`bm25`), fused with the vectors'
+    scores (`hybrid`), or with the candidates scored again by a model (`rerank`; `score` adds `ce` to them)."""
+    if tier == "bm25":
+        d = aggregate.rank_docs(pool, "max", params.topk, "bm25")
+    elif tier in ("hybrid", "rerank"):
+        fused = fusion.fuse(pool, params.fusion, params.alpha)
+        if tier == "hybrid":
+            d = aggregate.rank_docs(fused, params.agg, params.topk, "fused")
+        else:
+            if score is None:
+                raise ValueError("the rerank tier needs a scorer")
+            cands = rerank.candidate_cut(fused, params.n_docs, params.m_chunks).drop("rn", "bm25", "dense")
+            d = rerank.rerank_docs(score(cands), params.beta, params.agg, params.topk)
+    else:
+        raise ValueError(f"unknown tier {tier!r}")
+    return d.select("qid", "rank", "doc_id", "score")
+
+
 def retrieve(p: Pipeline, docs: DataFrame, questions: DataFrame, params: Params = Params(), dense: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """docs (doc_id, name, link, passage) and questions (qid, question) to ranked documents; `dense` may add vector
     scores to the pool (qid, chunk_idx, doc_id, bm25)."""
     chunks = p.stage("chunks", lambda: chunking.ordinals(chunking.chunk(docs)))
-    scores = p.stage("scores", lambda: index.bm25_scores(chunks, questions, params))
+    ix = stored_index(p, lambda: chunks, params)
+    scores = p.stage("scores", lambda: index.bm25_scores(ix, questions, params))
     if dense is None:
         pool = index.top_chunks(scores, params.doc_pool)
-        return p.stage("ranked", lambda: aggregate.rank_docs(pool, "max", params.topk, "bm25", aggregate.doc_sizes(chunks)))
+        return p.stage("ranked", lambda: aggregate.rank_docs(pool, "max", params.topk, "bm25", ix.doc_sizes()))
     pool = p.stage("pool", lambda: dense(index.top_chunks(scores, params.pool).drop("rank")))
-    return p.stage("ranked", lambda: aggregate.rank_docs(fusion.fuse(pool, params.fusion, params.alpha), params.agg, params.topk, "fused", aggregate.doc_sizes(chunks)))
+    return p.stage("ranked", lambda: aggregate.rank_docs(fusion.fuse(pool, params.fusion, params.alpha), params.agg, params.topk, "fused", ix.doc_sizes()))
 
 
-def search(chunks: DataFrame, questions: DataFrame, k: int = 10, mode: str = "doc", agg: str = "max", params: Params = Params()) -> DataFrame:
-    """The k (1 to 100) best documents or chunks of every question, with title and snippet of the best chunk."""
+def search(chunks: DataFrame, questions: DataFrame, k: int = 10, mode: str = "doc", agg: str = "max", params: Params = Params(), size: int = 260, ix: index.Index | None = None) -> DataFrame:
+    """The k (1 to 100) best documents or chunks of every question, with title and a snippet of `size` characters of the best
+    chunk; `ix` is the stored index of the chunks, without which one is built for this search."""
     from pyspark.sql import functions as F
 
     from lotusrank.functions.text import header_title, snippet
     from lotusrank.sources.io import late_fetch
     k = max(1, min(100, k))
-    scores = index.bm25_scores(chunks, questions, params)
+    ix = ix or index.Index.of(chunks, params)
+    scores = index.bm25_scores(ix, questions, params)
     if mode == "chunk":
         top = index.top_chunks(scores, k).select("qid", "rank", "doc_id", F.col("bm25").alias("score"), "chunk_idx")
     elif mode == "doc":
-        top = aggregate.rank_docs(index.top_chunks(scores, params.doc_pool).drop("rank"), agg, k, "bm25", aggregate.doc_sizes(chunks)).withColumnRenamed("best_chunk", "chunk_idx")
+        top = aggregate.rank_docs(index.top_chunks(scores, params.doc_pool).drop("rank"), agg, k, "bm25", ix.doc_sizes()).withColumnRenamed("best_chunk", "chunk_idx")
     else:
         raise ValueError(f"unknown mode {mode!r}")
     d = late_fetch(top, chunks, ["text", "path"])
-    return d.select("qid", "rank", "doc_id", "score", "chunk_idx", header_title(F.col("text")).alias("title"), "path", snippet(F.col("text")).alias("snippet"))
+    return d.select("qid", "rank", "doc_id", "score", "chunk_idx", header_title(F.col("text")).alias("title"), "path", snippet(F.col("text"), size).alias("snippet"))
 
 
 def submit(ranked: DataFrame, train: DataFrame, questions: DataFrame, params: Params = Params()) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +15,6 @@ from lotusrank.sources import io
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 P = Params()
-CUT = Params(pool=20, n_docs=5, m_chunks=2)
-ASKED_CUT = Params(pool=50, n_docs=5, m_chunks=2)
 
 
 def query(sql: str | None = None):
@@ -38,6 +34,15 @@ def chunks(s, d) -> DataFrame:
     return index.distinct_chunks(table(s, d, "chunks"))
 
 
+def stages(s, d) -> pipeline.Pipeline:
+    """The tables of this session that several queries read: the index and the scored pool of the query set."""
+    return pipeline.session_stages(s, d)
+
+
+def stored(s, d) -> index.Index:
+    return pipeline.stored_index(stages(s, d), lambda: chunks(s, d))
+
+
 def contexts(s, d) -> DataFrame:
     """Repeated rows count once."""
     return table(s, d, "context").select("doc_id", "name", "link", "passage").distinct()
@@ -52,14 +57,14 @@ def labels(s, d) -> DataFrame:
     return prior.gold(table(s, d, "train"))
 
 
-def pool(s, d, p: Params = CUT) -> DataFrame:
+def pool(s, d, p: Params = P) -> DataFrame:
     return fusion.scored_pool(table(s, d, "chunks"), p.pool)
 
 
-def asked_pool(s, d, p: Params = ASKED_CUT) -> DataFrame:
+def asked_pool(s, d, p: Params = P) -> DataFrame:
     """The pool of the labelled query set: the best chunks by BM25 and, as dense score, the cosine of each to the best
     of them (a stand-in for the question's own vector)."""
-    top = index.top_chunks(index.bm25_scores(chunks(s, d), asked(s, d)), p.pool)
+    top = index.top_chunks(index.bm25_scores(stored(s, d), asked(s, d)), p.pool)
     v = _vectors(s, d)
     q = top.filter("rank = 1").select("qid", "chunk_idx").join(v, "chunk_idx").select("qid", F.col("dense").alias("qvec"))
     cos = fusion.dot(F.col("dense"), F.col("qvec")) / fusion.norm(F.col("dense")) / fusion.norm(F.col("qvec"))
@@ -94,13 +99,13 @@ WEIGHT = lambda k1, b: f"qtf * idf * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {
 SC = f"{MATCH}, sc AS (SELECT qid, chunk_idx, doc_id, round(sum({WEIGHT(K1, B)}), 6) AS s FROM m, av GROUP BY ALL)"
 GOLD = "g AS (SELECT DISTINCT qid, doc_id FROM (SELECT qid, unnest(answer) AS doc_id FROM train) WHERE doc_id IS NOT NULL)"
 POOL = (f"pl AS (SELECT qid, chunk_idx, doc_id, bm25, coalesce(CASE WHEN NOT isnan(dense) THEN dense END, 0.0) AS dense FROM (SELECT DISTINCT qid, chunk_idx, doc_id, bm25, dense FROM chunks) "
-        f"WHERE qid IS NOT NULL AND bm25 IS NOT NULL AND NOT isnan(bm25) AND bm25 > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, chunk_idx) <= {CUT.pool})")
+        f"WHERE qid IS NOT NULL AND bm25 IS NOT NULL AND NOT isnan(bm25) AND bm25 > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, chunk_idx) <= {P.pool})")
 MM = lambda c, eps="1e-9", by="qid": f"(CASE WHEN max({c}) OVER (PARTITION BY {by}) - min({c}) OVER (PARTITION BY {by}) < {eps} THEN 0.0 ELSE ({c} - min({c}) OVER (PARTITION BY {by})) / (max({c}) OVER (PARTITION BY {by}) - min({c}) OVER (PARTITION BY {by})) END)"
 LINEAR = lambda a: f"round({a} * {MM('dense')} + (1 - {a}) * {MM('bm25')}, 9)"
 FU = f"fu AS (SELECT *, {LINEAR(P.alpha)} AS fused FROM pl)"
 FUSED = f"{POOL}, {FU}"
 _IP = lambda a, b: f"list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"
-APOOL = (f"{SC}, tp AS (SELECT qid, chunk_idx, doc_id, s AS bm25, row_number() OVER (PARTITION BY qid ORDER BY s DESC, chunk_idx) AS rnk FROM sc WHERE s > 0 QUALIFY rnk <= {ASKED_CUT.pool}), v AS (SELECT DISTINCT chunk_idx, dense AS vec FROM emb WHERE dense IS NOT NULL), "
+APOOL = (f"{SC}, tp AS (SELECT qid, chunk_idx, doc_id, s AS bm25, row_number() OVER (PARTITION BY qid ORDER BY s DESC, chunk_idx) AS rnk FROM sc WHERE s > 0 QUALIFY rnk <= {P.pool}), v AS (SELECT DISTINCT chunk_idx, dense AS vec FROM emb WHERE dense IS NOT NULL), "
          f"qv AS (SELECT qid, vec AS qvec FROM tp JOIN v USING (chunk_idx) WHERE rnk = 1), pl AS (SELECT tp.qid, chunk_idx, doc_id, bm25, coalesce(CASE WHEN {_IP('vec', 'vec')} > 0 AND {_IP('qvec', 'qvec')} > 0 THEN round({_IP('vec', 'qvec')} / sqrt({_IP('vec', 'vec')}) / sqrt({_IP('qvec', 'qvec')}), 5) END, 0.0) AS dense "
          "FROM tp LEFT JOIN v USING (chunk_idx) LEFT JOIN qv ON qv.qid = tp.qid)")
 AFUSED = f"{APOOL}, {FU}"
@@ -155,12 +160,29 @@ def word_windows(s, d):
 
 @query()
 def chunk_documents(s, d):
-    return chunking.chunk(contexts(s, d))
+    return chunking.chunk(table(s, d, "context"))
+
+
+_DOCS = (rf"{CTX}, k AS (SELECT doc_id, {TITLE} AS title, {CLEAN} AS body FROM c WHERE doc_id IS NOT NULL), o AS (SELECT doc_id, max(struct_pack(body := body, title := title)) AS m FROM k GROUP BY doc_id), "
+         rf"e AS (SELECT doc_id, m.title AS title, m.body AS body, regexp_matches(m.body, '(^|\n){WS}*Điều{WS}+\p{{Nd}}') AS structured FROM o)")
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, 0 AS chunk_no, doc_id || '#t0' AS chunk_id, 0 AS tier, 'title-only' AS path, len({WORDS('title')})::INT AS n_words, title AS text FROM e WHERE body = '' AND title <> ''")
+def chunk_titles(s, d):
+    return chunking.chunk(table(s, d, "context")).filter("tier = 0")
+
+
+@query(f"""WITH {_DOCS}, w AS (SELECT doc_id, title, body, {WORDS('body')} AS w FROM e WHERE body <> '' AND NOT structured), n AS (SELECT *, len(w) AS n FROM w),
+x AS (SELECT *, unnest(CASE WHEN n <= 256 THEN [0] ELSE generate_series(0, ceil((n - 256) / 192.0)::INT) END) AS i FROM n),
+y AS (SELECT doc_id, i::INT AS i, CASE WHEN title <> '' THEN title || ' > ' ELSE '' END || 'Phần ' || (i + 1) AS head, CASE WHEN n <= 256 THEN body ELSE array_to_string(list_slice(w, i * 192 + 1, i * 192 + 256), ' ') END AS piece, CASE WHEN n <= 256 THEN n ELSE len(list_slice(w, i * 192 + 1, i * 192 + 256)) END AS k FROM x)
+SELECT doc_id, i AS chunk_no, doc_id || '#' || i AS chunk_id, 3 AS tier, 'Phần ' || (i + 1) AS path, k::INT AS n_words, md5(head || chr(10) || piece) AS digest FROM y""")
+def chunk_windows(s, d):
+    return chunking.chunk(table(s, d, "context")).filter("tier = 3").withColumn("digest", F.md5("text")).drop("text")
 
 
 @query()
 def chunk_tier_counts(s, d):
-    return chunking.chunk(contexts(s, d)).groupBy("tier").agg(F.count(F.lit(1)).alias("chunks"), F.max("n_words").alias("most_words"))
+    return chunking.chunk(table(s, d, "context")).groupBy("tier").agg(F.count(F.lit(1)).alias("chunks"), F.max("n_words").alias("most_words"))
 
 
 @query(f"WITH {CH} SELECT tier, count(*) AS chunks, count(DISTINCT doc_id) AS docs FROM ch GROUP BY tier")
@@ -169,7 +191,7 @@ def tier_stats(s, d):
 
 
 _STRUCT = rf"^(Chương{WS}+[IVXLCDM\p{{Nd}}]|Điều{WS}+\p{{Nd}}|Mục{WS}+\p{{Nd}}|Phần{WS}+[IVXLCDM\p{{Nd}}]|\p{{Nd}}+\.{WS}|[a-zđ]\){WS}|[-+*]{WS})"
-_LINES = rf"""WITH {CTX}, t AS (SELECT doc_id, string_split(substr({CLEAN}, 1, 400000), chr(10)) AS ls FROM c),
+_LINES = rf"""WITH {CTX}, t AS (SELECT doc_id, string_split({CLEAN}, chr(10)) AS ls FROM c),
 l AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS no FROM t),
 k AS (SELECT doc_id, no, {STRIP('raw')} AS s FROM l),
 f AS (SELECT doc_id, no, s, lag(s) OVER (PARTITION BY doc_id ORDER BY no) AS p FROM k WHERE s <> '' AND NOT regexp_matches(s, '^([-_=–—.]|{WS})+$')),
@@ -186,9 +208,24 @@ def line_classes(s, d):
     return render.lines(contexts(s, d)).select("doc_id", "line_no", "kind", "anchor", F.md5("line").alias("digest"))
 
 
-@query()
+_ESC = "replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+_HTML = (rf"{_LINES}, a AS (SELECT *, {_ESC} AS e, CASE WHEN kind = 'h3' THEN 'dieu-' || regexp_extract(line, 'Điều{WS}+(\p{{Nd}}+[a-zđ]?)', 1) ELSE '' END AS an FROM kd), "
+         "n AS (SELECT *, CASE WHEN an <> '' AND row_number() OVER (PARTITION BY doc_id, an ORDER BY line_no) = 1 THEN an ELSE '' END AS anchor FROM a), "
+         """tg AS (SELECT doc_id, line_no, CASE WHEN kind IN ('khoan', 'diem') THEN '<p class="' || kind || '">' || e || '</p>' WHEN anchor <> '' THEN '<h3 id=''' || anchor || '''>' || e || '</h3>' ELSE '<' || kind || '>' || e || '</' || kind || '>' END AS tag FROM n) """)
+
+
+@query(_HTML + "SELECT doc_id, md5(string_agg(tag, chr(10) ORDER BY line_no)) AS digest FROM tg GROUP BY doc_id")
 def rendered_html(s, d):
-    return render.html(contexts(s, d), ["giấy phép", "quy định"]).select("doc_id", F.length("html").alias("n_chars"), "truncated")
+    """The whole documents as HTML; the marks of terms are those of `highlighted`."""
+    return render.html(contexts(s, d), [], limit=None).select("doc_id", F.md5("html").alias("digest"))
+
+
+@query()
+def document_view(s, d):
+    """One document for reading: the terms of a question that the index holds are marked, and the window starts before an article."""
+    q = s.createDataFrame([("q", "mức phạt giấy phép quy định")], "qid string, question string")
+    terms = sorted(r["term"] for r in index.hit_terms(stored(s, d), q).collect())
+    return render.view(contexts(s, d), "1000002", terms, "Điều 2")
 
 
 @query(rf"WITH {CH} SELECT chunk_idx, split_part(split_part(text, chr(10), 1), ' > ', 1) AS title, CASE WHEN regexp_matches(coalesce(path, ''), 'Điều{WS}+\p{{Nd}}+') THEN 'dieu-' || regexp_extract(path, 'Điều{WS}+(\p{{Nd}}+[a-zđ]?)', 1) ELSE '' END AS anchor FROM ch")
@@ -196,9 +233,10 @@ def header_parse(s, d):
     return chunks(s, d).select("chunk_idx", T.header_title(F.col("text")).alias("title"), F.coalesce(T.anchor(F.col("path")), F.lit("")).alias("anchor"))
 
 
-@query()
+# every separator twice, so that neighbouring words don't share one
+@query(rf"WITH {CH} SELECT chunk_idx, len(regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '([^\p{{L}}\p{{N}}_])', '\1\1', 'g'), '(^|[^\p{{L}}\p{{N}}_])(đồng|quy  định|giấy  phép)($|[^\p{{L}}\p{{N}}_])'))::INT AS marks FROM ch")
 def highlighted(s, d):
-    e = T.highlight(T.escape(F.col("text")), ["đồng", "quy định", "giấy phép"])
+    e = T.highlight(T.escape(F.coalesce("text", F.lit(""))), ["đồng", "quy định", "giấy phép"])
     return chunks(s, d).select("chunk_idx", (F.size(F.split(e, "<mark>")) - 1).alias("marks"))
 
 
@@ -212,41 +250,40 @@ def tokenize_stats(s, d):
 
 @query(f"WITH {TOK} SELECT count(*) AS n_chunks, round(avg(len(toks)), 6) AS avgdl FROM tk")
 def corpus_stats(s, d):
-    return index.corpus_stats(chunks(s, d)).select("n_chunks", F.round("avgdl", 6).alias("avgdl"))
+    return index.corpus_stats(stored(s, d)).select("n_chunks", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"WITH {VOC} SELECT term, df, round(idf, 6) AS idf FROM voc")
 def df_vocab(s, d):
-    return index.vocabulary(chunks(s, d)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return index.vocabulary(stored(s, d)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {VOC} SELECT term, chunk_idx, tf, doclen::INT AS doclen FROM tc WHERE term IN (SELECT term FROM voc)")
 def postings(s, d):
-    return index.postings(chunks(s, d)).select("term", "chunk_idx", "tf", "doclen")
+    return index.postings(stored(s, d)).select("term", "chunk_idx", "tf", "doclen")
 
 
 @query(f"WITH {TOK}, av AS (SELECT avg(len(toks)) AS avgdl FROM tk) SELECT chunk_idx, round({K1} * (1 - {B} + {B} * len(toks) / avgdl), 6) AS norm FROM tk, av")
 def length_norms(s, d):
-    c = index.chunk_lengths(chunks(s, d))
-    avgdl = c.agg(F.avg("doclen")).first()[0]
-    return c.select("chunk_idx", F.round(F.lit(P.k1) * (1 - P.b + P.b * F.col("doclen") / F.lit(avgdl)), 6).alias("norm"))
+    ix = stored(s, d)
+    return ix.lengths.select("chunk_idx", F.round(index.normalised(F.col("doclen"), F.lit(ix.avgdl), P.k1, P.b), 6).alias("norm"))
 
 
 @query(f"WITH {VOC}, {QT} SELECT qid, term FROM qt WHERE term IN (SELECT term FROM voc)")
 def hit_terms(s, d):
-    return index.hit_terms(chunks(s, d), asked(s, d))
+    return index.hit_terms(stored(s, d), asked(s, d))
 
 
 @query(f"WITH {SC} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY s DESC, chunk_idx) AS rank, chunk_idx, s AS bm25 FROM sc WHERE s > 0 QUALIFY rank <= 10")
 def bm25_chunks_topk(s, d):
-    return index.top_chunks(index.bm25_scores(chunks(s, d), asked(s, d)), 10).select("qid", "rank", "chunk_idx", "bm25")
+    return index.top_chunks(index.bm25_scores(stored(s, d), asked(s, d)), 10).select("qid", "rank", "chunk_idx", "bm25")
 
 
 def _bm25_docs(agg: str):
     def run(s, d):
-        c = chunks(s, d)
-        top = index.top_chunks(index.bm25_scores(c, asked(s, d)), P.doc_pool).drop("rank")
-        return aggregate.rank_docs(top, agg, P.topk, "bm25", aggregate.doc_sizes(c))
+        ix = stored(s, d)
+        top = index.top_chunks(index.bm25_scores(ix, asked(s, d)), P.doc_pool).drop("rank")
+        return aggregate.rank_docs(top, agg, P.topk, "bm25", ix.doc_sizes())
     return run
 
 
@@ -260,38 +297,40 @@ for _name, _agg in (("max", "max"), ("top3", "top3"), ("top3_log", "top3_log"),
        r"SELECT qid, rank, ch.doc_id, s AS score, chunk_idx, split_part(split_part(text, chr(10), 1), ' > ', 1) AS title, path, "
        r"substr(regexp_replace(CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END, '\n+', ' ', 'g'), 1, 260) AS snippet FROM tp JOIN ch USING (chunk_idx)")
 def search_chunks(s, d):
-    return pipeline.search(chunks(s, d), asked(s, d), 10, "chunk")
+    return pipeline.search(chunks(s, d), asked(s, d), 10, "chunk", ix=stored(s, d))
 
 
-@query()
+@query(f"WITH {SC}, tp AS (SELECT * FROM sc WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, chunk_idx) <= {P.doc_pool}), {docs_sql('tp', 'max', 's', P.topk)} "
+       r"SELECT qid, rank::INT AS rank, rk.doc_id, score, best_chunk AS chunk_idx, split_part(split_part(text, chr(10), 1), ' > ', 1) AS title, path, "
+       r"substr(regexp_replace(CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END, '\n+', ' ', 'g'), 1, 260) AS snippet FROM rk JOIN ch ON ch.chunk_idx = best_chunk")
 def search_docs(s, d):
-    return pipeline.search(chunks(s, d), asked(s, d), 5, "doc")
+    return pipeline.search(chunks(s, d), asked(s, d), 5, "doc", ix=stored(s, d))
 
 
 # ---- dense scores and fusion -----------------------------------------------------------------------------------------
 
 @query(f"WITH {POOL} SELECT qid, chunk_idx, doc_id, round(bm25, 6) AS bm25, round(dense, 6) AS dense FROM pl")
-def pool_topk(s, d, p=CUT):
+def pool_topk(s, d, p=P):
     return pool(s, d, p).select("qid", "chunk_idx", "doc_id", F.round("bm25", 6).alias("bm25"), F.round("dense", 6).alias("dense"))
 
 
 @query(f"WITH {POOL} SELECT qid, chunk_idx, round({MM('bm25')}, 6) AS bm25, round({MM('dense')}, 6) AS dense FROM pl")
-def minmax_scores(s, d, p=CUT):
+def minmax_scores(s, d, p=P):
     return pool(s, d, p).select("qid", "chunk_idx", F.round(fusion.minmax(F.col("bm25"), ["qid"]), 6).alias("bm25"), F.round(fusion.minmax(F.col("dense"), ["qid"]), 6).alias("dense"))
 
 
 @query(f"WITH {FUSED} SELECT qid, chunk_idx, round(fused, 6) AS fused FROM fu")
-def fuse_linear(s, d, p=CUT):
+def fuse_linear(s, d, p=P):
     return fusion.fuse(pool(s, d, p), "linear", P.alpha).select("qid", "chunk_idx", F.round("fused", 6).alias("fused"))
 
 
 @query(f"WITH {POOL} SELECT qid, chunk_idx, round(1 / (60.0 + row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, chunk_idx)) + 1 / (60.0 + row_number() OVER (PARTITION BY qid ORDER BY dense DESC, chunk_idx)), 9) AS fused FROM pl")
-def fuse_rrf(s, d, p=CUT):
+def fuse_rrf(s, d, p=P):
     return fusion.fuse(pool(s, d, p), "rrf").select("qid", "chunk_idx", "fused")
 
 
 @query(f"WITH {POOL} SELECT qid, chunk_idx, round(dense, 9) AS fused FROM pl")
-def fuse_dense_only(s, d, p=CUT):
+def fuse_dense_only(s, d, p=P):
     return fusion.fuse(pool(s, d, p), "dense").select("qid", "chunk_idx", "fused")
 
 
@@ -299,7 +338,7 @@ def _vectors(s, d) -> DataFrame:
     return table(s, d, "emb").filter("dense is not null").select("chunk_idx", "dense").dropDuplicates(["chunk_idx"])
 
 
-def _query_vectors(s, d, p: Params = CUT) -> DataFrame:
+def _query_vectors(s, d, p: Params = P) -> DataFrame:
     """Stand-in for encoded questions: the vector of the best BM25 chunk of each pool."""
     best = pool(s, d, p).groupBy("qid").agg(F.max(F.struct("bm25", -F.col("chunk_idx"))).alias("m")).select("qid", (-F.col("m.col2")).alias("chunk_idx"))
     return best.join(_vectors(s, d), "chunk_idx").select("qid", F.col("dense").alias("qvec"))
@@ -310,26 +349,26 @@ _DOT = lambda a, b: f"list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"  # noqa:
 
 
 @query(f"WITH {_VEC} SELECT qid, chunk_idx, round({_DOT('v.dense', 'qvec')}, 5) AS dense FROM pl JOIN v USING (chunk_idx) JOIN qv USING (qid)")
-def dense_scores(s, d, p=CUT):
+def dense_scores(s, d, p=P):
     return fusion.dense_scores(pool(s, d, p), _vectors(s, d), _query_vectors(s, d, p)).select("qid", "chunk_idx", F.round("dense", 5).alias("dense"))
 
 
 @query(f"WITH {_VEC}, t AS (SELECT qid, chunk_idx, list_slice(v.dense, 1, 16) AS a, list_slice(qvec, 1, 16) AS b FROM pl JOIN v USING (chunk_idx) JOIN qv USING (qid)) "
        f"SELECT qid, chunk_idx, round({_DOT('a', 'b')} / sqrt({_DOT('a', 'a')}) / sqrt({_DOT('b', 'b')}), 5) AS cosine FROM t WHERE {_DOT('a', 'a')} > 0 AND {_DOT('b', 'b')} > 0")
-def matryoshka_cosines(s, d, p=CUT):
+def matryoshka_cosines(s, d, p=P):
     j = pool(s, d, p).select("qid", "chunk_idx").join(_vectors(s, d), "chunk_idx").join(_query_vectors(s, d, p), "qid")
     c = fusion.dot(fusion.truncate(F.col("dense"), 16), fusion.truncate(F.col("qvec"), 16))
     return j.select("qid", "chunk_idx", F.round(c, 5).alias("cosine")).filter("cosine is not null")
 
 
 @query(f"WITH {FUSED}, {docs_sql('fu', P.agg, 'fused', P.topk)} SELECT qid, rank, doc_id, score, best_chunk, n_chunks FROM rk")
-def hybrid_docs(s, d, p=CUT):
+def hybrid_docs(s, d, p=P):
     return aggregate.rank_docs(fusion.fuse(pool(s, d, p), "linear", P.alpha), P.agg, P.topk, "fused")
 
 
 @query(f"WITH {TOK}, x AS (SELECT len(toks) AS n FROM tk) SELECT quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.9) AS p90, round(quantile_cont(n, 0.99), 6) AS p99, max(n) AS longest, round(avg((n > 350)::INT), 6) AS over_limit, count(*) AS chunks FROM x")
 def token_length_percentiles(s, d):
-    n = index.chunk_lengths(chunks(s, d)).select(F.col("doclen").cast("long").alias("n"))
+    n = stored(s, d).lengths.select(F.col("doclen").cast("long").alias("n"))
     p = F.percentile("n", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
     return n.agg(p.alias("p"), F.max("n").alias("longest"), F.round(F.avg((F.col("n") > 350).cast("int")), 6).alias("over_limit"), F.count(F.lit(1)).alias("chunks")).select(F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"), F.round(F.col("p")[2], 6).alias("p99"), "longest", "over_limit", "chunks")
 
@@ -337,16 +376,16 @@ def token_length_percentiles(s, d):
 # ---- reranking -------------------------------------------------------------------------------------------------------
 
 _CAND = (f"{FUSED}, c1 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, chunk_idx) AS rn FROM fu), c2 AS (SELECT *, min(rn) OVER (PARTITION BY qid, doc_id) AS first_rn, row_number() OVER (PARTITION BY qid, doc_id ORDER BY rn) AS m FROM c1), "
-         f"c3 AS (SELECT *, dense_rank() OVER (PARTITION BY qid ORDER BY first_rn) AS dr FROM c2), c4 AS (SELECT *, min(CASE WHEN dr = {CUT.n_docs + 1} THEN first_rn END) OVER (PARTITION BY qid) AS stop FROM c3), "
-         f"cc AS (SELECT qid, rn, doc_id, chunk_idx, fused FROM c4 WHERE (stop IS NULL OR rn < stop) AND m <= {CUT.m_chunks})")
+         f"c3 AS (SELECT *, dense_rank() OVER (PARTITION BY qid ORDER BY first_rn) AS dr FROM c2), c4 AS (SELECT *, min(CASE WHEN dr = {P.n_docs + 1} THEN first_rn END) OVER (PARTITION BY qid) AS stop FROM c3), "
+         f"cc AS (SELECT qid, rn, doc_id, chunk_idx, fused FROM c4 WHERE (stop IS NULL OR rn < stop) AND m <= {P.m_chunks})")
 
 
-def candidates(s, d, p: Params = CUT) -> DataFrame:
+def candidates(s, d, p: Params = P) -> DataFrame:
     return rerank.candidate_cut(fusion.fuse(pool(s, d, p), "linear", P.alpha), p.n_docs, p.m_chunks)
 
 
 @query(f"WITH {_CAND} SELECT qid, rn, doc_id, chunk_idx, round(fused, 6) AS fused FROM cc")
-def candidate_cut(s, d, p=CUT):
+def candidate_cut(s, d, p=P):
     return candidates(s, d, p).select("qid", "rn", "doc_id", "chunk_idx", F.round("fused", 6).alias("fused"))
 
 
@@ -355,19 +394,19 @@ _CE = (f"{_CAND}, {CH}, qq AS (SELECT qid, min(question) AS question FROM (SELEC
        "sv AS (SELECT qid, doc_id, chunk_idx, fused, CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(a) END AS ce, len(b) AS size FROM ce)")
 
 
-def scored(s, d, p: Params = CUT) -> DataFrame:
+def scored(s, d, p: Params = P) -> DataFrame:
     """Candidates with the stand-in score; texts are joined to the candidates only."""
     c = candidates(s, d, p).drop("rn", "bm25", "dense").join(questions(s, d), "qid")
     return io.late_fetch(c, chunks(s, d), ["text"]).withColumn("ce", rerank.overlap_score())
 
 
 @query(f"WITH {_CE} SELECT qid, chunk_idx, round(ce, 6) AS ce FROM sv")
-def ce_scores(s, d, p=CUT):
+def ce_scores(s, d, p=P):
     return scored(s, d, p).select("qid", "chunk_idx", F.round("ce", 6).alias("ce"))
 
 
 @query(f"WITH {_CE} SELECT qid, chunk_idx, round((ce + 1.0 / (1 + size)) / 2, 6) AS ce FROM sv")
-def ce_ensemble(s, d, p=CUT):
+def ce_ensemble(s, d, p=P):
     x = scored(s, d, p)
     a = x.select("qid", "chunk_idx", F.lit("overlap").alias("model"), F.col("ce").alias("score"))
     b = x.select("qid", "chunk_idx", F.lit("brevity").alias("model"), (1.0 / (1 + F.size(F.array_distinct(T.tokens(F.col("text")))))).alias("score"))
@@ -378,12 +417,12 @@ _BLEND = f"{_CE}, bl AS (SELECT *, round({P.beta} * {MM('ce')} + {1 - P.beta} *
 
 
 @query(f"WITH {_BLEND}, {docs_sql('bl', P.agg, 'score', P.topk)} SELECT qid, rank, doc_id, score, best_chunk, n_chunks FROM rk")
-def ce_blend_docs(s, d, p=CUT):
+def ce_blend_docs(s, d, p=P):
     return rerank.rerank_docs(scored(s, d, p), P.beta, P.agg, P.topk)
 
 
 @query(f"WITH {_CE}, {docs_sql('sv', 'top3', 'ce', P.topk)} SELECT qid, rank, doc_id, score, best_chunk, n_chunks FROM rk")
-def ce_only_docs(s, d, p=CUT):
+def ce_only_docs(s, d, p=P):
     return rerank.rerank_docs(scored(s, d, p), 1.0, "top3", P.topk)
 
 
@@ -407,16 +446,16 @@ _HY = f"{FUSED}, {docs_sql('fu', P.agg, 'fused', 20)}"
 _PR = f"{_HY}, {_FREQ}, ap AS (SELECT qid, doc_id, round({MM('score', '1e-12')} + {P.lam} * coalesce(w, 0), 6) AS score FROM rk LEFT JOIN pw USING (doc_id)), fin AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM ap QUALIFY rank <= 5)"
 
 
-def ranked20(s, d, p: Params = CUT) -> DataFrame:
+def ranked20(s, d, p: Params = P) -> DataFrame:
     return aggregate.rank_docs(fusion.fuse(pool(s, d, p), "linear", P.alpha), P.agg, 20, "fused")
 
 
-def final(s, d, p: Params = CUT) -> DataFrame:
+def final(s, d, p: Params = P) -> DataFrame:
     return prior.apply_prior(ranked20(s, d, p), prior.prior_weights(table(s, d, "train")), P.lam, P.topk)
 
 
 @query(f"WITH {_PR} SELECT qid, rank, doc_id, score FROM fin")
-def prior_rerank(s, d, p=CUT):
+def prior_rerank(s, d, p=P):
     return final(s, d, p)
 
 
@@ -426,24 +465,24 @@ _PAD = (f"{_PR}, aq AS (SELECT DISTINCT qid FROM public_official), fb AS (SELECT
         "pd AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY ord) AS rank, doc_id, padded FROM bo QUALIFY rank <= 5)")
 
 
-def padded(s, d, p: Params = CUT) -> DataFrame:
+def padded(s, d, p: Params = P) -> DataFrame:
     t, q = table(s, d, "train"), table(s, d, "public_official").select("qid").distinct()
     return prior.pad(final(s, d, p).join(q, "qid", "left_semi"), q, prior.fallback(t), P.topk)
 
 
 @query(f"WITH {_PAD} SELECT qid, rank, doc_id, padded FROM pd")
-def padded_topk(s, d, p=CUT):
+def padded_topk(s, d, p=P):
     return padded(s, d, p)
 
 
 @query(f"WITH {_PAD} SELECT qid, array_to_string(list(doc_id ORDER BY rank), ',') AS answer FROM pd GROUP BY qid")
-def submission_rows(s, d, p=CUT):
+def submission_rows(s, d, p=P):
     return prior.answers(padded(s, d, p)).select("qid", F.array_join("answer", ",").alias("answer"))
 
 
 @query(f"WITH {_HY}, {_FREQ}, ap AS (SELECT qid, doc_id, round({MM('score', '1e-12')} + {P.lam} * coalesce(w, 0), 6) AS score FROM rk LEFT JOIN pw USING (doc_id)), a AS (SELECT qid, list_sort(list(doc_id)) AS x FROM rk WHERE rank <= 5 GROUP BY qid), "
        "b AS (SELECT qid, list_sort(list(doc_id)) AS y FROM (SELECT qid, doc_id FROM ap QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) <= 5) GROUP BY qid) SELECT qid FROM a JOIN b USING (qid) WHERE x <> y")
-def changed_by_prior(s, d, p=CUT):
+def changed_by_prior(s, d, p=P):
     return prior.changed(ranked20(s, d, p).filter(F.col("rank") <= P.topk), final(s, d, p))
 
 
@@ -452,6 +491,28 @@ def submission_stats(s, d):
     return prior.list_stats(table(s, d, "submission").distinct()).select(F.col("n_ids").cast("long").alias("n_ids"), "questions")
 
 
+@query(f"WITH {_BLEND}, {docs_sql('bl', P.agg, 'score', 50)} SELECT qid, (rank - 1)::INT AS pos, doc_id, score FROM rk")
+def candidate_dump(s, d):
+    """The 50 best documents of every question after all tiers, as a prior's sweep reads them."""
+    return rerank.rerank_docs(scored(s, d), P.beta, P.agg, 50).select("qid", (F.col("rank") - 1).alias("pos"), "doc_id", "score")
+
+
+def _predicted(tier: str):
+    def run(s, d):
+        return pipeline.predict(tier, pool(s, d), P, lambda c: io.late_fetch(c.join(questions(s, d), "qid"), chunks(s, d), ["text"]).withColumn("ce", rerank.overlap_score()))
+    return run
+
+
+for _tier, _sql in (("bm25", f"WITH {POOL}, {docs_sql('pl', 'max', 'bm25', P.topk)}"), ("hybrid", f"WITH {FUSED}, {docs_sql('fu', P.agg, 'fused', P.topk)}"), ("rerank", f"WITH {_BLEND}, {docs_sql('bl', P.agg, 'score', P.topk)}")):
+    QUERIES[f"predict_{_tier}"] = _predicted(_tier)
+    ORACLE[f"predict_{_tier}"] = f"{_sql} SELECT qid, rank::INT AS rank, doc_id, score FROM rk"
+
+
+@query(f"WITH {_PAD} SELECT count(DISTINCT qid) AS questions, count(*) AS answers, count(DISTINCT doc_id) AS documents, count(DISTINCT CASE WHEN padded THEN qid END) AS padded, min(k) AS fewest, max(k) AS most FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS k FROM pd)")
+def output_stats(s, d):
+    return prior.output_stats(padded(s, d))
+
+
 # ---- evaluation ------------------------------------------------------------------------------------------------------
 
 _AHY = f"{AFUSED}, {docs_sql('fu', P.agg, 'fused', 20)}"
@@ -459,82 +520,103 @@ _EV = (f"{_AHY}, {GOLD}, gl AS (SELECT * FROM g WHERE qid IN (SELECT qid FROM pl
        "np AS (SELECT qid, count(*) AS n_pred FROM rk WHERE rank <= 5 GROUP BY qid), e AS (SELECT pq.*, coalesce(n_pred, 0) AS n_pred FROM pq LEFT JOIN np USING (qid))")
 
 
-def evaluated(s, d, size: Params = ASKED_CUT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The labelled pool, the labels of its questions, and its 20 best documents per question. The pool is scored once."""
-    p = cut(asked_pool(s, d, size))
+def evaluated(s, d, size: Params = P) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The labelled pool, the labels of its questions, and its 20 best documents per question. The pool is a stage:
+    scored once, read by every sweep."""
+    p = stages(s, d).stage(f"pool-{size.pool}", lambda: asked_pool(s, d, size))
     g = labels(s, d).join(p.select("qid").distinct(), "qid", "left_semi")
     return p, g, aggregate.rank_docs(fusion.fuse(p, "linear", P.alpha), P.agg, 20, "fused")
 
 
 @query(f"WITH {_EV} SELECT qid, round(inter / n_gold, 6) AS recall, round(CASE WHEN n_pred > 0 THEN inter / n_pred ELSE 0 END, 6) AS precision, (inter > 0)::INT AS hit, round(coalesce(1 / first, 0), 6) AS rr FROM e")
-def question_metrics(s, d, size=ASKED_CUT):
+def question_metrics(s, d, size=P):
     _, g, r = evaluated(s, d, size)
     return evaluate.per_question(r, g).select("qid", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"), "hit", F.round("rr", 6).alias("rr"))
 
 
 @query(f"WITH {_EV} SELECT round(avg(inter / n_gold), 6) AS recall, round(avg(CASE WHEN n_pred > 0 THEN inter / n_pred ELSE 0 END), 6) AS precision, round(avg((inter > 0)::INT), 6) AS hit_rate, round(avg(coalesce(1 / first, 0)), 6) AS mrr, count(*) AS questions FROM e")
-def metrics(s, d, size=ASKED_CUT):
+def metrics(s, d, size=P):
     _, g, r = evaluated(s, d, size)
     return evaluate.metrics(r, g)
 
 
 @query(f"WITH {_EV} SELECT CASE WHEN first IS NULL THEN 'miss' WHEN first = 1 THEN '1' WHEN first <= 3 THEN '2-3' WHEN first <= 5 THEN '4-5' WHEN first <= 10 THEN '6-10' ELSE '11-20' END AS bucket, count(*) AS questions FROM e GROUP BY 1")
-def rank_histogram(s, d, size=ASKED_CUT):
+def rank_histogram(s, d, size=P):
     _, g, r = evaluated(s, d, size)
     return evaluate.rank_histogram(r, g)
 
 
 @query(f"WITH {APOOL}, {GOLD} SELECT round(avg(r), 6) AS ceiling, count(*) AS questions FROM (SELECT g.qid, avg((p.doc_id IS NOT NULL)::INT) AS r FROM g LEFT JOIN (SELECT DISTINCT qid, doc_id FROM pl) p USING (qid, doc_id) WHERE g.qid IN (SELECT qid FROM pl) GROUP BY g.qid)")
-def candidate_ceiling(s, d, size=ASKED_CUT):
+def candidate_ceiling(s, d, size=P):
     p, g, _ = evaluated(s, d, size)
     return evaluate.ceiling(p, g)
 
 
 @query(f"WITH {APOOL}, {GOLD}, l AS (SELECT bm25, (g.doc_id IS NOT NULL)::INT AS y FROM pl LEFT JOIN g USING (qid, doc_id) WHERE pl.qid IN (SELECT qid FROM g)), r AS (SELECT y, rank() OVER (ORDER BY bm25) + (count(*) OVER (PARTITION BY bm25) - 1) / 2.0 AS r FROM l) "
        "SELECT round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 9) AS auc FROM r")
-def auc_exact(s, d, size=ASKED_CUT):
+def auc_exact(s, d, size=P):
     p, g, _ = evaluated(s, d, size)
     x = p.join(g.select("qid").distinct(), "qid", "left_semi").join(g.withColumn("label", F.lit(1)), ["qid", "doc_id"], "left")
     return evaluate.auc(x.select(F.coalesce("label", F.lit(0)).alias("label"), F.col("bm25").alias("score")))
 
 
-@query()
+def _poisson(u: str) -> str:
+    """How many draws a uniform number u stands for."""
+    term, cum, out = 0.36787944117144233, 0.0, []
+    for k in range(9):
+        cum += term
+        out.append(f"({u} > {cum!r}::DOUBLE)::INT")
+        term /= k + 1
+    return "(" + " + ".join(out) + ")"
+
+
+_BOOT = ("bo AS (SELECT config, b, sum(n * delta) / sum(n) AS m FROM (SELECT *, " + _poisson("u") + " AS n FROM (SELECT config, qid, delta, b, (('0x' || substr(md5(qid || ':' || b || ':0'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296 AS u FROM dl, (SELECT unnest(generate_series(0, 3999)) AS b))) GROUP BY config, b), "
+         "ci AS (SELECT config, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, avg((m > 0)::INT) AS win FROM bo GROUP BY config)")
+
+
+@query(f"WITH {_AHY}, {docs_sql('pl', 'max', 'bm25', 20, 'rb')}, {GOLD}, gl AS (SELECT * FROM g WHERE qid IN (SELECT qid FROM pl)), "
+       "ra AS (SELECT gl.qid, avg(coalesce((rank <= 5)::INT, 0)) AS a FROM gl LEFT JOIN rk USING (qid, doc_id) GROUP BY gl.qid), r2 AS (SELECT gl.qid, avg(coalesce((rank <= 5)::INT, 0)) AS b FROM gl LEFT JOIN rb USING (qid, doc_id) GROUP BY gl.qid), "
+       f"dl AS (SELECT 0 AS config, qid, a - b AS delta FROM ra JOIN r2 USING (qid)), {_BOOT} SELECT round((SELECT avg(delta) FROM dl), 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, round(win, 6) AS win FROM ci")
 def bootstrap_ci(s, d, size=P):
     p, g, r = evaluated(s, d, size)
     a = evaluate.per_question(r, g).select("qid", F.col("recall").alias("a"))
     b = evaluate.per_question(aggregate.rank_docs(p, "max", 20, "bm25"), g).select("qid", F.col("recall").alias("b"))
-    return evaluate.bootstrap(a.join(b, "qid").select("qid", (F.col("a") - F.col("b")).alias("delta")))
+    ci = evaluate.bootstrap(a.join(b, "qid").select("qid", (F.col("a") - F.col("b")).alias("delta")))
+    return ci.select(*[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi", "win")])
 
 
 ALPHAS, AGGS = [0.0, 0.25, 0.5, 0.75, 1.0], ["max", "top2", "top3", "max+0.4"]
 
 
-def _sweep_sql() -> str:
-    ctes, out = [], []
-    for i, a in enumerate(ALPHAS):
-        ctes.append(f"f{i} AS (SELECT *, {LINEAR(a)} AS fused FROM pl)")
-        for j, g in enumerate(AGGS):
-            n = f"r{i}{j}"
-            ctes.append(docs_sql(f"f{i}", g, "fused", 20, n))
-            ctes.append(f"{n}q AS (SELECT gl.qid, count(*) AS n_gold, sum(CASE WHEN rank <= 5 THEN 1 ELSE 0 END) AS inter, min(rank) AS first FROM gl LEFT JOIN {n} USING (qid, doc_id) GROUP BY gl.qid)")
-            out.append(f"SELECT {a}::DOUBLE AS alpha, '{g}' AS agg, round(avg(inter / n_gold), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM {n}q")
-    return f"WITH {APOOL}, {GOLD}, gl AS (SELECT * FROM g WHERE qid IN (SELECT qid FROM pl)), {', '.join(ctes)} " + " UNION ALL ".join(out)
-
-
-@query(_sweep_sql())
-def sweep_alpha_agg(s, d, size=ASKED_CUT):
+def _grid_sql(base: str, pools: list[int], alphas: list[float], aggs: list[str], keys: str) -> str:
+    """Recall and MRR of all pool sizes, alphas and aggregates over the pool `pl` of `base`."""
+    best = {"max": "max(score)", "top2": "avg(CASE WHEN rn <= 2 THEN score END)", "top3": "avg(CASE WHEN rn <= 3 THEN score END)", "top5": "avg(CASE WHEN rn <= 5 THEN score END)", "max+0.4": "sum(CASE WHEN rn = 1 THEN score WHEN rn = 2 THEN 0.4 * score END)"}
+    names = "[" + ", ".join(f"'{g}'" for g in aggs) + "]"
+    return (f"WITH {base}, {GOLD}, gl AS (SELECT * FROM g WHERE qid IN (SELECT qid FROM pl)), ord AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, chunk_idx) AS rnk FROM pl), "
+            f"e AS (SELECT * FROM ord, (SELECT unnest({pools}) AS n) WHERE rnk <= n), mm AS (SELECT n, qid, chunk_idx, doc_id, {MM('dense', by='n, qid')} AS dn, {MM('bm25', by='n, qid')} AS bn FROM e), "
+            f"s1 AS (SELECT n, a, qid, chunk_idx, doc_id, round(a * dn + (1 - a) * bn, 9) AS score FROM mm, (SELECT unnest({alphas})::DOUBLE AS a)), x AS (SELECT *, row_number() OVER (PARTITION BY n, a, qid, doc_id ORDER BY score DESC, chunk_idx) AS rn FROM s1), "
+            f"dv AS (SELECT n, a, qid, doc_id, max(score) AS bs, min(CASE WHEN rn = 1 THEN chunk_idx END) AS chunk, {names} AS names, [{', '.join(best[g] for g in aggs)}] AS vals FROM x GROUP BY n, a, qid, doc_id), "
+            "u AS (SELECT n, a, qid, doc_id, bs, chunk, unnest(names) AS agg, round(unnest(vals), 6) AS score FROM dv), "
+            "r AS (SELECT *, row_number() OVER (PARTITION BY n, a, agg, qid ORDER BY score DESC, round(bs, 6) DESC, chunk, doc_id) AS rank FROM u QUALIFY rank <= 20), "
+            f"cf AS (SELECT n, a, agg FROM (SELECT unnest({pools}) AS n), (SELECT unnest({alphas})::DOUBLE AS a), (SELECT unnest({names}) AS agg)), "
+            "q2 AS (SELECT cf.n, cf.a, cf.agg, gl.qid, count(*) AS n_gold, count(CASE WHEN rank <= 5 THEN 1 END) AS inter, min(rank) AS first FROM gl CROSS JOIN cf LEFT JOIN r ON r.n = cf.n AND r.a = cf.a AND r.agg = cf.agg AND r.qid = gl.qid AND r.doc_id = gl.doc_id GROUP BY cf.n, cf.a, cf.agg, gl.qid) "
+            f"SELECT {keys}, round(avg(inter / n_gold), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM q2 GROUP BY n, a, agg")
+
+
+@query(_grid_sql(APOOL, [P.pool], ALPHAS, AGGS, "a AS alpha, agg"))
+def sweep_alpha_agg(s, d, size=P):
     p, g, _ = evaluated(s, d, size)
     return evaluate.sweep_fusion(p, g, ALPHAS, AGGS)
 
 
-@query(f"WITH {MATCH}, {GOLD}, gl AS (SELECT * FROM g WHERE qid IN (SELECT qid FROM q)), gr AS (SELECT k1, b FROM (SELECT unnest([1.5, 2.5]) AS k1), (SELECT unnest([0.5, 0.75, 0.9]) AS b)), "
+@query(f"WITH {MATCH}, {GOLD}, gl AS (SELECT * FROM g WHERE qid IN (SELECT qid FROM q)), gr AS (SELECT k1, b FROM (SELECT unnest([0.6, 0.9, 1.2, 1.5, 2.0]) AS k1), (SELECT unnest([0.4, 0.6, 0.75, 0.9]) AS b)), "
        f"s2 AS (SELECT qid, k1::DOUBLE AS k1, b::DOUBLE AS b, chunk_idx, doc_id, round(sum({WEIGHT('k1::DOUBLE', 'b::DOUBLE')}), 6) AS s FROM m, av, gr GROUP BY ALL), dd AS (SELECT qid, k1, b, doc_id, max(s) AS score, arg_min(chunk_idx, (-s, chunk_idx)) AS best FROM s2 GROUP BY ALL), "
        "rr AS (SELECT *, row_number() OVER (PARTITION BY qid, k1, b ORDER BY score DESC, best, doc_id) AS rank FROM dd QUALIFY rank <= 20), pq AS (SELECT gl.qid, gr.k1::DOUBLE AS k1, gr.b::DOUBLE AS b, count(*) AS n_gold, sum(CASE WHEN rank <= 5 THEN 1 ELSE 0 END) AS inter, min(rank) AS first "
        "FROM gl CROSS JOIN gr LEFT JOIN rr ON rr.qid = gl.qid AND rr.doc_id = gl.doc_id AND rr.k1 = gr.k1::DOUBLE AND rr.b = gr.b::DOUBLE GROUP BY ALL) SELECT k1, b, round(avg(inter / n_gold), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM pq GROUP BY k1, b")
 def sweep_k1_b(s, d):
     q = asked(s, d)
     g = labels(s, d).join(q.select("qid").distinct(), "qid", "left_semi")
-    return evaluate.sweep_bm25(chunks(s, d), q, g, [1.5, 2.5], [0.5, 0.75, 0.9])
+    return evaluate.sweep_bm25(stored(s, d), q, g, [0.6, 0.9, 1.2, 1.5, 2.0], [0.4, 0.6, 0.75, 0.9])
 
 
 _RRF = "round(1 / (60.0 + row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, chunk_idx)) + 1 / (60.0 + row_number() OVER (PARTITION BY qid ORDER BY dense DESC, chunk_idx)), 9)"
@@ -558,12 +640,12 @@ def _compare(g: DataFrame, rankings: dict[str, DataFrame]) -> DataFrame:
 
 
 @query(_compare_sql(APOOL, [("linear", LINEAR(P.alpha), "pl", "top3"), ("rrf", _RRF, "pl", "top3"), ("dense", "round(dense, 9)", "pl", "top3"), ("bm25", "round(bm25, 9)", "pl", "top3")]))
-def fusion_configs(s, d, size=ASKED_CUT):
+def fusion_configs(s, d, size=P):
     p, g, _ = evaluated(s, d, size)
     return _compare(g, {f: aggregate.rank_docs(fusion.fuse(p, f, P.alpha), "top3", 20, "fused") for f in ("linear", "rrf", "dense", "bm25")})
 
 
-def asked_scored(s, d, p: DataFrame, size: Params = ASKED_CUT) -> DataFrame:
+def asked_scored(s, d, p: DataFrame, size: Params = P) -> DataFrame:
     c = rerank.candidate_cut(fusion.fuse(p, "linear", P.alpha), size.n_docs, size.m_chunks).join(asked(s, d).groupBy("qid").agg(F.min("question").alias("question")), "qid")
     return io.late_fetch(c, chunks(s, d), ["text"]).withColumn("ce", rerank.overlap_score())
 
@@ -573,7 +655,7 @@ _ASV = (f"{AFUSED}, " + _CAND.split(f"{FUSED}, ")[1] + f", qq AS (SELECT qid, mi
 
 
 @query(_compare_sql(_ASV, [("hybrid", "fused", "fu", "top3"), ("rerank", f"round({P.beta} * {MM('ce')} + {1 - P.beta} * {MM('fused')}, 9)", "sv", "top3")]))
-def rerank_compare(s, d, size=ASKED_CUT):
+def rerank_compare(s, d, size=P):
     p, g, _ = evaluated(s, d, size)
     return _compare(g, {"hybrid": aggregate.rank_docs(fusion.fuse(p, "linear", P.alpha), "top3", 20, "fused"), "rerank": rerank.rerank_docs(asked_scored(s, d, p, size), P.beta, "top3", 20)})
 
@@ -599,7 +681,7 @@ LAMS = [0.0, 0.1, 0.2, 0.4]
     f"q{i} AS (SELECT gl.qid, {lam}::DOUBLE AS config, avg((b{i}.doc_id IS NOT NULL)::INT) AS value FROM gl LEFT JOIN b{i} USING (qid, doc_id) GROUP BY gl.qid)" for i, lam in enumerate(LAMS)) +
     ", al AS (" + " UNION ALL ".join(f"SELECT * FROM q{i}" for i in range(len(LAMS))) + "), h AS (SELECT qid, 1 + (ascii(substr(md5(qid), 1, 1)) % 2) AS half FROM (SELECT DISTINCT qid FROM gl)), "
     "z AS (SELECT config, round(avg(value) FILTER (half = 1), 6) AS first, round(avg(value) FILTER (half = 2), 6) AS second FROM al JOIN h USING (qid) GROUP BY config) SELECT config, first, second, config = (SELECT min(config) FROM z WHERE first = (SELECT max(first) FROM z)) AS chosen FROM z")
-def half_split_lambda(s, d, size=ASKED_CUT):
+def half_split_lambda(s, d, size=P):
     p, g, r = evaluated(s, d, size)
     w, r = cut(prior.prior_weights(table(s, d, "train"), p.select("qid").distinct())), cut(r)
     parts = [evaluate.per_question(prior.apply_prior(r, w, lam, 5), g).select("qid", F.lit(lam).alias("config"), F.col("recall").alias("value")) for lam in LAMS]
@@ -610,13 +692,90 @@ def half_split_lambda(s, d, size=ASKED_CUT):
     return evaluate.half_split(res, halves)
 
 
-@query()
+POOLS, GRID, TOPS = [500, 1000, 2000, 3000], [0.5, 0.6, 0.65, 0.7, 0.75, 0.8], ["max", "top2", "top3", "top5"]
+
+
+@query(_grid_sql(APOOL.replace(f"rnk <= {P.pool})", "rnk <= 3000)"), POOLS, GRID, TOPS, "n::INT AS pool, a AS alpha, agg"))
 def sweep_pool_alpha_agg(s, d):
     p, g, _ = evaluated(s, d, Params(pool=3000))
-    return evaluate.sweep_pool(p, g, [500, 1000, 2000, 3000], [0.5, 0.6, 0.65, 0.7, 0.75, 0.8], ["max", "top2", "top3", "top5"])
+    return evaluate.sweep_pool(p, g, POOLS, GRID, TOPS)
 
 
-@query()
+VECTOR_ALPHAS = [0.0, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
+
+
+def _short_pool(s, d, p: DataFrame) -> DataFrame:
+    """The pool with the cosines of the vectors' first 16 parts, as those of another encoder."""
+    v = _vectors(s, d)
+    q = p.groupBy("qid").agg(F.max(F.struct("bm25", -F.col("chunk_idx"))).alias("m")).select("qid", (-F.col("m.col2")).alias("chunk_idx")).join(v, "chunk_idx").select("qid", F.col("dense").alias("qvec"))
+    c = F.round(fusion.dot(fusion.truncate(F.col("vec"), 16), fusion.truncate(F.col("qvec"), 16)), 5)
+    return p.drop("dense").join(v.withColumnRenamed("dense", "vec"), "chunk_idx", "left").join(q, "qid", "left").select("qid", "chunk_idx", "doc_id", "bm25", F.coalesce(c, F.lit(0.0)).alias("dense"))
+
+
+_SHORT = (f"{APOOL.replace(', pl AS (', ', p0 AS (')}, q0 AS (SELECT qid, list_slice(qvec, 1, 16) AS b FROM qv), pl AS (SELECT p0.qid, chunk_idx, doc_id, bm25, coalesce(CASE WHEN {_IP('list_slice(vec, 1, 16)', 'list_slice(vec, 1, 16)')} > 0 AND {_IP('b', 'b')} > 0 "
+          f"THEN round({_IP('list_slice(vec, 1, 16)', 'b')} / sqrt({_IP('list_slice(vec, 1, 16)', 'list_slice(vec, 1, 16)')}) / sqrt({_IP('b', 'b')}), 5) END, 0.0) AS dense FROM p0 LEFT JOIN v USING (chunk_idx) LEFT JOIN q0 ON q0.qid = p0.qid)")
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS vectors, alpha, recall, mrr FROM ({_grid_sql(base, [P.pool], VECTOR_ALPHAS, ['top2'], 'a AS alpha')})" for name, base in (("whole", APOOL), ("short", _SHORT))))
+def vectors_compare(s, d):
+    """Two sets of vectors over eight alphas: the whole ones, and their first 16 parts."""
+    p, g, _ = evaluated(s, d)
+    return evaluate.compare_vectors({"whole": p, "short": _short_pool(s, d, p)}, g, VECTOR_ALPHAS)
+
+
+BETAS = [0.3, 0.5, 0.7, 1.0]
+
+
+@query(f"WITH {_ASV}, {GOLD}, gl AS (SELECT * FROM g WHERE qid IN (SELECT qid FROM pl)), sb AS (SELECT sv.*, 1.0 / (1 + len(list_distinct({TOKENS('text')}))) AS br FROM sv JOIN ch USING (chunk_idx)), "
+       "ml AS (SELECT 'overlap' AS model, qid, doc_id, chunk_idx, fused, ce FROM sb UNION ALL SELECT 'brevity', qid, doc_id, chunk_idx, fused, br FROM sb), "
+       f"bl AS (SELECT model || '|' || be AS config, qid, doc_id, chunk_idx, CASE WHEN be = 1 THEN round(ce, 9) ELSE round(be * {MM('ce', by='model, be, qid')} + (1 - be) * {MM('fused', by='model, be, qid')}, 9) END AS s FROM ml, (SELECT unnest({BETAS})::DOUBLE AS be)), "
+       "bx AS (SELECT *, row_number() OVER (PARTITION BY config, qid, doc_id ORDER BY s DESC, chunk_idx) AS rn FROM bl), bd AS (SELECT config, qid, doc_id, round(avg(CASE WHEN rn <= 2 THEN s END), 6) AS score, max(s) AS bs, min(CASE WHEN rn = 1 THEN chunk_idx END) AS c FROM bx GROUP BY config, qid, doc_id), "
+       "br AS (SELECT *, row_number() OVER (PARTITION BY config, qid ORDER BY score DESC, round(bs, 6) DESC, c, doc_id) AS rank FROM bd QUALIFY rank <= 5), cf AS (SELECT DISTINCT config FROM bl), "
+       f"rq AS (SELECT cf.config, gl.qid, avg((br.doc_id IS NOT NULL)::INT) AS recall FROM gl CROSS JOIN cf LEFT JOIN br ON br.config = cf.config AND br.qid = gl.qid AND br.doc_id = gl.doc_id GROUP BY cf.config, gl.qid), {docs_sql('sv', 'top2', 'round(fused, 9)', 5, 'ba')}, "
+       "b0 AS (SELECT gl.qid, avg((ba.doc_id IS NOT NULL)::INT) AS base FROM gl LEFT JOIN ba USING (qid, doc_id) GROUP BY gl.qid), dl AS (SELECT config, qid, recall, recall - base AS delta, ascii(substr(md5(qid), 1, 1)) % 2 AS half FROM rq JOIN b0 USING (qid)), "
+       f"{_BOOT} SELECT split_part(config, '|', 1) AS model, split_part(config, '|', 2)::DOUBLE AS beta, round(avg(recall), 6) AS recall, round(avg(delta), 6) AS delta, round(avg(delta) FILTER (half = 0), 6) AS first, round(avg(delta) FILTER (half = 1), 6) AS second, "
+       "round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi, round(any_value(win), 6) AS win FROM dl JOIN ci USING (config) GROUP BY config")
+def scorers_compare(s, d):
+    """Two scorers that have scored the same pairs, against the fused order."""
+    p, g, _ = evaluated(s, d)
+    x = cut(asked_scored(s, d, p))
+    brevity = 1.0 / (1 + F.size(F.array_distinct(T.tokens(F.col("text")))))
+    scores = x.select(F.lit("overlap").alias("model"), "qid", "chunk_idx", "ce").unionByName(x.select(F.lit("brevity").alias("model"), "qid", "chunk_idx", brevity.alias("ce")))
+    return evaluate.compare_scorers(x.select("qid", "doc_id", "chunk_idx", "fused"), scores, g, BETAS)
+
+
+_HALVES = "h AS (SELECT qid, 1 + (ascii(substr(md5(qid), 1, 1)) % 2) AS half FROM (SELECT DISTINCT qid FROM gl))"
+
+
+@query(f"WITH {_AHY.replace('rank <= 20', 'rank <= 50')}, {GOLD}, gl AS (SELECT * FROM g WHERE qid IN (SELECT qid FROM pl)), {_FREQ.replace('FROM train)', 'FROM train WHERE qid NOT IN (SELECT qid FROM pl))')}, "
+       f"al AS (SELECT lam, qid, doc_id, round(mn + lam * coalesce(w, 0), 6) AS score FROM (SELECT qid, doc_id, {MM('score', '1e-12')} AS mn FROM rk) LEFT JOIN pw USING (doc_id), (SELECT unnest({LAMS})::DOUBLE AS lam)), "
+       "tp5 AS (SELECT lam, qid, doc_id FROM al QUALIFY row_number() OVER (PARTITION BY lam, qid ORDER BY score DESC, doc_id) <= 5), lm AS (SELECT DISTINCT lam FROM al), "
+       f"rq AS (SELECT lm.lam, gl.qid, avg((t.doc_id IS NOT NULL)::INT) AS recall FROM gl CROSS JOIN lm LEFT JOIN tp5 t ON t.lam = lm.lam AND t.qid = gl.qid AND t.doc_id = gl.doc_id GROUP BY lm.lam, gl.qid), {_HALVES}, "
+       "dl AS (SELECT x.lam AS config, x.qid, x.recall, x.recall - y.recall AS delta, half FROM rq x JOIN rq y ON y.qid = x.qid AND y.lam = 0 JOIN h ON h.qid = x.qid), "
+       f"{_BOOT}, z AS (SELECT config AS lam, round(avg(recall), 6) AS recall, round(avg(delta), 6) AS delta, round(avg(delta) FILTER (half = 1), 6) AS first, round(avg(delta) FILTER (half = 2), 6) AS second, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi, round(any_value(win), 6) AS win "
+       "FROM dl JOIN ci USING (config) GROUP BY config) SELECT *, lam = (SELECT min(lam) FROM z WHERE first = (SELECT max(first) FROM z)) AS chosen FROM z")
+def prior_sweep(s, d):
+    """The prior at every strength on the 50 best documents of each labelled question, with intervals and both halves."""
+    p, g, _ = evaluated(s, d)
+    r = cut(aggregate.rank_docs(fusion.fuse(p, "linear", P.alpha), P.agg, 50, "fused"))
+    w = cut(prior.prior_weights(table(s, d, "train"), p.select("qid").distinct()))
+    halves = g.select("qid").distinct().withColumn("half", 1 + F.ascii(F.substring(F.md5("qid"), 1, 1)) % 2)
+    return evaluate.sweep_prior(r, w, g, LAMS, halves)
+
+
+@query(f"WITH {APOOL}, {GOLD}, gl AS (SELECT * FROM g WHERE qid IN (SELECT qid FROM pl)), {_FREQ.replace('FROM train)', 'FROM train WHERE qid NOT IN (SELECT qid FROM pl))')}, "
+       f"mm AS (SELECT qid, chunk_idx, doc_id, {MM('dense')} AS dn, {MM('bm25')} AS bn FROM pl), fa AS (SELECT a, qid, chunk_idx, doc_id, round(a * dn + (1 - a) * bn, 9) AS fused FROM mm, (SELECT unnest({VECTOR_ALPHAS})::DOUBLE AS a)), "
+       "c1 AS (SELECT *, row_number() OVER (PARTITION BY a, qid ORDER BY fused DESC, chunk_idx) AS rn FROM fa), c2 AS (SELECT *, min(rn) OVER (PARTITION BY a, qid, doc_id) AS first_rn, row_number() OVER (PARTITION BY a, qid, doc_id ORDER BY rn) AS m FROM c1), "
+       f"c3 AS (SELECT *, dense_rank() OVER (PARTITION BY a, qid ORDER BY first_rn) AS dr FROM c2), c4 AS (SELECT *, min(CASE WHEN dr = {P.n_docs + 1} THEN first_rn END) OVER (PARTITION BY a, qid) AS stop FROM c3), "
+       f"cc AS (SELECT a, qid, doc_id, chunk_idx, fused FROM c4 WHERE (stop IS NULL OR rn < stop) AND m <= {P.m_chunks}), qq AS (SELECT qid, min(question) AS question FROM q GROUP BY qid), "
+       f"ct AS (SELECT qid, chunk_idx, list_distinct({TOKENS('question')}) AS x, list_distinct({TOKENS('text')}) AS y FROM (SELECT DISTINCT qid, chunk_idx FROM cc) JOIN qq USING (qid) JOIN ch USING (chunk_idx)), "
+       "sv AS (SELECT cc.*, CASE WHEN len(x) = 0 THEN 0.0 ELSE len(list_intersect(x, y)) / len(x) END AS ce FROM cc JOIN ct USING (qid, chunk_idx)), "
+       f"bl AS (SELECT a, be, qid, doc_id, chunk_idx, CASE WHEN be = 1 THEN round(ce, 9) ELSE round(be * {MM('ce', by='a, be, qid')} + (1 - be) * {MM('fused', by='a, be, qid')}, 9) END AS s FROM sv, (SELECT unnest({BETAS})::DOUBLE AS be)), "
+       "bx AS (SELECT *, row_number() OVER (PARTITION BY a, be, qid, doc_id ORDER BY s DESC, chunk_idx) AS rn FROM bl), bd AS (SELECT a, be, qid, doc_id, round(avg(CASE WHEN rn <= 2 THEN s END), 6) AS score, max(s) AS bs, min(CASE WHEN rn = 1 THEN chunk_idx END) AS c FROM bx GROUP BY a, be, qid, doc_id), "
+       f"br AS (SELECT * FROM bd QUALIFY row_number() OVER (PARTITION BY a, be, qid ORDER BY score DESC, round(bs, 6) DESC, c, doc_id) <= {P.n_docs}), mn AS (SELECT *, {MM('score', '1e-12', 'a, be, qid')} AS mn FROM br), "
+       f"pr AS (SELECT a, be, lam, qid, doc_id, round(mn + lam * coalesce(w, 0), 6) AS score FROM mn LEFT JOIN pw USING (doc_id), (SELECT unnest({LAMS})::DOUBLE AS lam)), t5 AS (SELECT *, row_number() OVER (PARTITION BY a, be, lam, qid ORDER BY score DESC, doc_id) AS rank FROM pr QUALIFY rank <= 5), "
+       "cf AS (SELECT DISTINCT a, be, lam FROM pr), q2 AS (SELECT cf.a, cf.be, cf.lam, gl.qid, count(*) AS n_gold, count(rank) AS inter, min(rank) AS first FROM gl CROSS JOIN cf LEFT JOIN t5 ON t5.a = cf.a AND t5.be = cf.be AND t5.lam = cf.lam AND t5.qid = gl.qid AND t5.doc_id = gl.doc_id GROUP BY cf.a, cf.be, cf.lam, gl.qid) "
+       "SELECT a AS alpha, be AS beta, lam, round(avg(inter / n_gold), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM q2 GROUP BY a, be, lam")
 def sweep_alpha_beta_lambda(s, d):
     p, g, _ = evaluated(s, d, P)
 
@@ -624,7 +783,7 @@ def sweep_alpha_beta_lambda(s, d):
         c = c.join(asked(s, d).groupBy("qid").agg(F.min("question").alias("question")), "qid")
         return io.late_fetch(c, chunks(s, d), ["text"]).withColumn("ce", rerank.overlap_score())
     w = cut(prior.prior_weights(table(s, d, "train"), p.select("qid").distinct()))
-    return evaluate.sweep_rerank(p, g, w, score, [0.0, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0], [0.3, 0.5, 0.7, 1.0], LAMS, P)
+    return evaluate.sweep_rerank(p, g, w, score, VECTOR_ALPHAS, BETAS, LAMS, P)
 
 
 @query("SELECT qid FROM (SELECT DISTINCT qid FROM train) ORDER BY md5(qid || ':0'), qid LIMIT 100")
@@ -644,29 +803,29 @@ _POS = (f"{AFUSED}, {GOLD}, gp AS (SELECT * FROM g WHERE qid IN (SELECT qid FROM
 
 
 @query(f"WITH {_POS} SELECT qid, chunk_idx FROM ps")
-def mined_positives(s, d, size=ASKED_CUT):
+def mined_positives(s, d, size=P):
     p, g, _ = evaluated(s, d, size)
     return mining.positives(fusion.fuse(p, "linear", P.alpha), g, chunks(s, d))
 
 
 @query(f"WITH {_ASV}, {GOLD}, t AS (SELECT qid, doc_id, chunk_idx, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, chunk_idx) AS r FROM fu SEMI JOIN g USING (qid, doc_id) QUALIFY r <= 5) "
        "SELECT t.qid, t.chunk_idx FROM t LEFT JOIN sv ON sv.qid = t.qid AND sv.chunk_idx = t.chunk_idx QUALIFY row_number() OVER (PARTITION BY t.qid ORDER BY coalesce(ce, '-inf'::DOUBLE) DESC, r) = 1")
-def mined_positives_by_model(s, d, size=ASKED_CUT):
+def mined_positives_by_model(s, d, size=P):
     p, g, _ = evaluated(s, d, size)
     return mining.positives_by_model(fusion.fuse(p, "linear", P.alpha), g, asked_scored(s, d, p, size))
 
 
-_NEG = (f"{_POS}, n1 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, chunk_idx) - 1 AS rn FROM fu), n2 AS (SELECT qid, doc_id, chunk_idx, rn FROM n1 ANTI JOIN g USING (qid, doc_id) WHERE rn BETWEEN 2 AND 79 QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY rn) = 1), "
+_NEG = (f"{_POS}, n1 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, chunk_idx) - 1 AS rn FROM fu), n2 AS (SELECT qid, doc_id, chunk_idx, rn FROM n1 ANTI JOIN g USING (qid, doc_id) WHERE rn BETWEEN 5 AND 79 QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY rn) = 1), "
         "ng AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rn) AS neg_no, chunk_idx FROM n2 QUALIFY neg_no <= 6)")
 
 
 @query(f"WITH {_NEG} SELECT qid, neg_no, chunk_idx FROM ng")
-def mined_negatives(s, d, size=ASKED_CUT, skip=2):
+def mined_negatives(s, d, size=P, skip=5):
     p, g, _ = evaluated(s, d, size)
     return mining.negatives(fusion.fuse(p, "linear", P.alpha), g, skip, 80, 6)
 
 
-def _pairs(s, d, size: Params = ASKED_CUT, skip: int = 2) -> DataFrame:
+def _pairs(s, d, size: Params = P, skip: int = 5) -> DataFrame:
     c = chunks(s, d).filter("text is not null")
     p, g, _ = evaluated(s, d, size)
     f = fusion.fuse(p, "linear", P.alpha)
@@ -678,15 +837,20 @@ _PAIRS = (f"{_NEG}, qq AS (SELECT qid, min(question) AS query FROM (SELECT qid,
 
 
 @query(f"WITH {_PAIRS} SELECT qid, query, positive, negatives[1] AS negative_1, negatives[2] AS negative_2 FROM pa")
-def biencoder_rows(s, d, size=ASKED_CUT, skip=2):
+def biencoder_rows(s, d, size=P, skip=5):
     return mining.biencoder_rows(_pairs(s, d, size, skip), 2)
 
 
 @query(f"WITH {_PAIRS} SELECT qid, query, positive AS text, 1 AS label FROM pa UNION ALL SELECT qid, query, unnest(negatives[1:2]), 0 FROM pa")
-def crossencoder_rows(s, d, size=ASKED_CUT, skip=2):
+def crossencoder_rows(s, d, size=P, skip=5):
     return mining.crossencoder_rows(_pairs(s, d, size, skip), 2)
 
 
+@query(f"WITH {_PAIRS} SELECT query, positive, negatives[1] AS negative_1, negatives[2] AS negative_2, negatives[3] AS negative_3 FROM pa WHERE len(negatives) >= 3")
+def listwise_rows(s, d):
+    return mining.listwise_rows(_pairs(s, d), 3)
+
+
 # ---- validation ------------------------------------------------------------------------------------------------------
 
 _VAL = (f"l AS (SELECT DISTINCT qid, answer FROM submission), i AS (SELECT qid, id, p FROM (SELECT qid, unnest(answer) AS id, generate_subscripts(answer, 1) - 1 AS p FROM l)), "
@@ -706,31 +870,11 @@ def validator_findings(s, d):
     return _findings(s, d)
 
 
-@query(f"WITH {_VAL} SELECT severity, code, count(*) AS findings, count(DISTINCT qid) AS questions FROM fd GROUP BY ALL")
+@query(f"WITH {_VAL} SELECT severity, code, count(*) AS findings, count(DISTINCT qid) AS questions, array_to_string(list_slice(list_sort(list(DISTINCT qid)), 1, 5), ',') AS examples FROM fd GROUP BY severity, code")
 def validator_summary(s, d):
-    return validate.summary(_findings(s, d))
+    return validate.summary(_findings(s, d)).withColumn("examples", F.array_join("examples", ","))
 
 
 for _name, _cols in {**{k: ("rank",) for k in ("bm25_chunks_topk", *(f"bm25_docs_{x}" for x in ("max", "top3", "top3_log", "max_w", "avg")), "search_chunks", "hybrid_docs", "ce_blend_docs", "ce_only_docs", "prior_rerank", "padded_topk")},
                      "candidate_cut": ("rn",), "mined_negatives": ("neg_no",)}.items():
     ORACLE[_name] = f"SELECT * REPLACE ({', '.join(f'{c}::INT AS {c}' for c in _cols)}) FROM ({ORACLE[_name]})"
-
-
-# ---- production sizes ------------------------------------------------------------------------------------------------
-
-def whole_sql(sql: str) -> str:
-    """The same SQL at the sizes of the production run."""
-    for a, b in ((POOL, POOL.replace(f"<= {CUT.pool})", f"<= {P.pool})")), (f"dr = {CUT.n_docs + 1} ", f"dr = {P.n_docs + 1} "),
-                 (f"QUALIFY rnk <= {ASKED_CUT.pool})", f"QUALIFY rnk <= {P.pool})"), ("rn BETWEEN 2 AND 79", "rn BETWEEN 5 AND 79")):
-        sql = sql.replace(a, b)
-    return sql
-
-
-for _name in ("pool_topk", "minmax_scores", "fuse_linear", "fuse_rrf", "fuse_dense_only", "dense_scores", "matryoshka_cosines", "hybrid_docs", "candidate_cut", "ce_scores", "ce_ensemble",
-              "ce_blend_docs", "ce_only_docs", "prior_rerank", "changed_by_prior", "padded_topk", "submission_rows"):
-    QUERIES[f"{_name}_whole"] = partial(QUERIES[_name], p=P)
-    ORACLE[f"{_name}_whole"] = whole_sql(ORACLE[_name])
-for _name in ("question_metrics", "metrics", "rank_histogram", "candidate_ceiling", "auc_exact", "sweep_alpha_agg", "fusion_configs", "rerank_compare", "half_split_lambda", "mined_positives",
-              "mined_positives_by_model", "mined_negatives", "biencoder_rows", "crossencoder_rows"):
-    QUERIES[f"{_name}_whole"] = partial(QUERIES[_name], size=P, **({"skip": 5} if _name in ("mined_negatives", "biencoder_rows", "crossencoder_rows") else {}))
-    ORACLE[f"{_name}_whole"] = whole_sql(ORACLE[_name])

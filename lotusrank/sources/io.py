@@ -15,16 +15,20 @@ QUESTIONS = "map<string,struct<question:string,answer:array<string>>>"
 BOM = "﻿"
 
 
-def read_contexts(spark: SparkSession, folder: str) -> DataFrame:
-    """context_<id>.json files at any depth: (doc_id, id, name, link, passage); doc_id comes from the file's name."""
+def read_contexts(spark: SparkSession, folder: str, first: int | None = None) -> DataFrame:
+    """context_<id>.json files at any depth: (doc_id, id, name, link, passage); doc_id comes from the file's name. `first` takes
+    that many files in the order of their names."""
     d = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "context_*.json").option("wholetext", "true").text(folder)
          .select(F.regexp_extract(F.input_file_name(), r"context_([^/]+)\.json$", 1).alias("doc_id"), F.from_json(F.ltrim(F.regexp_replace("value", f"^{BOM}", "")), CONTEXT).alias("j")))
-    return d.select("doc_id", "j.*")
+    d = d.select("doc_id", "j.*")
+    return d.orderBy("doc_id").limit(first) if first else d
 
 
 def corpus_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id) of all context files, from their names alone: no file is opened."""
+    """(doc_id) of all context files, from their names alone: no file is opened; raises if there is none."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "context_*.json").load(folder).select("path")
+    if d.isEmpty():
+        raise FileNotFoundError(f"no context_*.json under {folder}")
     return d.select(F.regexp_extract("path", r"context_([^/]+)\.json$", 1).alias("doc_id"))
 
 
@@ -63,3 +67,31 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     if by:
         df = df.repartitionByRange(*by).sortWithinPartitions(*by)
     df.write.mode("overwrite").parquet(path)
+
+
+def write_lines(df: DataFrame, path: str) -> None:
+    """JSON lines, such as chunks and training pairs; null fields are left out."""
+    df.write.mode("overwrite").json(path)
+
+
+def split_json(folds: DataFrame, seed: int) -> str:
+    """(qid, fold) as the JSON object {train: [...], val: [...], seed}; one id per question reaches the driver, as the file form demands."""
+    got: dict = {"train": [], "val": []}
+    for r in folds.orderBy("qid").toLocalIterator():
+        got[r["fold"]].append(r["qid"])
+    return json.dumps({**got, "seed": seed}, ensure_ascii=False)
+
+
+def write_dump(df: DataFrame, path: str, settings: dict, by: list[str] | None = None) -> None:
+    """An intermediate result (candidates, pairs, a pool, scores) with the settings that made it."""
+    write_table(df, f"{path}/rows", by)
+    df.sparkSession.createDataFrame([(json.dumps(settings, sort_keys=True),)], "settings string").write.mode("overwrite").parquet(f"{path}/settings")
+
+
+def read_dump(spark: SparkSession, path: str, expect: dict | None = None) -> tuple[DataFrame, dict]:
+    """A dump and its settings; raises if any of `expect` is another."""
+    settings = json.loads(spark.read.parquet(f"{path}/settings").first()["settings"])
+    other = {k: settings.get(k) for k, v in (expect or {}).items() if settings.get(k) != v}
+    if other:
+        raise ValueError(f"{path} was made with {other}")
+    return spark.read.parquet(f"{path}/rows"), settings

@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lotusrank.functions.text import clean, title
-from lotusrank.operators.chunking import chunk_articles, chunk_windows, has_articles
+from lotusrank.operators.chunking import chunk_each, cleaned
 
 
 def chunk_stream(docs: DataFrame) -> DataFrame:
-    """A stream of (doc_id, name, link, passage) as a stream of chunks, without state: each document is cut by itself."""
-    d = docs.filter("doc_id is not null").select("doc_id", title(F.col("name"), F.col("link")).alias("title"), clean(F.col("passage")).alias("body")).filter("body != ''")
-    return chunk_articles(d.filter(has_articles())).unionByName(chunk_windows(d.filter(~has_articles())))
+    """A stream of (doc_id, name, link, passage) as a stream of chunks of all tiers, without state: each document is cut by itself."""
+    return chunk_each(cleaned(docs))
 
 
 def latest(docs: DataFrame, late: str = "7 days") -> DataFrame:

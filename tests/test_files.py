@@ -62,7 +62,7 @@ def test_readers_and_submission(spark, tmp_path):
     assert json.loads(zipfile.ZipFile(bytesio.BytesIO(z)).read("submission.json")) == {"1": {"answer": ["a"]}, "2": {"answer": ["b"]}}
 
 
-DOCS = [("1", "Luật A", None, "Điều 1. thuế đất đai " + "đất " * 40 + "\nĐiều 2. lao động " + "việc " * 40), ("2", "Luật B", None, "thuế " * 300), ("3", None, None, None)]
+DOCS = [("1", "Luật A", None, "Điều 1. thuế đất đai " + "đất " * 40 + "\nĐiều 2. lao động " + "việc " * 40), ("2", "Luật B", None, "thuế " * 300), ("3", "Chỉ tên", None, None)]
 
 
 def test_pipeline_skips_complete_stages(spark, tmp_path):
@@ -70,9 +70,9 @@ def test_pipeline_skips_complete_stages(spark, tmp_path):
     qs = spark.createDataFrame([("q", "việc lao động")], "qid string, question string")
     p = pipeline.Pipeline(spark, str(tmp_path))
     first = [tuple(r) for r in pipeline.retrieve(p, docs, qs, pipeline.Params(min_df=1, max_df_ratio=1.0)).collect()]
-    assert p.ran == ["chunks", "scores", "ranked"] and first[0][2] == "1"
+    assert p.ran == ["chunks", "index", "scores", "ranked"] and first[0][2] == "1"
     p2 = pipeline.Pipeline(spark, str(tmp_path))
-    (tmp_path / "ranked/_SUCCESS").unlink()
+    (tmp_path / "ranked/_SUCCESS").unlink()  # half-written
     assert [tuple(r) for r in pipeline.retrieve(p2, docs, qs, pipeline.Params(min_df=1, max_df_ratio=1.0)).collect()] == first and p2.ran == ["ranked"]
 
 
@@ -94,4 +94,33 @@ def test_stream_of_documents(spark, tmp_path):
     docs.limit(1).write.mode("append").parquet(src)
     ingest.run(spark, src, out, st).awaitTermination()
     got = spark.read.parquet(out)
-    assert sorted((r.doc_id, r.tier) for r in got.collect()) == [("1", 1), ("1", 1), ("2", 3), ("2", 3)]
+    assert sorted((r.doc_id, r.tier) for r in got.collect()) == [("1", 1), ("1", 1), ("2", 3), ("2", 3), ("3", 0)]
+
+
+def test_files_that_hand_results_on(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        io.corpus_ids(spark, str(tmp_path))
+    c = spark.createDataFrame([("1", "1#0", 1, "Điều 1", 2, "a\nb")], "doc_id string, chunk_id string, tier int, path string, n_words int, text string")
+    io.write_lines(c, str(tmp_path / "chunks"))
+    assert [tuple(r) for r in io.read_chunks(spark, str(tmp_path / "chunks")).collect()] == [tuple(c.first())]
+    folds = spark.createDataFrame([("2", "train"), ("1", "val"), ("3", "train")], "qid string, fold string")
+    assert json.loads(io.split_json(folds, 42)) == {"train": ["2", "3"], "val": ["1"], "seed": 42}
+    io.write_dump(folds, str(tmp_path / "dump"), {"pool": 2000, "alpha": 0.7}, ["qid"])
+    assert io.read_dump(spark, str(tmp_path / "dump"), {"pool": 2000})[0].count() == 3
+    with pytest.raises(ValueError):
+        io.read_dump(spark, str(tmp_path / "dump"), {"pool": 20})
+    for i in (3, 1, 2):
+        (tmp_path / f"context_{i}.json").write_text(json.dumps({"id": i, "passage": "x"}))
+    assert sorted(r.doc_id for r in io.read_contexts(spark, str(tmp_path), first=2).collect()) == ["1", "2"]
+
+
+def test_stages_of_a_session_follow_the_files(spark, tmp_path):
+    d = str(tmp_path / "t")
+    spark.range(3).write.parquet(f"{d}/a.parquet")
+    p = pipeline.session_stages(spark, d)
+    p.stage("x", lambda: spark.range(1))
+    again = pipeline.session_stages(spark, d)
+    again.stage("x", lambda: spark.range(1))
+    assert p.ran == ["x"] and again.ran == [] and again.root == p.root
+    spark.range(3).write.parquet(f"{d}/b.parquet")
+    assert pipeline.session_stages(spark, d).root != p.root

@@ -182,10 +182,11 @@ def test_encoder_plug_in(spark, tmp_path):
     df = spark.createDataFrame([(1, "một hai"), (2, None), (3, "hai một")], "chunk_idx long, text string")
     e = {r.chunk_idx: r.embedding for r in encode.encode(df, "chunk_idx", "text", encode.hashed(16), dims=8).collect()}
     assert e[1] == e[3] and len(e[1]) == 8 and sum(e[2]) == 0
-    assert encode.pooling_of(str(tmp_path)) == ("mean", None)
+    assert encode.pooling_of({}) == ("mean", None) and encode.pooling_of({"pooling_mode": "mean", "pooling_mode_cls_token": True}) == ("mean", None)
+    assert encode.EncoderMeta.of_model(str(tmp_path)) == encode.EncoderMeta(tmp_path.name, 0, "mean")
     (tmp_path / "1_Pooling").mkdir()
     (tmp_path / "1_Pooling/config.json").write_text('{"pooling_mode_cls_token": true, "word_embedding_dimension": 8}')
-    assert encode.pooling_of(str(tmp_path)) == ("cls", 8)
+    assert encode.EncoderMeta.of_model(str(tmp_path)) == encode.EncoderMeta(tmp_path.name, 8, "cls")
     with pytest.raises(ValueError):
         encode.EncoderMeta("a", 8).check(encode.EncoderMeta("b", 8))
     x = df.filter("chunk_idx = 1").select(encode.yes_no_prompt("pair", F.lit("q"), F.col("text"), 1).alias("p"), encode.yes_probability(F.lit(0.0), F.lit(0.0)).alias("y")).first()
@@ -194,3 +195,68 @@ def test_encoder_plug_in(spark, tmp_path):
     g = spark.createDataFrame([("q", "a")], "qid string, doc_id string")
     s = spark.createDataFrame([("q", 1, 0.9)], "qid string, chunk_idx long, score double")
     assert [tuple(r) for r in encode.screen(c, g, {"m": s, "w": s.withColumn("score", -F.col("score"))}).collect()] == [("m", 1.0, 1.0), ("w", 0.0, 1.0)]
+
+
+def test_a_stored_index_scores_like_one_built_at_once(spark, corpus, tmp_path):
+    df, _ = corpus
+    df = df.unionByName(spark.createDataFrame([(99, "d9", None)], df.schema))
+    q = spark.createDataFrame([("q1", "thuế đất lạ"), ("q2", "hợp đồng lao động")], "qid string, question string")
+    index.write_index(df, str(tmp_path / "i"))
+    ix = index.Index.read(spark, str(tmp_path / "i"))
+    assert ix.n == 61 and ix.lengths.filter("chunk_idx = 99").first().doclen == 0 and not (tmp_path / "i/counts").exists()
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(index.bm25_scores(ix, q)) == rows(index.bm25_scores(df, q)) and rows(ix.doc_sizes()) == rows(aggregate.doc_sizes(df))
+    # few asked terms are part of the scan
+    plan = index.matched(ix, q)._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [" in plan
+    assert rows(index.hit_terms(ix, q)) == [("q1", "thuế"), ("q1", "đất"), ("q2", "hợp"), ("q2", "lao"), ("q2", "đồng"), ("q2", "động")]
+    assert index.bm25_scores(df.limit(0), q).count() == 0
+
+
+def test_texts_are_cut_to_the_tokens_a_model_takes(spark):
+    tok, dec = (lambda t: [ord(c) for c in t]), (lambda ids: "".join(map(chr, ids)))
+    assert encode.fit_to(tok, dec, 3)("abcd") == "abc" and encode.fit_to(tok, dec, 4)("abcd") == "abcd"
+    seen = []
+
+    def logits(prompts):
+        seen.extend(prompts)
+        import numpy as np
+        return np.array([[0.0, float(len(p))] for p in prompts])
+    import pandas as pd
+    frame = sum(map(len, encode.YES_NO["pair"])) + 1
+    got = encode.yes_no_scorer("pair", logits, tok, dec, max_len=frame + 5, least=2)(pd.Series(["q", "q"]), pd.Series(["x" * 50, None]))
+    assert [len(p) for p in seen] == [frame + 5, frame] and list(got) == [frame + 5, frame]
+    chat = encode.yes_no_scorer("chat", lambda p: __import__("numpy").zeros((len(p), 2)), tok, dec)(pd.Series(["q"]), pd.Series(["x"]))
+    assert chat[0] == pytest.approx(math.log(0.5))
+    df = spark.createDataFrame([(1, "a b", None)], "k int, q string, t string")
+    assert rerank.score_pairs(df, lambda q, t: q.str.len() * 10.0 + t.str.len(), "q", "t", segment=lambda s: s.replace(" ", "__")).first().ce == 40.0
+
+
+def test_vectors_are_encoded_in_groups_and_kept_with_their_maker(spark, tmp_path):
+    df = spark.createDataFrame([(i, "w" * (i % 7 + 1)) for i in range(50)], "chunk_idx long, text string").repartition(1)
+    a = {r.chunk_idx: r.embedding for r in encode.encode(df, "chunk_idx", "text", encode.hashed(8), group=16, batch=5).collect()}
+    b = {r.chunk_idx: r.embedding for r in encode.encode(df, "chunk_idx", "text", encode.hashed(8)).collect()}
+    assert a == b and len(a) == 50
+    meta = encode.EncoderMeta("m", 8)
+    encode.write_vectors(encode.encode(df, "chunk_idx", "text", encode.hashed(8)), str(tmp_path / "v"), meta)
+    v, made = encode.read_vectors(spark, str(tmp_path / "v"), meta)
+    assert made == meta and v.count() == 50
+    with pytest.raises(ValueError):
+        encode.read_vectors(spark, str(tmp_path / "v"), encode.EncoderMeta("other", 8))
+
+
+def test_prediction_by_tier(spark):
+    from lotusrank.plans import pipeline
+    rows = [("q", i, f"d{i // 2}", 10.0 - i, i / 10) for i in range(8)]
+    pool = spark.createDataFrame(rows, "qid string, chunk_idx long, doc_id string, bm25 double, dense double")
+    first = lambda tier, score=None: [r.doc_id for r in pipeline.predict(tier, pool, Params(topk=2, agg="max"), score).orderBy("rank").collect()]
+    assert first("bm25") == ["d0", "d1"] and first("hybrid") == ["d3", "d2"]
+    assert first("rerank", lambda c: c.withColumn("ce", F.when(F.col("doc_id") == "d1", 9.0).otherwise(0.0)))[0] == "d1"
+    for bad in (("rerank",), ("all", None)):
+        with pytest.raises(ValueError):
+            first(*bad)
+
+
+def test_listwise_rows_need_all_negatives(spark):
+    p = spark.createDataFrame([("1", "q", "p", ["a", "b"]), ("2", "r", "s", ["c"])], "qid string, query string, positive string, negatives array<string>")
+    assert [tuple(r) for r in mining.listwise_rows(p, 2).collect()] == [("q", "p", "a", "b")]

@@ -84,27 +84,42 @@ def test_ordinals_follow_document_order(spark):
     assert [x[1] for x in got] == list(range(len(got)))
 
 
-def test_reflow_equals_a_sequential_fold(spark):
-    rnd = random.Random(1)
-    pieces = ["Chương I", "Điều 1. Phạm", "vi điều chỉnh", "xong.", "-----", "", "1. khoản", "a) điểm", "tiếp theo", "Mục 2", "hết;", "- gạch"]
-
-    def fold(text):
-        out = []
-        for raw in text.split("\n"):
-            s = raw.strip()
-            if not s or re.match(r"^[-_=–—\s.]+$", s):
-                continue
-            opens = re.match(r"^(Chương\s+[IVXLCDM\d]|Điều\s+\d|Mục\s+\d|Phần\s+[IVXLCDM\d]|\d+\.\s|[a-zđ]\)\s|[-+*]\s)", s)
-            if out and not opens and not re.search(r"[.;:!?][\"')\]]?$", out[-1]):
-                out[-1] += " " + s
-            else:
-                out.append(s)
-        return out
-    texts = ["\n".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 25))) for _ in range(150)]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert [r.x for r in df.select(render.reflow(F.col("t")).alias("x")).collect()] == [fold(t) for t in texts]
+@pytest.mark.parametrize("text, want", [
+    ("Điều 1. Phạm\nvi điều chỉnh\nxong.\ntiếp theo", ["Điều 1. Phạm vi điều chỉnh xong.", "tiếp theo"]),
+    ("\n-----\nmở đầu\n\nvà hết;\n1. khoản\n a) điểm\n- gạch", ["mở đầu và hết;", "1. khoản", "a) điểm", "- gạch"]),
+    ("Chương I\nMục 2\nMục lục\n===\nPhần X", ["Chương I", "Mục 2 Mục lục", "Phần X"]),
+    ("hết.\"\ndòng\n\t\nnữa!)\ncuối", ["hết.\"", "dòng nữa!)", "cuối"]), ("", []), (" \n.-.\n", []), ("xong:", ["xong:"]),
+])
+def test_reflow(spark, text, want):
+    assert one(spark, render.reflow(F.col("a")), a=text) == want
 
 
 def test_html(spark):
     d = spark.createDataFrame([("1", "Chương I\nĐiều 1. Một & hai\n1. khoản\na) điểm\nĐiều 1. lại\nMục 1\nthường.")], "doc_id string, passage string")
     assert render.html(d, ["hai"]).first().html == ("<h2>Chương I</h2>\n<h3 id='dieu-1'>Điều 1. Một &amp; <mark>hai</mark></h3>\n<p class=\"khoan\">1. khoản</p>\n<p class=\"diem\">a) điểm</p>\n<h3>Điều 1. lại</h3>\n<h4>Mục 1 thường.</h4>")
+
+
+def test_window_of_a_long_document(spark):
+    d = spark.createDataFrame([("1", "tên", None, "Điều 1. Một.\n" + "dài " * 30 + ".\nĐiều 2. Hai hai.\n" + "đuôi " * 30)], "doc_id string, name string, link string, passage string")
+    whole = render.html(d, []).first()
+    assert not whole.truncated and "Điều 1" in whole.html
+    part = render.html(d, ["hai"], 60, "Điều 2").first()
+    assert part.truncated and "Điều 1" not in part.html and "<h3 id='dieu-2'>Điều 2. <mark>Hai</mark> <mark>hai</mark>." in part.html
+    page = render.view(d, "1", ["hai"], "Điều 2").first()
+    assert (page.name, page.link, page.anchor, page.truncated) == ("tên", "", "dieu-2", False) and page.html.count("<mark>") == 2
+    assert render.view(d, "2", []).count() == 0 and render.view(d.withColumn("passage", F.lit(None).cast("string")), "1", []).first().html == ""
+
+
+def test_repeated_documents_are_chunked_once(spark, monkeypatch):
+    d = spark.createDataFrame([("1", "a", None, "một hai"), ("1", "a", None, "một hai"), ("1", "b", None, "một"), ("2", "c", None, "ba"), (None, "d", None, "bốn")], "doc_id string, name string, link string, passage string")
+    want = [("1", "a > Phần 1\nmột hai"), ("2", "c > Phần 1\nba")]
+    assert sorted((r.doc_id, r.text) for r in chunking.chunk(d).collect()) == want
+    monkeypatch.setattr(chunking, "REPEATED_HERE", 0)  # too many repeats to send around
+    assert sorted((r.doc_id, r.text) for r in chunking.chunk(d).collect()) == want
+
+
+def test_small_parts_pile_up_in_one_run():
+    p = [chunking.numbered(f"Điều {i}", w(n)) for i, n in ((1, 5), (2, 6), (3, 40), (4, 31), (5, 32))]
+    assert [x for x, _ in chunking.together(p)] == ["Điều 1-4", "Điều 5"]
+    assert [x for x, _ in chunking.together(p[:2])] == ["Điều 1-2"] and chunking.together([]) == []
+    assert [x for x, _ in chunking.together([chunking.numbered("Điều 4a", w(40)), chunking.numbered("Điều 5", w(3))])] == ["Điều 4a + Điều 5"]
