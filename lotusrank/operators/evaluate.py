@@ -101,9 +101,16 @@ def sweep_bm25(chunks: DataFrame | Index, questions: DataFrame, gold: DataFrame,
     ix = Index.of(chunks, p)
     sums = [F.round(F.sum(F.col("qtf") * weight(F.col("idf"), F.col("tf"), F.col("doclen"), F.lit(ix.avgdl), k, b)), 6).alias(f"s{i}") for i, (k, b) in enumerate(grid)]
     wide = matched(ix, questions, p).groupBy("qid", "chunk_idx", "doc_id").agg(*sums)
-    long = F.explode(F.array(*[F.struct(F.lit(f"{k}|{b}").alias("cfg"), F.col(f"s{i}").alias("score")) for i, (k, b) in enumerate(grid)]))
+    keys, cfgs = {"k1": "double", "b": "double"}, [f"{k}|{b}" for k, b in grid]
+    if agg == "max":  # a document's best chunk under every pair comes from one more grouping, before the pairs become rows
+        wide = wide.groupBy("qid", "doc_id").agg(*[F.max(F.struct(F.col(f"s{i}").alias("score"), (-F.col("chunk_idx")).alias("c"))).alias(f"s{i}") for i in range(len(grid))])
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("cfg"), F.col(f"s{i}.score").alias("score"), F.col(f"s{i}.c").alias("c")) for i, c in enumerate(cfgs)]))
+        d = wide.select("qid", "doc_id", each.alias("x")).select(F.concat_ws("#", "qid", "x.cfg").alias("qid"), "doc_id", "x.score", "x.c")
+        w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("c").desc(), "doc_id")
+        return measured(d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 20), gold, keys, cfgs)
+    long = F.explode(F.array(*[F.struct(F.lit(c).alias("cfg"), F.col(f"s{i}").alias("score")) for i, c in enumerate(cfgs)]))
     s = wide.select("qid", "chunk_idx", "doc_id", long.alias("c")).select("qid", "chunk_idx", "doc_id", "c.cfg", "c.score")
-    return by_config(s, gold, agg, {"k1": "double", "b": "double"}, [f"{k}|{b}" for k, b in grid])
+    return by_config(s, gold, agg, keys, cfgs)
 
 
 def by_config(scores: DataFrame, gold: DataFrame, agg: str, keys: dict[str, str], cfgs: list[str]) -> DataFrame:
