@@ -163,7 +163,8 @@ def _house(text: str, lo: int, hi: int) -> str | None:
 
 
 def _names(text: str, m: re.Match) -> list[tuple]:
-    """The capitalised words as one candidate and, where the first may only open its sentence, also those after it."""
+    """The capitalised words as one candidate and, where the first may only open its sentence, also those after it. A name has
+    two to six words: longer runs are headings and names of bodies."""
     words = [m.start() + w.start() for w in _SOLID.finditer(m.group())]
     head = _TITLE_HEAD.match(m.group())  # a title written large is no part of the name, nor is what stands before it
     cuts = [sum(w < m.start() + head.end() for w in words)] if head else [0, 1] if len(words) > 2 else [0]
@@ -235,6 +236,10 @@ def verdicts(types: DataFrame, conf: DataFrame, known: int = 5) -> DataFrame:
 SURE = {"email": 0.6, "phone": 0.6, "id": 0.6, "name": 0.3, "address": 0.3}
 
 
+#: Up to so many accepted mention types go to where the mentions lie; beyond, both sides meet by type and salt.
+TYPES_EVERYWHERE, SALTS = 200_000, 32
+
+
 def entities(documents: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 3, labelled: float = 0.5) -> DataFrame:
     """(doc_id, kind, lo, hi, found): every accepted mention with its place in the text and its normal form.
 
@@ -252,7 +257,12 @@ def entities(documents: DataFrame, key: str = "doc_id", text: str = "text", roun
     for k, v in SURE.items():
         need = F.when(F.col("kind") == k, F.lit(v)).otherwise(need)
     good = best.filter((F.col("foe") == 0) & (F.col("score") >= need)).select(*TYPE, "score")
-    kept = m.join(good, TYPE).repartition("doc_id")
+    if good.limit(TYPES_EVERYWHERE + 1).count() <= TYPES_EVERYWHERE:
+        kept = m.join(F.broadcast(good), TYPE)
+    else:  # a common context would be one task's burden
+        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        kept = m.withColumn("__s", F.pmod(F.xxhash64("doc_id", "lo"), F.lit(SALTS)).cast("int")).join(good.withColumn("__s", salt), [*TYPE, "__s"]).drop("__s")
+    kept = kept.repartition("doc_id")
     rank = [F.col("score").desc(), (F.col("hi") - F.col("lo")).desc(), F.col("kind"), F.col("found")]
     for side in ("lo", "hi"):
         kept = kept.withColumn("__r", F.row_number().over(Window.partitionBy("doc_id", side).orderBy(*rank))).filter("__r = 1").drop("__r")

@@ -47,10 +47,11 @@ def pretokens(text: str) -> list[str]:
 class Encoder:
     """Byte-pair encoding without running merges over the text.
 
-    For every prefix of a word there is one token that can end its encoding. It is found by walking the suffix
-    automaton of the vocabulary (all tokens that end at the position) and testing whether the token is compatible with
-    the last token of the prefix before it: two tokens may stand beside each other if and only if encoding their joined
-    bytes gives just these two. Back-pointers from the end give the ids.
+    For every prefix of a word there is one token that can end its encoding. It is found by walking an automaton of the
+    vocabulary that yields all tokens which are suffixes of what has been read (a trie of the tokens with failure links;
+    states for parts of tokens that begin none would never end a match, so it has none) and testing whether the token
+    is compatible with the last token of the prefix before it: two tokens may stand beside each other if and only if
+    encoding their joined bytes gives just these two. Back-pointers from the end give the ids.
     """
 
     def __init__(self, ranks: dict[bytes, int], cache: int = 500_000):
