@@ -90,9 +90,9 @@ def half_split(results: DataFrame, halves: DataFrame) -> DataFrame:
     return d.withColumn("chosen", F.col("config") == F.lit(top["config"]) if top else F.lit(False))
 
 
-def sample(questions: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n questions in hash order: the same for every partitioning."""
-    return questions.orderBy(F.md5(F.concat(F.col("qid"), F.lit(f":{seed}"))), "qid").limit(n)
+def sample(questions: DataFrame, n: int, seed: int = 0, skip: int = 0) -> DataFrame:
+    """n questions in hash order after the first `skip`: the same for every partitioning."""
+    return questions.orderBy(F.md5(F.concat(F.col("qid"), F.lit(f":{seed}"))), "qid").offset(skip).limit(n)
 
 
 def sweep_bm25(chunks: DataFrame | Index, questions: DataFrame, gold: DataFrame, k1s: list[float], bs: list[float], p: Params = Params(), agg: str = "max") -> DataFrame:

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lotusrank.functions.scale import shared_folder
-from lotusrank.operators import aggregate, chunking, fusion, index, prior, rerank
+from lotusrank.functions.text import header_title, snippet
+from lotusrank.operators import aggregate, chunking, encode, fusion, index, prior, rerank
 from lotusrank.params import Params
+from lotusrank.sources.io import late_fetch
 
 
 @dataclass
@@ -52,6 +55,14 @@ def stored_index(p: Pipeline, chunks: Callable[[], DataFrame], params: Params =
     return index.Index.read(p.spark, f"{p.root}/{name}")
 
 
+def stored_vectors(p: Pipeline, chunks: DataFrame, model: encode.Encode, meta: encode.EncoderMeta) -> DataFrame:
+    """The encoding stage: vectors of all chunks, written once with their maker; raises if those there are of another encoder."""
+    if p.force or not p.done("vectors/meta"):
+        encode.write_vectors(encode.encode(chunks, "chunk_idx", "text", model), f"{p.root}/vectors", meta)
+        p.ran.append("vectors")
+    return encode.read_vectors(p.spark, f"{p.root}/vectors", meta)[0]
+
+
 def predict(tier: str, pool: DataFrame, params: Params = Params(), score: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(qid, rank, doc_id, score) from a pool (qid, chunk_idx, doc_id, bm25, dense): by BM25 alone (`bm25`), fused with the vectors'
     scores (`hybrid`), or with the candidates scored again by a model (`rerank`; `score` adds `ce` to them)."""
@@ -71,10 +82,19 @@ def predict(tier: str, pool: DataFrame, params: Params = Params(), score: Callab
     return d.select("qid", "rank", "doc_id", "score")
 
 
-def retrieve(p: Pipeline, docs: DataFrame, questions: DataFrame, params: Params = Params(), dense: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """docs (doc_id, name, link, passage) and questions (qid, question) to ranked documents; `dense` may add vector
-    scores to the pool (qid, chunk_idx, doc_id, bm25)."""
+def retrieve(p: Pipeline, docs: DataFrame, questions: DataFrame, params: Params = Params(), dense: Callable[[DataFrame], DataFrame] | None = None,
+             encoder: tuple[encode.Encode, encode.EncoderMeta] | None = None) -> DataFrame:
+    """docs (doc_id, name, link, passage) and questions (qid, question) to ranked documents. With an encoder, chunks are encoded
+    in a stage and the pool gets the inner products with the questions' vectors; or `dense` adds such scores to the pool
+    (qid, chunk_idx, doc_id, bm25); with neither, encoding is left out and BM25 alone ranks."""
     chunks = p.stage("chunks", lambda: chunking.ordinals(chunking.chunk(docs)))
+    if encoder is not None:
+        vectors = stored_vectors(p, chunks, *encoder).withColumnRenamed("embedding", "dense")
+
+        def dense(pool: DataFrame) -> DataFrame:
+            asked = encode.encode(questions, "qid", "question", encoder[0]).withColumnRenamed("embedding", "qvec")
+            got = fusion.dense_scores(pool, vectors, asked)
+            return pool.join(got, ["qid", "chunk_idx"], "left").fillna(0.0, ["dense"])
     ix = stored_index(p, lambda: chunks, params)
     scores = p.stage("scores", lambda: index.bm25_scores(ix, questions, params))
     if dense is None:
@@ -87,10 +107,6 @@ def retrieve(p: Pipeline, docs: DataFrame, questions: DataFrame, params: Params
 def search(chunks: DataFrame, questions: DataFrame, k: int = 10, mode: str = "doc", agg: str = "max", params: Params = Params(), size: int = 260, ix: index.Index | None = None) -> DataFrame:
     """The k (1 to 100) best documents or chunks of every question, with title and a snippet of `size` characters of the best
     chunk; `ix` is the stored index of the chunks, without which one is built for this search."""
-    from pyspark.sql import functions as F
-
-    from lotusrank.functions.text import header_title, snippet
-    from lotusrank.sources.io import late_fetch
     k = max(1, min(100, k))
     ix = ix or index.Index.of(chunks, params)
     scores = index.bm25_scores(ix, questions, params)
@@ -108,3 +124,12 @@ def submit(ranked: DataFrame, train: DataFrame, questions: DataFrame, params: Pa
     """(qid, answer): candidates reweighed by the prior of all labels and padded to topk."""
     final = prior.apply_prior(ranked, prior.prior_weights(train), params.lam, params.topk)
     return prior.answers(prior.pad(final, questions, prior.fallback(train), params.topk))
+
+
+def submission_report(ranked: DataFrame, train: DataFrame, questions: DataFrame, params: Params = Params()) -> DataFrame:
+    """One row on what `submit` makes of the candidates: the numbers of prior.output_stats, and `moved`, the questions whose
+    best documents the prior has changed."""
+    final = prior.apply_prior(ranked, prior.prior_weights(train), params.lam, params.topk)
+    stats = prior.output_stats(prior.pad(final, questions, prior.fallback(train), params.topk))
+    moved = prior.changed(ranked.filter(F.col("rank") <= params.topk), final).agg(F.count(F.lit(1)).alias("moved"))
+    return stats.crossJoin(moved)  # one row each

@@ -124,3 +124,19 @@ def test_stages_of_a_session_follow_the_files(spark, tmp_path):
     assert p.ran == ["x"] and again.ran == [] and again.root == p.root
     spark.range(3).write.parquet(f"{d}/b.parquet")
     assert pipeline.session_stages(spark, d).root != p.root
+
+
+def test_pipeline_with_an_encoder(spark, tmp_path):
+    from lotusrank.operators import encode
+    docs = spark.createDataFrame(DOCS, "doc_id string, name string, link string, passage string")
+    qs = spark.createDataFrame([("q", "việc lao động")], "qid string, question string")
+    params, meta = pipeline.Params(min_df=1, max_df_ratio=1.0), encode.EncoderMeta("hashed", 16)
+    p = pipeline.Pipeline(spark, str(tmp_path))
+    got = pipeline.retrieve(p, docs, qs, params, encoder=(encode.hashed(16), meta))
+    assert p.ran == ["chunks", "vectors", "index", "scores", "pool", "ranked"] and got.first().doc_id == "1"
+    with pytest.raises(ValueError):
+        pipeline.retrieve(pipeline.Pipeline(spark, str(tmp_path)), docs, qs, params, encoder=(encode.hashed(16), encode.EncoderMeta("other", 16)))
+    train = spark.createDataFrame([("x", ["2"]), ("y", ["2"])], "qid string, answer array<string>")
+    asked = spark.createDataFrame([("q",), ("r",)], "qid string")
+    r = pipeline.submission_report(spark.createDataFrame([("q", 1, "1", 1.0), ("q", 2, "2", 0.99)], "qid string, rank int, doc_id string, score double"), train, asked, pipeline.Params(lam=3.0, topk=1)).first()
+    assert (r.questions, r.answers, r.padded, r.moved) == (2, 2, 1, 1)

@@ -260,3 +260,9 @@ def test_prediction_by_tier(spark):
 def test_listwise_rows_need_all_negatives(spark):
     p = spark.createDataFrame([("1", "q", "p", ["a", "b"]), ("2", "r", "s", ["c"])], "qid string, query string, positive string, negatives array<string>")
     assert [tuple(r) for r in mining.listwise_rows(p, 2).collect()] == [("q", "p", "a", "b")]
+
+
+def test_slices_of_a_sample_are_disjoint(spark):
+    q = spark.createDataFrame([(str(i),) for i in range(30)], "qid string")
+    a, b = ({r.qid for r in evaluate.sample(q, 10, skip=k).collect()} for k in (0, 10))
+    assert len(a) == len(b) == 10 and not a & b
