@@ -14,6 +14,17 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Up to so many rows per group Spark may cut a ranking before its rows are moved; production pools are 3,000.
+GROUP_LIMIT = 5000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Lets Spark cut rankings of up to GROUP_LIMIT rows per group before the shuffle, as it does for short ones."""
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if 0 <= int(spark.conf.get(key, "1000")) < GROUP_LIMIT:
+        spark.conf.set(key, str(GROUP_LIMIT))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which all executors share; only where none is set, and only on a local master
     (tests), an own one beside the working folder, which is removed at the end."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lotusrank.functions.scale import cut
 from lotusrank.operators.aggregate import rank_docs, value_of
 from lotusrank.operators.fusion import fuse, minmax
-from lotusrank.operators.index import Index, matched, weight
+from lotusrank.operators.index import Index, sums
 from lotusrank.operators.prior import apply_prior
 from lotusrank.operators.rerank import blend, candidate_cut
 from lotusrank.params import Params
@@ -99,8 +99,8 @@ def sweep_bm25(chunks: DataFrame | Index, questions: DataFrame, gold: DataFrame,
     """(k1, b, recall, mrr) of every pair: postings are matched once, and all pairs weighed in one pass over them."""
     grid = [(float(k), float(b)) for k in k1s for b in bs]
     ix = Index.of(chunks, p)
-    sums = [F.round(F.sum(F.col("qtf") * weight(F.col("idf"), F.col("tf"), F.col("doclen"), F.lit(ix.avgdl), k, b)), 6).alias(f"s{i}") for i, (k, b) in enumerate(grid)]
-    wide = matched(ix, questions, p).groupBy("qid", "chunk_idx", "doc_id").agg(*sums)
+    wide, names = sums(ix, questions, {f"s{i}": kb for i, kb in enumerate(grid)}, p)
+    wide = wide.join(names, "qno").join(ix.lengths.select("chunk_idx", "doc_id"), "chunk_idx")
     keys, cfgs = {"k1": "double", "b": "double"}, [f"{k}|{b}" for k, b in grid]
     if agg == "max":  # a document's best chunk under every pair comes from one more grouping, before the pairs become rows
         wide = wide.groupBy("qid", "doc_id").agg(*[F.max(F.struct(F.col(f"s{i}").alias("score"), (-F.col("chunk_idx")).alias("c"))).alias(f"s{i}") for i in range(len(grid))])

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotusrank.functions.scale import shared_folder
+from lotusrank.functions.scale import prepare, shared_folder
 from lotusrank.functions.text import header_title, snippet
 from lotusrank.operators import aggregate, chunking, encode, fusion, index, prior, rerank
 from lotusrank.params import Params
@@ -40,6 +40,7 @@ class Pipeline:
 def session_stages(spark: SparkSession, folder: str) -> Pipeline:
     """Stages over the tables of a folder, kept in the shared folder of the session as long as it lives; a folder whose files
     have changed has others."""
+    prepare(spark)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     state = [fs.makeQualified(path).toString(), *sorted(f"{x.getPath().getName()} {x.getLen()} {x.getModificationTime()}" for x in fs.listStatus(path))]
@@ -96,7 +97,7 @@ def retrieve(p: Pipeline, docs: DataFrame, questions: DataFrame, params: Params
             got = fusion.dense_scores(pool, vectors, asked)
             return pool.join(got, ["qid", "chunk_idx"], "left").fillna(0.0, ["dense"])
     ix = stored_index(p, lambda: chunks, params)
-    scores = p.stage("scores", lambda: index.bm25_scores(ix, questions, params))
+    scores = p.stage("scores", lambda: index.top_bm25(ix, questions, max(params.pool, params.doc_pool), params).drop("rank"))
     if dense is None:
         pool = index.top_chunks(scores, params.doc_pool)
         return p.stage("ranked", lambda: aggregate.rank_docs(pool, "max", params.topk, "bm25", ix.doc_sizes()))
@@ -109,11 +110,10 @@ def search(chunks: DataFrame, questions: DataFrame, k: int = 10, mode: str = "do
     chunk; `ix` is the stored index of the chunks, without which one is built for this search."""
     k = max(1, min(100, k))
     ix = ix or index.Index.of(chunks, params)
-    scores = index.bm25_scores(ix, questions, params)
     if mode == "chunk":
-        top = index.top_chunks(scores, k).select("qid", "rank", "doc_id", F.col("bm25").alias("score"), "chunk_idx")
+        top = index.top_bm25(ix, questions, k, params).select("qid", "rank", "doc_id", F.col("bm25").alias("score"), "chunk_idx")
     elif mode == "doc":
-        top = aggregate.rank_docs(index.top_chunks(scores, params.doc_pool).drop("rank"), agg, k, "bm25", ix.doc_sizes()).withColumnRenamed("best_chunk", "chunk_idx")
+        top = aggregate.rank_docs(index.top_bm25(ix, questions, params.doc_pool, params).drop("rank"), agg, k, "bm25", ix.doc_sizes()).withColumnRenamed("best_chunk", "chunk_idx")
     else:
         raise ValueError(f"unknown mode {mode!r}")
     d = late_fetch(top, chunks, ["text", "path"])

@@ -64,7 +64,7 @@ def pool(s, d, p: Params = P) -> DataFrame:
 def asked_pool(s, d, p: Params = P) -> DataFrame:
     """The pool of the labelled query set: the best chunks by BM25 and, as dense score, the cosine of each to the best
     of them (a stand-in for the question's own vector)."""
-    top = index.top_chunks(index.bm25_scores(stored(s, d), asked(s, d)), p.pool)
+    top = index.top_bm25(stored(s, d), asked(s, d), p.pool)
     v = _vectors(s, d)
     q = top.filter("rank = 1").select("qid", "chunk_idx").join(v, "chunk_idx").select("qid", F.col("dense").alias("qvec"))
     cos = fusion.dot(F.col("dense"), F.col("qvec")) / fusion.norm(F.col("dense")) / fusion.norm(F.col("qvec"))
@@ -276,13 +276,13 @@ def hit_terms(s, d):
 
 @query(f"WITH {SC} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY s DESC, chunk_idx) AS rank, chunk_idx, s AS bm25 FROM sc WHERE s > 0 QUALIFY rank <= 10")
 def bm25_chunks_topk(s, d):
-    return index.top_chunks(index.bm25_scores(stored(s, d), asked(s, d)), 10).select("qid", "rank", "chunk_idx", "bm25")
+    return index.top_bm25(stored(s, d), asked(s, d), 10).select("qid", "rank", "chunk_idx", "bm25")
 
 
 def _bm25_docs(agg: str):
     def run(s, d):
         ix = stored(s, d)
-        top = index.top_chunks(index.bm25_scores(ix, asked(s, d)), P.doc_pool).drop("rank")
+        top = index.top_bm25(ix, asked(s, d), P.doc_pool).drop("rank")
         return aggregate.rank_docs(top, agg, P.topk, "bm25", ix.doc_sizes())
     return run
 
