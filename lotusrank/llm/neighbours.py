@@ -16,7 +16,8 @@ from lotusrank.functions.scale import cut
 SIGNED = "id long, same binary, regions array<long>"
 BLOCK = "key long, role int, tab int, ids binary, vecs binary, dim int"
 PACK = 64  # vectors in one shipped row
-HOLD = 16_384  # vectors that a map task packs at a time, or visitors that are compared at a time
+HOLD = 16_384  # vectors that a map task packs at a time
+BLOCK_ROWS = 131_072  # vectors that are compared with a region at a time
 COL = 1 << 22  # more than a block has columns
 
 
@@ -180,11 +181,13 @@ def _spread(tables: int, m: int, probes: int, lead: int, width: float, seed: int
         out = []
         for t in range(tables):
             home, probed = regions[t, 0], regions[t, 1:]
-            p, i = np.nonzero(probed != home)
-            visit = np.unique(np.stack([i, probed[p, i]], axis=1), axis=0)
-            at = np.concatenate([np.arange(len(ids)), visit[:, 0]])
-            key = np.concatenate([home, visit[:, 1]])
-            role = np.repeat([0, 1], [len(ids), len(visit)])
+            probed = np.sort(probed, axis=0)
+            new = probed != home
+            new[1:] &= probed[1:] != probed[:-1]
+            p, i = np.nonzero(new)
+            at = np.concatenate([np.arange(len(ids)), i])
+            key = np.concatenate([home, probed[p, i]])
+            role = np.repeat([0, 1], [len(ids), len(i)])
             if len(hot_keys):
                 at, key, role = split(at, key, role, ids)
             order = np.lexsort((role, key))
@@ -215,6 +218,10 @@ def _spread(tables: int, m: int, probes: int, lead: int, width: float, seed: int
     return run
 
 
+def _scaled(x: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return (x * scale[:, None]).astype(np.float32)
+
+
 class Region:
     """The vectors at home in one region (or one part of a hot one), by bucket, and the search of them."""
 
@@ -222,35 +229,35 @@ class Region:
         self.ids, at = np.unique(ids, return_index=True)
         self.x, self.keys, self.k, self.min_cos = x[at], keys, k, min_cos
         self.half = x.shape[1] // 2 if x.shape[1] >= 32 and min_cos > 0.5 else 0
-        self.own, self.unit = self._prepared(self.x)
-        self.part = self._part(self.unit)
+        self.own, self.scale, self.part = self._prepared(self.x)
         self.order = np.argsort(self.own[0], kind="stable")
         self.uniq, self.first = np.unique(self.own[0][self.order], return_index=True)
         self.last = np.r_[self.first[1:], len(self.order)]
 
-    def _prepared(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, unit = [], []
+    def _prepared(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, 1 / length, part) of vectors. part holds half of every unit vector and the length of its rest: the inner product
+        of two such is never below that of the wholes."""
+        keys, scale, part = [], [], []
         for lo in range(0, len(x), HOLD):
-            u = _units(x[lo:lo + HOLD])
+            v = x[lo:lo + HOLD]
+            u = _units(v)
             keys.append(self.keys(u))
-            unit.append(u.astype(np.float32))
-        return np.concatenate(keys, axis=1), np.concatenate(unit)
-
-    def _part(self, unit: np.ndarray) -> np.ndarray:
-        """Half of every vector and the length of its rest: the inner product of two such is never below that of the wholes."""
-        rest = np.sqrt(np.maximum(0, 1 - np.square(unit[:, :self.half], dtype=np.float64).sum(axis=1))) + 2.0**-20
-        return np.column_stack([unit[:, :self.half], rest.astype(np.float32)]) if self.half else unit
+            scale.append(1 / np.linalg.norm(v.astype(np.float64), axis=1))
+            if self.half:
+                rest = np.sqrt(np.maximum(0, 1 - np.square(u[:, :self.half]).sum(axis=1))) + 2.0**-20
+                part.append(np.column_stack([u[:, :self.half], rest]).astype(np.float32))
+        return np.concatenate(keys, axis=1), np.concatenate(scale), np.concatenate(part) if part else np.empty((len(x), 0), np.float32)
 
     def among(self):
-        for lo in range(0, len(self.ids), HOLD):
-            rows = np.arange(lo, min(lo + HOLD, len(self.ids)))
-            yield self._search(self.ids[rows], self.x[rows], self.unit[rows], self.part[rows], self.own[:, rows], rows)
+        for lo in range(0, len(self.ids), BLOCK_ROWS):
+            rows = np.arange(lo, min(lo + BLOCK_ROWS, len(self.ids)))
+            yield self._search(self.ids[rows], self.x[rows], self.scale[rows], self.part[rows], self.own[:, rows], rows)
 
     def visited(self, ids: np.ndarray, x: np.ndarray):
-        keys, unit = self._prepared(x)
-        yield self._search(ids, x, unit, self._part(unit), keys, None)
+        keys, scale, part = self._prepared(x)
+        yield self._search(ids, x, scale, part, keys, None)
 
-    def _search(self, ids, x, unit, part, keys, rows) -> pa.RecordBatch:
+    def _search(self, ids, x, scale, part, keys, rows) -> pa.RecordBatch:
         """(a, b, cosine): for each vector, the k best of the buckets it probes here."""
         at = np.searchsorted(self.uniq, keys)
         p, i = np.nonzero(self.uniq[np.minimum(at, len(self.uniq) - 1)] == keys)
@@ -260,7 +267,7 @@ class Region:
         a, b, c = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         for lo, hi in zip(head, np.r_[head[1:], len(bucket)] if len(bucket) else []):
             cols = self.order[self.first[bucket[lo]]:self.last[bucket[lo]]]
-            for got in self._compare(i[lo:hi], x, unit, part, rows, cols):
+            for got in self._compare(i[lo:hi], x, scale, part, rows, cols):
                 a.append(ids[got[0]])
                 b.append(self.ids[got[1]])
                 c.append(got[2])
@@ -272,18 +279,18 @@ class Region:
         keep = (nth < self.k) & (a != b)
         return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(c[keep])], names=["a", "b", "cosine"])
 
-    def _compare(self, i, x, unit, part, rows, cols):
+    def _compare(self, i, x, scale, part, rows, cols):
         """(row, column, cosine) of the k best of `cols` for each of the rows i, cosines exact to 9 decimals. Rows that a bound
         from half of the parts shows to have none are left out, as long as these are most; single precision then tells
         which have any, and where more than k are near, all of the block is computed in double precision."""
-        near = self.unit[cols].T
+        near = _scaled(self.x[cols], self.scale[cols]).T
         slack = (x.shape[1] + 8) * 2.0**-23
         floor = self.min_cos - slack
         step = max(1, 2_000_000 // len(cols))
         first, short = bool(self.half), self.part[cols].T
 
         def alike(mine, left, right):
-            sim = left[mine] @ right
+            sim = left @ right
             if rows is not None:  # a vector is no neighbour of itself
                 j = np.searchsorted(cols, rows[mine])
                 own = cols[np.minimum(j, len(cols) - 1)] == rows[mine]
@@ -293,12 +300,12 @@ class Region:
         for lo in range(0, len(i), step):
             mine = i[lo:lo + step]
             if first:
-                left = mine[alike(mine, part, short).max(axis=1) >= floor]
+                left = mine[alike(mine, part[mine], short).max(axis=1) >= floor]
                 first = 2 * len(left) < len(mine)
                 mine = left
             if not len(mine):
                 continue
-            sim = alike(mine, unit, near)
+            sim = alike(mine, _scaled(x[mine], scale[mine]), near)
             some = np.flatnonzero(sim.max(axis=1) >= floor)
             if not len(some):
                 continue
@@ -382,7 +389,7 @@ def _match(k: int, min_cos: float, tables: int, m: int, probes: int, width: floa
                     continue
                 guests.append((ids, _unpack(raw, len(ids), batch.column(5)[j].as_py(), kind)))
                 held += len(ids)
-                if held >= HOLD:
+                if held >= BLOCK_ROWS // 2:
                     yield from pass_by()
         if home:
             yield from settle(tab)
@@ -392,7 +399,7 @@ def _match(k: int, min_cos: float, tables: int, m: int, probes: int, width: floa
 
 
 def neighbours(df: DataFrame, item: str, vec: str, k: int = 5, *, min_cos: float = -1.0, tables: int = 5, probes: int | None = None, width: float = 2.0,
-               bucket: int = 4000, region: int = 100_000, most: int = 200_000, seed: int = 11) -> DataFrame:
+               bucket: int = 4000, region: int = 300_000, most: int = 400_000, seed: int = 11) -> DataFrame:
     """(a, b, cosine, rank): up to k most similar items b of every item a, of cosine min_cos or more.
 
     Every vector is put into one bucket per table and probes the neighbouring buckets most likely to hold its
@@ -406,7 +413,7 @@ def neighbours(df: DataFrame, item: str, vec: str, k: int = 5, *, min_cos: float
     smallest digest counts. Empty input: no row.
 
     Copies: of vectors equal in every part only the k + 1 smallest items enter the tables, since no other can be among
-    anyone's k nearest; the others have the neighbours of the smallest of their class. Regions of more than `most` vectors (of 64 parts;
+    anyone's k nearest; the others have the neighbours of the smallest of their class. Regions of more than `most` vectors (of 256 bytes;
     fewer of longer ones) are cut into parts by hash, each searched by all that visit the region: a task holds one part
     and lets the visitors pass by, so its memory is bounded and nothing is dropped.
     """
@@ -416,7 +423,7 @@ def neighbours(df: DataFrame, item: str, vec: str, k: int = 5, *, min_cos: float
     n, longest = src.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     m = functions_for(n, bucket)
     lead = min(m, functions_for(n, region)) if n > region else 0
-    most = max(1, most * 64 // max(64, longest or 1))
+    most = max(1, most * 256 // max(256, kind.itemsize * (longest or 1)))
     probes = probes_for(m, tables, width) if probes is None else probes  # more functions leave more neighbours beside the home bucket
     signed = src.mapInArrow(_signed(tables, m, lead, width, seed), SIGNED).groupBy("id").agg(F.min(F.struct("same", "regions")).alias("m"), F.max("same").alias("other"))
     signed = cut(signed.select("id", "m.same", "m.regions", (F.col("other") != F.col("m.same")).alias("varied")))

@@ -82,5 +82,5 @@ def test_parts_of_a_hot_region_lose_nothing(spark):
     rng = np.random.default_rng(4)
     centre = rng.standard_normal(64)
     vecs = {i: centre + rng.choice([0.05, 0.5]) * rng.standard_normal(64) for i in range(1200)}
-    got = {(most, r): {tuple(x) for x in neighbours.mutual(neighbours.neighbours(frame(spark, vecs), "chunk_idx", "dense", 5, min_cos=0.85, region=r, most=most)).collect()} for most, r in ((200_000, 100_000), (150, 100_000), (150, 300))}
+    got = {(most, r): {tuple(x) for x in neighbours.mutual(neighbours.neighbours(frame(spark, vecs), "chunk_idx", "dense", 5, min_cos=0.85, region=r, most=most)).collect()} for most, r in ((400_000, 300_000), (150, 300_000), (150, 300))}
     assert all(x == brute_mutual(vecs, 5, 0.85) for x in got.values())
