@@ -293,30 +293,29 @@ def _bits(lists: list[list[str]]) -> np.ndarray:
 
 
 class Shard:
-    """An index of evaluation texts and what decides quickly that a pair can't be the same."""
+    """An index of evaluation texts and what decides quickly that a pair can't be the same: numbers, sizes, and bits of words."""
 
-    def __init__(self, evals: list[list[str]]):
+    def __init__(self, evals: list[list[str]], sigs: list[int]):
         self.evals = evals
         self.index = FullTextIndex(evals)
         self.size = np.array([len(w) for w in evals])
+        self.sig = np.array(sigs, dtype=np.int64)
         self.bits = _bits(evals)
-        self.sig: dict[str, int] = {}
-        self.num = np.array([self.sig.setdefault(_numbers(w), len(self.sig)) for w in evals])
 
-    def matches(self, train: list[list[str]], known: Callable[[str], bool] = known_syllable):
+    def matches(self, train: list[list[str]], sigs: list[int], known: Callable[[str], bool] = known_syllable):
         """(training text, evaluation text, words covered, spans) of all pairs that say the same."""
-        for first in range(0, len(train), 4096):
-            block = train[first:first + 4096]
-            q, rec, _, _ = self.index.seeds(block)
-            size, num, bits = np.array([len(w) for w in block]), np.array([self.sig.get(_numbers(w), -1) for w in block]), _bits(block)
-            ok = (num[q] == self.num[rec]) & (np.abs(size[q] - self.size[rec]) <= SLIPS)
-            q, rec = q[ok], rec[ok]
-            ok = np.bitwise_count(bits[q] ^ self.bits[rec]).sum(axis=1) <= 2 * SLIPS
-            pair = np.unique(q[ok] * np.int64(len(self.evals)) + rec[ok])
-            for i, j in zip((pair // len(self.evals)).tolist(), (pair % len(self.evals)).tolist()):
-                if same(block[i], self.evals[j], known):
-                    runs = spans(block[i], self.evals[j], min(5, max(1, len(block[i]) // 5)))
-                    yield first + i, j, sum(hi - lo for lo, hi in runs), runs
+        q, rec, _, _ = self.index.seeds(train)
+        size, sig = np.array([len(w) for w in train]), np.array(sigs, dtype=np.int64)
+        ok = (sig[q] == self.sig[rec]) & (np.abs(size[q] - self.size[rec]) <= SLIPS)
+        pair = np.unique(q[ok] * np.int64(len(self.evals)) + rec[ok])
+        q, rec = pair // len(self.evals), pair % len(self.evals)
+        some, at = np.unique(q, return_inverse=True)
+        bits = _bits([train[i] for i in some.tolist()])
+        ok = np.bitwise_count(bits[at] ^ self.bits[rec]).sum(axis=1) <= 2 * SLIPS
+        for i, j in zip(q[ok].tolist(), rec[ok].tolist()):
+            if same(train[i], self.evals[j], known):
+                runs = spans(train[i], self.evals[j], min(5, max(1, len(train[i]) // 5)))
+                yield i, j, sum(hi - lo for lo, hi in runs), runs
 
 
 _FOUND = pa.schema([("train", pa.binary()), ("eval", pa.binary()), ("covered", pa.int32()), ("spans", pa.list_(pa.list_(pa.int32())))])
@@ -330,27 +329,27 @@ def _search(count: dict[str, int]):
 
         def passed():
             nonlocal train
-            lines = [w.split(" ") for _, w in train]
-            got = [(train[i][0], evals[j][0], c, [list(x) for x in s]) for i, j, c, s in shard.matches(lines, lambda w: w in count and known_syllable(w))]
+            lines = [w.split(" ") for _, w, _ in train]
+            got = [(train[i][0], evals[j][0], c, [list(x) for x in s]) for i, j, c, s in shard.matches(lines, [x for *_, x in train], lambda w: w in count and known_syllable(w))]
             train = []
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*got), _FOUND)], schema=_FOUND)
 
         for batch in batches:
-            for key, role, cls, line, routes in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for key, role, cls, line, sig, routes in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 if key != at:
                     if train:
                         yield from passed()
                     at, shard, evals, asked = key, None, [], set()
                 if role == 0:
-                    evals.append((cls, line))
+                    evals.append((cls, line, sig))
                     asked.update(routes)
                     continue
                 if asked.isdisjoint(routes):
                     continue
                 if shard is None:
-                    shard = Shard([w.split(" ") for _, w in evals])
-                train.append((cls, line))
+                    shard = Shard([w.split(" ") for _, w, _ in evals], [x for *_, x in evals])
+                train.append((cls, line, sig))
                 if len(train) >= 4096:
                     yield from passed()
         if train:
@@ -407,7 +406,7 @@ def _routes(count: dict[str, int], parts: dict[int, int], shards: int):
                 routes += here.values()
                 at += [i] * len(here)
             take = pa.array(at, type=pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(key, type=pa.int64()), *(batch.column(c).take(take) for c in range(3)), pa.array(routes, type=pa.list_(pa.int64()))], names=["shard", "role", "cls", "line", "routes"])
+            yield pa.RecordBatch.from_arrays([pa.array(key, type=pa.int64()), *(batch.column(c).take(take) for c in range(4)), pa.array(routes, type=pa.list_(pa.int64()))], names=["shard", "role", "cls", "line", "sig", "routes"])
     return run
 
 
@@ -433,7 +432,7 @@ def class_links(recs: DataFrame, train: str = "train", *, shard: int = 300_000)
     parts = {r["sig"]: -(-r["w"] // shard) for r in sizes.filter(F.col("w") > shard).collect()}  # at most words / shard entries
     shards = max(4 * shuffle_parts(spark), -(-words * (SLIPS + 1) * 2 // shard))
     count = frequent(cls)
-    rows = cls.select("role", "cls", "line", "sig").mapInArrow(_routes(count, parts, shards), "shard long, role int, cls binary, line string, routes array<long>")
+    rows = cls.select("role", "cls", "line", "sig").mapInArrow(_routes(count, parts, shards), "shard long, role int, cls binary, line string, sig long, routes array<long>")
     if any(n > SLIPS + 1 for n in parts.values()):
         big = rows.filter("role = 0 and shard < 0").groupBy("shard").agg(F.sum(size).alias("w")).filter(F.col("w") > shard)
         big = {r["shard"]: -(-r["w"] // shard) for r in big.collect()}  # at most (SLIPS + 1) * words / shard entries
@@ -441,7 +440,7 @@ def class_links(recs: DataFrame, train: str = "train", *, shard: int = 300_000)
             cuts = F.coalesce(F.create_map(*[F.lit(x).cast("long") for kv in big.items() for x in kv])[F.col("shard")], F.lit(1).cast("long"))
             own = F.pmod(F.xxhash64("cls"), cuts)
             every = F.when(F.col("role") == 0, F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), cuts - 1))
-            rows = rows.withColumn("part", F.explode(every)).select((F.col("shard") - F.col("part") * F.lit(shards)).alias("shard"), "role", "cls", "line", "routes")
+            rows = rows.withColumn("part", F.explode(every)).select((F.col("shard") - F.col("part") * F.lit(shards)).alias("shard"), "role", "cls", "line", "sig", "routes")
     met = rows.repartition("shard").sortWithinPartitions("shard", "role").mapInArrow(_search(count), "train binary, eval binary, covered int, spans array<array<int>>")
     return met.dropDuplicates(["train", "eval"])
 
