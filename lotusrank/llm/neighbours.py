@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotusrank.functions.scale import cut
+from lotusrank.functions.scale import cut, shuffle_parts
 
 SIGNED = "id long, same binary, regions array<long>"
 BLOCK = "key long, role int, tab int, ids binary, vecs binary, dim int"
@@ -449,7 +449,8 @@ def neighbours(df: DataFrame, item: str, vec: str, k: int = 5, *, min_cos: float
         out = F.broadcast(out) if n_small <= 200_000 else out
         feed = feed.join(out, F.col("id") == F.col("__id"), "left").filter("__id is null or keep = same")
     rows = feed.select("id", "vec").mapInArrow(_spread(tables, m, probes, lead, width, seed, hot, kind), BLOCK)
-    met = rows.repartition("key").sortWithinPartitions("key", "role").mapInArrow(_match(k, min_cos, tables, m, probes, width, seed, kind), "a long, b long, cosine double")
+    # more partitions than regions at small sizes, so that few of these share a task
+    met = rows.repartition(4 * shuffle_parts(spark), "key").sortWithinPartitions("key", "role").mapInArrow(_match(k, min_cos, tables, m, probes, width, seed, kind), "a long, b long, cosine double")
     both = met.select(F.explode(F.array(F.struct("a", "b", "cosine"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))).alias("m")).select("m.*")
     best = Window.partitionBy("a").orderBy(F.col("cosine").desc(), F.col("b").asc())
     near = both.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("a", "b", "cosine", "rank")
