@@ -266,3 +266,9 @@ def test_slices_of_a_sample_are_disjoint(spark):
     q = spark.createDataFrame([(str(i),) for i in range(30)], "qid string")
     a, b = ({r.qid for r in evaluate.sample(q, 10, skip=k).collect()} for k in (0, 10))
     assert len(a) == len(b) == 10 and not a & b
+
+
+def test_mean_pool_looks_at_what_the_mask_keeps():
+    import numpy as np
+    states = np.array([[[1.0, 2.0], [3.0, 4.0], [100.0, 100.0]], [[5.0, 5.0], [0.0, 0.0], [0.0, 0.0]]])
+    assert encode.mean_pool(states, np.array([[1, 1, 0], [0, 0, 0]])).tolist() == [[2.0, 3.0], [0.0, 0.0]]
