@@ -132,15 +132,24 @@ def _signed(tables: int, m: int, lead: int, width: float, seed: int):
     def run(batches):
         for batch in batches:
             for ids, x in _usable(batch):
-                regions = hash_keys(_units(x), tables, m, 0, width, seed, lead)[1][:, 0].T
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(_same(x), type=pa.binary()), pa.array(list(regions), type=pa.list_(pa.int64()))], names=["id", "same", "regions"])
+                # without leading functions all vectors of a table lie in one region
+                regions = hash_keys(_units(x if lead else x[:1]), tables, m, 0, width, seed, lead)[1][:, 0].T
+                flat = np.ascontiguousarray(np.broadcast_to(regions, (len(x), tables))).ravel()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, tables), type=pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(_same(x), type=pa.binary()), lists], names=["id", "same", "regions"])
     return run
 
 
-def _keyed(batches):
-    for batch in batches:
-        for ids, x in _usable(batch):
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(_same(x), type=pa.binary()), pa.array([r.tobytes() for r in x], type=pa.binary())], names=["id", "same", "vec"])
+def _keyed(digests: bool):
+    """(id, same, vec): vectors as bytes, with their digests if these are asked for."""
+    def run(batches):
+        for batch in batches:
+            for ids, x in _usable(batch):
+                step = x.shape[1] * x.itemsize
+                raw = pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, len(x) * step + 1, step, dtype=np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+                same = pa.array(_same(x), type=pa.binary()) if digests else pa.nulls(len(x), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids), same, raw], names=["id", "same", "vec"])
+    return run
 
 
 def _scatter(ids: np.ndarray) -> np.ndarray:
@@ -442,8 +451,8 @@ def neighbours(df: DataFrame, item: str, vec: str, k: int = 5, *, min_cos: float
         reps = signed.join(rest.select("id"), "id", "left_anti")
     sizes = reps.select(F.explode("regions").alias("key")).groupBy("key").count().filter(F.col("count") > most)
     hot = {r["key"]: -(-r["count"] // most) for r in sizes.collect()}  # at most tables * n / most entries
-    feed = src.mapInArrow(_keyed, "id long, same binary, vec binary")
     n_small = small.count()
+    feed = src.mapInArrow(_keyed(n_small > 0), "id long, same binary, vec binary")
     if n_small:
         out = small.withColumnRenamed("id", "__id")
         out = F.broadcast(out) if n_small <= 200_000 else out
