@@ -45,7 +45,6 @@ _SYLLABLE = re.compile(f"(?:{'|'.join(ONSETS)})?(?:{'|'.join(RIMES)})")
 _PLAIN = np.arange(0x2000, dtype=np.uint32)
 for _c in VIET.lower():
     _PLAIN[ord(_c)] = ord(unicodedata.normalize("NFD", _c)[0].replace("đ", "d"))
-_NUMBER = re.compile(r"\S*\d\S*")
 _OPEN = re.compile(rf"(?:(?:{'|'.join(sorted(OPENINGS, key=len, reverse=True))}) )+(?=.)")
 _CLOSE = re.compile(rf"(?<=.)(?: (?:{'|'.join(sorted(CLOSINGS, key=len, reverse=True))}))+$")
 _LAST = frozenset(x.split()[-1] for x in CLOSINGS)
@@ -112,7 +111,7 @@ def class_of(words: list[str]) -> bytes:
 
 
 def _numbers(words: list[str]) -> str:
-    return " ".join(sorted(_NUMBER.findall(" ".join(words))))
+    return " ".join(sorted(w for w in words if not w.isalpha() and any(c.isdigit() for c in w)))
 
 
 def _digest(s: str) -> int:
@@ -277,18 +276,13 @@ def spans(words: list[str], other: list[str], least: int) -> list[tuple[int, int
 
 
 def _bits(lists: list[list[str]]) -> np.ndarray:
-    """(n, 2) words of 64 bits: one bit for every word of a text."""
+    """(n, 2) words of 64 bits: one bit of 128 for every word of a text, by the hash of this process."""
     out = np.zeros((len(lists), 2), dtype=np.uint64)
-    place: dict[str, tuple[int, int]] = {}
     for i, ws in enumerate(lists):
-        b = [0, 0]
+        b = 0
         for w in ws:
-            at = place.get(w)
-            if at is None:
-                h = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=2).digest(), "little")
-                at = place[w] = (h & 1, 1 << (h >> 1 & 63))
-            b[at[0]] |= at[1]
-        out[i] = b
+            b |= 1 << (hash(w) & 127)
+        out[i, 0], out[i, 1] = b & 0xFFFFFFFFFFFFFFFF, b >> 64
     return out
 
 
