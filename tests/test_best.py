@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lotusrank.operators import evaluate, index
+from lotusrank.operators import aggregate, evaluate, index
 
 SHAPE = "chunk_idx long, doc_id string, chunk_id string, tier int, path string, n_words int, text string"
 
@@ -69,3 +69,26 @@ def test_the_grid_ranks_documents_where_their_chunks_lie(spark, searched):
         assert rows(got.filter(F.col("cno") == c).withColumnRenamed("score", "bm25")) == plain(d, 20)
     gold = spark.createDataFrame([("1", "d3")], "qid string, doc_id string")
     assert evaluate.sweep_bm25(ix, q, gold, [0.6], [0.4]).count() == 1
+
+
+def test_documents_are_ranked_where_the_pool_has_met(spark, searched, monkeypatch):
+    ix, q = searched
+    shape = ["qid", "rank", "doc_id", "score", "best_chunk", "n_chunks"]
+    got = lambda agg, k: sorted(map(tuple, index.top_docs(ix, q, k, agg, 4).select(*shape).collect()))
+    want = {(a, k): sorted(map(tuple, aggregate.rank_docs(index.top_chunks(index.bm25_scores(ix, q), k), a, 4, "bm25", ix.doc_sizes()).select(*shape).collect()))
+            for a in ("avg", "top3", "max+0.4", "top3_log") for k in (3, 60)}
+    plan = index.top_docs(ix, q, 60, "avg", 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the chunks move once
+    assert all(got(*x) == want[x] for x in want)
+    monkeypatch.setattr(index, "SAMPLE", 50)  # some questions are searched again
+    assert all(got(*x) == want[x] for x in want)
+
+
+def test_only_repeated_chunks_are_moved(spark):
+    row = lambda i, text: (i, "d", str(i), 1, "", 1, text)
+    moved = lambda d: d._jdf.queryExecution().executedPlan().toString().count("REPARTITION")
+    once = index.distinct_chunks(spark.createDataFrame([row(i, f"t{i}") for i in range(40)], SHAPE))
+    assert once.count() == 40 and not moved(once)
+    some = index.distinct_chunks(spark.createDataFrame([row(i % 38, f"t{i % 38}") for i in range(40)] + [row(None, "n")] * 2, SHAPE))
+    assert sorted((r.chunk_idx is not None, r.chunk_idx, r.text) for r in some.collect() if r.chunk_idx is not None) == sorted((True, i, f"t{i}") for i in range(38))
+    assert some.count() == 39 and "left_anti" in some._jdf.queryExecution().executedPlan().toString().lower().replace("leftanti", "left_anti")
