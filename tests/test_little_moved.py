@@ -39,3 +39,12 @@ def folder(spark, tmp_path_factory):
 def test_rows_of_a_grid_meet_once(spark, folder):
     ix = index.Index.of(Q.chunks(spark, folder))
     assert plan(index.best(ix, Q.asked(spark, folder), [(1.2, 0.75), (2.0, 0.9)], 3, docs=True)).count("Exchange hashpartitioning") == 1
+
+
+def test_scores_come_from_the_words_of_the_index(spark, folder):
+    p, _, _ = Q.evaluated(spark, folder)
+    got = Q.asked_scored(spark, folder, p)
+    texts = Q.chunks(spark, folder).select("chunk_idx", "text").join(got, "chunk_idx").join(Q.asked(spark, folder), "qid")
+    for r in texts.withColumn("want", rerank.overlap_score()).withColumn("n", F.size(F.array_distinct(tokens(F.col("text"))))).collect():
+        assert (r.ce, r.words) == (r.want, r.n)
+    assert texts.count() == got.count() > 0 and "text#" not in plan(got)
