@@ -48,3 +48,12 @@ def test_scores_come_from_the_words_of_the_index(spark, folder):
     for r in texts.withColumn("want", rerank.overlap_score()).withColumn("n", F.size(F.array_distinct(tokens(F.col("text"))))).collect():
         assert (r.ce, r.words) == (r.want, r.n)
     assert texts.count() == got.count() > 0 and "text#" not in plan(got)
+
+
+def test_only_chosen_texts_move(unsized):
+    ch = unsized.createDataFrame([(i, f"t{i}") for i in range(6)] + [(0, "t0"), (3, "t3")], "chunk_idx long, text string")
+    pos = unsized.createDataFrame([("q", 0), ("z", 5)], "qid string, chunk_idx long")
+    neg = unsized.createDataFrame([("q", 2, 4), ("q", 1, 3), ("n", 1, 1)], "qid string, neg_no int, chunk_idx long")
+    got = mining.pairs(unsized.createDataFrame([(x, "hỏi") for x in "qzn"], "qid string, question string"), pos, neg, ch)
+    assert [tuple(r) for r in got.collect()] == [("q", "hỏi", "t0", ["t3", "t4"])]
+    assert plan(got).count("SortMergeJoin") == 1  # the questions
