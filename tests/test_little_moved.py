@@ -57,3 +57,9 @@ def test_only_chosen_texts_move(unsized):
     got = mining.pairs(unsized.createDataFrame([(x, "hỏi") for x in "qzn"], "qid string, question string"), pos, neg, ch)
     assert [tuple(r) for r in got.collect()] == [("q", "hỏi", "t0", ["t3", "t4"])]
     assert plan(got).count("SortMergeJoin") == 1  # the questions
+
+
+def test_labels_go_to_the_pool(unsized, folder):
+    for name in ("mined_positives", "mined_negatives"):
+        assert "LeftSemi" not in "".join(x for x in plan(Q.QUERIES[name](unsized, folder)).splitlines() if "SortMergeJoin" in x)
+        assert "LeftAnti" not in "".join(x for x in plan(Q.QUERIES[name](unsized, folder)).splitlines() if "SortMergeJoin" in x)
