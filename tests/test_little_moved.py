@@ -63,3 +63,10 @@ def test_labels_go_to_the_pool(unsized, folder):
     for name in ("mined_positives", "mined_negatives"):
         assert "LeftSemi" not in "".join(x for x in plan(Q.QUERIES[name](unsized, folder)).splitlines() if "SortMergeJoin" in x)
         assert "LeftAnti" not in "".join(x for x in plan(Q.QUERIES[name](unsized, folder)).splitlines() if "SortMergeJoin" in x)
+
+
+def test_encoders_are_screened_by_columns(spark, folder):
+    c = spark.createDataFrame([("q", "a", 1, 0.9), ("q", "b", 2, 0.1), ("q", "c", 3, None)], "qid string, doc_id string, chunk_idx long, m double")
+    g = spark.createDataFrame([("q", "a")], "qid string, doc_id string")
+    assert [tuple(r) for r in encode.screen(c, g, {"m": None}).collect()] == [("m", 1.0, 1.0)]
+    assert {r.encoder for r in Q.QUERIES["encoder_screen"](spark, folder).collect()} == {"hashed32", "hashed256"}
