@@ -92,3 +92,27 @@ def test_only_repeated_chunks_are_moved(spark):
     some = index.distinct_chunks(spark.createDataFrame([row(i % 38, f"t{i % 38}") for i in range(40)] + [row(None, "n")] * 2, SHAPE))
     assert sorted((r.chunk_idx is not None, r.chunk_idx, r.text) for r in some.collect() if r.chunk_idx is not None) == sorted((True, i, f"t{i}") for i in range(38))
     assert some.count() == 39 and "left_anti" in some._jdf.queryExecution().executedPlan().toString().lower().replace("leftanti", "left_anti")
+
+
+def test_a_sample_gives_few_scores_and_rows_are_sorted_once(spark, searched, monkeypatch):
+    ix, q = searched
+    (asked, names), = index._numbered(ix, q)
+    sent = spark.sparkContext.broadcast(asked)
+    own = {r.bno: r.qid for r in names.collect()}
+    want = {}
+    for r in index.bm25_scores(ix, q).collect():
+        want.setdefault(r.qid, []).append(r.bm25)
+    p = index.Params()
+    for nth in (1, 80):
+        each = index._of_a_task(nth)
+        tops = index.cut(ix.forward.repartition(index.SAMPLE_TASKS).mapInArrow(index._tops(sent, p.k1, p.b, (ix.n, ix.avgdl), each), "bno int, top array<double>"))
+        assert tops.filter(F.size("top") > each).count() == 0 and each <= nth
+        got = {own[r.bno]: r.score for r in index._edges(tops, nth).collect()}
+        assert all(s <= sorted(want[k])[-nth] + 1e-6 for k, s in got.items())  # never above
+        if nth == 1:
+            assert got == {k: max(v) for k, v in want.items() if k in got}
+    monkeypatch.setattr(index, "SAMPLE", 50)
+    plans, cut = [], index.cut
+    monkeypatch.setattr(index, "cut", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or cut(d))
+    index.top_bm25(ix, q, 3)
+    assert len(plans) == 1 and "Sort" in plans[0] and "Sort" not in plans[0].split("Exchange hashpartitioning")[1]
